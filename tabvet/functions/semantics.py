@@ -90,15 +90,15 @@ def parse_date_text(c: ColumnOrName) -> Column:
 
 def parse_date(c: ColumnOrName) -> Column:
     """Typed date; impossible calendar dates give NULL (quarantined, not aborted)."""
-    return F.try_to_date(parse_date_text(c), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(parse_date_text(c), "yyyy-MM-dd")
 
 
 def canonical_date(c: ColumnOrName) -> Column:
     """Canonical-table date: ISO 'yyyy-MM-dd' or dotted 'yyyy.MM.dd', else NULL."""
     t = F.trim(col(c))
     return (
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, F.lit("yyyy-MM-dd")))
-        .when(t.rlike(r"^\d{4}\.\d{2}\.\d{2}$"), F.try_to_date(t, F.lit("yyyy.MM.dd")))
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
+        .when(t.rlike(r"^\d{4}\.\d{2}\.\d{2}$"), F.try_to_date(t, "yyyy.MM.dd"))
     )
 
 

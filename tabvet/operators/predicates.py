@@ -143,7 +143,7 @@ def scope_period(day_col: str, start: str | None, end: str | None, typed: bool =
     """inclusive period bounds, on text (default) or on a typed date."""
     c = F.col(day_col)
     if typed:
-        c = F.try_to_date(c, F.lit("yyyy-MM-dd"))
+        c = F.try_to_date(c, "yyyy-MM-dd")
         lo = F.to_date(F.lit(start)) if start else None
         hi = F.to_date(F.lit(end)) if end else None
     else:

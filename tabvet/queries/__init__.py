@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "q_filters",
     "q_aggs",
+    "q_projections",
 ]
 
 

@@ -139,3 +139,136 @@ def with_staging(*names: str, extra: str = "") -> str:
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# ---------------------------------------------------------------- messy cells
+# Fixed spellings used to synthesise mixed-format text cells from `orders`.
+DEVICE_CELLS = ("android", "iOS", "Mobile Web", "PC", "p", "컴퓨터", "Tablet", "태블릿", "", None, "smart tv", " MO ")
+# Fixed header spellings (configuration) used to synthesise header cells.
+HEADER_SPELLINGS = (
+    "노출수", " 노출 ", "Impressions", "IMPRESSIONS", "클릭(전체)", "클릭 수", "비용", "총 비용",
+    "지출 금액 (KRW)", "캠페인 이름", "캠페인", "캠페인 ID", "광고 그룹명", "광고세트 이름", "광고 소재명",
+    "기기 카테고리", "PC/모바일 매체", "일자", "보고 시작", "보고 종료", "종료일", "캠페인 유형", "ad id",
+    "source_channel", "", "  ", "세션수", "col\tname\x01x", "x" * 70, "Campaign", "campaign", "Campaign ",
+)
+
+
+def _case_list(k: Column, values) -> Column:
+    n = len(values)
+    expr = None
+    for i, v in enumerate(values):
+        cond = (k % n) == i
+        lit = F.lit(v).cast("string")
+        expr = F.when(cond, lit) if expr is None else expr.when(cond, lit)
+    return expr
+
+
+def _thousands(x: Column) -> Column:
+    whole = F.floor(x).cast("long")
+    return F.concat((F.floor(x / 1000)).cast("long").cast("string"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0"))
+
+
+def stg_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed-format text cells keyed by ``row_id`` (= o_orderkey)."""
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    p = F.col("o_totalprice")
+    d = F.add_months(F.col("o_orderdate").cast("date"), 300)
+    num_cases = [
+        F.lit(""), F.lit("total"), F.lit("-"), _thousands(p),
+        F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("%")),
+        F.concat(F.lit(" "), text_of_decimal(p), F.lit(" ")), F.lit("0"), F.lit("0.00"),
+        F.concat(F.lit("$"), text_of_decimal(p)), F.lit("n/a"),
+    ]
+    date_cases = [
+        F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "yyyy.MM.dd"), F.date_format(d, "yyyy. M. d."),
+        F.date_format(d, "yyyyMMdd"), F.date_format(d, "yyyy/MM/dd"), F.lit(""), F.lit("total"),
+        F.concat(F.date_format(d, "yyyy"), F.lit("-02-30")), F.date_format(d, "yyyy년 M월 d일"),
+        F.concat(F.lit(" "), F.date_format(d, "yyyy-MM-dd"), F.lit(" ")),
+    ]
+
+    def pick(cases):
+        expr = None
+        for i, c in enumerate(cases):
+            cond = (k % len(cases)) == i
+            expr = F.when(cond, c) if expr is None else expr.when(cond, c)
+        return expr
+
+    return o.select(
+        k.alias("row_id"),
+        F.col("o_orderpriority").alias("source_channel"),
+        pick(num_cases).alias("num_cell"),
+        pick(date_cases).alias("date_cell"),
+        _case_list(k, DEVICE_CELLS).alias("device_cell"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("campaign"),
+        F.concat(F.lit("s-"), F.col("o_orderpriority")).alias("session_campaign"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("cr-"), (F.col("o_custkey") % 20).cast("string"))).alias("creative"),
+        F.concat(F.lit("ac-"), (k % 6).cast("string")).alias("ad_content"),
+        _thousands(F.col("o_custkey") * 13 + 0.5).alias("clicks_cell"),
+        F.date_format(F.col("o_orderdate"), "yyyy.MM.dd").alias("start_cell"),
+    )
+
+
+def header_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header-like text cells: one per order; 32 consecutive orders form one
+    header row ('file'), so every group is bounded while the number of
+    groups grows with the data."""
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        F.floor(k / 32).cast("long").alias("file_id"),
+        (k % 32 + 1).cast("int").alias("pos"),
+        _case_list(k * 7 + F.col("o_custkey"), HEADER_SPELLINGS).alias("raw_header"),
+    )
+
+
+def sql_str(s: str | None) -> str:
+    """SQL literal for the oracle (control characters through chr())."""
+    if s is None:
+        return "NULL"
+    parts, buf = [], ""
+    for ch in s:
+        if ord(ch) < 32 or ord(ch) == 127:
+            if buf:
+                parts.append("'" + buf.replace("'", "''") + "'")
+                buf = ""
+            parts.append(f"chr({ord(ch)})")
+        else:
+            buf += ch
+    if buf or not parts:
+        parts.append("'" + buf.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def _case_sql(k: str, values) -> str:
+    n = len(values)
+    return "CASE " + " ".join(f"WHEN {k} % {n} = {i} THEN {sql_str(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _thousands_sql(x: str) -> str:
+    return (f"CAST(CAST(floor(({x}) / 1000) AS BIGINT) AS VARCHAR) || ',' || "
+            f"lpad(CAST(CAST(floor({x}) AS BIGINT) % 1000 AS VARCHAR), 3, '0')")
+
+
+_D = "(CAST(o_orderdate AS DATE) + INTERVAL 25 YEAR)"
+STAGING_SQL["stg_m"] = f"""stg_m AS (
+  SELECT o_orderkey AS row_id, o_orderpriority AS source_channel,
+    CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'total' WHEN 2 THEN '-' WHEN 3 THEN {_thousands_sql('o_totalprice')}
+      WHEN 4 THEN CAST(o_custkey % 100 AS VARCHAR) || '%' WHEN 5 THEN ' ' || {_dec_text('o_totalprice')} || ' '
+      WHEN 6 THEN '0' WHEN 7 THEN '0.00' WHEN 8 THEN '$' || {_dec_text('o_totalprice')} ELSE 'n/a' END AS num_cell,
+    CASE o_orderkey % 10 WHEN 0 THEN strftime({_D}, '%Y-%m-%d') WHEN 1 THEN strftime({_D}, '%Y.%m.%d')
+      WHEN 2 THEN strftime({_D}, '%Y. %-m. %-d.') WHEN 3 THEN strftime({_D}, '%Y%m%d') WHEN 4 THEN strftime({_D}, '%Y/%m/%d')
+      WHEN 5 THEN '' WHEN 6 THEN 'total' WHEN 7 THEN strftime({_D}, '%Y') || '-02-30'
+      WHEN 8 THEN strftime({_D}, '%Y년 %-m월 %-d일') ELSE ' ' || strftime({_D}, '%Y-%m-%d') || ' ' END AS date_cell,
+    {_case_sql('o_orderkey', DEVICE_CELLS)} AS device_cell,
+    CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE o_orderstatus END AS campaign,
+    's-' || o_orderpriority AS session_campaign,
+    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'cr-' || CAST(o_custkey % 20 AS VARCHAR) END AS creative,
+    'ac-' || CAST(o_orderkey % 6 AS VARCHAR) AS ad_content,
+    {_thousands_sql('o_custkey * 13 + 0.5')} AS clicks_cell,
+    strftime(o_orderdate, '%Y.%m.%d') AS start_cell
+  FROM orders)"""
+STAGING_SQL["header_cells"] = f"""header_cells AS (
+  SELECT CAST(floor(o_orderkey / 32) AS BIGINT) AS file_id, CAST(o_orderkey % 32 + 1 AS INTEGER) AS pos,
+         {_case_sql('(o_orderkey * 7 + o_custkey)', HEADER_SPELLINGS)} AS raw_header
+  FROM orders)"""

@@ -8,6 +8,7 @@ MODULES = [
     "q_filters",
     "q_aggs",
     "q_projections",
+    "q_plans",
 ]
 
 

@@ -9,6 +9,7 @@ MODULES = [
     "q_aggs",
     "q_projections",
     "q_plans",
+    "q_overlay",
 ]
 
 

@@ -10,6 +10,7 @@ MODULES = [
     "q_projections",
     "q_plans",
     "q_overlay",
+    "q_mutation",
 ]
 
 

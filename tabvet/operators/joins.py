@@ -39,3 +39,84 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     leave the choice to the planner (sort-merge / shuffled hash join)."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def field_mapping_join(cells: DataFrame, mapping: DataFrame, standard: DataFrame, header_col: str = "source_field") -> DataFrame:
+    """Source header -> standard field (mapping and field both active).
+    Mapping and standard-field tables are bounded dictionaries: broadcast."""
+    m = mapping.where(F.col("active")).select("source_field", "field_code")
+    s = standard.where(F.col("active")).select("field_code")
+    return cells.join(F.broadcast(m), cells[header_col] == m.source_field).drop(m.source_field).join(F.broadcast(s), "field_code")
+
+
+def hash_key(*parts: Column) -> Column:
+    """Surrogate key: SHA-256 of the compact JSON array of the natural key."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def dim_lookup(facts: DataFrame, dim: DataFrame, key_col: str, out_col: str) -> DataFrame:
+    """Fact row -> surrogate id by natural key (NULL when the attributes are absent)."""
+    return facts.join(dim.select(key_col, F.col(key_col).alias(out_col)), key_col, "left")
+
+
+def rule_subset_match(requests: DataFrame, rules: DataFrame, req_key: Sequence[str]) -> DataFrame:
+    """First (lowest rule_id) active, approved rule of the same customer whose
+    condition signatures contain all expected ones; an empty expected set
+    matches every rule.
+
+    Exact relational division without all-pairs: each request is joined to
+    rules only through its *rarest* expected signature (the one with the
+    fewest rules), then containment is checked with ``array_except``."""
+    r = rules.where(F.col("active") & (F.col("validation_status") == "approved"))
+    sig = r.select("customer", "rule_id", "signatures", F.explode(F.array_distinct("signatures")).alias("sig"))
+    freq = sig.groupBy("customer", "sig").agg(F.count(F.lit(1)).alias("freq"))
+    req = requests.withColumn("_exp", F.array_distinct("expected"))
+    exploded = req.select(*req_key, "customer", F.explode("_exp").alias("sig"))
+    rare = (
+        exploded.join(freq, ["customer", "sig"], "left")
+        .groupBy(*req_key, "customer")
+        .agg(F.min_by("sig", F.struct(F.coalesce("freq", F.lit(0)), "sig")).alias("sig"),
+             F.min(F.coalesce("freq", F.lit(0))).alias("freq"))
+    )
+    with_sig = req.join(rare.drop("customer"), list(req_key), "left")
+    cand = with_sig.where(F.col("freq") > 0).join(sig.drop("signatures").join(r.select("rule_id", "signatures"), "rule_id"),
+                                                  ["customer", "sig"])
+    ok = cand.where(F.size(F.array_except("_exp", "signatures")) == 0)
+    best = ok.groupBy(*req_key).agg(F.min("rule_id").alias("rule_id"))
+    first_rule = r.groupBy("customer").agg(F.min("rule_id").alias("first_rule"))
+    empty = req.where(F.size("_exp") == 0).join(first_rule, "customer").select(*req_key, F.col("first_rule").alias("rule_id"))
+    matched = best.unionByName(empty)
+    return requests.select(*req_key).join(matched, list(req_key), "left")
+
+
+def term_dictionary_join(texts: DataFrame, dictionary: DataFrame, live: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:
+    """Dictionary term found in the text (plain substring, or every
+    whitespace token of the term inside the space-free text) -> (table,
+    channel) among the live channels; unambiguous only when one table matches.
+
+    The dictionary is bounded configuration, so the non-equi ``contains``
+    join is a broadcast nested-loop join that stays linear in the texts."""
+    low = F.lower(F.col(text_col))
+    nospace = F.regexp_replace(low, r"\s+", "")
+    d = dictionary.where(F.col("active")).join(live, ["target_table", "source_channel"], "left_semi").withColumns({
+        "_term": F.lower("user_term"),
+        "_tokens": F.filter(F.split(F.lower("user_term"), r"\s+"), lambda t: t != ""),
+    })
+    t = texts.select(*key, low.alias("_low"), nospace.alias("_nos"))
+    token_hit = (F.size("_tokens") > 0) & F.forall("_tokens", lambda tok: F.col("_nos").contains(tok))
+    hits = t.join(F.broadcast(d), F.col("_low").contains(F.col("_term")) | token_hit)
+    return hits.select(*key, "target_table", "source_channel", "user_term", "priority")
+
+
+def unambiguous_channels(hits: DataFrame, key: Sequence[str]) -> DataFrame:
+    """J11 result: (key, table, channels) where exactly one table matched."""
+    per = hits.groupBy(*key).agg(F.count_distinct("target_table").alias("_nt"), F.first("target_table").alias("target_table"),
+                                 F.array_sort(F.collect_set("source_channel")).alias("channels"))
+    return per.where(F.col("_nt") == 1).select(*key, "target_table", F.array_join("channels", ",").alias("channels"))
+
+
+def priority_pick(hits: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per request the dictionary row with the lowest priority (then term) wins."""
+    return hits.groupBy(*key).agg(
+        F.min_by(F.struct("target_table", "source_channel", "user_term"), F.struct("priority", "user_term", "source_channel")).alias("w")
+    ).select(*key, "w.*")

@@ -11,6 +11,7 @@ MODULES = [
     "q_plans",
     "q_overlay",
     "q_mutation",
+    "q_ingest",
 ]
 
 

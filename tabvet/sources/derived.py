@@ -135,6 +135,44 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- import rows
+# payload header -> stg_m column (fixed header spellings of the synthetic files)
+IMPORT_HEADERS = {
+    "일자": "date_cell", "보고 시작": "start_cell", "캠페인": "campaign", "세션 캠페인": "session_campaign",
+    "광고 소재 이름": "creative", "세션 수동 광고 콘텐츠": "ad_content", "기기": "device_cell", "노출": "num_cell",
+    "클릭수": "clicks_cell", "비용": "num_cell", "세션수": "clicks_cell", "비고": "ad_content",
+}
+FOLDERS = {"1-URGENT": "DA_display", "2-HIGH": "DA_display", "3-MEDIUM": "SA_search", "4-NOT SPECIFIED": "GA_web", "5-LOW": "GA_web"}
+
+
+def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of synthetic export files: file path + payload map<header, cell>."""
+    from tabvet.sources.tables import stg_m
+
+    m = stg_m(spark, sf_dir)
+    folder = None
+    for ch, f in FOLDERS.items():
+        cond = F.col("source_channel") == ch
+        folder = F.when(cond, F.lit(f)) if folder is None else folder.when(cond, F.lit(f))
+    k = F.col("row_id")
+    suffix = F.when(k % 3 == 0, F.lit("_20240105")).when(k % 3 == 1, F.lit("_organic")).otherwise(F.lit("_BSA"))
+    name = F.concat(F.lower(F.regexp_replace("source_channel", " ", "_")), suffix, F.lit(".csv"))
+    path = F.concat(F.lit("raw/"), folder, F.lit("/"), name)
+    payload = F.create_map(*[x for h, c in IMPORT_HEADERS.items() for x in (F.lit(h), F.col(c))])
+    rows = m.select("row_id", path.alias("file_path"), payload.alias("payload"))
+    # Materialised like a file read: without this, the optimizer folds every
+    # later map lookup back into the synthetic CASE expressions above.
+    return rows.checkpoint(eager=True)
+
+
+IMPORT_SQL = STAGING_SQL["stg_m"] + ",\nimport_rows AS (\n  SELECT row_id, 'raw/' || CASE source_channel " + " ".join(
+    f"WHEN '{ch}' THEN '{f}'" for ch, f in FOLDERS.items()
+) + """ END || '/' || lower(replace(source_channel, ' ', '_'))
+    || CASE WHEN row_id % 3 = 0 THEN '_20240105' WHEN row_id % 3 = 1 THEN '_organic' ELSE '_BSA' END || '.csv' AS file_path,
+    MAP {""" + ", ".join(f"'{h}': {c}" for h, c in IMPORT_HEADERS.items()) + """} AS payload, * EXCLUDE (row_id)
+  FROM stg_m)"""
+
+
 PLAN_SQL = """plan_steps AS (
   SELECT conv_id AS plan_id,
     CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN 's0' ELSE 's' || CAST(turn AS VARCHAR) END AS step_key,

@@ -111,12 +111,24 @@ def normalize_term(c: ColumnOrName, limit: int = FV.NORMALIZED_TERM_LIMIT) -> Co
     return F.substring(F.regexp_replace(F.lower(nfc(col(c))), r"\s+", ""), 1, limit)
 
 
+# Superset of code points whose NFC form can differ from the input: combining
+# marks, conjoining jamo, composition exclusions and singleton decompositions
+# (Unicode NFC_Quick_Check = No/Maybe ranges, widened to whole blocks).
+NFC_UNSTABLE = (
+    r"[\p{M}\u0340-\u0344\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33\u0A36\u0A59-\u0A5E"
+    r"\u0B5C\u0B5D\u0F43-\u0FB9\u1100-\u11FF\u1F70-\u1FFF\u2000\u2001\u2126\u212A\u212B\u2329\u232A"
+    r"\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
+
+
 def nfc(c: ColumnOrName) -> Column:
-    """NFC-normalise only the non-ASCII rows (vectorised pandas UDF on those rows)."""
+    """NFC normalisation. Text without any NFC-unstable code point (the vast
+    majority, including precomposed accented letters and Hangul syllables) is
+    returned as is in the JVM; only the rest goes through the pandas UDF."""
     from tabvet.functions.udfs import nfc_udf
 
     c = col(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), nfc_udf(c)).otherwise(c)
+    return F.when(c.rlike(NFC_UNSTABLE), nfc_udf(c)).otherwise(c)
 
 
 def collapse_ws(c: ColumnOrName) -> Column:

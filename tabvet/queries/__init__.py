@@ -12,6 +12,8 @@ MODULES = [
     "q_overlay",
     "q_mutation",
     "q_ingest",
+    "q_joins",
+    "q_catalog",
 ]
 
 

@@ -268,6 +268,27 @@ STAGING_SQL["stg_m"] = f"""stg_m AS (
     {_thousands_sql('o_custkey * 13 + 0.5')} AS clicks_cell,
     strftime(o_orderdate, '%Y.%m.%d') AS start_cell
   FROM orders)"""
+def stg_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stg_b`` under the canonical Korean headers (for catalogs); the
+    campaign-type column spells one value three ways so normalised keys collide."""
+    b = stg_b(spark, sf_dir)
+    k = F.col("row_id")
+    variant = (F.when(k % 3 == 0, F.col("campaign")).when(k % 3 == 1, F.lower("campaign"))
+               .otherwise(F.concat(F.lower("campaign"), F.lit(" "))))
+    return b.select(
+        "row_id", "source_channel", F.col("campaign").alias("캠페인"), F.col("day").alias("날짜"),
+        F.col("ad_group").alias("광고 그룹"), F.col("device").alias("디바이스"), F.col("cost").alias("비용"),
+        F.col("sessions").alias("세션수"), variant.alias("캠페인 유형"),
+    )
+
+
+STAGING_SQL["stg_k"] = STAGING_SQL["stg_b"] + """,
+stg_k AS (
+  SELECT row_id, source_channel, campaign AS "캠페인", day AS "날짜", ad_group AS "광고 그룹", device AS "디바이스",
+         cost AS "비용", sessions AS "세션수",
+         CASE WHEN row_id % 3 = 0 THEN campaign WHEN row_id % 3 = 1 THEN lower(campaign) ELSE lower(campaign) || ' ' END AS "캠페인 유형"
+  FROM stg_b)"""
+
 STAGING_SQL["header_cells"] = f"""header_cells AS (
   SELECT CAST(floor(o_orderkey / 32) AS BIGINT) AS file_id, CAST(o_orderkey % 32 + 1 AS INTEGER) AS pos,
          {_case_sql('(o_orderkey * 7 + o_custkey)', HEADER_SPELLINGS)} AS raw_header

@@ -14,6 +14,7 @@ MODULES = [
     "q_ingest",
     "q_joins",
     "q_catalog",
+    "q_text",
 ]
 
 

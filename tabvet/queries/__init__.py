@@ -15,6 +15,7 @@ MODULES = [
     "q_joins",
     "q_catalog",
     "q_text",
+    "q_quality",
 ]
 
 

@@ -16,6 +16,7 @@ MODULES = [
     "q_catalog",
     "q_text",
     "q_quality",
+    "q_streaming",
 ]
 
 

@@ -17,6 +17,7 @@ MODULES = [
     "q_text",
     "q_quality",
     "q_streaming",
+    "q_sources",
 ]
 
 

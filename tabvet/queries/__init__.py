@@ -18,6 +18,7 @@ MODULES = [
     "q_quality",
     "q_streaming",
     "q_sources",
+    "q_sinks",
 ]
 
 

@@ -17,6 +17,7 @@ from tabvet.functions.semantics import normalize_term
 from tabvet.operators.overlay import _action_value
 
 # fixed values: columns never written, and label-routing words
+PROTECTED_WRITE_COLUMNS = ("source_channel", "날짜", "세션 소스/매체", "세션 캠페인", "캠페인", "광고 그룹")
 PROTECTED_NAME_SUFFIXES = ("id", "아이디")
 PROTECTED_NAME_PARTS = ("sourcechannel", "rawsource")
 LABEL_FIELD_TOKENS = ("분류값", "분류 값", "구분값", "구분 값", "상태값", "상태 값", "확인 값")
@@ -38,9 +39,10 @@ def require_predicate(groups: Sequence[Mapping]) -> None:
 
 
 def is_protected_name(c: Column) -> Column:
-    """J8 name rules: id-like names and source-channel columns are protected."""
-    n = normalize_term(c)
-    out = n.isin("id", "아이디")
+    """J8 name rules: the fixed protected set, id-like names and source-channel
+    columns are protected (names compared without whitespace, lower-cased)."""
+    n = F.lower(F.regexp_replace(c, r"\s+", ""))
+    out = c.isin(*PROTECTED_WRITE_COLUMNS) | n.isin("id", "아이디")
     for suf in PROTECTED_NAME_SUFFIXES:
         out = out | n.endswith(suf)
     for part in PROTECTED_NAME_PARTS:
@@ -51,7 +53,10 @@ def is_protected_name(c: Column) -> Column:
 def writable_targets(candidates: DataFrame, policy: DataFrame) -> DataFrame:
     """Candidate (target_table, column_name) minus active protected
     columns and protected names. The policy is a bounded dictionary."""
-    active = policy.where(F.col("active")).select("target_table", "column_name")
+    active = policy.where(F.col("active"))
+    if "protection_level" in policy.columns:
+        active = active.where(F.col("protection_level") == "block_update")
+    active = active.select("target_table", "column_name")
     return candidates.join(F.broadcast(active), ["target_table", "column_name"], "left_anti").where(
         ~is_protected_name(F.col("column_name")))
 

@@ -266,7 +266,7 @@ c2 AS (SELECT * FROM cand WHERE column_name <> '')
 """
 
 
-_NT = "lower(regexp_replace(nfc_normalize(column_name), '\\s+', '', 'g'))"
+_NT = "lower(regexp_replace(column_name, '\\s+', '', 'g'))"
 
 
 @register(
@@ -275,6 +275,7 @@ _NT = "lower(regexp_replace(nfc_normalize(column_name), '\\s+', '', 'g'))"
     + f""", pol(target_table, column_name, active) AS (VALUES {", ".join(f"('{t}', '{c}', {str(a).upper()})" for t, c, a in PROTECTED_POLICY)})
 SELECT target_table, column_name FROM c2
 WHERE NOT EXISTS (SELECT 1 FROM pol WHERE pol.active AND pol.target_table = c2.target_table AND pol.column_name = c2.column_name)
+  AND column_name NOT IN ({', '.join(repr(c) for c in MU.PROTECTED_WRITE_COLUMNS)})
   AND NOT ({_NT} IN ('id', '아이디') OR {_NT} LIKE '%id' OR {_NT} LIKE '%아이디' OR {_NT} LIKE '%sourcechannel%' OR {_NT} LIKE '%rawsource%')""",
 )
 def protected_policy_anti(spark, sf):

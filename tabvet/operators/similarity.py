@@ -64,22 +64,101 @@ def confidence_band(score: Column) -> Column:
             .when(score >= FV.CONFIDENCE_MEDIUM, F.lit("medium")).otherwise(F.lit("low")))
 
 
+SCORED_SCHEMA = "term string, kind string, target_table string, column_name string, candidate string, score double"
+
+
+def _score_batches(cands: list[tuple], cut: float):
+    """mapInPandas body: numpy bounds for a batch of terms against the whole
+    (bounded) candidate list, exact difflib ratio only for the survivors."""
+    import difflib
+
+    import numpy as np
+
+    keys = [c[5] or "" for c in cands]
+    alphabet = {ch: i for i, ch in enumerate(sorted({ch for k in keys for ch in k}))}
+    cmat = np.zeros((len(keys), len(alphabet)), dtype=np.int32)
+    for j, k in enumerate(keys):
+        for ch in k:
+            cmat[j, alphabet[ch]] += 1
+    clen = np.array([len(k) for k in keys], dtype=np.float64)
+    contain_rule = [c[4] == "contain" for c in cands]
+
+    def run(it):
+        for pdf in it:
+            for start in range(0, len(pdf), 2000):
+                part = pdf.iloc[start:start + 2000]
+                terms, tks = part["term"].tolist(), [k or "" for k in part["tk"].tolist()]
+                tmat = np.zeros((len(tks), len(alphabet)), dtype=np.int32)
+                for i, k in enumerate(tks):
+                    for ch in k:
+                        a = alphabet.get(ch)
+                        if a is not None:
+                            tmat[i, a] += 1
+                overlap = np.zeros((len(tks), len(keys)), dtype=np.int32)
+                for a in range(len(alphabet)):
+                    overlap += np.minimum(tmat[:, a:a + 1], cmat[None, :, a])
+                tlen = np.array([len(k) for k in tks], dtype=np.float64)
+                total = tlen[:, None] + clen[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bound = np.where(total == 0, 1.0, 2.0 * overlap / total)
+                ii, jj = np.nonzero(bound >= cut)
+                pairs = set(zip(ii.tolist(), jj.tolist()))
+                for j, rule in enumerate(contain_rule):  # containment floors never need the bound
+                    if rule:
+                        pairs |= {(i, j) for i, k in enumerate(tks) if k in keys[j] or keys[j] in k}
+                out = []
+                for i, j in pairs:
+                    tk, ck = tks[i], keys[j]
+                    s = difflib.SequenceMatcher(None, tk, ck).ratio()
+                    if contain_rule[j] and (tk in ck or ck in tk):
+                        s = max(s, FV.CONTAINMENT_FLOOR)
+                    if s < cut:
+                        continue
+                    if cands[j][4] == "alias":
+                        s = max(s, FV.ALIAS_FLOOR)
+                    kind, table, column, cand = cands[j][:4]
+                    out.append((terms[i], kind, table, column, cand, round(s, 3)))
+                if out:
+                    import pandas as pd
+
+                    yield pd.DataFrame(out, columns=["term", "kind", "target_table", "column_name", "candidate", "score"])
+
+    return run
+
+
 def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT,
                           top: int = FV.TOP_RECOMMENDATIONS, broadcast_max_rows: int = 200_000) -> DataFrame:
     """C4: per term the best ``top`` candidates per kind with ratio >= ``cut``.
 
     ``terms``: (term). ``catalog``: (kind, target_table, column_name, candidate,
     floor_rule) where floor_rule is NULL, 'contain' (live column: containment
-    floors the score at 0.82) or 'alias' (a qualifying score floors at 0.7)."""
+    floors the score at 0.82) or 'alias' (a qualifying score floors at 0.7).
+
+    The catalog is bounded by construction (top values per column, column
+    names, aliases). It is materialised once; when its counted size is within
+    ``broadcast_max_rows`` it is shipped to every task and the terms are scored
+    in vectorised batches; beyond that bound the JVM join path is used."""
     t = terms.select("term").distinct().withColumn("tk", sim_key(F.col("term")))
-    t = t.withColumns({"tl": F.length("tk"), "tm": char_counts(F.col("tk"))})
     c = catalog.withColumn("ck", sim_key(F.col("candidate")))
-    c = c.withColumns({"cl": F.length("ck"), "cm": char_counts(F.col("ck"))})
-    # the candidate catalog is bounded (top values per column); it is
-    # materialised once in the shared checkpoint folder and broadcast only
-    # when its counted size allows
     c, small = materialise_small(c, broadcast_max_rows)
-    c = F.broadcast(c) if small else c
+    if small:
+        rows = [tuple(r) for r in c.select("kind", "target_table", "column_name", "candidate", "floor_rule", "ck").collect()]
+        bc = t.sparkSession.sparkContext.broadcast(rows)
+        scored = t.mapInPandas(lambda it: _score_batches(bc.value, cut)(it), SCORED_SCHEMA)
+        return _top_k(scored, top)
+    return _similarity_join(t, c, cut, top)
+
+
+def _top_k(scored: DataFrame, top: int) -> DataFrame:
+    ident = scored.groupBy("term", "kind", "target_table", "column_name", "candidate").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "candidate", "target_table", "column_name")
+    return ident.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _similarity_join(t: DataFrame, c: DataFrame, cut: float, top: int) -> DataFrame:
+    """Large-catalog path: both sides distributed, bounds as JVM expressions."""
+    t = t.withColumns({"tl": F.length("tk"), "tm": char_counts(F.col("tk"))})
+    c = c.withColumns({"cl": F.length("ck"), "cm": char_counts(F.col("ck"))})
     contained = (F.col("floor_rule") == "contain") & (F.col("tk").contains(F.col("ck")) | F.col("ck").contains(F.col("tk")))
     lbound = F.when(F.col("tl") + F.col("cl") == 0, F.lit(1.0)).otherwise(
         2.0 * F.least("tl", "cl") / (F.col("tl") + F.col("cl")))
@@ -92,7 +171,4 @@ def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.
     kept = scored.where(F.col("raw_score") >= cut).withColumn(
         "score",
         F.round(F.when(F.col("floor_rule") == "alias", F.greatest("raw_score", F.lit(FV.ALIAS_FLOOR))).otherwise(F.col("raw_score")), 3))
-    # identity de-duplication, then top-k per (term, kind)
-    ident = kept.groupBy("term", "kind", "target_table", "column_name", "candidate").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "candidate", "target_table", "column_name")
-    return ident.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return _top_k(kept.select("term", "kind", "target_table", "column_name", "candidate", "score"), top)

@@ -82,6 +82,9 @@ def test_similarity_matches_brute_force(spark):
     tdf = spark.createDataFrame([(t,) for t in terms], "term string")
     cdf = spark.createDataFrame(cands, "kind string, target_table string, column_name string, candidate string, floor_rule string")
     got = {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf).collect()}
+    # the large-catalog (JVM join) path must give the same answer
+    got_join = {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf, broadcast_max_rows=0).collect()}
+    assert got_join == got
     expected = {}
     for t in terms:
         per_kind: dict[str, list] = {}

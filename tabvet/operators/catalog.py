@@ -60,7 +60,7 @@ def top_values(freq: DataFrame, n: int = FV.VALUES_PER_COLUMN) -> DataFrame:
     before the shuffle, so a column with millions of distinct values only
     sends n rows per partition to its window task."""
     w = Window.partitionBy("column_name").orderBy(F.col("frequency").desc(), F.col("value").asc())
-    return freq.withColumn("value_rank", F.row_number().over(w)).where(F.col("value_rank") <= n)
+    return freq.withColumn("value_rank", F.row_number().over(w).cast("long")).where(F.col("value_rank") <= n)
 
 
 def column_catalog(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:

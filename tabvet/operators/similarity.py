@@ -1,15 +1,18 @@
 """Fuzzy candidates and recommendations.
 
-Exact Ratcliff-Obershelp ratios are computed only for pairs that survive two
-cheap upper bounds evaluated in the JVM:
+Exact Ratcliff-Obershelp ratios are computed only for pairs that survive a
+cheap upper bound:
 
 * length bound  ``2*min(la, lb) / (la + lb)``  (difflib's real_quick_ratio)
 * multiset bound ``2*|chars(a) & chars(b)| / (la + lb)``  (difflib's quick_ratio)
 
-Both are upper bounds of the ratio, so filtering on them never drops a pair
+Both bound the ratio from above, so filtering on them never drops a pair
 whose exact score reaches the cut. The candidate side is a bounded catalog
-(top values per column, column names, aliases) and is broadcast after its
-size is checked; the term side stays distributed.
+(top values per column, column names, aliases): after a counted size check it
+is shipped to every task and the distributed terms are scored in numpy
+batches (multiset bound as a min-sum over the catalog alphabet), with
+``difflib`` only on survivors. Beyond the size bound both sides stay
+distributed and the bounds run as JVM expressions in a join.
 """
 
 from __future__ import annotations
@@ -152,7 +155,7 @@ def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.
 def _top_k(scored: DataFrame, top: int) -> DataFrame:
     ident = scored.groupBy("term", "kind", "target_table", "column_name", "candidate").agg(F.max("score").alias("score"))
     w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "candidate", "target_table", "column_name")
-    return ident.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ident.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
 
 
 def _similarity_join(t: DataFrame, c: DataFrame, cut: float, top: int) -> DataFrame:

@@ -51,7 +51,7 @@ ad AS (SELECT row_id, report_date, source_name,
     {_nz('campaign')} AS campaign_name, {_nz('creative')} AS creative_name, {_nz('device_cell')} AS device_raw,
     COALESCE({_parse_number_sql(_nz('num_cell'))}, 0) AS impressions, COALESCE({_parse_number_sql(_nz('clicks_cell'))}, 0) AS clicks,
     COALESCE({_parse_number_sql(_nz('num_cell'))}, 0) AS cost_raw, 'KRW' AS cost_currency, CAST(NULL AS DOUBLE) AS ctr,
-    CASE WHEN trim(ad_content) <> '' THEN to_json(MAP {{'비고': ad_content}}) ELSE '{{}}' END AS additional_metrics
+    CAST(CASE WHEN trim(ad_content) <> '' THEN to_json(MAP {{'비고': ad_content}}) ELSE '{{}}' END AS VARCHAR) AS additional_metrics
   FROM bronze2 WHERE parse_status = 'parsed' AND folder NOT LIKE '%GA%'),
 ga AS (SELECT row_id, report_date, source_name, COALESCE({_nz('session_campaign')}, {_nz('campaign')}) AS session_campaign,
     {_nz('ad_content')} AS session_content, {_nz('device_cell')} AS device_raw, CAST(NULL AS VARCHAR) AS event_name,

@@ -260,7 +260,7 @@ SELECT term, kind, p_partkey, p_name, score, rank FROM r WHERE rank <= 5""",
 def top_recommendations(spark, sf):
     s = score_table(spark, sf)
     w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "p_name", "p_partkey")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= FV.TOP_RECOMMENDATIONS)
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= FV.TOP_RECOMMENDATIONS)
 
 
 @register(

@@ -26,7 +26,7 @@ def col(c: ColumnOrName) -> Column:
 # ---------------------------------------------------------------- numbers
 def num(c: ColumnOrName) -> Column:
     """Late numeric cast of a text cell: commas stripped, blank and bad text -> NULL."""
-    return F.nullif(F.regexp_replace(col(c), ",", ""), F.lit("")).try_cast(DEC)
+    return F.nullif(F.replace(col(c), F.lit(","), F.lit("")), F.lit("")).try_cast(DEC)
 
 
 def is_numeric_literal(value: object) -> bool:

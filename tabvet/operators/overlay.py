@@ -16,6 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.semantics import DEC
+from tabvet.session import checkpoint
+
+
+def ntz(ts: dt.datetime) -> Column:
+    """Zone-independent timestamp literal (wall time, whatever the session zone)."""
+    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 DELTA_VALUE = "struct<old:string,new:string>"
 
@@ -68,7 +74,7 @@ def delta_log_current(events: DataFrame, as_of: dt.datetime, key: str = "delta_i
     replaced by a re-preview and expired items are dropped."""
     cols = [c for c in events.columns if c not in (key, "seq")]
     latest = events.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("seq")).alias("e")).select(key, "e.*")
-    return latest.where((F.col("status") != "replaced") & (F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")))
+    return latest.where((F.col("status") != "replaced") & (F.col("expires_at") > ntz(as_of)))
 
 
 # ------------------------------------------------------------------ overlay
@@ -82,7 +88,7 @@ def ancestor_deltas(
         F.col("ancestor_key").alias("step_key")).distinct()
     d = delta.where(
         (F.col("linked_plan_id") == plan_id) & (F.col("delta_status") == "approved")
-        & (F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")) & (F.col("step_order") < current_order)
+        & (F.col("expires_at") > ntz(as_of)) & (F.col("step_order") < current_order)
     )
     return d.join(F.broadcast(anc), "step_key", "left_semi")
 
@@ -107,7 +113,7 @@ def overlay_map(latest: DataFrame) -> DataFrame:
 def materialise_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Checkpoint ``df`` to the shared checkpoint folder and say whether a
     count proves it small enough to broadcast."""
-    df = df.checkpoint(eager=True)
+    df = checkpoint(df)
     return df, df.count() <= max_rows
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.session import checkpoint
+
 MUTATING = ("UPDATE_NUMERIC_VALUE", "ADD_DERIVED_COLUMN")
 READING = ("SELECT_DETAIL", "SELECT_AGGREGATE")
 
@@ -36,7 +38,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
     terminate. Each round's result is checkpointed to the shared checkpoint
     folder, which keeps the lineage short and survives executor loss."""
     e = edges.select("plan_id", "step_key", F.col("dep_key").alias("ancestor_key")).distinct()
-    e = e.checkpoint(eager=True)
+    e = checkpoint(e)
     known, frontier = e, e
     step = edges.select("plan_id", F.col("step_key").alias("mid"), F.col("dep_key").alias("next_key")).distinct()
     for _ in range(max_rounds):
@@ -45,10 +47,10 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
             .select(frontier.plan_id, frontier.step_key, step.next_key.alias("ancestor_key"))
             .distinct()
         )
-        new = nxt.join(known, ["plan_id", "step_key", "ancestor_key"], "left_anti").checkpoint(eager=True)
+        new = checkpoint(nxt.join(known, ["plan_id", "step_key", "ancestor_key"], "left_anti"))
         if new.isEmpty():
             return known
-        known = known.unionByName(new).checkpoint(eager=True)
+        known = checkpoint(known.unionByName(new))
         frontier = new
     raise RuntimeError("dependency closure did not converge; plan deeper than max_rounds")
 

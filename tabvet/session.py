@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,6 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for materialised stages)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

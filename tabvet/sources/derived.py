@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabvet.session import checkpoint
 from tabvet.sources.tables import STAGING_SQL, load, stg_b
 
 AS_OF = dt.datetime(2024, 6, 1, 0, 0, 0)
@@ -31,7 +32,7 @@ def delta_items(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) ->
     """One row per (source row, step): before/after maps of the changed columns."""
     b = stg_b(spark, sf_dir)
     k = F.col("row_id")
-    ts = F.lit(as_of).cast("timestamp_ntz")
+    ts = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     expires = F.when(k % 65 == 0, ts - F.expr("INTERVAL 1 HOUR")).otherwise(ts + F.expr("INTERVAL 23 HOURS"))
 
     def step(key: str, order: int, idx: int, cond: Column, before: dict, after: dict) -> DataFrame:
@@ -162,7 +163,7 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.select("row_id", path.alias("file_path"), payload.alias("payload"))
     # Materialised like a file read: without this, the optimizer folds every
     # later map lookup back into the synthetic CASE expressions above.
-    return rows.checkpoint(eager=True)
+    return checkpoint(rows)
 
 
 IMPORT_SQL = STAGING_SQL["stg_m"] + ",\nimport_rows AS (\n  SELECT row_id, 'raw/' || CASE source_channel " + " ".join(

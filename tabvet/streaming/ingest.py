@@ -13,7 +13,7 @@ drains what is there and stops; checkpoints live in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +47,9 @@ def stream_window_metrics(spark: SparkSession, source_dir: str, glob: str, schem
                           checkpoint_dir: str, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Streaming windowed metrics in update mode; returns the current table."""
     events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    # event time as a zoned timestamp (Parquet's zone-less timestamps read as NTZ)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    # watermarks need a zoned timestamp; Parquet's zone-less values are read as
+    # NTZ, so they are pinned to UTC explicitly (independent of the session zone)
+    events = events.withColumn("ts", utc_instant(F.col("ts")))
     agg = window_metrics(events, size, delay)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -60,8 +61,19 @@ def stream_window_metrics(spark: SparkSession, source_dir: str, glob: str, schem
     return current_windows(spark.read.parquet(table_dir))
 
 
+def utc_instant(ntz: Column) -> Column:
+    """Zone-less wall time -> the instant of that wall time in UTC."""
+    text = F.concat(F.date_format(ntz, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+
+
+def utc_text(instant: Column) -> Column:
+    """Instant rendered as UTC wall time, whatever the session zone."""
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def current_windows(versions: DataFrame) -> DataFrame:
     """Latest version of every (window, event type) row."""
     cols = [c for c in versions.columns if c not in ("w", "event_type", "batch_id")]
     latest = versions.groupBy("w", "event_type").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("v"))
-    return latest.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "v.*")
+    return latest.select(utc_text(F.col("w.start")).alias("window_start"), "event_type", "v.*")

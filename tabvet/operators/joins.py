@@ -1,8 +1,9 @@
 """Join-shaped operators.
 
 Dictionaries (aliases, channels, policies, rules) are small, bounded
-configuration tables and may be broadcast; fact-side data is never
-broadcast unless its size is checked first (:func:`broadcast_if_small`).
+configuration tables and may be broadcast; data-side inputs are broadcast
+only after they are materialised and counted under a bound
+(:func:`tabvet.operators.overlay.materialise_small`).
 """
 
 from __future__ import annotations
@@ -34,13 +35,6 @@ def resolve_condition_values(df: DataFrame, column: str, values: Sequence[str])
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it small; otherwise
-    leave the choice to the planner (sort-merge / shuffled hash join)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def field_mapping_join(cells: DataFrame, mapping: DataFrame, standard: DataFrame, header_col: str = "source_field") -> DataFrame:
     """Source header -> standard field (mapping and field both active).
     Mapping and standard-field tables are bounded dictionaries: broadcast."""

@@ -40,17 +40,19 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
     e = edges.select("plan_id", "step_key", F.col("dep_key").alias("ancestor_key")).distinct()
     e = checkpoint(e)
     known, frontier = e, e
-    step = edges.select("plan_id", F.col("step_key").alias("mid"), F.col("dep_key").alias("next_key")).distinct()
+    step = checkpoint(edges.select("plan_id", F.col("step_key").alias("mid"), F.col("dep_key").alias("next_key")).distinct())
     for _ in range(max_rounds):
         nxt = (
-            frontier.join(step, (frontier.plan_id == step.plan_id) & (frontier.ancestor_key == step.mid))
-            .select(frontier.plan_id, frontier.step_key, step.next_key.alias("ancestor_key"))
+            frontier.withColumnRenamed("ancestor_key", "mid").join(step, ["plan_id", "mid"])
+            .select("plan_id", "step_key", F.col("next_key").alias("ancestor_key"))
             .distinct()
         )
+        # each round's new pairs are materialised; the known set is a union of
+        # those checkpointed pieces, so its lineage never re-runs a round
         new = checkpoint(nxt.join(known, ["plan_id", "step_key", "ancestor_key"], "left_anti"))
         if new.isEmpty():
             return known
-        known = checkpoint(known.unionByName(new))
+        known = known.unionByName(new)
         frontier = new
     raise RuntimeError("dependency closure did not converge; plan deeper than max_rounds")
 

@@ -8,7 +8,7 @@ from tabvet.operators import ingest as IG
 from tabvet.operators.joins import dim_lookup as _dim_lookup
 from tabvet.queries.q_projections import _device_group_sql, _parse_date_text_sql, _parse_number_sql
 from tabvet.queries.registry import register
-from tabvet.session import checkpoint
+from tabvet.session import materialize
 from tabvet.sources.derived import IMPORT_SQL, import_rows
 from tabvet.sources.tables import load
 
@@ -24,7 +24,7 @@ def _bronze(spark, sf):
 
 def _silver(spark, sf):
     # bronze is a layer boundary: materialised once, read by both silver facts
-    parsed = checkpoint(_bronze(spark, sf).where(F.col("parse_status") == "parsed"))
+    parsed = materialize(_bronze(spark, sf).where(F.col("parse_status") == "parsed"), "bronze_parsed")
     ad = IG.silver_ad_fact(parsed.where(F.col("fact_target") == "fact_ad_daily"))
     ga = IG.silver_ga_fact(parsed.where(F.col("fact_target") == "fact_ga_daily"))
     return ad, ga

@@ -59,6 +59,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back:
+    the layer boundary of a pipeline (columnar, compressed, with statistics,
+    and it survives executor loss like any table)."""
+    import uuid
+
+    path = shared_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for materialised stages)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

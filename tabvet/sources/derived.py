@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabvet.session import checkpoint
+from tabvet.session import materialize
 from tabvet.sources.tables import STAGING_SQL, load, stg_b
 
 AS_OF = dt.datetime(2024, 6, 1, 0, 0, 0)
@@ -163,7 +163,7 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.select("row_id", path.alias("file_path"), payload.alias("payload"))
     # Materialised like a file read: without this, the optimizer folds every
     # later map lookup back into the synthetic CASE expressions above.
-    return checkpoint(rows)
+    return materialize(rows, "import_rows")
 
 
 IMPORT_SQL = STAGING_SQL["stg_m"] + ",\nimport_rows AS (\n  SELECT row_id, 'raw/' || CASE source_channel " + " ".join(

@@ -27,7 +27,16 @@ DEVICE_SPELLINGS = ("mobile", "Desktop ", "tablet", "MO", "smart tv", "PC", "iPa
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Fan a scan out to the cluster's parallelism when it yields fewer splits
+    than there are cores (a small single-file table). Large inputs already
+    have more splits than cores, so at scale this adds nothing; filters and
+    column pruning still reach the scan below the repartition."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def _device_of(k: Column) -> Column:

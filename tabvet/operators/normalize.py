@@ -174,16 +174,3 @@ def drop_empty_columns(df: DataFrame, always_keep: Sequence[str] = ("row_index",
 def mask_sample(df: DataFrame, allow: Sequence[str], order_by: Sequence[str], n: int = 3) -> DataFrame:
     """Only allow-listed columns of a deterministic sample."""
     return df.orderBy(*order_by).select(*[c for c in allow if c in df.columns]).limit(n)
-
-
-def row_payload_hash(m: Column) -> Column:
-    from tabvet.functions.semantics import payload_hash
-
-    return payload_hash(m)
-
-
-__all__ = [
-    "merge_alias_columns", "union_sources", "payload_map", "canonical_payload", "canonical_report_date",
-    "canonical_rows", "additional_metrics", "flatten_structs", "dim_date_attrs", "drop_empty_columns",
-    "mask_sample", "col", "DEC",
-]

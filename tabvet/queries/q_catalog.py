@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
-from tabvet.functions.semantics import normalize_term
 from tabvet.operators import catalog as C
 from tabvet.operators.similarity import confidence_band, similarity_candidates
 from tabvet.queries.q_projections import _role_sql
@@ -75,7 +74,7 @@ def _candidates(spark, sf):
 
 
 def _terms(spark, sf):
-    c = load(spark, sf, "conversations")
+    c = load(spark, sf, "conversations", fan_out=True)
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}#-]+"))
     return c.select(words.alias("term")).where(F.length("term") >= 3).distinct()
 
@@ -108,5 +107,3 @@ def unresolved_terms(spark, sf):
     aliases = spark.createDataFrame([(a,) for a in _ALL_ALIASES], "user_term string")
     return C.unresolved_terms(terms, cols, aliases)
 
-
-__all__ = ["normalize_term"]

@@ -10,7 +10,7 @@ from tabvet.operators import mutation as MU
 from tabvet.operators import overlay as OV
 from tabvet.operators import predicates as P
 from tabvet.plans import steps as L
-from tabvet.queries.q_overlay import O1_ACTIONS, _o1_where
+from tabvet.queries.q_overlay import O1_ACTIONS, O1_GROUPS, _o1_where
 from tabvet.queries.q_plans import ANC_SQL, EXT_SQL, _ext
 from tabvet.queries.registry import register
 from tabvet.sources.derived import PLAN_SQL, plan_steps
@@ -30,7 +30,7 @@ STG_B_COLS = ["row_id", "source_channel", "campaign", "day", "ad_group", "device
 )
 def update_set_zero(spark, sf):
     df = stg_b(spark, sf)
-    MU.require_predicate([{"conditions": [{"field": "campaign"}]}])
+    MU.require_predicate(O1_GROUPS)
     out = MU.apply_update(df.withColumn("cost_before", F.col("cost")), _o1_where(df), ZERO_ACTIONS, protected=["row_id"])
     return out.select("row_id", "cost_before", "cost", "sessions")
 
@@ -253,9 +253,6 @@ def _canon_candidates(spark, sf):
         F.col("column_name") != "").distinct()
 
 
-_CANON_SQL = None
-
-
 def _canon_sql() -> str:
     from tabvet.queries.q_projections import _CANON_CASE, _ID_SQL
 

@@ -70,11 +70,14 @@ O1_ACTIONS = [
 _O1_WHERE = f"campaign = 'F' AND {N('cost')} > 300000"
 
 
+O1_GROUPS = [{"conditions": [
+    {"field": "campaign", "operator": "eq", "values": ["F"]},
+    {"field": "cost", "operator": "gt", "values": ["300000"]},
+]}]
+
+
 def _o1_where(df):
-    return P.compile_where([{"conditions": [
-        {"field": "campaign", "operator": "eq", "values": ["F"]},
-        {"field": "cost", "operator": "gt", "values": ["300000"]},
-    ]}], df.columns, STAGING_NUMERIC)
+    return P.compile_where(O1_GROUPS, df.columns, STAGING_NUMERIC)
 
 
 @register(

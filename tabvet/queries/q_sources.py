@@ -152,7 +152,7 @@ def rows_to_payload(spark, sf):
     rows = b.select(F.lit("stg_b").alias("path"), F.lit(None).cast("string").alias("sheet"), (k + 2).alias("row_no"), cells.alias("cells"))
     headers = b.sparkSession.createDataFrame([("stg_b", None, 1, _PAYLOAD_HEADERS)],
                                              "path string, sheet string, header_row_no long, headers array<string>")
-    p = FS.rows_to_payload(rows, headers.withColumnRenamed("sheet", "sheet"))
+    p = FS.rows_to_payload(rows, headers)
     return p.select((F.col("row_no") - 2).alias("row_id"), F.explode("payload").alias("key", "value"))
 
 

@@ -32,7 +32,7 @@ SEGMENT_TOKENS = ("클릭", "노출")
 
 
 def _requests(spark, sf):
-    c = load(spark, sf, "conversations")
+    c = load(spark, sf, "conversations", fan_out=True)  # regex-heavy text jobs
     idx = ((F.col("conv_id") * 7 + F.col("turn")) % len(REQUEST_TEMPLATES) + 1).cast("int")
     tpl = F.element_at(F.array(*[F.lit(t) for t in REQUEST_TEMPLATES]), idx)
     return c.select("conv_id", "turn", F.concat(tpl, F.lit(" "), F.col("text")).alias("request"))

@@ -26,17 +26,23 @@ STAGING_NUMERIC = ("impressions", "clicks", "cost", "sessions")
 DEVICE_SPELLINGS = ("mobile", "Desktop ", "tablet", "MO", "smart tv", "PC", "iPad Tablet", "mobile web")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def load(spark: SparkSession, sf_dir: str, name: str, fan_out: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if fan_out else df
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Fan a scan out to the cluster's parallelism when it yields fewer splits
-    than there are cores (a small single-file table). Large inputs already
-    have more splits than cores, so at scale this adds nothing; filters and
-    column pruning still reach the scan below the repartition."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    than there are cores (a small single-file table), for CPU-heavy per-row
+    work (regex parsing, hashing, text jobs). Large inputs already have more
+    splits than cores, so at scale this adds nothing; filters and column
+    pruning still reach the scan below the repartition."""
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def _device_of(k: Column) -> Column:
@@ -179,7 +185,7 @@ def _thousands(x: Column) -> Column:
 
 def stg_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixed-format text cells keyed by ``row_id`` (= o_orderkey)."""
-    o = load(spark, sf_dir, "orders")
+    o = load(spark, sf_dir, "orders", fan_out=True)  # regex/CASE-heavy cells
     k = F.col("o_orderkey")
     p = F.col("o_totalprice")
     d = F.add_months(F.col("o_orderdate").cast("date"), 300)

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.semantics import normalize_term
 from tabvet.operators.overlay import _action_value
-
-# fixed values: columns never written, and label-routing words
-PROTECTED_WRITE_COLUMNS = ("source_channel", "날짜", "세션 소스/매체", "세션 캠페인", "캠페인", "광고 그룹")
-PROTECTED_NAME_SUFFIXES = ("id", "아이디")
-PROTECTED_NAME_PARTS = ("sourcechannel", "rawsource")
-LABEL_FIELD_TOKENS = ("분류값", "분류 값", "구분값", "구분 값", "상태값", "상태 값", "확인 값")
-LABEL_TEXT_TOKENS = ("붙", "기입", "분류", "만들", "새 컬럼", "새 구분", "새 항목")
-
+from tabvet.fixed_values import (  # fixed values, kept together in fixed_values.py
+    PROTECTED_WRITE_COLUMNS,
+    PROTECTED_NAME_SUFFIXES,
+    PROTECTED_NAME_PARTS,
+    LABEL_FIELD_TOKENS,
+    LABEL_TEXT_TOKENS,
+)
 
 class GateError(RuntimeError):
     pass

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
 from tabvet.functions.semantics import parse_number
-
-# fixed values: metric tokens looked for in request texts -> column
-METRIC_COLUMNS = {"노출": "노출수", "클릭": "클릭수", "비용": "비용", "세션": "세션수"}
-
+from tabvet.fixed_values import (  # fixed values, kept together in fixed_values.py
+    METRIC_COLUMNS,
+)
 
 def is_empty(v: Column) -> Column:
     return F.trim(F.coalesce(v.cast("string"), F.lit(""))) == ""

@@ -12,47 +12,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: intent keywords (first match wins, in this order) -------
-DERIVED_KEYWORDS = ("새 컬럼", "새 구분", "새 항목", "만들", "기입", "분류값", "구분값", "상태값", "상태 값", "임시 상태", "붙", "값으로 분류")
-UPDATE_TERMS = ("0으로", "보정", "채워", "바꿔", "고정", "맞춰", "조정", "수정", "변경")
-AGGREGATE_KEYWORDS = ("합계", "평균", "건수", "몇 건", "몇건", "row 수", "행 수", "전환율", "전환당", "클릭률", "비교", "계산",
-                      "count", "ctr", "cpc", "cpa")
-DETAIL_KEYWORDS = ("보고", "조회", "확인", "보여", "목록", "샘플", "데이터")
-
-# --- fixed values: field aliases and condition terms -------------------------
-NUMERIC_FIELD_ALIASES = {
-    "노출수": ("노출", "노출수", "노출 수", "노출량", "조회수", "impression", "impressions"),
-    "클릭수": ("클릭", "클릭수", "클릭 수", "클리크", "click", "clicks"),
-    "비용": ("비용", "광고비", "비요", "cost", "spend"),
-    "세션수": ("세션", "세션수", "세션 수", "session", "sessions"),
-}
-DIMENSION_FIELD_ALIASES = {
-    "캠페인": ("캠페인", "켐페인", "campaign"),
-    "디바이스": ("디바이스", "기기", "device"),
-    "광고 그룹": ("광고 그룹", "광고그룹", "ad group"),
-    "날짜": ("날짜", "date"),
-}
-NUMERIC_PRESENCE_TERMS = ("있는", "있고", "있으며", "있는데", "들어간", "나온", "잡힌", "발생", "기록된", "찍힌", "1회이상", "1원이상",
-                          "0보다큰", "양수")
-NUMERIC_ZERO_TERMS = ("없는", "없고", "없으며", "없는데", "0인", "0회", "0원")
-EMPTY_TERMS = ("비어", "빈값", "누락", "공란", "null", "none")
-MEDIA_TABLE_TERMS = {"SA": ("검색광고", "검색 광고"), "DA": ("디스플레이광고", "디스플레이 광고", "배너광고", "배너 광고")}
-METRIC_TOKENS = {"클릭수": "클릭", "노출수": "노출", "비용": "비용", "세션수": "세션"}
-AGG_WORDS = {"합계": "sum", "평균": "avg"}
-
-# --- fixed values: patterns ---------------------------------------------------
-MONTH_PATTERN = r"(?:(20\d{2})\s*년\s*)?(\d{1,2})\s*월"
-UPDATE_VALUE_PATTERNS = (
-    r"(-?\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:원|회|건)?\s*(?:으로|로)\s*(?:보정|수정|변경|바꾸|고정|채우)",
-    r"(?:보정|수정|변경|바꾸|고정|채우)\S{0,8}?\s*(-?\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:원|회|건)?",
+from tabvet.fixed_values import (  # fixed values, kept together in fixed_values.py
+    DERIVED_KEYWORDS,
+    UPDATE_TERMS,
+    AGGREGATE_KEYWORDS,
+    DETAIL_KEYWORDS,
+    NUMERIC_FIELD_ALIASES,
+    DIMENSION_FIELD_ALIASES,
+    NUMERIC_PRESENCE_TERMS,
+    NUMERIC_ZERO_TERMS,
+    EMPTY_TERMS,
+    MEDIA_TABLE_TERMS,
+    METRIC_TOKENS,
+    AGG_WORDS,
+    MONTH_PATTERN,
+    UPDATE_VALUE_PATTERNS,
+    CLAUSE_SPLIT,
+    LABEL_CHARS,
+    ASSIGNMENT_PATTERN,
+    LABEL_PATTERN,
+    QUOTED_PATTERN,
+    REWRITE_PREFIX,
 )
-CLAUSE_SPLIT = r"\n+|,|(?:\s*그리고\s*)|(?:\s*이어서\s*)|(?:\s*별도로\s*)|(?:\s*하고\s*)|(?<=[.!?])\s+"
-LABEL_CHARS = "[가-힣A-Za-z0-9 _-]"
-ASSIGNMENT_PATTERN = (r"(?:^|[\s에])(" + LABEL_CHARS + r"{2,40}?(?:분류값|구분값|상태값|상태 값|값))\s*(?:을|를)\s*("
-                      + LABEL_CHARS + r"{2,40}?)\s*(?:으로|로)\s*(?:붙|분류|기입|만들)")
-LABEL_PATTERN = r"(" + LABEL_CHARS + r"{2,40}?)\s*(분류값|구분값|상태값|상태 값|확인 값|값)\s*(?:을|를)\s*(?:붙|기입|만들)"
-QUOTED_PATTERN = r"`([^`]+)`"
-REWRITE_PREFIX = "추천 조건 확인: "
 
 
 def compact(c: Column) -> Column:

@@ -14,17 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.session import checkpoint
+from tabvet.fixed_values import (  # fixed values, kept together in fixed_values.py
+    DEPENDENCY_TERMS,
+)
 
 MUTATING = ("UPDATE_NUMERIC_VALUE", "ADD_DERIVED_COLUMN")
 READING = ("SELECT_DETAIL", "SELECT_AGGREGATE")
 
-# fixed values: wording that makes a read step depend on the previous write
-DEPENDENCY_TERMS = (
-    "보정후", "수정후", "변경후", "바꾼후", "고정후", "적용후", "그결과", "그값", "그대상",
-    "수정결과", "보정결과", "이후", "다음", "고정하고", "보정하고", "바꾸고",
-)
-
-
 def plan_edges(steps: DataFrame) -> DataFrame:
     """(plan_id, step_key, dep_key), one row per declared dependency."""
     return steps.select("plan_id", "step_key", F.explode("depends_on").alias("dep_key")).distinct()

@@ -13,7 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabvet.functions.semantics import normalize_term
 from tabvet.operators.overlay import _action_value
 from tabvet.fixed_values import (  # fixed values, kept together in fixed_values.py
     PROTECTED_WRITE_COLUMNS,
@@ -23,6 +22,7 @@ from tabvet.fixed_values import (  # fixed values, kept together in fixed_values
     LABEL_TEXT_TOKENS,
 )
 
+
 class GateError(RuntimeError):
     pass
 

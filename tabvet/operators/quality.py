@@ -13,6 +13,7 @@ from tabvet.fixed_values import (  # fixed values, kept together in fixed_values
     METRIC_COLUMNS,
 )
 
+
 def is_empty(v: Column) -> Column:
     return F.trim(F.coalesce(v.cast("string"), F.lit(""))) == ""
 

@@ -18,6 +18,7 @@ from tabvet.fixed_values import (  # fixed values, kept together in fixed_values
     DEPENDENCY_TERMS,
 )
 
+
 MUTATING = ("UPDATE_NUMERIC_VALUE", "ADD_DERIVED_COLUMN")
 READING = ("SELECT_DETAIL", "SELECT_AGGREGATE")
 

@@ -154,15 +154,19 @@ def multistep_rollup(step_results: DataFrame, errors: DataFrame) -> DataFrame:
     return g.join(e, "plan_id", "left")
 
 
-def parse_report_lines(lines: DataFrame) -> DataFrame:
-    """Q6: pipe-table rows ``| case | status | semantic |`` and ``Status:`` markers."""
+def parse_report_lines(lines: DataFrame, keys: Sequence[str] = ("model", "suite", "run")) -> DataFrame:
+    """Q6: per report (``keys``) the case rows of the pipe table and their
+    PASS count, the top-level semantic review lines, and the step headers with
+    their step semantic lines."""
     v = F.col("value")
-    pipe = r"^\|\s*(\d+)\s*\|\s*([A-Z]+)\s*\|\s*([a-z_]+)\s*\|$"
-    marker = r"^Status:\s*([A-Z]+)$"
-    is_pipe = v.rlike(pipe)
-    return lines.where(is_pipe | v.rlike(marker)).select(
-        F.when(is_pipe, F.lit("row")).otherwise(F.lit("marker")).alias("kind"),
-        F.when(is_pipe, F.regexp_extract(v, pipe, 1).cast("long")).alias("case_no"),
-        F.when(is_pipe, F.regexp_extract(v, pipe, 2)).otherwise(F.regexp_extract(v, marker, 1)).alias("status"),
-        F.when(is_pipe, F.regexp_extract(v, pipe, 3)).alias("semantic_status"),
+    row = v.rlike(FV.REPORT_ROW_PATTERN)
+    return lines.groupBy(*keys).agg(
+        F.count_if(row).alias("total"),
+        F.count_if(row & (F.regexp_extract(v, FV.REPORT_ROW_PATTERN, 2) == "PASS")).alias("pass_count"),
+        F.count_if(v.rlike(FV.SEMANTIC_PASSED_PATTERN)).alias("semantic_pass_count"),
+        F.count_if(v.rlike(FV.SEMANTIC_FAILED_PATTERN)).alias("semantic_fail_count"),
+        F.count_if(v.rlike(FV.SEMANTIC_PENDING_PATTERN)).alias("semantic_pending_count"),
+        F.count_if(v.rlike(FV.STEP_HEADER_PATTERN)).alias("step_count"),
+        F.count_if(v.rlike(FV.STEP_SEMANTIC_PENDING_PATTERN)).alias("step_semantic_pending_count"),
+        F.count_if(v.rlike(FV.STEP_SEMANTIC_REVIEWED_PATTERN)).alias("step_semantic_reviewed_count"),
     )

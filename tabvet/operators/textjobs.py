@@ -19,6 +19,7 @@ from tabvet.fixed_values import (  # fixed values, kept together in fixed_values
     DETAIL_KEYWORDS,
     NUMERIC_FIELD_ALIASES,
     DIMENSION_FIELD_ALIASES,
+    GROUP_BY_MARKERS,
     NUMERIC_PRESENCE_TERMS,
     NUMERIC_ZERO_TERMS,
     EMPTY_TERMS,
@@ -143,19 +144,21 @@ def media_segments(df: DataFrame, text_col: str, key: Sequence[str], tokens: Seq
 
 # ------------------------------------------------------------------ T7
 def metric_mentions(text: Column) -> Column:
-    """array<struct(kind, field, expression_type)>: metric specs for fields named
-    together with a sum/avg word, and group-by rows for dimension words."""
+    """array<struct(kind, field, expression_type, alias)>: a sum / avg metric for
+    every numeric field named with 합계 / 평균, and group-by rows for the
+    explicit '...별' / '...기준' wording."""
     c = compact(text)
     items = []
     for field, aliases in NUMERIC_FIELD_ALIASES.items():
         named = _any(c, [re.sub(r"\s+", "", a).lower() for a in aliases])
         for word, kind in AGG_WORDS.items():
-            items.append(F.when(named & c.contains(word), F.struct(F.lit("metric").alias("kind"), F.lit(field).alias("field"),
-                                                                   F.lit(kind).alias("expression_type"))))
-    for field, aliases in DIMENSION_FIELD_ALIASES.items():
-        named = _any(c, [re.sub(r"\s+", "", a).lower() for a in aliases])
-        items.append(F.when(named, F.struct(F.lit("group_by").alias("kind"), F.lit(field).alias("field"),
-                                            F.lit(None).cast("string").alias("expression_type"))))
+            items.append(F.when(named & c.contains(word), F.struct(
+                F.lit("metric").alias("kind"), F.lit(field).alias("field"), F.lit(kind).alias("expression_type"),
+                F.lit(f"{field} {word}").alias("alias"))))
+    for field, markers in GROUP_BY_MARKERS:
+        items.append(F.when(_any(c, markers), F.struct(
+            F.lit("group_by").alias("kind"), F.lit(field).alias("field"), F.lit(None).cast("string").alias("expression_type"),
+            F.lit(field).alias("alias"))))
     return F.filter(F.array(*items), lambda s: s.isNotNull())
 
 

@@ -110,32 +110,33 @@ def pass_streaks(spark, sf):
     return Q.pass_streaks(_metrics(spark, sf), STREAK_THRESHOLD, STREAK_REQUIRED)
 
 
-_LINES_SQL = """, lines AS (
-  SELECT '| ' || CAST(case_no AS VARCHAR) || ' | ' || status || ' | ' || semantic_status || ' |' AS value FROM results
-  UNION ALL SELECT 'Status: ' || status FROM results WHERE run = 0
-  UNION ALL SELECT '# model ' || model || ' suite ' || suite FROM results WHERE run = 1)
-"""
-
-
 @register(
     "parse_report_lines",
-    RESULTS_SQL + _LINES_SQL + """SELECT CASE WHEN regexp_matches(value, '^\\|') THEN 'row' ELSE 'marker' END AS kind,
-  CASE WHEN regexp_matches(value, '^\\|') THEN CAST(regexp_extract(value, '^\\|\\s*(\\d+)', 1) AS BIGINT) END AS case_no,
-  CASE WHEN regexp_matches(value, '^\\|') THEN regexp_extract(value, '^\\|\\s*\\d+\\s*\\|\\s*([A-Z]+)', 1)
-       ELSE regexp_extract(value, '^Status:\\s*([A-Z]+)$', 1) END AS status,
-  CASE WHEN regexp_matches(value, '^\\|') THEN regexp_extract(value, '\\|\\s*([a-z_]+)\\s*\\|$', 1) END AS semantic_status
-FROM lines WHERE regexp_matches(value, '^\\|\\s*\\d+\\s*\\|') OR regexp_matches(value, '^Status:\\s*[A-Z]+$')""",
+    RESULTS_SQL + """SELECT model, suite, CAST(run AS BIGINT) AS run, count(*) AS total,
+  count(*) FILTER (WHERE status = 'PASS') AS pass_count,
+  count(*) FILTER (WHERE semantic_status = 'passed') AS semantic_pass_count,
+  count(*) FILTER (WHERE semantic_status = 'failed') AS semantic_fail_count,
+  count(*) FILTER (WHERE semantic_status IN ('omo_review_required', 'pending', 'not_evaluated')) AS semantic_pending_count,
+  count(*) AS step_count,
+  count(*) FILTER (WHERE semantic_status IN ('omo_review_required', 'pending', 'not_evaluated')) AS step_semantic_pending_count,
+  count(*) FILTER (WHERE semantic_status IN ('passed', 'failed')) AS step_semantic_reviewed_count
+FROM results GROUP BY model, suite, run""",
 )
 def parse_report_lines(spark, sf):
     r = _results(spark, sf)
-    rows = r.select(F.concat(F.lit("| "), F.col("case_no").cast("string"), F.lit(" | "), "status", F.lit(" | "),
-                             "semantic_status", F.lit(" |")).alias("value"))
-    marks = r.where(F.col("run") == 0).select(F.concat(F.lit("Status: "), "status").alias("value"))
-    heads = r.where(F.col("run") == 1).select(F.concat(F.lit("# model "), "model", F.lit(" suite "), "suite").alias("value"))
-    # the report is written as a text file in the shared folder and read back
+    keys = ["model", "suite", "run"]
+    case = F.col("case_no").cast("string")
+    table_row = F.concat(F.lit("| "), case, F.lit(" | cat"), (F.col("case_no") % 4).cast("string"), F.lit(" | "), "status", F.lit(" |"))
+    semantic = F.concat(F.lit("**Semantic**: "), "semantic_status", F.lit(" / note= / errors="))
+    step = F.concat(F.lit("### 요청 묶음 s"), case)
+    step_sem = F.concat(F.lit("**Step Semantic**: "), "semantic_status", F.lit(" / note= / errors="))
+    lines = r.select(*keys, F.explode(F.array(table_row, semantic, step, step_sem)).alias("value"))
+    heading = r.select(*keys, F.lit("# 테스트 결과").alias("value")).dropDuplicates(keys)
+    # one markdown report per (model, suite, run), written to the shared folder and read back
     path = shared_path(spark, "reports", uuid.uuid4().hex)
-    rows.unionByName(marks).unionByName(heads).write.mode("overwrite").text(path)
-    return Q.parse_report_lines(spark.read.text(path))
+    lines.unionByName(heading).write.partitionBy(*keys).text(path)
+    back = spark.read.text(path).withColumn("run", F.col("run").cast("long"))
+    return Q.parse_report_lines(back, keys)
 
 
 @register(

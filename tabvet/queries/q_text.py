@@ -21,11 +21,12 @@ REQUEST_TEMPLATES = (
     "비용 비어 있는 row 샘플",
     "새 컬럼 만들어 `고가` 분류값을 붙여줘",
     "프로모션 상태값을 확인중으로 기입",
-    "3월 데이터 보여줘",
+    "3월 날짜별 데이터 보여줘",
     "노출수 1,234로 수정",
     "검색광고 클릭 합계 디스플레이광고 노출 합계 비교 배너 광고 클릭",
     "오늘 날씨",
     "13월 비용 12,500원으로 변경하고 디바이스별 세션 평균",
+    "캠페인 기준 노출 합계, 기기별 클릭 평균",
 )
 DEFAULT_YEAR = 2024
 SEGMENT_TOKENS = ("클릭", "노출")
@@ -147,11 +148,10 @@ def _mentions_sql() -> str:
     for field, aliases in T.NUMERIC_FIELD_ALIASES.items():
         named = _any_sql("c", [a.replace(" ", "").lower() for a in aliases])
         for word, kind in T.AGG_WORDS.items():
-            parts.append(f"SELECT conv_id, turn, 'metric' AS kind, '{field}' AS field, '{kind}' AS expression_type FROM cr "
-                         f"WHERE {named} AND contains(c, '{word}')")
-    for field, aliases in T.DIMENSION_FIELD_ALIASES.items():
-        named = _any_sql("c", [a.replace(" ", "").lower() for a in aliases])
-        parts.append(f"SELECT conv_id, turn, 'group_by', '{field}', CAST(NULL AS VARCHAR) FROM cr WHERE {named}")
+            parts.append(f"SELECT conv_id, turn, 'metric' AS kind, '{field}' AS field, '{kind}' AS expression_type, "
+                         f"'{field} {word}' AS alias FROM cr WHERE {named} AND contains(c, '{word}')")
+    for field, markers in T.GROUP_BY_MARKERS:
+        parts.append(f"SELECT conv_id, turn, 'group_by', '{field}', CAST(NULL AS VARCHAR), '{field}' FROM cr WHERE {_any_sql('c', markers)}")
     return " UNION ALL ".join(parts)
 
 
@@ -159,7 +159,7 @@ def _mentions_sql() -> str:
 def metric_mentions(spark, sf):
     r = _requests(spark, sf)
     return r.select("conv_id", "turn", F.explode(T.metric_mentions(F.col("request"))).alias("m")).select(
-        "conv_id", "turn", "m.kind", "m.field", "m.expression_type")
+        "conv_id", "turn", "m.kind", "m.field", "m.expression_type", "m.alias")
 
 
 def _norm(x: str) -> str:

@@ -156,6 +156,20 @@ def gold_rollup(gold: DataFrame, keys: Sequence[str] = ("report_date", "source_n
     )
 
 
+def load_stats(bronze_rows: DataFrame, key: str = "file_path") -> DataFrame:
+    """Per imported file -- raw records, bronze-only rows, ad / GA facts
+    and report rows, from one grouped pass over the bronze layer."""
+    parsed = F.col("parse_status") == "parsed"
+    ga = F.col("fact_target") == "fact_ga_daily"
+    return bronze_rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("raw_records"),
+        F.count_if(~parsed).alias("bronze_only_rows"),
+        F.count_if(parsed & ~ga).alias("fact_ad_daily"),
+        F.count_if(parsed & ga).alias("fact_ga_daily"),
+        F.count_if(parsed).alias("report_daily_row"),
+    )
+
+
 # ------------------------------------------------------------------ dimensions
 def dim_dedupe(candidates: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Insert-if-absent -- one row per new natural-key hash."""

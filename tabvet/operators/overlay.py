@@ -168,12 +168,18 @@ def derived_scope(df: DataFrame, derived: DataFrame, key: str, id_col: str = "ro
 
 # ------------------------------------------------------------------ preview bundle
 def preview_bundle(df: DataFrame, where: Column, sample_cols: Sequence[str], order_by: str = "row_id", n: int = 2) -> DataFrame:
-    """Affected count (one aggregate number to the driver) plus a sample of
-    ``n`` rows ordered by id; only the sample and the count leave the cluster."""
-    matched = df.where(where)
-    count = matched.count()
-    sample = matched.orderBy(order_by).limit(n).select(*sample_cols)
-    return sample.withColumns({"affected_count": F.lit(count).cast("long"), "limited": F.lit(count > n)})
+    """Affected count plus a sample of ``n`` rows ordered by id, in one job:
+    the count is observed on the rows flowing into the top-n, so only the
+    ``n`` sample rows and one number reach the driver."""
+    from pyspark.sql import Observation
+
+    obs = Observation("preview_bundle")
+    matched = df.where(where).observe(obs, F.count(F.lit(1)).alias("n"))
+    top = matched.orderBy(order_by).limit(n).select(*sample_cols)
+    rows = top.collect()  # at most n rows
+    count = int(obs.get["n"])
+    out = df.sparkSession.createDataFrame(rows, top.schema)
+    return out.withColumns({"affected_count": F.lit(count).cast("long"), "limited": F.lit(count > n)})
 
 
 def hash60(text: Column) -> Column:

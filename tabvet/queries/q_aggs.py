@@ -214,26 +214,6 @@ def distinct_channels(spark, sf):
     return C.distinct_channels(stg_a(spark, sf))
 
 
-@register(
-    "load_stats",
-    with_staging("stg_b")
-    + """SELECT source_channel, COUNT(*) AS total_rows,
-  CAST(SUM(CASE WHEN TRY_CAST(day AS DATE) IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS parsed_rows,
-  CAST(SUM(CASE WHEN TRY_CAST(day AS DATE) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bronze_only_rows,
-  CAST(SUM(CASE WHEN ad_group IS NOT NULL AND TRIM(ad_group) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS rows_with_group
-FROM stg_b GROUP BY source_channel""",
-)
-def load_stats(spark, sf):
-    df = stg_b(spark, sf)
-    parsed = F.try_to_date("day", "yyyy-MM-dd").isNotNull()
-    return df.groupBy("source_channel").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(parsed).alias("parsed_rows"),
-        F.count_if(~parsed).alias("bronze_only_rows"),
-        F.count_if(F.col("ad_group").isNotNull() & (F.trim("ad_group") != "")).alias("rows_with_group"),
-    )
-
-
 @register(
     "affected_count",
     with_staging("stg_b") + f"SELECT COUNT(*) AS affected_count FROM stg_b WHERE campaign = 'O' AND {N('cost')} > 200000",

@@ -73,6 +73,18 @@ def bronze_raw(spark, sf):
     return _bronze(spark, sf).select("row_id", "file_path", "payload_hash", "report_date", "parse_status", "reason")
 
 
+@register(
+    "load_stats",
+    BASE_SQL + """SELECT file_path, count(*) AS raw_records, count(*) FILTER (WHERE parse_status = 'bronze_only') AS bronze_only_rows,
+  count(*) FILTER (WHERE parse_status = 'parsed' AND folder NOT LIKE '%GA%') AS fact_ad_daily,
+  count(*) FILTER (WHERE parse_status = 'parsed' AND folder LIKE '%GA%') AS fact_ga_daily,
+  count(*) FILTER (WHERE parse_status = 'parsed') AS report_daily_row
+FROM bronze2 GROUP BY file_path""",
+)
+def load_stats(spark, sf):
+    return IG.load_stats(_bronze(spark, sf))
+
+
 @register("silver_ad_fact", BASE_SQL + "SELECT * FROM ad")
 def silver_ad_fact(spark, sf):
     return _silver(spark, sf)[0]

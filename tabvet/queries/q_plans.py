@@ -164,16 +164,23 @@ SEQ_TERMS = ("et", "und")
 w AS (SELECT *, last_value(CASE WHEN intent_type IN ('UPDATE_NUMERIC_VALUE', 'ADD_DERIVED_COLUMN') THEN step_key END IGNORE NULLS)
         OVER (PARTITION BY plan_id ORDER BY step_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_mut,
       count(*) OVER (PARTITION BY plan_id) AS n,
-      (regexp_replace(lower(text), '\\s+', '', 'g') LIKE '%et%' OR regexp_replace(lower(text), '\\s+', '', 'g') LIKE '%und%') AS hit
+      first_value(text) OVER (PARTITION BY plan_id ORDER BY step_order) AS plan_text
       FROM plan_steps2),
+w2 AS (SELECT *, (regexp_replace(lower(plan_text), '\\s+', '', 'g') LIKE '%et%'
+                  OR regexp_replace(lower(plan_text), '\\s+', '', 'g') LIKE '%und%') AS hit FROM w),
 a AS (SELECT *, (hit AND n > 1 AND intent_type IN ('SELECT_DETAIL', 'SELECT_AGGREGATE') AND len(depends_on) = 0
-                 AND last_mut IS NOT NULL) AS applies FROM w)
+                 AND last_mut IS NOT NULL) AS applies FROM w2)
 SELECT plan_id, step_order, step_key,
   array_to_string(CASE WHEN applies THEN [last_mut] ELSE depends_on END, ',') AS depends_on,
   CASE WHEN applies THEN 'dependent' ELSE dependency_type END AS dependency_type FROM a""",
 )
 def infer_dependencies(spark, sf):
-    out = L.infer_dependencies(plan_steps(spark, sf), "text", SEQ_TERMS)
+    from pyspark.sql import Window
+
+    # the wording is read from the plan's request (its first turn), as for a multi-step request
+    s = plan_steps(spark, sf)
+    s = s.withColumn("plan_text", F.first("text").over(Window.partitionBy("plan_id").orderBy("step_order")))
+    out = L.infer_dependencies(s, "plan_text", SEQ_TERMS)
     return out.withColumn("depends_on", F.array_join("depends_on", ","))
 
 

@@ -132,11 +132,22 @@ def has_conditions(groups: Sequence[Mapping]) -> bool:
 
 
 # ------------------------------------------------------------------ scopes
-def scope_month_text(day_col: str, year: int, month: int) -> Column:
-    """four text patterns for one month in mixed date formats."""
+def scope_month_text(day_col: str, year: int, month: int, typed_twin: str | None = None) -> Column:
+    """four text patterns for one month in mixed date formats.
+
+    ``typed_twin`` names a raw timestamp column the text day was rendered from
+    (as 'yyyy-MM-dd'); the implied range on it is added so the scope reaches
+    the Parquet scan (row-group / file pruning) without changing the rows."""
     c = F.col(day_col)
     pats = [f"{year}-{month:02d}%", f"{year}.{month:02d}%", f"{year}. {month}.%", f"{year}{month:02d}%"]
-    return _or([c.like(p) for p in pats])
+    text = _or([c.like(p) for p in pats])
+    if typed_twin is None:
+        return text
+    nxt_y, nxt_m = (year + 1, 1) if month == 12 else (year, month + 1)
+    t = F.col(typed_twin)
+    lo = F.lit(f"{year}-{month:02d}-01 00:00:00").cast("timestamp_ntz")
+    hi = F.lit(f"{nxt_y}-{nxt_m:02d}-01 00:00:00").cast("timestamp_ntz")
+    return (t >= lo) & (t < hi) & text
 
 
 def scope_period(day_col: str, start: str | None, end: str | None, typed: bool = False) -> Column:

@@ -45,7 +45,7 @@ def ctr_by_campaign(spark, sf):
     df = stg_a(spark, sf)
     sel = FLAGSHIP_SPEC["selection"]
     where = P.scope_channels("source_channel", sel["source_channels"]) & P.scope_month_text(
-        "day", sel["period"]["year"], sel["period"]["month"]
+        "day", sel["period"]["year"], sel["period"]["month"], typed_twin="day_ts"
     )
     return M.aggregate(df, FLAGSHIP_SPEC["group_by"], FLAGSHIP_SPEC["metrics"], where, default_denominator="impressions")
 

@@ -73,6 +73,7 @@ def stg_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_of_decimal("l_extendedprice").alias("impressions"),
         F.when(F.col("l_orderkey") % 13 == 0, F.lit("")).otherwise(text_of_decimal("l_quantity")).alias("clicks"),
         text_of_decimal("l_discount").alias("cost"),
+        F.col("l_shipdate").alias("day_ts"),  # typed twin of `day` (lets scopes prune the scan)
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvet import fixed_values as FV
-from tabvet.functions.semantics import DEC, DEC6, col, num, parse_date
+from tabvet.functions.semantics import DEC6, num, parse_date
 
 
 def merge_alias_columns(*sources: str) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabvet.operators import ingest as IG
-from tabvet.operators.joins import dim_lookup as _dim_lookup
 from tabvet.queries.q_projections import _device_group_sql, _parse_date_text_sql, _parse_number_sql
 from tabvet.queries.registry import register
 from tabvet.session import materialize

@@ -48,9 +48,11 @@ def hash_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
-def dim_lookup(facts: DataFrame, dim: DataFrame, key_col: str, out_col: str) -> DataFrame:
-    """Fact row -> surrogate id by natural key (NULL when the attributes are absent)."""
-    return facts.join(dim.select(key_col, F.col(key_col).alias(out_col)), key_col, "left")
+def dim_lookup(facts: DataFrame, dim: DataFrame, natural_key: Sequence[str], surrogate: str, out_col: str) -> DataFrame:
+    """Fact row -> surrogate id by natural key; NULL when the fact lacks the
+    attributes (a NULL natural key never matches)."""
+    d = dim.select(*natural_key, F.col(surrogate).alias(out_col)).dropDuplicates(list(natural_key))
+    return facts.join(d, list(natural_key), "left")
 
 
 def rule_subset_match(requests: DataFrame, rules: DataFrame, req_key: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabvet.operators import ingest as IG
+from tabvet.operators import joins as J
 from tabvet.queries.q_projections import _device_group_sql, _parse_date_text_sql, _parse_number_sql
 from tabvet.queries.registry import register
 from tabvet.session import materialize
@@ -151,10 +152,10 @@ LEFT JOIN cand c ON c.source_name = a.source_name AND c.campaign_name = a.campai
 )
 def dim_lookup(spark, sf):
     ad, _ = _silver(spark, sf)
-    dim = ad.where(F.col("campaign_name").isNotNull()).select("source_name", "campaign_name", "campaign_key").dropDuplicates(["campaign_key"])
+    dim = ad.where(F.col("campaign_name").isNotNull()).select("source_name", "campaign_name", "campaign_key")
     facts = ad.select("row_id", "source_name", "campaign_name")
-    j = facts.join(dim, ["source_name", "campaign_name"], "left")
-    return j.select("row_id", F.col("campaign_key").alias("campaign_id"))
+    j = J.dim_lookup(facts, dim, ["source_name", "campaign_name"], "campaign_key", "campaign_id")
+    return j.select("row_id", "campaign_id")
 
 
 # ------------------------------------------------------------------ S8 / S9 on page-derived paths

@@ -102,7 +102,7 @@ def suite_metrics(results: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(F.col("status") == "PASS").alias("pass_count"),
         F.count_if(sem == "passed").alias("semantic_pass_count"),
         F.count_if(sem == "failed").alias("semantic_fail_count"),
-        F.count_if(sem.isin("omo_review_required", "pending", "not_evaluated")).alias("semantic_pending_count"),
+        F.count_if(sem.isin(*FV.SEMANTIC_PENDING_STATUSES) | sem.rlike(FV.REVIEW_REQUIRED_PATTERN)).alias("semantic_pending_count"),
     )
     return g.withColumns({"pass_rate": pct(F.col("pass_count"), F.col("total")),
                           "semantic_pass_rate": pct(F.col("semantic_pass_count"), F.col("total"))})

@@ -54,7 +54,7 @@ results AS (SELECT *, CASE WHEN s2 = 'PASS' AND semantic_error_count > 0 THEN 'C
 metrics AS (SELECT model, suite, run, count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS pass_count,
     count(*) FILTER (WHERE semantic_status = 'passed') AS semantic_pass_count,
     count(*) FILTER (WHERE semantic_status = 'failed') AS semantic_fail_count,
-    count(*) FILTER (WHERE semantic_status IN ('omo_review_required', 'pending', 'not_evaluated')) AS semantic_pending_count
+    count(*) FILTER (WHERE (semantic_status IN ('pending', 'not_evaluated') OR regexp_matches(semantic_status, '^[a-z]+_review_required$'))) AS semantic_pending_count
   FROM results GROUP BY model, suite, run),
 m2 AS (SELECT *, CASE WHEN total > 0 THEN round(pass_count * 100.0 / total, 6) ELSE 0.0 END AS pass_rate,
     CASE WHEN total > 0 THEN round(semantic_pass_count * 100.0 / total, 6) ELSE 0.0 END AS semantic_pass_rate FROM metrics)
@@ -116,9 +116,9 @@ def pass_streaks(spark, sf):
   count(*) FILTER (WHERE status = 'PASS') AS pass_count,
   count(*) FILTER (WHERE semantic_status = 'passed') AS semantic_pass_count,
   count(*) FILTER (WHERE semantic_status = 'failed') AS semantic_fail_count,
-  count(*) FILTER (WHERE semantic_status IN ('omo_review_required', 'pending', 'not_evaluated')) AS semantic_pending_count,
+  count(*) FILTER (WHERE (semantic_status IN ('pending', 'not_evaluated') OR regexp_matches(semantic_status, '^[a-z]+_review_required$'))) AS semantic_pending_count,
   count(*) AS step_count,
-  count(*) FILTER (WHERE semantic_status IN ('omo_review_required', 'pending', 'not_evaluated')) AS step_semantic_pending_count,
+  count(*) FILTER (WHERE (semantic_status IN ('pending', 'not_evaluated') OR regexp_matches(semantic_status, '^[a-z]+_review_required$'))) AS step_semantic_pending_count,
   count(*) FILTER (WHERE semantic_status IN ('passed', 'failed')) AS step_semantic_reviewed_count
 FROM results GROUP BY model, suite, run""",
 )

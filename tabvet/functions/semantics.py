@@ -124,11 +124,14 @@ NFC_UNSTABLE = (
 def nfc(c: ColumnOrName) -> Column:
     """NFC normalisation. Text without any NFC-unstable code point (the vast
     majority, including precomposed accented letters and Hangul syllables) is
-    returned as is in the JVM; only the rest goes through the pandas UDF."""
+    returned as is in the JVM. Spark evaluates a Python UDF for every row even
+    inside CASE WHEN, so the UDF is fed NULL for those rows: only the few
+    unstable strings cross into Python."""
     from tabvet.functions.udfs import nfc_udf
 
     c = col(c)
-    return F.when(c.rlike(NFC_UNSTABLE), nfc_udf(c)).otherwise(c)
+    needs = c.rlike(NFC_UNSTABLE)
+    return F.when(needs, nfc_udf(F.when(needs, c))).otherwise(c)
 
 
 def collapse_ws(c: ColumnOrName) -> Column:

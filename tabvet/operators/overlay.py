@@ -79,13 +79,18 @@ def delta_log_current(events: DataFrame, as_of: dt.datetime, key: str = "delta_i
 
 # ------------------------------------------------------------------ overlay
 def ancestor_deltas(
-    delta: DataFrame, closure: DataFrame, plan_id: str, current_step: str, current_order: int, as_of: dt.datetime,
+    delta: DataFrame, closure: DataFrame | Sequence[str], plan_id: str, current_step: str, current_order: int,
+    as_of: dt.datetime,
 ) -> DataFrame:
     """Approved, unexpired deltas whose step is a dependency ancestor of the
-    current step and comes before it. The ancestor list is bounded by the
-    plan size, so it is broadcast into a semi join."""
-    anc = closure.where((F.col("plan_id") == plan_id) & (F.col("step_key") == current_step)).select(
-        F.col("ancestor_key").alias("step_key")).distinct()
+    current step and comes before it. ``closure`` is the plan-table closure
+    (L1) or, for a plan given as a spec, its ancestor keys. The ancestor list
+    is bounded by the plan size, so it is broadcast into a semi join."""
+    if isinstance(closure, DataFrame):
+        anc = closure.where((F.col("plan_id") == plan_id) & (F.col("step_key") == current_step)).select(
+            F.col("ancestor_key").alias("step_key")).distinct()
+    else:
+        anc = delta.sparkSession.createDataFrame([(k,) for k in closure], "step_key string")
     d = delta.where(
         (F.col("linked_plan_id") == plan_id) & (F.col("delta_status") == "approved")
         & (F.col("expires_at") > ntz(as_of)) & (F.col("step_order") < current_order)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tabvet.operators import overlay as OV
 from tabvet.operators import predicates as P
-from tabvet.plans import steps as L
 from tabvet.queries.registry import register
 from tabvet.sources.derived import AS_OF, AS_OF_SQL, CURRENT_STEP, DELTA_SQL, DELTA_STEPS, EVENTS_SQL, delta_events, delta_items
 from tabvet.sources.tables import STAGING_NUMERIC, num_sql, stg_b, with_staging
@@ -16,7 +15,7 @@ OVERLAY_COLUMNS = ["cost", "sessions"]
 
 
 def _ancestors_py(step: str) -> list[str]:
-    """Ancestors of a step in the fixed delta-plan DAG (for the oracle text only)."""
+    """Ancestors of a step in the delta-plan spec (breadth-first over depends_on)."""
     out, todo = [], list(DELTA_STEPS[step][1])
     while todo:
         s = todo.pop(0)
@@ -47,14 +46,10 @@ eff AS (SELECT b.row_id, b.source_channel, b.campaign, b.cost AS raw_cost, b.ses
 """
 
 
-def _plan_closure(spark):
-    edges = spark.createDataFrame(
-        [("p1", s, d) for s, (_, deps) in DELTA_STEPS.items() for d in deps], "plan_id string, step_key string, dep_key string")
-    return L.transitive_closure(edges)
-
-
 def _applicable(spark, sf):
-    return OV.ancestor_deltas(delta_items(spark, sf), _plan_closure(spark), "p1", CURRENT_STEP, _CUR_ORDER, AS_OF)
+    # the delta plan is a request spec (a handful of steps): its ancestors come
+    # from the spec; plan tables use the distributed closure (step_ancestors)
+    return OV.ancestor_deltas(delta_items(spark, sf), _ancestors_py(CURRENT_STEP), "p1", CURRENT_STEP, _CUR_ORDER, AS_OF)
 
 
 def _overlay(spark, sf):

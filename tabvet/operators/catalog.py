@@ -25,21 +25,25 @@ def unpivot_text(df: DataFrame, columns: Sequence[str] | None = None, ids: Seque
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None, non_blank: bool = True) -> DataFrame:
-    """(column_name, value, frequency) over non-NULL (and by default non-blank) cells."""
+    """(column_name, value, frequency) over non-NULL (and by default non-blank) cells.
+
+    Blank values are dropped *after* the aggregate, so distinct counts and top
+    values computed from the same table share one identical shuffle, which
+    Spark reuses when both feed one plan (a single catalog pass)."""
     long = unpivot_text(df, columns).where(F.col("value").isNotNull())
-    if non_blank:
-        long = long.where(F.trim("value") != "")
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
+    freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
+    return freq.where(F.trim("value") != "") if non_blank else freq
 
 
 def column_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Exact COUNT(DISTINCT) of every column (``approx`` uses HLL++)."""
     columns = list(columns or df.columns)
-    long = unpivot_text(df, columns).where(F.col("value").isNotNull())
     if approx:
+        long = unpivot_text(df, columns).where(F.col("value").isNotNull())
         counts = long.groupBy("column_name").agg(F.approx_count_distinct("value").alias("distinct_count"))
     else:
-        counts = long.select("column_name", "value").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+        counts = value_frequencies(df, columns, non_blank=False).groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("distinct_count"))
     # columns that are NULL everywhere still get a row (the list is schema metadata)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     return names.join(counts, "column_name", "left").select(

@@ -43,8 +43,9 @@ def dec_lit(value: object) -> Column:
 
 
 def metric_out(c: Column, scale: int = 6) -> Column:
-    """Engine-neutral metric output (D6): double rounded to ``scale``."""
-    return F.round(c.cast("double"), scale)
+    """Engine-neutral metric output (D6): rounded half-up to ``scale`` on the
+    exact (decimal) value, then rendered as double."""
+    return F.round(c, scale).cast("double")
 
 
 def parse_number(c: ColumnOrName) -> Column:

@@ -8,27 +8,12 @@ from tabvet.operators import catalog as C
 from tabvet.operators import metrics as M
 from tabvet.operators import predicates as P
 from tabvet.queries.registry import register
+from tabvet.queries.sqlfrag import AVG, RATIO, S
 from tabvet.sources.tables import STAGING_NUMERIC, num_sql, stg_a, stg_b, stg_e, with_staging
 
 N = num_sql
 
 
-def S(c: str) -> str:
-    return f"ROUND(CAST(SUM({N(c)}) AS DOUBLE), 6)"
-
-
-def AVG(c: str) -> str:
-    return f"ROUND(CAST(AVG({N(c)}) AS DOUBLE), 6)"
-
-
-def RATIO(n: str, d: str, fallback: str, pct: bool) -> str:
-    mul = " * 100" if pct else ""
-    return (
-        f"ROUND(CASE WHEN SUM({N(d)}) = 0 THEN {fallback} "
-        f"ELSE CAST(SUM({N(n)}) AS DOUBLE) / CAST(SUM({N(d)}) AS DOUBLE){mul} END, 6)"
-    )
-
-
 @register("agg_count", with_staging("stg_a") + "SELECT source_channel, COUNT(*) AS row_count FROM stg_a GROUP BY source_channel")
 def agg_count(spark, sf):
     return M.aggregate(stg_a(spark, sf), ["source_channel"], [{"alias": "row_count", "expression_type": "count"}])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabvet.operators import metrics as M
 from tabvet.operators import predicates as P
 from tabvet.queries.registry import register
+from tabvet.queries.sqlfrag import RATIO
 from tabvet.sources.tables import STAGING_NUMERIC, num_sql, stg_a, stg_b, with_staging
 
 N = num_sql
@@ -34,8 +35,7 @@ FLAGSHIP_SPEC = {
     + f"""SELECT campaign,
   ROUND(CAST(SUM({N('impressions')}) AS DOUBLE), 6) AS impressions,
   ROUND(CAST(SUM({N('clicks')}) AS DOUBLE), 6) AS clicks,
-  ROUND(CASE WHEN SUM({N('impressions')}) = 0 THEN 0
-        ELSE CAST(SUM({N('clicks')}) AS DOUBLE) / CAST(SUM({N('impressions')}) AS DOUBLE) * 100 END, 6) AS ctr
+  {RATIO('clicks', 'impressions', '0', True)} AS ctr
 FROM stg_a
 WHERE source_channel IN ('A', 'R')
   AND (day LIKE '1997-03%' OR day LIKE '1997.03%' OR day LIKE '1997. 3.%' OR day LIKE '199703%')

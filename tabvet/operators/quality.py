@@ -91,7 +91,9 @@ def result_status(s: DataFrame) -> Column:
 
 
 def pct(num: Column, den: Column) -> Column:
-    return F.when(den > 0, F.round(num * 100.0 / den, 6)).otherwise(F.lit(0.0))
+    """Exact percentage at 6 decimals (decimal division, rounded half-up once)."""
+    rate = num.cast("decimal(38,0)") * 100 / den.cast("decimal(38,0)")
+    return F.when(den > 0, rate).otherwise(F.lit(0).cast("decimal(38,6)"))
 
 
 def suite_metrics(results: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,8 +114,8 @@ def model_suite_summary(metrics: DataFrame) -> DataFrame:
     """Q5: mean of per-run rates by (model, suite)."""
     return metrics.groupBy("model", "suite").agg(
         F.count(F.lit(1)).alias("runs"),
-        F.round(F.avg("pass_rate"), 6).alias("pass_rate"),
-        F.round(F.avg("semantic_pass_rate"), 6).alias("semantic_pass_rate"))
+        F.round(F.avg("pass_rate"), 6).cast("double").alias("pass_rate"),
+        F.round(F.avg("semantic_pass_rate"), 6).cast("double").alias("semantic_pass_rate"))
 
 
 def review_completeness(metrics: DataFrame) -> DataFrame:
@@ -133,7 +135,8 @@ def pass_streaks(metrics: DataFrame, threshold: float = FV.CYCLE_PASS_THRESHOLD,
     c = cyc.withColumn("passed", passed).withColumn("_grp", F.sum(F.when(passed, 0).otherwise(1)).over(w))
     w2 = Window.partitionBy("model", "_grp").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("streak", F.sum(F.when(F.col("passed"), 1).otherwise(0)).over(w2).cast("long"))
-    return c.withColumn("reached", F.col("streak") >= required).drop("_grp")
+    return c.withColumn("reached", F.col("streak") >= required).withColumn(
+        "pass_average", F.col("pass_average").cast("double")).drop("_grp")
 
 
 def layer_row_counts(tables: dict[str, DataFrame]) -> DataFrame:

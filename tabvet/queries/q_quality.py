@@ -56,8 +56,11 @@ metrics AS (SELECT model, suite, run, count(*) AS total, count(*) FILTER (WHERE
     count(*) FILTER (WHERE semantic_status = 'failed') AS semantic_fail_count,
     count(*) FILTER (WHERE (semantic_status IN ('pending', 'not_evaluated') OR regexp_matches(semantic_status, '^[a-z]+_review_required$'))) AS semantic_pending_count
   FROM results GROUP BY model, suite, run),
-m2 AS (SELECT *, CASE WHEN total > 0 THEN round(pass_count * 100.0 / total, 6) ELSE 0.0 END AS pass_rate,
-    CASE WHEN total > 0 THEN round(semantic_pass_count * 100.0 / total, 6) ELSE 0.0 END AS semantic_pass_rate FROM metrics)
+m2 AS (SELECT *,
+    CASE WHEN total > 0 THEN CAST((2 * CAST(pass_count AS HUGEINT) * 100000000 + total) // (2 * total) AS DOUBLE) / 1000000.0
+         ELSE 0.0 END AS pass_rate,
+    CASE WHEN total > 0 THEN CAST((2 * CAST(semantic_pass_count AS HUGEINT) * 100000000 + total) // (2 * total) AS DOUBLE) / 1000000.0
+         ELSE 0.0 END AS semantic_pass_rate FROM metrics)
 """
 
 
@@ -65,6 +68,12 @@ def _metrics(spark, sf):
     return Q.suite_metrics(_results(spark, sf), ["model", "suite", "run"])
 
 
+def _avg6(c: str) -> str:
+    """Exact mean of 6-decimal values, rounded half-up to 6 decimals."""
+    q = f"CAST(round({c} * 1000000) AS HUGEINT)"
+    return f"CAST((2 * sum({q}) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000.0"
+
+
 @register("result_status", RESULTS_SQL + "SELECT case_no, run, status FROM results")
 def result_status(spark, sf):
     return _results(spark, sf).select("case_no", "run", "status")
@@ -72,13 +81,14 @@ def result_status(spark, sf):
 
 @register("suite_metrics", RESULTS_SQL + "SELECT * FROM m2")
 def suite_metrics(spark, sf):
-    return _metrics(spark, sf)
+    m = _metrics(spark, sf)
+    return m.withColumns({c: F.col(c).cast("double") for c in ("pass_rate", "semantic_pass_rate")})
 
 
 @register(
     "model_suite_summary",
-    RESULTS_SQL + """SELECT model, suite, count(*) AS runs, round(avg(pass_rate), 6) AS pass_rate,
-  round(avg(semantic_pass_rate), 6) AS semantic_pass_rate FROM m2 GROUP BY model, suite""",
+    RESULTS_SQL + f"""SELECT model, suite, count(*) AS runs, {_avg6('pass_rate')} AS pass_rate,
+  {_avg6('semantic_pass_rate')} AS semantic_pass_rate FROM m2 GROUP BY model, suite""",
 )
 def model_suite_summary(spark, sf):
     return Q.model_suite_summary(_metrics(spark, sf))
@@ -100,7 +110,7 @@ STREAK_REQUIRED = 2
 
 @register(
     "pass_streaks",
-    RESULTS_SQL + f""", cyc AS (SELECT model, run, round(avg(pass_rate), 6) AS pass_average FROM m2 GROUP BY model, run),
+    RESULTS_SQL + f""", cyc AS (SELECT model, run, {_avg6('pass_rate')} AS pass_average FROM m2 GROUP BY model, run),
 c1 AS (SELECT *, pass_average > {STREAK_THRESHOLD} AS passed FROM cyc),
 c2 AS (SELECT *, sum(CASE WHEN passed THEN 0 ELSE 1 END) OVER (PARTITION BY model ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM c1),
 c3 AS (SELECT *, CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY model, g ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS streak FROM c2)

@@ -152,7 +152,9 @@ def gold_rollup(gold: DataFrame, keys: Sequence[str] = ("report_date", "source_n
     """The read side of the gold index -- sums per (date, source, device)."""
     return gold.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"),
-        *[F.round(F.sum(c), 2).alias(c) for c in ("impressions", "clicks", "cost_raw", "sessions", "users")],
+        # summed as decimals: exact and independent of the summation order
+        *[F.round(F.sum(F.col(c).cast("decimal(38,6)")), 2).cast("double").alias(c)
+          for c in ("impressions", "clicks", "cost_raw", "sessions", "users")],
     )
 
 

@@ -108,8 +108,10 @@ def gold_report_daily(spark, sf):
 
 @register(
     "gold_rollup_by_day",
-    BASE_SQL + """SELECT report_date, source_name, device_group, count(*) AS row_count, round(sum(impressions), 2) AS impressions,
-  round(sum(clicks), 2) AS clicks, round(sum(cost_raw), 2) AS cost_raw, round(sum(sessions), 2) AS sessions, round(sum(users), 2) AS users
+    BASE_SQL + """SELECT report_date, source_name, device_group, count(*) AS row_count, """
+    + ", ".join(f"CAST(round(sum(CAST({c} AS DECIMAL(38,6))), 2) AS DOUBLE) AS {c}"
+                for c in ("impressions", "clicks", "cost_raw", "sessions", "users"))
+    + """
 FROM gold2 GROUP BY report_date, source_name, device_group""",
 )
 def gold_rollup_by_day(spark, sf):

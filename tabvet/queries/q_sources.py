@@ -42,24 +42,23 @@ def _write_workbooks(df, target: str) -> None:
     cols = CSV_COLS
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
         import os
-        import tempfile
 
         import pyarrow.fs as pafs
 
-        for k, pdf in enumerate(it):
+        for pdf in it:
             if pdf.empty:
                 continue
             rows = [["캠페인 성과 리포트", ""], ["", ""], cols] + pdf[cols].fillna("").astype(str).values.tolist()
             meta = [["source_channel"]] + [[c] for c in sorted(pdf["source_channel"].dropna().unique())]
             name = f"book_{uuid.uuid4().hex}.xlsx"
-            with tempfile.TemporaryDirectory() as tmp:
-                local = os.path.join(tmp, name)
-                FS.write_workbook(local, {"data": rows, "meta": meta})
-                fs, p = pafs.FileSystem.from_uri(target if "://" in target else "file://" + os.path.abspath(target))
-                fs.create_dir(p, recursive=True)
-                with open(local, "rb") as src, fs.open_output_stream(f"{p}/{name}") as dst:
-                    dst.write(src.read())
+            buf = io.BytesIO()  # built in memory, streamed to the shared folder (no local temp files)
+            FS.write_workbook(buf, {"data": rows, "meta": meta})
+            fs, p = pafs.FileSystem.from_uri(target if "://" in target else "file://" + os.path.abspath(target))
+            fs.create_dir(p, recursive=True)
+            with fs.open_output_stream(f"{p}/{name}") as dst:
+                dst.write(buf.getvalue())
             yield pd.DataFrame({"written": [f"{target}/{name}"]})
 
     src = df.select(*[F.col(c).cast("string") for c in CSV_COLS], "source_channel").repartition(4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm import bpe_chunks
+from tabvet.llm import bpe_chunks, simple8b
 from tabvet.llm.common import table
 from tabvet.llm.registry import register
 
@@ -17,3 +17,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
     )
+
+
+#: Id appended to each document.
+END_ID = 2
+
+
+@register("op5_simple8b")
+def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    blocks = simple8b.write_blocks(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return simple8b.read_documents(blocks)

@@ -28,16 +28,14 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import shuffle_partitions, stored
 
 #: Code points per chunk and of the overlap with the next one.
-CHUNK_CHARS = 16_384
-OVERLAP_CHARS = 512
+CHUNK_CHARS = 65_536
+OVERLAP_CHARS = 1_024
 #: A match may look this far: matches that end nearer to the end of a chunk can change with the text behind it.
 LOOKAHEAD_CHARS = 3
-#: Pieces whose ids a worker keeps (two generations of this size).
-CACHE_PIECES = 100_000
 
 
 class PieceEncoder:
-    """Ids of single pieces, with a bounded two-generation cache."""
+    """The pattern and the ranks: boundaries, pieces and their ids."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
@@ -47,29 +45,18 @@ class PieceEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.names = {i: str(i) for i in ranks.values()}
-        self.new: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
-
-    def piece(self, p: str) -> tuple[list[int], str]:
-        hit = self.old.get(p)
-        if hit is None:
-            ids = self.encoding._core_bpe.encode_single_piece(p.encode("utf-8"))
-            hit = (ids, ",".join([self.names[i] for i in ids]))
-        if len(self.new) >= CACHE_PIECES:
-            self.old, self.new = self.new, {}
-        if len(p) <= 64:
-            self.new[p] = hit
-        return hit
-
-    def encode(self, pieces: list[str]) -> tuple[list[int], str]:
-        """All ids of the pieces and their decimal form, comma-joined."""
-        get = self.new.get
-        hits = [get(p) or self.piece(p) for p in pieces]
+        names = {i: str(i) for i in ranks.values()}
+        self.name = names.__getitem__
+
+    def chunk(self, text: str) -> list[int]:
+        """Ids of a chunk without neighbours: its pieces need no stitching."""
+        return self.encoding.encode_ordinary(text)
+
+    def encode(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
-        for h in hits:
-            ids += h[0]
-        return ids, ",".join([h[1] for h in hits])
+        for p in pieces:
+            ids += self.encoding._core_bpe.encode_single_piece(p.encode("utf-8"))
+        return ids
 
     def pieces(self, text: str, start: int, stop: int) -> list[str]:
         """Matches from one boundary to another, seen with the text behind them."""
@@ -90,15 +77,15 @@ def encoder(ranks_path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(ranks_path, pattern)
 
 
-def digests(enc: PieceEncoder, parts: list[tuple[list[int], str]]) -> tuple[int, str, str]:
+def digests(enc: PieceEncoder, parts: list[list[int]]) -> tuple[int, str, str]:
     """(number of ids, SHA-256 of the joined ids, SHA-256 of the decoded bytes)."""
     joined, raw, n = hashlib.sha256(), hashlib.sha256(), 0
-    for ids, names in parts:
+    for ids in parts:
         if not ids:
             continue
         if n:
             joined.update(b",")
-        joined.update(names.encode())
+        joined.update(",".join(map(enc.name, ids)).encode())
         raw.update(enc.encoding.decode_bytes(ids))
         n += len(ids)
     return n, joined.hexdigest(), raw.hexdigest()
@@ -118,7 +105,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = C
     def whole_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks_path, pattern)
         for b in batches:
-            rows = [digests(enc, [enc.encode(enc.pattern.findall(t))]) for t in b["text"]]
+            rows = [digests(enc, [enc.chunk(t)]) for t in b["text"]]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
@@ -183,7 +170,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = C
         enc = encoder(ranks_path, pattern)
         for b in batches:
             ids = [
-                np.array(enc.encode(enc.pieces(t, i, j))[0], dtype="<u4").tobytes()
+                np.array(enc.encode(enc.pieces(t, i, j)), dtype="<u4").tobytes()
                 for t, i, j in zip(b["part"], b["start"], b["stop"], strict=True)
             ]
             yield pd.DataFrame({"uid": b["uid"], "doc_id": b["doc_id"].array, "k": b["k"], "ids": ids})
@@ -199,7 +186,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = C
             rows = []
             for parts in b["parts"]:
                 lists = [np.frombuffer(p["ids"], dtype="<u4").tolist() for p in parts]
-                rows.append(digests(enc, [(i, ",".join([enc.names[x] for x in i])) for i in lists]))
+                rows.append(digests(enc, lists))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out

@@ -178,25 +178,26 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
         targets(counts.groupBy(KEY, "source").agg(F.sum(F.col(SIZE) * F.col("n")).alias("source_size")), weights, cap),
         "mix-targets")
     classes = stored(class_copies(counts.select(KEY, SIZE, "n"), wanted, cap), "mix-copies")
+    classes = classes.withColumnsRenamed({c: f"_mix_{c}" for c in ("n", "source_size", "target", "base", "extra")})
 
     share = (F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    slices = F.ceil(F.col("n") / SLICE_ROWS)
+    slices = F.ceil(F.col("_mix_n") / SLICE_ROWS)
     sliced = (
         sized.withColumn("_mix_u", share).join(classes, [KEY, SIZE])
         .withColumn("_mix_slice", F.floor(F.col("_mix_u") * slices).cast("int"))
     )
     held = (
-        sized.select(KEY, SIZE, share.alias("_mix_u")).join(classes.where(F.col("n") > SLICE_ROWS), [KEY, SIZE])
-        .groupBy(KEY, SIZE, F.floor(F.col("_mix_u") * slices).cast("int").alias("_mix_slice")).agg(F.count(F.lit(1)).alias("rows"))
+        sized.select(KEY, SIZE, share.alias("_mix_u")).join(classes.where(F.col("_mix_n") > SLICE_ROWS), [KEY, SIZE])
+        .groupBy(KEY, SIZE, F.floor(F.col("_mix_u") * slices).cast("int").alias("_mix_slice")).agg(F.count(F.lit(1)).alias("_mix_rows"))
     )
     before = Window.partitionBy(KEY, SIZE).orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(KEY, SIZE, "_mix_slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_mix_before"))
+    held = held.select(KEY, SIZE, "_mix_slice", F.coalesce(F.sum("_mix_rows").over(before), F.lit(0)).alias("_mix_before"))
     rank = F.row_number().over(Window.partitionBy(KEY, SIZE, "_mix_slice").orderBy("_mix_u", "doc_id", "text"))
     ranked = sliced.withColumn("_mix_rank", rank).join(held, [KEY, SIZE, "_mix_slice"], "left")
-    extra = (F.col("_mix_rank") + F.coalesce("_mix_before", F.lit(0)) <= F.col("extra")).cast("long")
+    extra = (F.col("_mix_rank") + F.coalesce("_mix_before", F.lit(0)) <= F.col("_mix_extra")).cast("long")
     return ranked.select(
-        *[F.col(c) for c in docs.columns], F.col(SIZE).alias("mix_size"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), (F.col("base") + extra).alias("mix_copies"))
+        *[F.col(c) for c in docs.columns], F.col(SIZE).alias("mix_size"), F.col("_mix_source_size").alias("mix_source_size"),
+        F.col("_mix_target").alias("mix_target"), (F.col("_mix_base") + extra).alias("mix_copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_RATE) -> DataFrame:

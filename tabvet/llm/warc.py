@@ -71,6 +71,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
         .select("digest", "bytes", "first_id")
     )
+    # Stored, so that its size is known: a small table is broadcast and no payload is shuffled.
+    shared = stored(shared, "warc-shared")
     joined = base.join(shared, ["digest", "bytes"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -97,10 +99,14 @@ def write(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> str:
     return path
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, at, size, head, length, type, page_id, refers_to, block) of every text behind a magic, in one scan.
+CANDIDATE = "file string, split long, at long, size long, head long, length long, type string, page_id long, refers_to long, digest string"
 
-    ``at``: offset in the split's own text; ``size``: bytes up to the next magic; ``head``: bytes up to the block."""
+
+def candidates(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
+    """(file, split, at, size, head, length, type, page_id, refers_to, digest) of every text behind a magic, in one scan.
+
+    ``at``: offset in the split's own text; ``size``: bytes up to the next magic; ``head``: bytes up to the block;
+    ``digest``: of the block, if all of it is there.  With ``blocks`` also the text itself."""
     lines = spark.read.option("lineSep", VERSION).text(path).select(
         F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"))
@@ -109,31 +115,37 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([
-            ("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("head", pa.int64()),
-            ("length", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("block", pa.binary())])
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in names.split(",")])
         here, at = None, 0
         for b in batches:
             out = []
             for value, file, split in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (file, split) != here:
                     here, at = (file, split), 0
-                row = {"file": file, "split": split, "at": at, "size": len(value), "block": value}
+                row = {"file": file, "split": split, "at": at, "size": len(value)}
                 cut = value.find(end)
                 fields = dict(line.split(b": ", 1) for line in value[:max(cut, 0)].split(b"\r\n") if b": " in line)
                 length = fields.get(b"Content-Length", b"")
                 if length.isdigit() and len(length) < 19 and b"WARC-Type" in fields:
-                    row["head"], row["length"] = cut + len(end), int(length)
-                    row["type"] = fields[b"WARC-Type"].decode("ascii", "replace")
-                    row["page_id"] = _number(fields.get(b"Page-ID"))
-                    row["refers_to"] = _number(fields.get(b"WARC-Refers-To-Page"))
+                    head, n = cut + len(end), int(length)
+                    row |= {"head": head, "length": n, "type": fields[b"WARC-Type"].decode("ascii", "replace"),
+                            "page_id": _number(fields.get(b"Page-ID")),
+                            "refers_to": _number(fields.get(b"WARC-Refers-To-Page"))}
+                    if head + n <= len(value):
+                        row["digest"] = base32_sha1(value[head: head + n])
+                if blocks:
+                    row["block"] = value
                 out.append(row)
                 at += len(value) + magic
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return lines.mapInArrow(
-        rows, "file string, split long, at long, size long, head long, length long, type string, page_id long,"
-        " refers_to long, block binary")
+    names = CANDIDATE + ", block binary" * blocks
+    return lines.mapInArrow(rows, names)
+
+
+def base32_sha1(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
 def _number(field: bytes | None) -> int | None:
@@ -172,59 +184,79 @@ def reachable(links: DataFrame) -> DataFrame:
             return marked
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload, record_type, refers_to) of every true record of the archives; revisits have no payload."""
-    all_candidates = chained(stored(candidates(spark, path), "warc-candidates"))
-    narrow = all_candidates.select("file", "start", "next", "head", "length", "type", "page_id", "refers_to", "size")
+def records_of(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The true records (file, start, head, length, type, page_id, refers_to, digest), and the pieces
+    (file, start, owner) of those whose block holds a magic."""
+    narrow = stored(chained(stored(candidates(spark, path), "warc-candidates")), "warc-chained")
+    found = narrow.where(F.col("length").isNotNull())
     true_records = stored(
-        narrow.where(F.col("length").isNotNull())
-        .join(reachable(narrow.where(F.col("length").isNotNull()).select("file", "start", "next")), ["file", "start"], "left_semi"),
-        "warc-records")
-    meta = true_records.select("file", "start", "head", "length", "type", "page_id", "refers_to")
+        found.join(reachable(found.select("file", "start", "next")), ["file", "start"], "left_semi")
+        .select("file", "start", "head", "length", "type", "page_id", "refers_to", "digest"), "warc-records")
     # Candidates between a record and its successor are pieces of its block; what is behind it is cut off by its length.
     owner = F.last(F.when(F.col("true"), F.col("start")), ignorenulls=True).over(
         Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    parted = true_records.where(F.col("digest").isNull()).select("file", F.col("start").alias("owner"))
     pieces = (
         narrow.select("file", "start").join(true_records.select("file", "start", F.lit(True).alias("true")), ["file", "start"], "left")
-        .select("file", "start", owner.alias("owner"))
-    )
-    alone = pieces.groupBy("file", "owner").agg(F.count(F.lit(1)).alias("pieces"))
-    body = all_candidates.select("file", "start", "block")
-    whole = (
-        meta.join(alone.where("pieces = 1").select("file", F.col("owner").alias("start")), ["file", "start"])
-        .join(body, ["file", "start"])
+        .select("file", "start", owner.alias("owner")).join(parted, ["file", "owner"], "left_semi").select("file", "start", "owner")
     )
-    parted = (
-        pieces.join(alone.where("pieces > 1").select("file", "owner"), ["file", "owner"]).join(body, ["file", "start"])
-        .groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "block"))).alias("parts"))
+    return true_records, stored(pieces, "warc-pieces")
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return chained(candidates(spark, path, blocks=True)).select("file", "start", "block")
+
+
+def _joined(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, start, block): the pieces of each block with the magic between them put back."""
+    return (
+        pieces.join(blocks, ["file", "start"]).groupBy("file", "owner")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "block"))).alias("parts"))
         .select("file", F.col("owner").alias("start"), F.aggregate(
             F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["block"],
             lambda acc, p: F.concat(acc, F.lit(VERSION).cast("binary"), p["block"])).alias("block"))
     )
-    cut = meta.join(parted, ["file", "start"])
-    texts = whole.unionByName(cut)
-    return texts.select(
-        "page_id", F.col("type").alias("record_type"), "refers_to",
-        F.substring("block", F.col("head").cast("int") + 1, F.col("length").cast("int")).alias("payload"))
+
+
+def _payload() -> Column:
+    return F.substring("block", F.col("head").cast("int") + 1, F.col("length").cast("int"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, record_type, refers_to, payload) of every true record of the archives; a revisit has an empty one."""
+    true_records, pieces = records_of(spark, path)
+    blocks = _blocks(spark, path)
+    whole = true_records.where(F.col("digest").isNotNull()).join(blocks, ["file", "start"])
+    parted = true_records.where(F.col("digest").isNull()).join(_joined(pieces, blocks), ["file", "start"])
+    return whole.unionByName(parted).select("page_id", F.col("type").alias("record_type"), "refers_to", _payload().alias("payload"))
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit has its response's payload."""
-    got = read(spark, path)
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit has its response's payload.
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({
-                "page_id": b["page_id"], "record_type": b["record_type"], "refers_to": b["refers_to"],
-                "payload_bytes": [len(p) for p in b["payload"]],
-                "payload_digest": [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in b["payload"]]})
-
-    rows = stored(
-        got.mapInPandas(digests, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"),
-        "warc-digests")
+    Digests come from the scan that finds the candidates; only blocks that hold a magic are read again."""
+    true_records, pieces = records_of(spark, path)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    responses = rows.where("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
+    rows = true_records.where(F.col("digest").isNotNull()).select(
+        "page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
+    if not pieces.isEmpty():
+        again = true_records.where(F.col("digest").isNull()).join(_joined(pieces, _blocks(spark, path)), ["file", "start"])
+
+        def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b["payload_digest"] = [base32_sha1(p) for p in b["payload"]]
+                yield b.drop(columns="payload")
+
+        rows = rows.unionByName(
+            again.select("page_id", F.col("length").alias("payload_bytes"), F.col("type").alias("record_type"), "refers_to",
+                         _payload().alias("payload"))
+            .mapInPandas(digests, "page_id long, payload_bytes long, record_type string, refers_to long, payload_digest string")
+            .select(columns))
+    rows = stored(rows, "warc-digests")
+    responses = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(
+        F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
     revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    # Only responses that a revisit names, so that a hot one meets its revisits in a join that can be split.
     return rows.where("record_type <> 'revisit'").select(columns).unionByName(
         revisits.join(responses, "refers_to", "left").select(columns))

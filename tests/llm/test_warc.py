@@ -40,7 +40,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("split", ["128m", "97b"])
+@pytest.mark.parametrize("split", ["128m", "997b"])
 @pytest.mark.parametrize("least", [0, 9])
 def test_magic_in_payloads_and_splits_anywhere(spark, split, least):
     pages = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "page_id long, url string, html string, digest string, bytes long")
@@ -70,6 +70,12 @@ def test_files_are_plain_warc(spark, tmp_path):
     assert records == len(ROWS) and path.endswith("w")
 
 
+def test_payloads(spark):
+    path = warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string"), 1_000_000)
+    got = sorted((r.page_id or 0, bytes(r.payload)) for r in warc.read(spark, path).collect())
+    assert got == sorted((i or 0, (h or "").encode()) for i, _, h in ROWS)
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").where(F.lit(False))
     assert warc.verified(spark, warc.write(pages)).count() == 0

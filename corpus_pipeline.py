@@ -1,12 +1,51 @@
-"""The corpus pipeline: quality rules, near duplicates, PII, mixing, byte-level BPE."""
+"""The corpus pipeline: quality rules, near duplicates, PII, mixing, byte-level BPE.
+
+Each stage takes what its predecessor kept and returns the columns of
+``documents``; the last one returns the token digests of the mix (a document
+taken twice is two rows)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabvet.llm import bpe_chunks, mixing, ngram_join, pii, quality_rules
 from tabvet.llm.common import stored, table
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and what reveals it replaced in their texts."""
+    return pii.sanitised(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row of the mix."""
+    import public_tokenizers
+
+    return bpe_chunks.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mix),
+    ("byte_bpe", tokens),
+]
 
 #: The stages hold iterative and tokenizer steps that SQL cannot express; they are tested against brute force.
 ORACLE_SQL: str | None = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm import ngram_join
+from tabvet.llm import imatch, ngram_join
 from tabvet.llm.common import table
 from tabvet.llm.registry import register
 
@@ -12,3 +12,8 @@ from tabvet.llm.registry import register
 @register("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op4_imatch", imatch.SQL)
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 #: Tags that end a block where they start or end.
@@ -25,19 +26,21 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A run of text between block tags: its text, its ancestors' tags and names, and how much of it is linked."""
+    """A run of text between block tags: its text, its innermost tag, all ancestors' tags and names, its linked share."""
 
-    __slots__ = ("text", "tags", "names", "linked")
+    __slots__ = ("text", "leaf", "tags", "names", "linked")
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: frozenset[str], linked: float):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    def __init__(self, text: str, leaf: str, tags: frozenset[str], names: frozenset[str], linked: float):
+        self.text, self.leaf, self.tags, self.names, self.linked = text, leaf, tags, names, linked
 
 
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, frozenset[str]]] = []
+        # Per open tag its name, and the tags and names of it and all around it.
+        self.stack: list[tuple[str, frozenset[str], frozenset[str]]] = []
+        self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
 
@@ -46,8 +49,8 @@ class _Reader(HTMLParser):
             raw = "".join(self.parts)
             text = " ".join(raw.split())
             if text:
-                names = frozenset().union(*[n for _, n in self.stack])
-                self.blocks.append(Block(text, tuple(t for t, _ in self.stack), names, self.linked / max(1, len(raw))))
+                leaf, tags, names = self.stack[-1] if self.stack else ("", frozenset(), frozenset())
+                self.blocks.append(Block(text, leaf, tags, names, self.linked / max(1, len(raw))))
             self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -68,7 +71,9 @@ class _Reader(HTMLParser):
         for key, value in attrs:
             if value and key in ("class", "id", "role"):
                 found.update(_NAME.findall(value.lower()))
-        self.stack.append((tag, frozenset(found)))
+        _, tags, names = self.stack[-1] if self.stack else ("", frozenset(), frozenset())
+        self.stack.append((tag, tags if tag in tags else tags | {tag}, names if found <= names else names | found))
+        self.open[tag] += 1
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
 
@@ -80,13 +85,16 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._close(i)
                 return
 
     def _close(self, i: int) -> None:
-        for tag, _ in self.stack[i:]:
+        for tag, _, _ in self.stack[i:]:
+            self.open[tag] -= 1
             self.hidden -= tag in HIDDEN_TAGS
             self.links -= tag == "a"
         del self.stack[i:]

@@ -49,7 +49,7 @@ def features(page: list[Block]) -> list[list[str]]:
     for i, b in enumerate(page):
         own = {f"tag:{t}" for t in b.tags if t not in ("html", "body")}
         own |= {f"name:{n}" for n in b.names}
-        own.add(f"leaf:{b.tags[-1] if b.tags else ''}")
+        own.add(f"leaf:{b.leaf}")
         own.add(f"length:{lengths[i]}")
         own.add(f"before:{lengths[i - 1] if i else 'none'}")
         own.add(f"after:{lengths[i + 1] if i + 1 < len(page) else 'none'}")

@@ -66,9 +66,9 @@ def test_held_out_labelled_pages():
 
 
 def test_blocks():
-    got = [(b.text, b.tags) for b in blocks("<body>a&amp;b <b>c\n d</b><p>x<p>y<br>z<script>var p='<p>no</p>'</script><ul><li>1<li>2</ul>&#233;&nbsp;!")]
-    assert [t for t, _ in got] == ["a&b c d", "x", "y", "z", "1", "2", "é !"]
-    assert got[1][1] == got[2][1] == ("body", "p") and got[4][1] == got[5][1] == ("body", "ul", "li")
+    got = [(b.text, b.leaf, b.tags) for b in blocks("<body>a&amp;b <b>c\n d</b><p>x<p>y<br>z<script>var p='<p>no</p>'</script><ul><li>1<li>2</ul>&#233;&nbsp;!")]
+    assert [t for t, _, _ in got] == ["a&b c d", "x", "y", "z", "1", "2", "é !"]
+    assert got[1][1:] == got[2][1:] == ("p", {"body", "p"}) and got[4][1:] == got[5][1:] == ("li", {"body", "ul", "li"})
     for broken in ("<", "<p", "</p></div>", "<p>a</b>b", "<!-- <p>x", "<![CDATA[x]]>", "&#xffffffff;", "<a href='x>y", "plain"):
         assert isinstance(blocks(broken), list)
     deep = blocks("<div>" * 3000 + "text")

@@ -46,18 +46,28 @@ def safe_base(c: ColumnOrName, max_len: int = 64, keep: int = 55) -> Column:
 
 
 def safe_identifiers(df: DataFrame, group: str, pos: str, raw: str, out: str = "safe_name", max_len: int = 64) -> DataFrame:
-    """Case-insensitive de-duplication with ``_2, _3...`` inside each header group.
-
-    The window is partitioned by (group, lower(name)): a header row is
-    bounded, so no partition grows with the data."""
-    b = df.withColumn("_base", safe_base(raw, max_len))
-    n = F.row_number().over(Window.partitionBy(group, F.lower("_base")).orderBy(pos))
-    b = b.withColumn("_n", n)
-    marker = F.concat(F.lit("_"), F.col("_n").cast("string"))
-    named = F.when(F.col("_n") == 1, F.col("_base")).otherwise(
-        F.concat(F.expr(f"substring(_base, 1, {max_len} - length(concat('_', cast(_n as string))))"), marker)
-    )
-    return b.withColumn(out, named).drop("_base", "_n")
+    """Case-insensitive de-duplication inside each header group: a name that is
+    taken, also by a numbered one, gets the first free number from ``_2`` on.
+
+    Each name depends on all names before it, so the cells of a header row are
+    folded in order; a header row is bounded, so no group grows with the data."""
+    def numbered(base: Column, n: Column) -> Column:
+        mark = F.concat(F.lit("_"), n.cast("string"))
+        return F.when(n == 1, base).otherwise(F.concat(F.substring(base, F.lit(1), F.lit(max_len) - F.length(mark)), mark))
+
+    def taken(names: Column, name: Column) -> Column:
+        return F.exists(names, lambda u: F.lower(u) == F.lower(name))
+
+    def first_free(names: Column, base: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda n: numbered(base, n))
+        return F.filter(tries, lambda t: ~taken(names, t))[0]
+
+    cells = df.select(group, F.struct(F.col(pos).alias("_pos"), safe_base(raw, max_len).alias("_base"), F.struct(*df.columns).alias("_row")).alias("_cell"))
+    rows = cells.groupBy(group).agg(F.array_sort(F.collect_list("_cell"), lambda a, b: F.signum((a["_pos"] - b["_pos"]).cast("double")).cast("int")).alias("_cells"))
+    names = F.aggregate(
+        "_cells", F.array().cast("array<string>"), lambda used, c: F.concat(used, F.array(first_free(used, c["_base"]))))
+    return rows.withColumn("_names", names).select(F.explode(F.arrays_zip("_cells", "_names")).alias("_x")).select(
+        "_x._cells._row.*", F.col("_x._names").alias(out))
 
 
 def unique_headers(df: DataFrame, group: str, pos: str, raw: str, out: str = "header") -> DataFrame:

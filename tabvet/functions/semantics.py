@@ -7,6 +7,7 @@ functions, so they stay inside whole-stage codegen.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,16 +31,20 @@ def num(c: ColumnOrName) -> Column:
 
 
 def is_numeric_literal(value: object) -> bool:
-    """Driver-side check on a spec literal (tiny, never data)."""
+    """Driver-side check on a spec literal (tiny, never data); ``nan`` and ``inf`` are no numbers."""
     try:
-        float(str(value).replace(",", ""))
-        return True
-    except ValueError:
+        return Decimal(str(value).strip().replace(",", "")).is_finite()
+    except InvalidOperation:
         return False
 
 
 def dec_lit(value: object) -> Column:
-    return F.lit(str(value).replace(",", "")).try_cast(DEC)
+    """A numeric literal with its own scale, so nothing of it is cut; beyond 38 digits a double."""
+    d = Decimal(str(value).strip().replace(",", ""))
+    text = format(d, "f")
+    scale = max(0, -d.as_tuple().exponent)
+    digits = max(len(d.as_tuple().digits) + max(0, d.as_tuple().exponent), scale + 1)
+    return F.lit(text).cast(f"decimal({digits},{scale})" if digits <= 38 else "double")
 
 
 def metric_out(c: Column, scale: int = 6) -> Column:
@@ -104,12 +109,13 @@ def canonical_date(c: ColumnOrName) -> Column:
 
 
 # ---------------------------------------------------------------- text
-def normalize_term(c: ColumnOrName, limit: int = FV.NORMALIZED_TERM_LIMIT) -> Column:
-    """Lower-case, all whitespace removed, cut to ``limit`` characters.
+def normalize_term(c: ColumnOrName, limit: int | None = None) -> Column:
+    """Lower-case, all whitespace removed; the whole text is the key. ``limit`` cuts it for display only.
 
     NFC normalisation is applied by :func:`nfc` first where the text is not
     plain ASCII (ASCII text is already NFC)."""
-    return F.substring(F.regexp_replace(F.lower(nfc(col(c))), r"\s+", ""), 1, limit)
+    whole = F.regexp_replace(F.lower(nfc(col(c))), r"\s+", "")
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 # Superset of code points whose NFC form can differ from the input: combining

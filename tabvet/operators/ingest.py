@@ -94,6 +94,13 @@ _AD_FIELDS = ("campaign_name", "campaign_code", "ad_group_name", "ad_group_code"
 _GA_FIELDS = ("session_campaign", "campaign_name", "session_content", "device_raw", "event_name", "sessions", "users", "key_events")
 
 
+def dimension_key(kind: str, source: Column, name: Column, code: Column, fall_back: bool = False) -> Column:
+    """Surrogate key of a dimension member; NULL when the row has neither its name nor its code.
+    With ``fall_back`` a missing name is replaced by the code, as the member is then listed under it."""
+    label = F.coalesce(name, code) if fall_back else name
+    return F.when(name.isNotNull() | code.isNotNull(), hash_key(F.lit(kind), source, label, code))
+
+
 def silver_ad_fact(parsed: DataFrame, payload_col: str = "payload", source_col: str = "source_name") -> DataFrame:
     """Typed ad facts: dimension keys, metrics defaulting to 0, nullable ctr,
     currency and the unmapped payload as JSON."""
@@ -104,9 +111,9 @@ def silver_ad_fact(parsed: DataFrame, payload_col: str = "payload", source_col:
     zero = F.lit(0.0)
     return parsed.select(
         "row_id", "report_date", src.alias("source_name"),
-        hash_key(F.lit("campaign"), src, c["campaign_name"], c["campaign_code"]).alias("campaign_key"),
-        hash_key(F.lit("ad_group"), src, c["ad_group_name"], c["ad_group_code"]).alias("ad_group_key"),
-        hash_key(F.lit("creative"), src, c["creative_name"], c["creative_code"]).alias("creative_key"),
+        dimension_key("campaign", src, c["campaign_name"], c["campaign_code"], fall_back=True).alias("campaign_key"),
+        dimension_key("ad_group", src, c["ad_group_name"], c["ad_group_code"]).alias("ad_group_key"),
+        dimension_key("creative", src, c["creative_name"], c["creative_code"]).alias("creative_key"),
         c["campaign_name"].alias("campaign_name"), c["creative_name"].alias("creative_name"), c["device_raw"].alias("device_raw"),
         F.coalesce(parse_number(c["impressions"]), zero).alias("impressions"),
         F.coalesce(parse_number(c["clicks"]), zero).alias("clicks"),

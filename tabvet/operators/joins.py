@@ -49,10 +49,17 @@ def hash_key(*parts: Column) -> Column:
 
 
 def dim_lookup(facts: DataFrame, dim: DataFrame, natural_key: Sequence[str], surrogate: str, out_col: str) -> DataFrame:
-    """Fact row -> surrogate id by natural key; NULL when the fact lacks the
-    attributes (a NULL natural key never matches)."""
-    d = dim.select(*natural_key, F.col(surrogate).alias(out_col)).dropDuplicates(list(natural_key))
-    return facts.join(d, list(natural_key), "left")
+    """Fact row -> surrogate id by natural key (the key's parts include the code,
+    as two codes under one name are two members). NULL when the fact lacks the
+    attributes: a fact whose key is NULL takes no part in the join, so no task
+    gathers them. A key listed twice has the smallest id."""
+    keys = list(natural_key)
+    d = dim.groupBy(*keys).agg(F.min(surrogate).alias(out_col))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    without = facts.where(~known).withColumn(out_col, F.lit(None).cast(dim.schema[surrogate].dataType))
+    return facts.where(known).join(d, keys, "left").unionByName(without)
 
 
 def rule_subset_match(requests: DataFrame, rules: DataFrame, req_key: Sequence[str]) -> DataFrame:

@@ -68,22 +68,27 @@ def explode_delta(delta: DataFrame, keep: Sequence[str] = ("source_row_id", "del
         *keep, "column_name", F.col("d.old").alias("old_value"), F.col("d.new").alias("new_value"))
 
 
+def unexpired(as_of: dt.datetime) -> Column:
+    """A delta without an expiry never expires."""
+    return F.col("expires_at").isNull() | (F.col("expires_at") > ntz(as_of))
+
+
 # ------------------------------------------------------------------ delta log state (O3)
 def delta_log_current(events: DataFrame, as_of: dt.datetime, key: str = "delta_item_id") -> DataFrame:
     """O3: latest event per delta item (append-only log, latest wins); items
     replaced by a re-preview and expired items are dropped."""
     cols = [c for c in events.columns if c not in (key, "seq")]
     latest = events.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("seq")).alias("e")).select(key, "e.*")
-    return latest.where((F.col("status") != "replaced") & (F.col("expires_at") > ntz(as_of)))
+    return latest.where((F.col("status") != "replaced") & unexpired(as_of))
 
 
 # ------------------------------------------------------------------ overlay
 def ancestor_deltas(
     delta: DataFrame, closure: DataFrame | Sequence[str], plan_id: str, current_step: str, current_order: int,
-    as_of: dt.datetime,
+    as_of: dt.datetime, target_table: str,
 ) -> DataFrame:
-    """Approved, unexpired deltas whose step is a dependency ancestor of the
-    current step and comes before it. ``closure`` is the plan-table closure
+    """Approved, unexpired deltas of ``target_table`` whose step is a dependency
+    ancestor of the current step and comes before it. ``closure`` is the plan-table closure
     (L1) or, for a plan given as a spec, its ancestor keys. The ancestor list
     is bounded by the plan size, so it is broadcast into a semi join."""
     if isinstance(closure, DataFrame):
@@ -93,7 +98,7 @@ def ancestor_deltas(
         anc = delta.sparkSession.createDataFrame([(k,) for k in closure], "step_key string")
     d = delta.where(
         (F.col("linked_plan_id") == plan_id) & (F.col("delta_status") == "approved")
-        & (F.col("expires_at") > ntz(as_of)) & (F.col("step_order") < current_order)
+        & (F.col("target_table") == target_table) & unexpired(as_of) & (F.col("step_order") < current_order)
     )
     return d.join(F.broadcast(anc), "step_key", "left_semi")
 
@@ -159,15 +164,19 @@ def overlay_detail(raw: DataFrame, overlay: DataFrame, columns: Sequence[str], w
 
 
 def semi_prior_delta(df: DataFrame, derived: DataFrame, keys: Sequence[str], id_col: str = "row_id") -> DataFrame:
-    """Rows whose id is among the delta rows carrying any of ``keys``."""
+    """Rows whose id is among the delta rows carrying any of ``keys``; ``derived`` are
+    the deltas in scope (``ancestor_deltas``)."""
     ids = derived.where(F.arrays_overlap(F.map_keys("after"), F.array(*[F.lit(k) for k in keys]))).select(
         F.col("source_row_id").alias(id_col))
     return df.join(ids, id_col, "left_semi")
 
 
 def derived_scope(df: DataFrame, derived: DataFrame, key: str, id_col: str = "row_id") -> DataFrame:
-    """Rows of the prior derived step, with its label usable as a group key."""
-    labels = derived.select(F.col("source_row_id").alias(id_col), F.element_at("after", key).alias(key))
+    """Rows of the prior derived steps in scope, with the latest label of each as a group key."""
+    labels = (
+        derived.where(F.map_contains_key("after", key)).groupBy(F.col("source_row_id").alias(id_col))
+        .agg(F.max_by(F.element_at("after", key), F.struct("step_order", "delta_item_id")).alias(key))
+    )
     return df.join(labels, id_col, "inner")
 
 

@@ -188,18 +188,21 @@ def case_insensitive_eq(column: str, value: str) -> Column:
 
 # ------------------------------------------------------------------ spec rewrites
 def prune_unknown_conditions(groups: Sequence[Mapping], columns: Sequence[str]) -> list[dict]:
-    """F16: read-only requests drop conditions on unknown columns."""
-    out = []
-    for g in groups:
-        kept = [c for c in g.get("conditions", []) if _known(c, columns)]
-        out.append({**g, "conditions": kept})
-    return out
+    """F16: read-only requests drop conditions on unknown columns, at any depth; a group keeps its
+    known children and goes only when none is left."""
+    return [{**g, "conditions": _known(g.get("conditions", []), columns)} for g in groups]
 
 
-def _known(cond: Mapping, columns: Sequence[str]) -> bool:
-    if str(cond.get("operator", "")).lower() in ("and", "or"):
-        return all(_known(c, columns) for c in cond.get("conditions", []))
-    return cond.get("field") in columns
+def _known(conditions: Sequence[Mapping], columns: Sequence[str]) -> list[dict]:
+    out = []
+    for c in conditions:
+        if str(c.get("operator", "")).lower() in ("and", "or") and c.get("conditions"):
+            kids = _known(c["conditions"], columns)
+            if kids:
+                out.append({**c, "conditions": kids})
+        elif c.get("field") in columns:
+            out.append(dict(c))
+    return out
 
 
 def or_recovery(conditions: Sequence[Mapping]) -> list[dict]:

@@ -12,7 +12,7 @@ from tabvet.queries.registry import register
 from tabvet.sources.tables import header_cells, load, stg_k, with_staging
 
 K_COLS = ["row_id", "source_channel", "캠페인", "날짜", "광고 그룹", "디바이스", "비용", "세션수", "캠페인 유형"]
-_NT = "substr(lower(regexp_replace(nfc_normalize({x}), '\\s+', '', 'g')), 1, 512)"
+_NT = "lower(regexp_replace(nfc_normalize({x}), '\\s+', '', 'g'))"
 
 
 def nt(x: str) -> str:

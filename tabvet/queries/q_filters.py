@@ -222,11 +222,19 @@ def or_recovery(spark, sf):
     return df.filter(_where(df, *conds)).select("row_id")
 
 
-@register("live_condition_prune", with_staging("stg_b") + "SELECT row_id FROM stg_b WHERE campaign = 'O'")
+@register("live_condition_prune", with_staging("stg_b") + "SELECT row_id FROM stg_b WHERE campaign = 'O' AND (device = 'PC' OR ad_group = 'grp-3')")
 def live_condition_prune(spark, sf):
     df = stg_b(spark, sf)
     groups = P.prune_unknown_conditions(
-        [{"conditions": [{"field": "campaign", "operator": "eq", "values": ["O"]}, {"field": "no_such_column", "operator": "eq", "values": ["x"]}]}],
+        [{"conditions": [
+            {"field": "campaign", "operator": "eq", "values": ["O"]}, {"field": "no_such_column", "operator": "eq", "values": ["x"]},
+            # a group keeps its known children, at any depth, and goes only when it has none
+            {"operator": "or", "conditions": [
+                {"field": "device", "operator": "eq", "values": ["PC"]}, {"field": "no_such_column", "operator": "eq", "values": ["x"]},
+                {"operator": "and", "conditions": [{"field": "ad_group", "operator": "eq", "values": ["grp-3"]},
+                                                   {"field": "gone", "operator": "is_null"}]}]},
+            {"operator": "or", "conditions": [{"field": "gone", "operator": "is_null"}]},
+        ]}],
         df.columns,
     )
     return df.filter(P.compile_where(groups, df.columns, STAGING_NUMERIC)).select("row_id")

@@ -47,9 +47,9 @@ bronze AS (SELECT *, sha256(to_json(map_from_entries(list_sort(map_entries(paylo
 bronze2 AS (SELECT *, CASE WHEN report_date IS NOT NULL THEN 'parsed' ELSE 'bronze_only' END AS parse_status,
     CASE WHEN report_date IS NULL THEN 'missing_report_date' END AS reason FROM bronze),
 ad AS (SELECT row_id, report_date, source_name,
-    {_hash_sql("'campaign'", 'source_name', _nz('campaign'), 'NULL')} AS campaign_key,
-    {_hash_sql("'ad_group'", 'source_name', 'NULL', 'NULL')} AS ad_group_key,
-    {_hash_sql("'creative'", 'source_name', _nz('creative'), 'NULL')} AS creative_key,
+    CASE WHEN {_nz('campaign')} IS NOT NULL THEN {_hash_sql("'campaign'", 'source_name', _nz('campaign'), 'NULL')} END AS campaign_key,
+    CAST(NULL AS VARCHAR) AS ad_group_key,
+    CASE WHEN {_nz('creative')} IS NOT NULL THEN {_hash_sql("'creative'", 'source_name', _nz('creative'), 'NULL')} END AS creative_key,
     {_nz('campaign')} AS campaign_name, {_nz('creative')} AS creative_name, {_nz('device_cell')} AS device_raw,
     COALESCE({_parse_number_sql(_nz('num_cell'))}, 0) AS impressions, COALESCE({_parse_number_sql(_nz('clicks_cell'))}, 0) AS clicks,
     COALESCE({_parse_number_sql(_nz('num_cell'))}, 0) AS cost_raw, 'KRW' AS cost_currency, CAST(NULL AS DOUBLE) AS ctr,

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tabvet.operators import overlay as OV
 from tabvet.operators import predicates as P
 from tabvet.queries.registry import register
-from tabvet.sources.derived import AS_OF, AS_OF_SQL, CURRENT_STEP, DELTA_SQL, DELTA_STEPS, EVENTS_SQL, delta_events, delta_items
+from tabvet.sources.derived import (
+    AS_OF, AS_OF_SQL, CURRENT_STEP, DELTA_SQL, DELTA_STEPS, EVENTS_SQL, LIVE_SQL, delta_events, delta_items, derived_labels,
+    derived_labels_sql,
+)
 from tabvet.sources.tables import STAGING_NUMERIC, num_sql, stg_b, with_staging
 
 N = num_sql
@@ -29,7 +32,7 @@ _ANC = ", ".join(f"'{s}'" for s in _ancestors_py(CURRENT_STEP))
 _CUR_ORDER = DELTA_STEPS[CURRENT_STEP][0]
 
 LATEST_SQL = DELTA_SQL + f""",
-app AS (SELECT * FROM delta WHERE delta_status = 'approved' AND expires_at > {AS_OF_SQL}
+app AS (SELECT * FROM delta WHERE {LIVE_SQL} AND target_table = 'SA'
         AND step_key IN ({_ANC}) AND step_order < {_CUR_ORDER}),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_row_id, column_name ORDER BY step_order DESC, delta_item_id DESC) AS rn FROM app),
 lat AS (SELECT source_row_id, column_name, new_value, step_key, delta_item_id FROM r WHERE rn = 1),
@@ -49,7 +52,7 @@ eff AS (SELECT b.row_id, b.source_channel, b.campaign, b.cost AS raw_cost, b.ses
 def _applicable(spark, sf):
     # the delta plan is a request spec (a handful of steps): its ancestors come
     # from the spec; plan tables use the distributed closure (step_ancestors)
-    return OV.ancestor_deltas(delta_items(spark, sf), _ancestors_py(CURRENT_STEP), "p1", CURRENT_STEP, _CUR_ORDER, AS_OF)
+    return OV.ancestor_deltas(delta_items(spark, sf), _ancestors_py(CURRENT_STEP), "p1", CURRENT_STEP, _CUR_ORDER, AS_OF, "SA")
 
 
 def _overlay(spark, sf):
@@ -108,7 +111,7 @@ def preview_derived_delta(spark, sf):
     "WITH " + EVENTS_SQL + f""",
 l AS (SELECT *, row_number() OVER (PARTITION BY delta_item_id ORDER BY seq DESC) AS rn FROM events)
 SELECT delta_item_id, step_key, source_row_id, status FROM l
-WHERE rn = 1 AND status <> 'replaced' AND expires_at > {AS_OF_SQL}""",
+WHERE rn = 1 AND status <> 'replaced' AND (expires_at IS NULL OR expires_at > {AS_OF_SQL})""",
 )
 def delta_log_current(spark, sf):
     cur = OV.delta_log_current(delta_events(spark, sf), AS_OF)
@@ -177,16 +180,19 @@ def overlay_detail(spark, sf):
 
 # ------------------------------------------------------------------ J6 / O8
 def _derived(spark, sf):
-    df = stg_b(spark, sf)
-    hi = OV.preview_derived_delta(df, N_(F.col("cost")) > 200000, "price_band", "high")
-    lo = OV.preview_derived_delta(df, N_(F.col("cost")) < 50000, "tier", "small")
-    return hi.unionByName(lo)
+    labels = derived_labels(spark, sf, N_(F.col("cost")))
+    return OV.ancestor_deltas(labels, _ancestors_py(CURRENT_STEP), "p1", CURRENT_STEP, _CUR_ORDER, AS_OF, "SA")
+
+
+_SCOPED_SQL = "WITH " + derived_labels_sql(N("cost")) + f""",
+scoped AS (SELECT * FROM derived WHERE linked_plan_id = 'p1' AND target_table = 'SA' AND {LIVE_SQL}
+           AND step_key IN ({_ANC}) AND step_order < {_CUR_ORDER})
+"""
 
 
 @register(
     "semi_prior_delta",
-    with_staging("stg_b")
-    + f"SELECT row_id, cost FROM stg_b WHERE row_id IN (SELECT row_id FROM stg_b WHERE {N('cost')} > 200000)",
+    _SCOPED_SQL + "SELECT row_id, cost FROM stg_b WHERE row_id IN (SELECT source_row_id FROM scoped WHERE label_key IN ('price_band', 'other_key'))",
 )
 def semi_prior_delta(spark, sf):
     return OV.semi_prior_delta(stg_b(spark, sf), _derived(spark, sf), ["price_band", "other_key"]).select("row_id", "cost")
@@ -194,13 +200,14 @@ def semi_prior_delta(spark, sf):
 
 @register(
     "derived_scope",
-    with_staging("stg_b")
-    + f"""SELECT 'high' AS price_band, source_channel, count(*) AS row_count, ROUND(CAST(SUM({N('cost')}) AS DOUBLE), 6) AS cost
-FROM stg_b WHERE {N('cost')} > 200000 GROUP BY source_channel""",
+    _SCOPED_SQL
+    + f"""SELECT price_band, source_channel, count(*) AS row_count, ROUND(CAST(SUM({N('cost')}) AS DOUBLE), 6) AS cost
+FROM stg_b JOIN (SELECT source_row_id, arg_max(label, step_order * 1000000000000 + delta_item_id) AS price_band
+                 FROM scoped WHERE label_key = 'price_band' GROUP BY source_row_id) l ON l.source_row_id = row_id
+GROUP BY price_band, source_channel""",
 )
 def derived_scope(spark, sf):
-    derived = _derived(spark, sf).where(F.map_contains_key("after", "price_band"))
-    scoped = OV.derived_scope(stg_b(spark, sf), derived, "price_band")
+    scoped = OV.derived_scope(stg_b(spark, sf), _derived(spark, sf), "price_band")
     return scoped.groupBy("price_band", "source_channel").agg(
         F.count(F.lit(1)).alias("row_count"), F.round(F.sum(N_(F.col("cost"))).cast("double"), 6).alias("cost"))
 

@@ -277,14 +277,14 @@ def flatten_nested(spark, sf):
 # ------------------------------------------------------------------ P14..P19
 @register(
     "normalize_term",
-    """SELECT conv_id, turn, substr(lower(regexp_replace(nfc_normalize(text), '\\s+', '', 'g')), 1, 512) AS normalized,
+    """SELECT conv_id, turn, lower(regexp_replace(nfc_normalize(text), '\\s+', '', 'g')) AS normalized,
   CAST(length(lower(regexp_replace(nfc_normalize(text), '\\s+', '', 'g'))) AS INTEGER) AS full_length FROM conversations""",
 )
 def normalize_term(spark, sf):
     c = load(spark, sf, "conversations")
     return c.select(
         "conv_id", "turn", S.normalize_term("text").alias("normalized"),
-        F.length(S.normalize_term("text", limit=2**31 - 1)).alias("full_length"),
+        F.length(S.normalize_term("text")).alias("full_length"),
     )
 
 
@@ -299,7 +299,7 @@ def _role_sql(x: str) -> str:
     "semantic_role",
     with_staging("header_cells")
     + f""", k AS (SELECT file_id, pos, raw_header,
-   substr(lower(regexp_replace(nfc_normalize(raw_header), '\\s+', '', 'g')), 1, 512) AS nk FROM header_cells)
+   lower(regexp_replace(nfc_normalize(raw_header), '\\s+', '', 'g')) AS nk FROM header_cells)
 SELECT file_id, pos, raw_header, {_role_sql('nk')} AS semantic_role FROM k""",
 )
 def semantic_role(spark, sf):

@@ -162,9 +162,15 @@ def layer_row_counts(spark, sf):
     RESULTS_SQL + "," + PLAN_SQL + """,
 n AS (SELECT plan_id, count(*) AS n FROM plan_steps2 GROUP BY plan_id),
 s AS (SELECT p.* FROM plan_steps2 p JOIN n USING (plan_id) WHERE n.n > 1),
-errs AS (
+dep AS (SELECT plan_id, step_order, step_key, unnest(depends_on) AS dep_key FROM s),
+firstpos AS (SELECT plan_id, step_key AS dep_key, min(step_order) AS first_order FROM s GROUP BY plan_id, step_key),
+errs AS (SELECT DISTINCT plan_id, error_code FROM (
   SELECT plan_id, 'linked_step_duplicate_id' AS error_code FROM s GROUP BY plan_id, step_key HAVING count(*) > 1
-  UNION ALL SELECT plan_id, 'linked_step_self_dependency' FROM s WHERE list_contains(depends_on, step_key)),
+  UNION ALL SELECT plan_id, 'linked_step_self_dependency' FROM s WHERE list_contains(depends_on, step_key)
+  UNION ALL SELECT d.plan_id, 'linked_step_missing_dependency' FROM dep d LEFT JOIN firstpos f USING (plan_id, dep_key) WHERE f.dep_key IS NULL
+  UNION ALL SELECT plan_id, 'linked_step_dependency_order_violation' FROM dep JOIN firstpos USING (plan_id, dep_key) WHERE first_order >= step_order
+  UNION ALL SELECT plan_id, 'linked_step_dependent_without_depends_on' FROM s WHERE dependency_type = 'dependent' AND len(depends_on) = 0
+  UNION ALL SELECT plan_id, 'linked_step_independent_has_depends_on' FROM s WHERE dependency_type = 'independent' AND len(depends_on) > 0)),
 g AS (SELECT r.case_no AS plan_id, bool_and(r.status = 'PASS') AS passed, count(*) AS step_count,
         CAST(sum(r.affected_row_count) AS BIGINT) AS affected_row_count FROM results r GROUP BY r.case_no),
 e AS (SELECT plan_id, array_to_string(list_sort(list(error_code)), ',') AS errors FROM errs GROUP BY plan_id)
@@ -172,8 +178,7 @@ SELECT g.plan_id, g.passed, g.step_count, g.affected_row_count, e.errors FROM g
 )
 def multistep_rollup(spark, sf):
     r = _results(spark, sf).select(F.col("case_no").alias("plan_id"), "status", "affected_row_count")
-    errs = L.step_plan_validation(plan_steps(spark, sf)).where(
-        F.col("error_code").isin("linked_step_duplicate_id", "linked_step_self_dependency")).select("plan_id", "error_code")
+    errs = L.step_plan_validation(plan_steps(spark, sf)).select("plan_id", "error_code").distinct()
     return Q.multistep_rollup(r, errs)
 
 

@@ -33,15 +33,15 @@ def delta_items(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) ->
     b = stg_b(spark, sf_dir)
     k = F.col("row_id")
     ts = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    expires = F.when(k % 65 == 0, ts - F.expr("INTERVAL 1 HOUR")).otherwise(ts + F.expr("INTERVAL 23 HOURS"))
+    expires = _expires(k, ts)
 
-    def step(key: str, order: int, idx: int, cond: Column, before: dict, after: dict) -> DataFrame:
+    def step(key: str, order: int, idx: int, cond: Column, before: dict, after: dict, target: str = "SA") -> DataFrame:
         return b.where(cond).select(
             (k * 10 + idx).alias("delta_item_id"),
             F.lit("p1").alias("linked_plan_id"),
             F.lit(key).alias("step_key"),
             F.lit(order).alias("step_order"),
-            F.lit("SA").alias("target_table"),
+            F.lit(target).alias("target_table"),
             k.alias("source_row_id"),
             F.lit("preview_update").alias("delta_type"),
             F.create_map(*[x for c, v in before.items() for x in (F.lit(c), v)]).alias("before"),
@@ -55,22 +55,76 @@ def delta_items(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) ->
     s2 = step("s2", 2, 2, k % 10 == 0, {"cost": F.col("cost")},
               {"cost": F.when(k % 30 == 0, F.lit(None).cast("string")).otherwise(F.lit("100.00"))})
     s3 = step("s3", 2, 3, k % 3 == 0, {"cost": F.col("cost")}, {"cost": F.lit("7")})
-    return s1.unionByName(s2).unionByName(s3)
+    # another table whose rows have the same ids
+    other = step("s2", 2, 6, k % 4 == 0, {"cost": F.col("cost")}, {"cost": F.lit("999")}, target="DA")
+    return s1.unionByName(s2).unionByName(s3).unionByName(other)
+
+
+def _expires(k: Column, ts: Column) -> Column:
+    """Some deltas have expired, some never expire."""
+    return (F.when(k % 65 == 0, ts - F.expr("INTERVAL 1 HOUR")).when(k % 25 == 0, F.lit(None).cast("timestamp_ntz"))
+            .otherwise(ts + F.expr("INTERVAL 23 HOURS")))
+
+
+_EXPIRES_SQL = (f"CASE WHEN source_row_id % 65 = 0 THEN {AS_OF_SQL} - INTERVAL 1 HOUR WHEN source_row_id % 25 = 0 THEN NULL"
+                f" ELSE {AS_OF_SQL} + INTERVAL 23 HOUR END AS expires_at")
+_STATUS_SQL = "CASE WHEN source_row_id % 35 = 0 THEN 'pending' WHEN source_row_id % 55 = 0 THEN 'cancelled' ELSE 'approved' END AS delta_status"
+#: Approved and unexpired at the fixed clock.
+LIVE_SQL = f"delta_status = 'approved' AND (expires_at IS NULL OR expires_at > {AS_OF_SQL})"
 
 
 DELTA_SQL = STAGING_SQL["stg_b"] + f""",
 delta_long AS (
   SELECT row_id * 10 + 1 AS delta_item_id, 's1' AS step_key, 1 AS step_order, row_id AS source_row_id, 'cost' AS column_name,
-         cost AS old_value, '0' AS new_value FROM stg_b WHERE row_id % 5 = 0
-  UNION ALL SELECT row_id * 10 + 1, 's1', 1, row_id, 'sessions', sessions, '0' FROM stg_b WHERE row_id % 5 = 0
-  UNION ALL SELECT row_id * 10 + 2, 's2', 2, row_id, 'cost', cost, CASE WHEN row_id % 30 = 0 THEN NULL ELSE '100.00' END
+         cost AS old_value, '0' AS new_value, 'SA' AS target_table FROM stg_b WHERE row_id % 5 = 0
+  UNION ALL SELECT row_id * 10 + 1, 's1', 1, row_id, 'sessions', sessions, '0', 'SA' FROM stg_b WHERE row_id % 5 = 0
+  UNION ALL SELECT row_id * 10 + 2, 's2', 2, row_id, 'cost', cost, CASE WHEN row_id % 30 = 0 THEN NULL ELSE '100.00' END, 'SA'
     FROM stg_b WHERE row_id % 10 = 0
-  UNION ALL SELECT row_id * 10 + 3, 's3', 2, row_id, 'cost', cost, '7' FROM stg_b WHERE row_id % 3 = 0),
-delta AS (
-  SELECT *, CASE WHEN source_row_id % 35 = 0 THEN 'pending' WHEN source_row_id % 55 = 0 THEN 'cancelled' ELSE 'approved' END
-            AS delta_status,
-         CASE WHEN source_row_id % 65 = 0 THEN {AS_OF_SQL} - INTERVAL 1 HOUR ELSE {AS_OF_SQL} + INTERVAL 23 HOUR END AS expires_at
-  FROM delta_long)"""
+  UNION ALL SELECT row_id * 10 + 3, 's3', 2, row_id, 'cost', cost, '7', 'SA' FROM stg_b WHERE row_id % 3 = 0
+  UNION ALL SELECT row_id * 10 + 6, 's2', 2, row_id, 'cost', cost, '999', 'DA' FROM stg_b WHERE row_id % 4 = 0),
+delta AS (SELECT *, {_STATUS_SQL}, {_EXPIRES_SQL} FROM delta_long)"""
+
+
+# ---------------------------------------------------------------- derived labels
+#: (item digit, plan, table, step, order, key, label, condition on cost, row arithmetic): labels that earlier steps
+#: gave to rows; only those of plan p1, table SA and an ancestor step of s4 are in its scope.
+DERIVED_LABELS = (
+    (1, "p1", "SA", "s1", 1, "price_band", "high", "cost > 200000", 1),
+    (2, "p1", "SA", "s2", 2, "price_band", "top", "cost > 200000", 2),
+    (3, "p1", "DA", "s1", 1, "price_band", "high", "cost <= 200000", 9),
+    (4, "p2", "SA", "s1", 1, "price_band", "high", "cost <= 200000", 8),
+    (5, "p1", "SA", "s4", 3, "price_band", "high", "cost <= 200000", 6),
+    (6, "p1", "SA", "s3", 2, "price_band", "high", "cost <= 200000", 4),
+    (7, "p1", "SA", "s1", 1, "tier", "small", "cost < 50000", 1),
+)
+
+
+def derived_labels(spark: SparkSession, sf_dir: str, cost: Column, as_of: dt.datetime = AS_OF) -> DataFrame:
+    """Derived deltas (one label each) over ``stg_b``; ``cost`` is its numeric cost."""
+    b, k = stg_b(spark, sf_dir).withColumn("_cost", cost), F.col("row_id")
+    ts = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    parts = [
+        b.where(F.expr(rule.replace("cost", "_cost")) & (k % every == 0)).select(
+            (k * 10 + digit).alias("delta_item_id"), F.lit(plan).alias("linked_plan_id"), F.lit(table).alias("target_table"),
+            F.lit(step).alias("step_key"), F.lit(order).alias("step_order"), k.alias("source_row_id"),
+            F.create_map(F.lit(key), F.lit(label)).alias("after"), _status(k).alias("delta_status"), _expires(k, ts).alias("expires_at"))
+        for digit, plan, table, step, order, key, label, rule, every in DERIVED_LABELS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def derived_labels_sql(cost: str) -> str:
+    """The same as a CTE list (``derived``) behind the staging views."""
+    long = "\n  UNION ALL ".join(
+        f"SELECT row_id * 10 + {digit} AS delta_item_id, '{plan}' AS linked_plan_id, '{table}' AS target_table, '{step}' AS step_key,"
+        f" {order} AS step_order, row_id AS source_row_id, '{key}' AS label_key, '{label}' AS label"
+        f" FROM stg_b WHERE {rule.replace('cost', cost)} AND row_id % {every} = 0"
+        for digit, plan, table, step, order, key, label, rule, every in DERIVED_LABELS)
+    return STAGING_SQL["stg_b"] + f""",
+derived AS (SELECT *, {_STATUS_SQL}, {_EXPIRES_SQL} FROM (
+  {long}))"""
 
 
 def delta_events(spark: SparkSession, sf_dir: str) -> DataFrame:

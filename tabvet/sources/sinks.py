@@ -35,19 +35,20 @@ def write_staging_snapshot(df: DataFrame, path: str, replace: bool = False, part
 
 
 def write_with_batch_log(df: DataFrame, path: str, log_path: str, batch_id: str, key: str = "source_channel") -> DataFrame:
-    """K2: write a batch and append its log row: 'success' with the statistics
-    observed during the write itself, or 'failed' with the error message."""
+    """K2: write a batch and append its log row: 'success' with its statistics, or
+    'failed' with the whole error, which is raised again after it is logged."""
     spark = df.sparkSession
     obs = Observation(f"batch_{batch_id}")
     try:
-        # observed metrics allow no DISTINCT; the channel set is bounded (<= 100 per table)
-        df.observe(obs, F.count(F.lit(1)).alias("row_count"), F.size(F.collect_set(key)).alias("channels")).write.mode(
-            "errorifexists").parquet(path)
-        stats = obs.get
-        row = (batch_id, "success", json.dumps({k: int(v) for k, v in sorted(stats.items())}, sort_keys=True), None)
-    except Exception as exc:  # noqa: BLE001 - the log records the failure
-        row = (batch_id, "failed", None, str(exc)[:2000])
-    spark.createDataFrame([row], BATCH_LOG_SCHEMA).write.mode("append").parquet(log_path)
+        df.observe(obs, F.count(F.lit(1)).alias("row_count")).write.mode("errorifexists").parquet(path)
+        # observed metrics allow no DISTINCT: the keys are counted on the written column alone
+        keys = spark.read.schema(df.schema).parquet(path).select(F.count_distinct(key)).first()[0]
+        stats = {"channels": int(keys), "row_count": int(obs.get["row_count"])}
+    except Exception as exc:
+        spark.createDataFrame([(batch_id, "failed", None, str(exc))], BATCH_LOG_SCHEMA).write.mode("append").parquet(log_path)
+        raise
+    spark.createDataFrame([(batch_id, "success", json.dumps(stats, sort_keys=True), None)], BATCH_LOG_SCHEMA).write.mode(
+        "append").parquet(log_path)
     return spark.read.parquet(log_path)
 
 
@@ -66,14 +67,14 @@ def write_execution_log(records: DataFrame, path: str) -> None:
 
 def catalog_refresh_log(spark: SparkSession, catalog: DataFrame, catalog_path: str, log_path: str, refresh_id: str) -> DataFrame:
     """Write the catalog, then append 'completed' with its row count, or
-    'failed' with the error."""
+    'failed' with the whole error, which is raised again after it is logged."""
     try:
         obs = Observation(f"refresh_{refresh_id}")
         catalog.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(catalog_path)
-        row = (refresh_id, "completed", int(obs.get["n"]), None)
-    except Exception as exc:  # noqa: BLE001
-        row = (refresh_id, "failed", 0, str(exc)[:2000])
-    spark.createDataFrame([row], REFRESH_LOG_SCHEMA).write.mode("append").parquet(log_path)
+    except Exception as exc:
+        spark.createDataFrame([(refresh_id, "failed", 0, str(exc))], REFRESH_LOG_SCHEMA).write.mode("append").parquet(log_path)
+        raise
+    spark.createDataFrame([(refresh_id, "completed", int(obs.get["n"]), None)], REFRESH_LOG_SCHEMA).write.mode("append").parquet(log_path)
     return spark.read.parquet(log_path)
 
 

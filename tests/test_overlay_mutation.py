@@ -44,7 +44,7 @@ def test_latest_wins_presence_null_and_twice_is_once(spark, raw):
         (41, "p", "s1", 1, 4, {"cost": "7"}, "approved", AS_OF - dt.timedelta(hours=1)),  # expired
     ])
     closure = spark.createDataFrame([("p", "s3", "s1"), ("p", "s3", "s2")], "plan_id string, step_key string, ancestor_key string")
-    app = OV.ancestor_deltas(d, closure, "p", "s3", 3, AS_OF)
+    app = OV.ancestor_deltas(d.withColumn("target_table", F.lit("T")), closure, "p", "s3", 3, AS_OF, "T")
     ov = OV.overlay_map(OV.latest_delta(app))
     once = OV.apply_overlay(OV.join_overlay(raw, ov), ["cost"])
     got = {r["row_id"]: r["cost"] for r in once.collect()}

@@ -223,6 +223,9 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
-    table = stored(holdout_cutoffs(_narrow(docs), labels, alpha, delta), "quality-cutoffs")
-    return with_verdict(measured(_rows(docs)), table).where("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    The measures are stored beside the rows: they are needed twice, and a filter on them must not be pushed
+    below the projections that compute them step by step."""
+    measures = stored(measured(_rows(docs)).drop("text", "lang"), "quality-rows")
+    return with_verdict(measures, holdout_cutoffs(measures, labels, alpha, delta)).where("kept").select("row.*")

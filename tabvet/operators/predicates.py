@@ -8,7 +8,7 @@ touch raw columns into the Parquet scan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from tabvet import fixed_values as FV
 from tabvet.functions.semantics import dec_lit, is_numeric_literal, num
 
-COMPARE = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
-
-
 class ConditionError(ValueError):
     pass
 
@@ -39,77 +36,77 @@ def comparison_column(column: str, values: Sequence[object], numeric_columns: Se
     return F.col(column), False
 
 
-def _lit(value: object, numeric: bool) -> Column:
-    return dec_lit(value) if numeric else F.lit(str(value))
-
-
 def alias_candidates(field: str, columns: Sequence[str], alias_map: Mapping[str, Sequence[str]] | None) -> list[str]:
     if field in columns or not alias_map:
         return []
     return [c for c in alias_map.get(field, []) if c in columns]
 
 
+def _compared(test: Callable[..., Column]) -> Callable[[str, list, Sequence[str]], Column]:
+    """A test on the column as a number where it or a value is numeric, else on its text."""
+    def build(column: str, values: list, numeric_columns: Sequence[str]) -> Column:
+        left, numeric = comparison_column(column, values, numeric_columns)
+        return test(left, *[dec_lit(v) if numeric else F.lit(str(v)) for v in values])
+
+    return build
+
+
+def _text(test: Callable[[Column, list[str]], Column]) -> Callable[[str, list, Sequence[str]], Column]:
+    """A test on the column's text."""
+    return lambda column, values, _: test(F.col(column), [str(v) for v in values])
+
+
+_BLANK = lambda c: F.trim(c) == ""
+_MANY = range(1, 1 << 31)
+
+#: Operator -> its forms, each the numbers of values it takes and its test.
+OPERATORS: dict[str, list[tuple[range, Callable[[str, list, Sequence[str]], Column]]]] = {
+    "eq": [(range(1, 2), _compared(lambda c, v: c == v)), (_MANY, _text(lambda c, v: c.isin(v)))],
+    "in": [(_MANY, _text(lambda c, v: c.isin(v)))],
+    "neq": [(range(1, 2), _text(lambda c, v: c != v[0]))],
+    "contains": [(range(1, 2), _text(lambda c, v: c.like(f"%{v[0]}%")))],
+    "not_contains": [(range(1, 2), _text(lambda c, v: ~c.like(f"%{v[0]}%")))],
+    "gt": [(range(1, 2), _compared(lambda c, v: c > v))],
+    "gte": [(range(1, 2), _compared(lambda c, v: c >= v))],
+    "lt": [(range(1, 2), _compared(lambda c, v: c < v))],
+    "lte": [(range(1, 2), _compared(lambda c, v: c <= v))],
+    "between": [(range(2, 3), _compared(lambda c, lo, hi: c.between(lo, hi)))],
+    "is_null": [(range(1 << 31), _text(lambda c, v: c.isNull()))],
+    "is_empty": [(range(1 << 31), _text(lambda c, v: _BLANK(F.coalesce(c, F.lit("")))))],
+    "is_null_or_empty": [(range(1 << 31), _text(lambda c, v: c.isNull() | _BLANK(c)))],
+    "is_not_null_or_empty": [(range(1 << 31), _text(lambda c, v: c.isNotNull() & ~_BLANK(c)))],
+}
+#: Other names of operators.
+OPERATOR_NAMES = {"like": "contains", "not_null_or_empty": "is_not_null_or_empty"}
+#: How the children of a group are combined (F8).
+GROUPS = {"and": _and, "or": _or}
+
+
 def compile_condition(
     cond: Mapping,
     columns: Sequence[str],
     numeric_columns: Sequence[str] = FV.NUMERIC_COLUMNS,
     alias_map: Mapping[str, Sequence[str]] | None = None,
 ) -> Column:
+    """One condition or group of conditions as a predicate.
+
+    A group without children but with a field of its own is a condition on that
+    field; a field that an alias maps to several columns holds if any of them does (F13)."""
     op = str(cond.get("operator", "eq")).lower()
-    field = str(cond.get("field") or "")
-    values = list(cond.get("values") or [])
-
-    if op in ("and", "or"):  # F8
-        kids = [
-            compile_condition(c, columns, numeric_columns, alias_map)
-            for c in cond.get("conditions", [])
-            if isinstance(c, Mapping)
-        ]
-        if not kids and field and field != "__group__":
-            recovered = {"field": field, "operator": "in" if len(values) > 1 else "eq", "values": values}
-            return compile_condition(recovered, columns, numeric_columns, alias_map)
-        if not kids:
-            raise ConditionError(f"{op}_condition_group_requires_children")
-        return _or(kids) if op == "or" else _and(kids)
-
-    cands = alias_candidates(field, columns, alias_map)
-    if len(cands) > 1:  # ambiguous field -> OR over every mapped column
-        if not values:
-            raise ConditionError(f"Condition has no values: {field}")
-        return _or([compile_condition({**cond, "field": c}, columns, numeric_columns, alias_map) for c in cands])
-    column = cands[0] if cands else field
-    if column not in columns:
-        raise ConditionError(f"Unknown condition column in live schema: {field}")
-    c = F.col(column)
-
-    if op == "eq" and len(values) == 1:  # F1
-        left, numeric = comparison_column(column, values, numeric_columns)
-        return left == _lit(values[0], numeric)
-    if op in ("eq", "in"):  # F2 / D4
-        if not values:
-            raise ConditionError(f"Condition has no values: {field}")
-        return c.isin([str(v) for v in values])
-    if op in ("contains", "like") and len(values) == 1:  # F3
-        return c.like(f"%{values[0]}%")
-    if op == "not_contains" and len(values) == 1:
-        return ~c.like(f"%{values[0]}%")
-    if op == "neq" and len(values) == 1:  # F4
-        return c != F.lit(str(values[0]))
-    if op in COMPARE and len(values) == 1:  # F5
-        left, numeric = comparison_column(column, values, numeric_columns)
-        return getattr(left, COMPARE[op])(_lit(values[0], numeric))
-    if op == "between" and len(values) == 2:  # F6
-        left, numeric = comparison_column(column, values, numeric_columns)
-        return left.between(_lit(values[0], numeric), _lit(values[1], numeric))
-    if op == "is_null":  # F7
-        return c.isNull()
-    if op == "is_empty":
-        return F.trim(F.coalesce(c, F.lit(""))) == ""
-    if op == "is_null_or_empty":
-        return c.isNull() | (F.trim(c) == "")
-    if op in ("is_not_null_or_empty", "not_null_or_empty"):
-        return c.isNotNull() & (F.trim(c) != "")
-    raise ConditionError(f"Unsupported condition operator: {op}")
+    op = OPERATOR_NAMES.get(op, op)
+    field, values = str(cond.get("field") or ""), list(cond.get("values") or [])
+    if op in GROUPS:
+        kids = [compile_condition(c, columns, numeric_columns, alias_map) for c in cond.get("conditions", []) if isinstance(c, Mapping)]
+        if kids:
+            return GROUPS[op](kids)
+        if field in ("", "__group__"):
+            raise ConditionError(f"group_without_children: {op}")
+        op = "eq"
+    mapped = alias_candidates(field, columns, alias_map) or [field]
+    forms = [test for counts, test in OPERATORS.get(op, []) if len(values) in counts]
+    if not set(mapped) <= set(columns) or not forms:
+        raise ConditionError(f"condition_not_applicable: {field} {op} {values}")
+    return _or([forms[0](column, values, numeric_columns) for column in mapped])
 
 
 def compile_where(

@@ -27,8 +27,11 @@ EXPORTS = {
 def _write_exports(spark, sf) -> str:
     root = shared_path(spark, "files", uuid.uuid4().hex)
     b = stg_b(spark, sf)
-    for folder, (channels, enc, sep) in EXPORTS.items():
-        part = b.where(F.col("source_channel").isin(*channels)).select(*[F.col(c).cast("string") for c in CSV_COLS])
+    listed = [c for channels, _, _ in EXPORTS.values() for c in channels]
+    for folder, (channels, enc, sep) in {**EXPORTS, "other": ((), "UTF-8", "|")}.items():
+        # channels that no folder lists, and rows without one, go to a folder of their own
+        own = F.col("source_channel").isin(*channels) if channels else ~F.coalesce(F.col("source_channel").isin(*listed), F.lit(False))
+        part = b.where(own).select(*[F.col(c).cast("string") for c in CSV_COLS])
         (part.write.option("header", True).option("sep", sep).option("encoding", enc)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(f"{root}/{folder}"))
@@ -40,10 +43,14 @@ def _write_workbooks(df, target: str) -> None:
     """One workbook per partition: two title rows and the header above the data
     on sheet 'data' (shared strings), the channel list on sheet 'meta' (inline)."""
     cols = CSV_COLS
+    # the store that Spark resolves the folder in, so that all tasks write to the same one
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    folder = jvm.org.apache.hadoop.fs.Path(target)
+    uri = folder.getFileSystem(conf).makeQualified(folder).toString()
+    uri = uri if "://" in uri else uri.replace(":", "://", 1)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
-        import os
 
         import pyarrow.fs as pafs
 
@@ -55,14 +62,15 @@ def _write_workbooks(df, target: str) -> None:
             name = f"book_{uuid.uuid4().hex}.xlsx"
             buf = io.BytesIO()  # built in memory, streamed to the shared folder (no local temp files)
             FS.write_workbook(buf, {"data": rows, "meta": meta})
-            fs, p = pafs.FileSystem.from_uri(target if "://" in target else "file://" + os.path.abspath(target))
+            fs, p = pafs.FileSystem.from_uri(uri)
             fs.create_dir(p, recursive=True)
             with fs.open_output_stream(f"{p}/{name}") as dst:
                 dst.write(buf.getvalue())
             yield pd.DataFrame({"written": [f"{target}/{name}"]})
 
-    src = df.select(*[F.col(c).cast("string") for c in CSV_COLS], "source_channel").repartition(4)
-    src.mapInPandas(run, "written string").collect()  # tiny: one path per workbook
+    src = df.select(*[F.col(c).cast("string") for c in CSV_COLS], "source_channel").repartition(
+        df.sparkSession.sparkContext.defaultParallelism)
+    src.mapInPandas(run, "written string").count()
 
 
 def _files(spark, sf):

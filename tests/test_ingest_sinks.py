@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -45,6 +46,8 @@ def test_batch_log_records_failure(spark, sf):
     base = tempfile.mkdtemp(prefix="tabvet-log-")
     df = stg_b(spark, sf)
     K.write_with_batch_log(df, f"{base}/data", f"{base}/log", "b1")
-    log = K.write_with_batch_log(df, f"{base}/data", f"{base}/log", "b2")  # target exists -> failed
+    with pytest.raises(AnalysisException):  # target exists: logged as failed, then raised
+        K.write_with_batch_log(df, f"{base}/data", f"{base}/log", "b2")
+    log = spark.read.parquet(f"{base}/log")
     got = {r["batch_id"]: (r["status"], r["message"] is not None) for r in log.collect()}
     assert got == {"b1": ("success", False), "b2": ("failed", True)}

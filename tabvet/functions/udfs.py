@@ -1,11 +1,7 @@
-"""The few vectorised Python functions (Arrow-batched pandas UDFs).
-
-Kept small: each one is a per-row helper that has no built-in equivalent.
-"""
+"""The vectorised Python function (an Arrow-batched pandas UDF) without a built-in equivalent."""
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -17,12 +13,3 @@ from pyspark.sql import types as T
 def nfc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
-
-@F.pandas_udf(T.DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity ratio (difflib), applied to bound survivors only."""
-    out = [
-        None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
-        for x, y in zip(a, b)
-    ]
-    return pd.Series(out, dtype="float64")

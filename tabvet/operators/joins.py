@@ -2,8 +2,7 @@
 
 Dictionaries (aliases, channels, policies, rules) are small, bounded
 configuration tables and may be broadcast; data-side inputs are broadcast
-only after they are materialised and counted under a bound
-(:func:`tabvet.operators.overlay.materialise_small`).
+only by the engine, from their real size.
 """
 
 from __future__ import annotations

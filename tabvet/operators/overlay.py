@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.semantics import DEC
-from tabvet.session import checkpoint
 
 
 def ntz(ts: dt.datetime) -> Column:
@@ -120,19 +119,11 @@ def overlay_map(latest: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("column_name", "new_value"))).alias("overlay"))
 
 
-def materialise_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Checkpoint ``df`` to the shared checkpoint folder and say whether a
-    count proves it small enough to broadcast."""
-    df = checkpoint(df)
-    return df, df.count() <= max_rows
-
-
-def join_overlay(raw: DataFrame, overlay: DataFrame, id_col: str = "row_id", broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    """Raw LEFT JOIN per-row overlay map. The overlay is broadcast only when
-    its checked row count is small; otherwise Spark shuffles both sides."""
-    ov, small = materialise_small(overlay, broadcast_max_rows)
-    ov = ov.withColumnRenamed("source_row_id", id_col)
-    return raw.join(F.broadcast(ov) if small else ov, id_col, "left")
+def join_overlay(raw: DataFrame, overlay: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """Raw LEFT JOIN per-row overlay map. The map is grouped by row id, so its
+    side of the join is partitioned already; whether it is broadcast, the engine
+    decides from its real bytes."""
+    return raw.join(overlay.withColumnRenamed("source_row_id", id_col), id_col, "left")
 
 
 def effective(column: str, overlay_col: str = "overlay") -> Column:

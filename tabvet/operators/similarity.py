@@ -1,29 +1,25 @@
 """Fuzzy candidates and recommendations.
 
 Exact Ratcliff-Obershelp ratios are computed only for pairs that survive a
-cheap upper bound:
-
-* length bound  ``2*min(la, lb) / (la + lb)``  (difflib's real_quick_ratio)
-* multiset bound ``2*|chars(a) & chars(b)| / (la + lb)``  (difflib's quick_ratio)
-
-Both bound the ratio from above, so filtering on them never drops a pair
-whose exact score reaches the cut. The candidate side is a bounded catalog
-(top values per column, column names, aliases): after a counted size check it
-is shipped to every task and the distributed terms are scored in numpy
-batches (multiset bound as a min-sum over the catalog alphabet), with
-``difflib`` only on survivors. Beyond the size bound both sides stay
-distributed and the bounds run as JVM expressions in a join.
+upper bound, ``2*|chars(a) & chars(b)| / (la + lb)`` over multisets of
+characters. It bounds the ratio from above, so filtering on it never drops a
+pair whose exact score reaches the cut. Terms and catalog meet block by block;
+the bound is a min-sum of matrices over the block's alphabet, with ``difflib``
+only on survivors. There is one path and one rounding rule for all sizes.
 """
 
 from __future__ import annotations
 
+import difflib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
 from tabvet.functions.semantics import nfc
-from tabvet.functions.udfs import ratio_udf
-from tabvet.operators.overlay import materialise_small
+from tabvet.session import checkpoint
 
 
 def sim_key(c: Column) -> Column:
@@ -31,36 +27,6 @@ def sim_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(nfc(c)), r"\s+", "")
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    la, lb = F.length(a), F.length(b)
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
-
-
-def multiset_bound(a: Column, b: Column) -> Column:
-    """2 * (multiset intersection of characters) / (la + lb)."""
-    ca, cb = F.split(a, ""), F.split(b, "")
-    common = F.aggregate(
-        F.array_distinct(ca), F.lit(0),
-        lambda acc, ch: acc + F.least(F.size(F.filter(ca, lambda x: x == ch)), F.size(F.filter(cb, lambda x: x == ch))),
-    )
-    la, lb = F.length(a), F.length(b)
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * common / (la + lb))
-
-
-def char_counts(s: Column) -> Column:
-    """map<char, count> of a string (computed once per string, not per pair)."""
-    chars = F.split(s, "")
-    keys = F.array_distinct(chars)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(chars, lambda x: x == k))))
-
-
-def multiset_bound_maps(ma: Column, mb: Column, la: Column, lb: Column) -> Column:
-    """Same bound as :func:`multiset_bound`, from precomputed count maps."""
-    common = F.aggregate(F.map_keys(ma), F.lit(0),
-                         lambda acc, k: acc + F.least(F.element_at(ma, k), F.coalesce(F.try_element_at(mb, k), F.lit(0))))
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * common / (la + lb))
-
-
 def confidence_band(score: Column) -> Column:
     """High >= 0.82, medium >= 0.65, else low."""
     return (F.when(score >= FV.CONFIDENCE_HIGH, F.lit("high"))
@@ -68,110 +34,65 @@ def confidence_band(score: Column) -> Column:
 
 
 SCORED_SCHEMA = "term string, kind string, target_table string, column_name string, candidate string, score double"
+#: Candidates and terms that meet in one task.
+BLOCK_CANDIDATES, BLOCK_TERMS = 2_000, 2_000
 
 
-def _score_batches(cands: list[tuple], cut: float):
-    """mapInPandas body: numpy bounds for a batch of terms against the whole
-    (bounded) candidate list, exact difflib ratio only for the survivors."""
-    import difflib
-
-    import numpy as np
-
-    keys = [c[5] or "" for c in cands]
-    alphabet = {ch: i for i, ch in enumerate(sorted({ch for k in keys for ch in k}))}
-    cmat = np.zeros((len(keys), len(alphabet)), dtype=np.int32)
-    for j, k in enumerate(keys):
+def _characters(keys: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(keys), len(alphabet)), dtype=np.int32)
+    for i, k in enumerate(keys):
         for ch in k:
-            cmat[j, alphabet[ch]] += 1
-    clen = np.array([len(k) for k in keys], dtype=np.float64)
-    contain_rule = [c[4] == "contain" for c in cands]
-
-    def run(it):
-        for pdf in it:
-            for start in range(0, len(pdf), 2000):
-                part = pdf.iloc[start:start + 2000]
-                terms, tks = part["term"].tolist(), [k or "" for k in part["tk"].tolist()]
-                tmat = np.zeros((len(tks), len(alphabet)), dtype=np.int32)
-                for i, k in enumerate(tks):
-                    for ch in k:
-                        a = alphabet.get(ch)
-                        if a is not None:
-                            tmat[i, a] += 1
-                overlap = np.zeros((len(tks), len(keys)), dtype=np.int32)
-                for a in range(len(alphabet)):
-                    overlap += np.minimum(tmat[:, a:a + 1], cmat[None, :, a])
-                tlen = np.array([len(k) for k in tks], dtype=np.float64)
-                total = tlen[:, None] + clen[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    bound = np.where(total == 0, 1.0, 2.0 * overlap / total)
-                ii, jj = np.nonzero(bound >= cut)
-                pairs = set(zip(ii.tolist(), jj.tolist()))
-                for j, rule in enumerate(contain_rule):  # containment floors never need the bound
-                    if rule:
-                        pairs |= {(i, j) for i, k in enumerate(tks) if k in keys[j] or keys[j] in k}
-                out = []
-                for i, j in pairs:
-                    tk, ck = tks[i], keys[j]
-                    s = difflib.SequenceMatcher(None, tk, ck).ratio()
-                    if contain_rule[j] and (tk in ck or ck in tk):
-                        s = max(s, FV.CONTAINMENT_FLOOR)
-                    if s < cut:
-                        continue
-                    if cands[j][4] == "alias":
-                        s = max(s, FV.ALIAS_FLOOR)
-                    kind, table, column, cand = cands[j][:4]
-                    out.append((terms[i], kind, table, column, cand, round(s, 3)))
-                if out:
-                    import pandas as pd
-
-                    yield pd.DataFrame(out, columns=["term", "kind", "target_table", "column_name", "candidate", "score"])
-
-    return run
+            if ch in alphabet:
+                out[i, alphabet[ch]] += 1
+    return out
+
+
+def _score_block(terms: pd.DataFrame, catalog: pd.DataFrame, cut: float) -> pd.DataFrame:
+    """Scores of one block of terms against one block of candidates: the bounds as
+    matrices, the exact ratio only for pairs that reach the cut by them."""
+    tks, cks = [k or "" for k in terms["tk"]], [k or "" for k in catalog["ck"]]
+    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(cks))))}
+    tm, cm = _characters(tks, alphabet), _characters(cks, alphabet)
+    overlap = np.zeros((len(tks), len(cks)), dtype=np.int32)
+    for a in range(len(alphabet)):
+        overlap += np.minimum(tm[:, a: a + 1], cm[None, :, a])
+    total = np.array([len(k) for k in tks])[:, None] + np.array([len(k) for k in cks])[None, :]
+    near = np.where(total == 0, 1.0, 2.0 * overlap / np.maximum(total, 1)) >= cut
+    names, rows = catalog[["kind", "target_table", "column_name", "candidate", "floor_rule"]].values.tolist(), []
+    for j, (*own, rule) in enumerate(names):
+        for i, (term, tk) in enumerate(zip(terms["term"], tks, strict=True)):
+            contained = rule == "contain" and (tk in cks[j] or cks[j] in tk)
+            if not (near[i, j] or contained):
+                continue
+            score = difflib.SequenceMatcher(None, tk, cks[j]).ratio()
+            score = max(score, FV.CONTAINMENT_FLOOR) if contained else score
+            if score >= cut:
+                rows.append((term, *own, round(max(score, FV.ALIAS_FLOOR) if rule == "alias" else score, 3)))
+    return pd.DataFrame(rows, columns=["term", "kind", "target_table", "column_name", "candidate", "score"])
 
 
 def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT,
-                          top: int = FV.TOP_RECOMMENDATIONS, broadcast_max_rows: int = 200_000) -> DataFrame:
+                          top: int = FV.TOP_RECOMMENDATIONS) -> DataFrame:
     """C4: per term the best ``top`` candidates per kind with ratio >= ``cut``.
 
     ``terms``: (term). ``catalog``: (kind, target_table, column_name, candidate,
     floor_rule) where floor_rule is NULL, 'contain' (live column: containment
     floors the score at 0.82) or 'alias' (a qualifying score floors at 0.7).
 
-    The catalog is bounded by construction (top values per column, column
-    names, aliases). It is materialised once; when its counted size is within
-    ``broadcast_max_rows`` it is shipped to every task and the terms are scored
-    in vectorised batches; beyond that bound the JVM join path is used."""
-    t = terms.select("term").distinct().withColumn("tk", sim_key(F.col("term")))
-    c = catalog.withColumn("ck", sim_key(F.col("candidate")))
-    c, small = materialise_small(c, broadcast_max_rows)
-    if small:
-        rows = [tuple(r) for r in c.select("kind", "target_table", "column_name", "candidate", "floor_rule", "ck").collect()]
-        bc = t.sparkSession.sparkContext.broadcast(rows)
-        scored = t.mapInPandas(lambda it: _score_batches(bc.value, cut)(it), SCORED_SCHEMA)
-        return _top_k(scored, top)
-    return _similarity_join(t, c, cut, top)
+    The requested terms are a query set against the whole catalog, in blocks:
+    both sides are dealt into blocks of bounded size and every pair of blocks
+    meets in one task, whatever the sizes; nothing is collected or broadcast."""
+    t = checkpoint(terms.select("term").distinct().withColumn("tk", sim_key(F.col("term"))))
+    c = checkpoint(catalog.withColumn("ck", sim_key(F.col("candidate"))))
+    t_blocks, c_blocks = -(-t.count() // BLOCK_TERMS) or 1, -(-c.count() // BLOCK_CANDIDATES) or 1
+    t = t.withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(t_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    c = c.withColumn("cb", F.pmod(F.xxhash64("kind", "target_table", "column_name", "candidate"), F.lit(c_blocks)).cast("int")).withColumn(
+        "tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))))
+    pairs = t.groupBy("tb", "cb").cogroup(c.groupBy("tb", "cb"))
+    return _top_k(pairs.applyInPandas(lambda a, b: _score_block(a, b, cut), SCORED_SCHEMA), top)
 
 
 def _top_k(scored: DataFrame, top: int) -> DataFrame:
     ident = scored.groupBy("term", "kind", "target_table", "column_name", "candidate").agg(F.max("score").alias("score"))
     w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "candidate", "target_table", "column_name")
     return ident.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
-
-
-def _similarity_join(t: DataFrame, c: DataFrame, cut: float, top: int) -> DataFrame:
-    """Large-catalog path: both sides distributed, bounds as JVM expressions."""
-    t = t.withColumns({"tl": F.length("tk"), "tm": char_counts(F.col("tk"))})
-    c = c.withColumns({"cl": F.length("ck"), "cm": char_counts(F.col("ck"))})
-    contained = (F.col("floor_rule") == "contain") & (F.col("tk").contains(F.col("ck")) | F.col("ck").contains(F.col("tk")))
-    lbound = F.when(F.col("tl") + F.col("cl") == 0, F.lit(1.0)).otherwise(
-        2.0 * F.least("tl", "cl") / (F.col("tl") + F.col("cl")))
-    pairs = t.join(c, contained | (lbound >= cut))
-    mbound = multiset_bound_maps(F.col("tm"), F.col("cm"), F.col("tl"), F.col("cl"))
-    pairs = pairs.where(F.coalesce(contained, F.lit(False)) | (mbound >= cut))
-    scored = pairs.withColumn("ratio", ratio_udf(F.col("tk"), F.col("ck"))).withColumn(
-        "raw_score",
-        F.when(F.coalesce(contained, F.lit(False)), F.greatest("ratio", F.lit(FV.CONTAINMENT_FLOOR))).otherwise(F.col("ratio")))
-    kept = scored.where(F.col("raw_score") >= cut).withColumn(
-        "score",
-        F.round(F.when(F.col("floor_rule") == "alias", F.greatest("raw_score", F.lit(FV.ALIAS_FLOOR))).otherwise(F.col("raw_score")), 3))
-    return _top_k(kept.select("term", "kind", "target_table", "column_name", "candidate", "score"), top)

@@ -76,7 +76,7 @@ def _candidates(spark, sf):
 def _terms(spark, sf):
     c = load(spark, sf, "conversations", fan_out=True)
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}#-]+"))
-    return c.select(words.alias("term")).where(F.length("term") >= 3).distinct()
+    return c.select(words.alias("term")).where(F.col("term") != "").distinct()
 
 
 @register("similarity_candidates")

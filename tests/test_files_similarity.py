@@ -8,6 +8,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from tabvet.operators import similarity
 from tabvet.operators.similarity import similarity_candidates
 from tabvet.sources import files as FS
 
@@ -73,8 +74,8 @@ def _sim(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, n(a), n(b)).ratio()
 
 
-def test_similarity_matches_brute_force(spark):
-    terms = ["campain", "노출 수", "mobile", "Brand#1", "zzzz", "광고그룹"]
+def test_similarity_matches_brute_force(spark, monkeypatch):
+    terms = ["a", "sa", "campain", "노출 수", "mobile", "Brand#1", "zzzz", "광고그룹"]
     cands = [("column", "SA", "캠페인", "campaign", "contain"), ("column", "SA", "노출수", "노출수", "contain"),
              ("value", "SA", "device", "mobile web", None), ("value", "SA", "brand", "Brand#17", None),
              ("value", "SA", "brand", "Brand#12", None), ("column", "SA", "광고 그룹", "광고 그룹", "alias"),
@@ -82,9 +83,10 @@ def test_similarity_matches_brute_force(spark):
     tdf = spark.createDataFrame([(t,) for t in terms], "term string")
     cdf = spark.createDataFrame(cands, "kind string, target_table string, column_name string, candidate string, floor_rule string")
     got = {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf).collect()}
-    # the large-catalog (JVM join) path must give the same answer
-    got_join = {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf, broadcast_max_rows=0).collect()}
-    assert got_join == got
+    # many small blocks give the same answer
+    monkeypatch.setattr(similarity, "BLOCK_TERMS", 2)
+    monkeypatch.setattr(similarity, "BLOCK_CANDIDATES", 2)
+    assert {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf).collect()} == got
     expected = {}
     for t in terms:
         per_kind: dict[str, list] = {}

@@ -51,10 +51,11 @@ def column_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
     )
 
 
-def distinct_channels(df: DataFrame, column: str = "source_channel", limit: int = FV.CHANNELS_PER_TABLE) -> DataFrame:
-    """Distinct non-empty channels, sorted, at most ``limit`` (a top-k report)."""
+def distinct_channels(df: DataFrame, column: str = "source_channel", limit: int | None = None) -> DataFrame:
+    """All distinct non-empty channels, sorted; ``limit`` cuts the list for a report."""
     c = F.col(column)
-    return df.select(c).where(c.isNotNull() & (F.trim(c) != "")).distinct().orderBy(column).limit(limit)
+    out = df.select(c).where(c.isNotNull() & (F.trim(c) != "")).distinct().orderBy(column)
+    return out if limit is None else out.limit(limit)
 
 
 def top_values(freq: DataFrame, n: int = FV.VALUES_PER_COLUMN) -> DataFrame:

@@ -178,9 +178,16 @@ def unknown_channels(live_channels: DataFrame, channels: Sequence[str], channel_
     return req.join(live_channels.select(channel_col), channel_col, "left_anti")
 
 
+def require_channels(live_channels: DataFrame, channels: Sequence[str], channel_col: str = "source_channel") -> None:
+    """refuse a request that names channels the table does not have."""
+    missing = [r[0] for r in unknown_channels(live_channels, channels, channel_col).collect()]  # at most the requested ones
+    if missing:
+        raise ConditionError(f"unknown_channels: {sorted(missing)}")
+
+
 def case_insensitive_eq(column: str, value: str) -> Column:
-    """F12 (D2): case-insensitive, trailing-space-insensitive equality."""
-    return F.rtrim(F.lower(F.col(column))) == F.rtrim(F.lower(F.lit(value)))
+    """F12 (D2): equality that ignores case, accents and trailing spaces."""
+    return F.collate(F.rtrim(F.col(column)), "UNICODE_CI_AI") == F.collate(F.rtrim(F.lit(value)), "UNICODE_CI_AI")
 
 
 # ------------------------------------------------------------------ spec rewrites

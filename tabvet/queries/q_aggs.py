@@ -193,7 +193,7 @@ def column_distinct_counts(spark, sf):
 @register(
     "distinct_channels",
     with_staging("stg_a")
-    + "SELECT DISTINCT source_channel FROM stg_a WHERE source_channel IS NOT NULL AND TRIM(source_channel) <> '' ORDER BY source_channel LIMIT 100",
+    + "SELECT DISTINCT source_channel FROM stg_a WHERE source_channel IS NOT NULL AND TRIM(source_channel) <> '' ORDER BY source_channel",
 )
 def distinct_channels(spark, sf):
     return C.distinct_channels(stg_a(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabvet.operators import metrics as M
 from tabvet.operators import predicates as P
+from tabvet.operators.catalog import distinct_channels
 from tabvet.queries.registry import register
 from tabvet.queries.sqlfrag import RATIO
 from tabvet.sources.tables import STAGING_NUMERIC, num_sql, stg_a, stg_b, with_staging
@@ -174,13 +175,14 @@ def scope_period(spark, sf):
 @register("scope_channels", with_staging("stg_b") + "SELECT row_id, source_channel FROM stg_b WHERE source_channel IN ('1-URGENT', '5-LOW')")
 def scope_channels(spark, sf):
     df = stg_b(spark, sf)
+    P.require_channels(distinct_channels(df), ["1-URGENT", "5-LOW"])
     return df.filter(P.scope_channels("source_channel", ["SA.1-URGENT", "5-LOW"], table="SA")).select("row_id", "source_channel")
 
 
-@register("filter_case_insensitive", with_staging("stg_b") + "SELECT row_id, device FROM stg_b WHERE rtrim(lower(device)) = rtrim(lower('DESKTOP'))")
+@register("filter_case_insensitive", with_staging("stg_b") + "SELECT row_id, device FROM stg_b WHERE rtrim(strip_accents(lower(device))) = rtrim(strip_accents(lower('DÉSKTOP')))")
 def filter_case_insensitive(spark, sf):
     df = stg_b(spark, sf)
-    return df.filter(P.case_insensitive_eq("device", "DESKTOP")).select("row_id", "device")
+    return df.filter(P.case_insensitive_eq("device", "DÉSKTOP")).select("row_id", "device")
 
 
 ALIAS_MAP = {"segment": ["campaign", "source_channel"], "group": ["ad_group"]}

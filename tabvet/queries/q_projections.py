@@ -334,10 +334,10 @@ def drop_empty_columns(spark, sf):
 
 @register(
     "request_fingerprint",
-    "SELECT conv_id, turn, substr(sha256(text), 1, 16) AS fingerprint FROM conversations WHERE role = 'user'",
+    "SELECT conv_id, turn, substr(sha256(text), 1, 16) AS fingerprint FROM conversations",
 )
 def request_fingerprint(spark, sf):
-    c = load(spark, sf, "conversations").where(F.col("role") == "user")
+    c = load(spark, sf, "conversations")
     return c.select("conv_id", "turn", S.fingerprint("text").alias("fingerprint"))
 
 

@@ -29,7 +29,8 @@ def stream_ingest_bronze(spark, sf):
     again = rows.where(F.col("row_id") % 7 == 0).withColumn("ingested_at", base + F.expr("INTERVAL 1 DAY"))
     again.write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
-    out = X.stream_bronze(spark, src, schema, sink, ckpt)
+    files = spark.read.parquet(src).select(F.input_file_name()).distinct().count()
+    out = X.stream_bronze(spark, src, schema, sink, ckpt, files_per_batch=-(-files // 4) or 1)  # four micro-batches
     return out.select("payload_hash", "report_date", "parse_status", "reason")
 
 

@@ -21,10 +21,14 @@ from tabvet.operators.ingest import bronze
 
 
 def stream_bronze(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str, checkpoint_dir: str,
-                  event_time: str = "ingested_at", delay: str = "30 days") -> DataFrame:
+                  event_time: str = "ingested_at", delay: str = "30 days", files_per_batch: int | None = None) -> DataFrame:
     """Bronze over a growing folder of row files; duplicates (same payload
-    hash) arriving within ``delay`` of the first copy are dropped."""
-    rows = spark.readStream.schema(schema).parquet(source_dir)
+    hash) arriving within ``delay`` of the first copy are dropped, also when they
+    come in a later micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.parquet(source_dir)
     b = bronze(rows).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["payload_hash"])
     q = (b.writeStream.format("parquet").outputMode("append")
          .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)

@@ -96,3 +96,19 @@ def test_or_recovery_and_prune():
     assert out[0]["operator"] == "or" and len(out[0]["conditions"]) == 2 and out[1]["field"] == "c"
     pruned = P.prune_unknown_conditions([{"conditions": conds}], ["a", "c"])
     assert [c["field"] for c in pruned[0]["conditions"]] == ["a", "c"]
+
+
+def test_unknown_channels_are_refused_and_collation_folds(spark):
+    df = spark.createDataFrame([("a", "Café "), ("b", "CAFE"), ("b", "cafés")], "source_channel string, v string")
+    P.require_channels(df, ["a", "b"])
+    with pytest.raises(P.ConditionError, match="zz"):
+        P.require_channels(df, ["a", "zz"])
+    assert df.where(P.case_insensitive_eq("v", "café")).count() == 2
+
+
+def test_pruned_group_keeps_its_known_children():
+    known = {"field": "a", "operator": "eq", "values": ["1"]}
+    gone = {"field": "zz", "operator": "eq", "values": ["1"]}
+    groups = [{"conditions": [{"operator": "or", "conditions": [known, gone, {"operator": "and", "conditions": [gone]}]},
+                              {"operator": "or", "conditions": [gone]}, gone]}]
+    assert P.prune_unknown_conditions(groups, ["a"]) == [{"conditions": [{"operator": "or", "conditions": [known]}]}]

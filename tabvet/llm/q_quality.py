@@ -9,7 +9,7 @@ from tabvet.llm.common import table
 from tabvet.llm.registry import register
 
 
-@register("op3_quality_rules")
+@register("op3_quality_rules", quality_rules.SQL)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judged(docs, table(spark, sf_dir, "labels")).select(

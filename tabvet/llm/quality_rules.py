@@ -183,6 +183,48 @@ def cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> D
     return best.groupBy(F.col("q_stratum").alias("c_stratum")).agg(F.array(*per_rule).alias("c_cutoffs"))
 
 
+def _sql() -> str:
+    grid = ", ".join(f"{c!r}::DOUBLE" for c in CUTOFFS)
+    rules = ", ".join(f"coalesce(CASE WHEN n_words > 0 THEN {r} END, 0.0)::DOUBLE" for r in RULES.values()).replace(
+        "q_", "f_").replace(" / ", "::DOUBLE / ")
+    strata = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STRATA))
+    tests = (len(STRATA) + 1) * len(RULES) * len(CUTOFFS)
+    log_pmf = f"lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})"
+    return rf"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t, CASE lang {strata} ELSE {len(STRATA)} END AS stratum FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM worded WHERE len(w) >= 3),
+times AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows),
+under AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM times WHERE n > 1) GROUP BY doc_id),
+counted AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(u.n, 0) AS n_repeat_words,
+    length(t) - length(replace(t, '!', '')) AS f_exclaim, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS f_upper,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS f_echo, len(list_distinct(w)) AS f_distinct
+  FROM worded LEFT JOIN under u USING (doc_id)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{rules}] AS ratios FROM counted),
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+holdout AS (SELECT stratum, good, unnest(range(1, {len(RULES)} + 1)) AS rule, unnest(ratios) AS ratio
+            FROM judged JOIN known USING (doc_id) WHERE NOT base_failed),
+tried AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND ratio > cutoff) AS k,
+            count(*) FILTER (NOT good AND ratio > cutoff) AS caught
+          FROM holdout CROSS JOIN (SELECT unnest([{grid}]) AS cutoff) GROUP BY stratum, rule, cutoff),
+admissible AS (SELECT *, caught - {GOOD_WORTH} * k AS worth FROM tried WHERE caught - {GOOD_WORTH} * k > 0 AND k < {ALPHA} * n
+               AND list_sum(list_transform(range(k + 1), lambda i: exp({log_pmf}))) <= {DELTA / tests!r}),
+best AS (SELECT stratum, rule, arg_max(cutoff, worth) AS cutoff FROM (
+           SELECT stratum, rule, worth, (min(cutoff) + max(cutoff)) / 2 AS cutoff FROM admissible GROUP BY stratum, rule, worth)
+         GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM best b WHERE b.stratum = j.stratum AND j.ratios[b.rule] > b.cutoff) AS kept
+FROM judged j
+"""
+
+
+#: The same on one machine; documents with ids of their own only.
+SQL = _sql()
+
+
 def holdout_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The cutoffs learnt from the labelled documents; ``measures`` is narrow, no text is shuffled."""
     known = (

@@ -44,21 +44,21 @@ def term_key(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def keys(text: Column) -> Column:
-    """Distinct term keys of a text, case folded."""
-    return F.transform(F.array_distinct(words(F.lower(text))), term_key)
+def terms(text: Column) -> Column:
+    """Distinct terms of a text, case folded."""
+    return F.array_distinct(words(F.lower(text)))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(key, mask) of the terms in the band; bit k of the mask stands for subset k."""
+    """(term, key, mask) of the terms in the band; bit k of the mask stands for subset k."""
     n = docs.count()
     digest = F.md5(F.col("key").cast("string").cast("binary"))
     inside = [
         F.when(F.substring(digest, 2 * k + 1, 2) < F.lit(f"{t:02x}"), F.lit(1 << k)).otherwise(F.lit(0)) for k, t in enumerate(SUBSETS)]
     return (
-        docs.select(F.explode(keys(F.col("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+        docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         .where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
-        .select("key", sum(inside[1:], inside[0]).alias("mask"))
+        .select("term", term_key(F.col("term")).alias("key")).select("term", "key", sum(inside[1:], inside[0]).alias("mask"))
     )
 
 
@@ -106,14 +106,20 @@ def successors(docs: DataFrame) -> DataFrame:
         F.when(F.col("next_home").isNull(), F.col("place") + 1).otherwise(F.lit(1)).alias("next_place"), "next_text")
 
 
-def _parts(found: Column, kind: int, text_digest: Column) -> Column:
-    own = F.sort_array(F.filter(found, lambda x: x["kind"] == kind))
+def _own(found: Column, kind: int) -> Column:
+    return F.sort_array(F.transform(F.filter(found, lambda x: x["kind"] == kind), lambda x: F.struct(x["key"].alias("key"), x["mask"].alias("mask"))))
+
+
+def _parts(own: Column) -> Column:
     def part(k: int) -> Column:
         chosen = F.filter(own, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
         joined = F.array_join(F.transform(chosen, lambda x: x["key"].cast("string")), ",")
         return F.when(F.size(chosen) == 0, F.lit("")).otherwise(F.substring(F.md5(joined.cast("binary")), 1, PART_DIGITS))
-    parts = F.array(*[part(k) for k in range(len(SUBSETS))])
-    return F.when(F.array_join(parts, "") == "", F.array(F.concat(F.lit("="), text_digest))).otherwise(parts)
+    return F.array(*[part(k) for k in range(len(SUBSETS))])
+
+
+def _or_whole(parts: str, text_digest: str) -> Column:
+    return F.when(F.array_join(parts, "") == "", F.array(F.concat(F.lit("="), F.col(text_digest)))).otherwise(F.col(parts)).alias(parts)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,25 +139,28 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col:
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - tail), F.substring("next_text", F.lit(1), tail))
     rows = rows.select("doc_id", "bucket", "place", "next_bucket", "next_place", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.withColumns({"own_terms": terms(F.col("text")), "edited_terms": terms(F.col("edited"))})
     rows = rows.select(
         "doc_id", "bucket", "place", "next_bucket", "next_place", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"),
         F.md5(F.col("edited").cast("binary")).alias("edited_md5"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        # A key outside the lexicon keeps documents without lexicon terms.
+        # A blank, which is no term of a text, keeps documents without lexicon terms.
         F.concat(
-            F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).cast("long").alias("key"))),
-            F.transform(keys(F.col("text")), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("key"))),
-            F.transform(keys(F.col("edited")), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("key")))).alias("found"))
+            F.array(F.struct(F.lit(-1).alias("kind"), F.lit(" ").alias("term"))),
+            F.transform("own_terms", lambda t: F.struct(F.lit(0).alias("kind"), t.alias("term"))),
+            F.transform("edited_terms", lambda t: F.struct(F.lit(1).alias("kind"), t.alias("term")))).alias("found"))
     single = rows.select("*", F.inline("found")).drop("found")
-    marked = single.join(
-        F.broadcast(lex.unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("mask")))), "key")
+    blank = docs.sparkSession.range(1).select(F.lit(" ").alias("term"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("mask"))
+    marked = single.join(F.broadcast(lex.unionByName(blank)), "term")
     # The rows of a bucket are in one partition already, so this groups without a further exchange.
     grouped = marked.groupBy(
         "bucket", "place", "doc_id", "next_bucket", "next_place", "n_chars", "text_md5", "edited_md5", "edited_sha256"
     ).agg(F.collect_list(F.struct("kind", "key", "mask")).alias("found"))
+    # One projection per step, so that what is used sixteen times is computed once.
+    grouped = grouped.withColumns({"own": _own(F.col("found"), 0), "edited_own": _own(F.col("found"), 1)}).drop("found")
+    grouped = grouped.withColumns({"parts": _parts(F.col("own")), "edited_parts": _parts(F.col("edited_own"))}).drop("own", "edited_own")
     out = stored(grouped.select(
         "doc_id", "bucket", "place", "next_bucket", "next_place", "n_chars", "edited_sha256",
-        _parts(F.col("found"), 0, F.col("text_md5")).alias("parts"), _parts(F.col("found"), 1, F.col("edited_md5")).alias("edited_parts"),
-    ), "imatch-parts")
+        _or_whole("parts", "text_md5"), _or_whole("edited_parts", "edited_md5")), "imatch-parts")
     following = out.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("parts").alias("next_parts"))
     return out.join(following, ["next_bucket", "next_place"]).select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("parts", "-").alias("fingerprint"),

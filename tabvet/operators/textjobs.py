@@ -84,13 +84,10 @@ def update_value(text: Column) -> Column:
 
 # ------------------------------------------------------------------ T4
 def split_clauses(df: DataFrame, text_col: str, key: Sequence[str]) -> DataFrame:
-    """(key, clause_no, clause): non-blank trimmed clauses, numbered from 1."""
-    parts = df.select(*key, F.posexplode(F.split(F.col(text_col), CLAUSE_SPLIT)).alias("pos", "clause"))
-    parts = parts.select(*key, "pos", F.regexp_replace("clause", r"^\s+|\s+$", "").alias("clause")).where(F.col("clause") != "")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*key).orderBy("pos")
-    return parts.select(*key, F.row_number().over(w).cast("long").alias("clause_no"), "clause")
+    """(key, clause_no, clause): non-blank trimmed clauses, numbered from 1; row by row, without a shuffle."""
+    parts = F.transform(F.split(F.col(text_col), CLAUSE_SPLIT), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    kept = df.select(*key, F.posexplode(F.filter(parts, lambda c: c != "")).alias("pos", "clause"))
+    return kept.select(*key, (F.col("pos") + 1).cast("long").alias("clause_no"), "clause")
 
 
 # ------------------------------------------------------------------ T5
@@ -128,18 +125,27 @@ def media_segments(df: DataFrame, text_col: str, key: Sequence[str], tokens: Seq
     markers = [(t, table) for table, terms in MEDIA_TABLE_TERMS.items() for t in terms]
     marker_re = "(" + "|".join(re.escape(t) for t, _ in markers) + ")"
     cut = F.split(F.regexp_replace(F.col(text_col), marker_re, "\u0001$1"), "\u0001")
-    segs = df.select(*key, F.posexplode(cut).alias("pos", "seg")).where(F.col("pos") > 0)
-    table = None
-    for t, tb in markers:
-        cond = F.col("seg").startswith(t)
-        table = F.when(cond, F.lit(tb)) if table is None else table.when(cond, F.lit(tb))
-    segs = segs.withColumn("table", table).withColumn("c", compact(F.col("seg")))
-    score = sum(F.when(F.col("c").contains(re.sub(r"\s+", "", t).lower()), F.lit(1)).otherwise(F.lit(0)) for t in tokens)
-    per = segs.dropDuplicates([*key, "table", "seg"]).groupBy(*key, "table").agg(F.sum(score).alias("score"))
-    from pyspark.sql import Window
-
-    best = F.max("score").over(Window.partitionBy(*key))
-    return per.withColumn("_best", best).where((F.col("score") == F.col("_best")) & (F.col("score") > 0)).drop("_best")
+
+    def table_of(seg: Column) -> Column:
+        return F.coalesce(*[F.when(seg.startswith(t), F.lit(table)) for t, table in markers])
+
+    def found(seg: Column) -> Column:
+        c = compact(seg)
+        return sum(F.when(c.contains(re.sub(r"\s+", "", t).lower()), F.lit(1)).otherwise(F.lit(0)) for t in tokens)
+
+    # All within the row: a segment counts once, a table has the sum of its segments.
+    segs = F.transform(F.array_distinct(F.slice(cut, F.lit(2), F.size(cut))), lambda x: F.struct(table_of(x).alias("table"), found(x).alias("n")))
+    staged = df.select(*key, segs.alias("_segs"))
+
+    def total(table: str) -> Column:
+        own = F.filter("_segs", lambda x: x["table"] == table)
+        return F.struct(F.lit(table).alias("table"), F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("score"))
+
+    totals = [total(table) for table in MEDIA_TABLE_TERMS]
+    staged = staged.select(*key, F.array(*totals).alias("_totals"))
+    best = F.array_max(F.transform("_totals", lambda x: x["score"]))
+    kept = F.filter("_totals", lambda x: (x["score"] == best) & (x["score"] > 0))
+    return staged.select(*key, F.inline(kept))
 
 
 # ------------------------------------------------------------------ T7

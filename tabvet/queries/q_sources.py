@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabvet.functions import headers as H
 from tabvet.queries.registry import register
 from tabvet.session import shared_path
+from tabvet.operators.catalog import distinct_channels
 from tabvet.sources import files as FS
 from tabvet.sources.tables import TABLES, header_cells, load, stg_b, with_staging
 
@@ -167,21 +168,36 @@ _SPARK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCH
                 "FLOAT[]": "array<float>"}
 
 
+#: Column that holds the channel, for the tables that have one.
+CHANNEL_COLUMN = {"documents": "source"}
+
+
+def _channels_sql(table: str) -> str:
+    c = CHANNEL_COLUMN.get(table)
+    return f"array_to_string(list_sort(list(DISTINCT {c}) FILTER (trim({c}) <> '')), ',')" if c else "CAST(NULL AS VARCHAR)"
+
+
 @register(
     "read_tables",
-    "SELECT table_name, CAST(ordinal_position AS BIGINT) AS ordinal, column_name, CASE data_type "
+    "WITH read AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS row_count, {_channels_sql(t)} AS channels FROM {t}" for t in TABLES)
+    + ") SELECT table_name, CAST(ordinal_position AS BIGINT) AS ordinal, column_name, CASE data_type "
     + " ".join(f"WHEN '{d}' THEN '{s}'" for d, s in _SPARK_TYPES.items())
-    + " ELSE lower(data_type) END AS data_type FROM information_schema.columns WHERE table_name IN ("
-    + ", ".join(f"'{t}'" for t in TABLES) + ")",
+    + " ELSE lower(data_type) END AS data_type, row_count, channels FROM information_schema.columns JOIN read USING (table_name)",
 )
 def read_tables(spark, sf):
-    """The live schema of every table, read from the Parquet footers."""
-    frames = []
+    """Every table read in full: its live schema, its rows, and its sorted channel list."""
+    schema, read = [], None
     for t in TABLES:
         df = load(spark, sf, t)
-        frames.append(spark.createDataFrame([(t, i + 1, c, d) for i, (c, d) in enumerate(df.dtypes)],
-                                            "table_name string, ordinal long, column_name string, data_type string"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        schema += [(t, i + 1, c, d) for i, (c, d) in enumerate(df.dtypes)]
+        own = df.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        if t in CHANNEL_COLUMN:
+            listed = distinct_channels(df, CHANNEL_COLUMN[t]).agg(
+                F.array_join(F.array_sort(F.collect_list(CHANNEL_COLUMN[t])), ",").alias("channels"), F.lit(t).alias("table_name"))
+            own = own.join(listed, "table_name")
+        else:
+            own = own.withColumn("channels", F.lit(None).cast("string"))
+        read = own if read is None else read.unionByName(own)
+    columns = spark.createDataFrame(schema, "table_name string, ordinal long, column_name string, data_type string")
+    return columns.join(read, "table_name").select("table_name", "ordinal", "column_name", "data_type", "row_count", "channels")

@@ -2,17 +2,17 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns.  Every value
 found is a protected entity.  The method adds spans of kind ``term``: words
-near an entity that reveal it.  From the whole corpus, with p(e) the share of
-documents that hold the entity and p(e|t) the share of documents with term t in
-which t stands near e, the information that t gives about e, relative to what e
+that reveal an entity of their document.  From the whole corpus, with p(e) the
+share of documents that hold the entity and p(e|t) the share of documents with
+term t that hold e (t outside all base spans), the information that t gives about e, relative to what e
 holds, is
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 p(e|t) / -log2 p(e).
 
 A term discloses e if this reaches ``DISCLOSURE`` and both e and the pair are
 seen in at least ``SUPPORT`` different texts (copies of one text prove
-nothing).  It is marked only where it stands near e, so documents without
-personal data stay untouched.  ``sanitised`` replaces base spans by their kind,
+nothing).  It is marked wherever it stands in a document that holds e, so
+documents without personal data stay untouched.  ``sanitised`` replaces base spans by their kind,
 generalises revealing terms, and removes those that give e away entirely
 (p(e|t) = 1).
 
@@ -25,7 +25,6 @@ result.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ from tabvet.llm.common import stored
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity that count as near it.
+#: Words on each side of an entity that the tests' definition looks at; the operator looks at whole documents.
 NEAR_WORDS = 8
 #: Least number of different texts for an entity and for a pair.
 SUPPORT = 3
@@ -104,9 +103,13 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end): words near each base span that lie in none."""
-    out = []
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """The distinct values of the base spans."""
+    return sorted({_hash(f"{KINDS[k]}:{text[s:e].lower()}") for s, k, e in spans})
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of every word that lies in no base span."""
     starts, ends = [], []  # the union of the spans
     for s, _, e in spans:
         if ends and s < ends[-1]:
@@ -114,19 +117,10 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         else:
             starts.append(s)
             ends.append(e)
-    for s, k, e in spans:
-        entity = _hash(f"{KINDS[k]}:{text[s:e].lower()}")
-        # Words by white space, so that the reach does not depend on their form.
-        before = max(0, s - 40 * NEAR_WORDS)
-        left = list(re.finditer(r"\S+", text[before:s]))[-NEAR_WORDS:]
-        right = list(re.finditer(r"\S+", text[e: e + 40 * NEAR_WORDS]))[:NEAR_WORDS]
-        for base, found in ((before, left), (e, right)):
-            for w in found:
-                for m in WORD.finditer(w[0]):
-                    a, b = base + w.start() + m.start(), base + w.start() + m.end()
-                    i = bisect.bisect_right(ends, a)  # the first span that ends behind the word's start
-                    if i == len(starts) or starts[i] >= b:
-                        out.append((entity, _hash(m[0].lower()), a, b))
+    out = []
+    # A span cuts the words at its sides.
+    for a, b in zip([0, *ends], [*starts, len(text)], strict=True):
+        out += [(_hash(m[0].lower()), m.start(), m.end()) for m in WORD.finditer(text, a, b)]
     return out
 
 
@@ -136,20 +130,20 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 FOUND = ("n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, body long,"
-         " near array<struct<entity: bigint, term: bigint, start: int, end: int>>")
+         " entities array<bigint>, words array<struct<term: bigint, start: int, end: int>>")
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Per row (key, doc_id, counts, base spans, near terms of its entities)."""
+    """Per row (key, doc_id, counts, base spans, entities, words of documents with entities)."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+        words_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "body", "near")}
+            cols: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "body", "entities", "words")}
             for t in b.column(2).to_pylist():
                 spans = base_spans(t)
                 kinds = [k for _, k, _ in spans]
@@ -159,8 +153,9 @@ def found(docs: DataFrame) -> DataFrame:
                 cols["base"].append(text)
                 cols["base_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
                 cols["body"].append(_hash(t) if spans else 0)
-                cols["near"].append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(t, spans)] if spans else [])
-            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), near_type]
+                cols["entities"].append(entities(t, spans))
+                cols["words"].append([dict(zip(("term", "start", "end"), x, strict=True)) for x in free_terms(t, spans)] if spans else [])
+            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), words_type]
             arrays = [pa.array(v, ty) for v, ty in zip(cols.values(), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["key", "doc_id", *cols])
 
@@ -170,13 +165,18 @@ def found(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, table: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """(entity, term, whole) of the pairs that reach the threshold; ``table`` is ``found`` of the same documents."""
-    pairs = table.where(F.size("near") > 0).select("key", "body", F.explode("near").alias("x")).select("key", "body", "x.entity", "x.term")
+    holders = table.where(F.size("entities") > 0).select("key", "body", F.explode("entities").alias("entity")).distinct()
     # Counts by document; support by different texts.  A document counts a pair once.
-    once = pairs.distinct()
-    entity = (
-        once.select("entity", "key", "body").distinct().groupBy("entity", "body").agg(F.count(F.lit(1)).alias("docs"))
+    entity = stored(
+        holders.groupBy("entity", "body").agg(F.count(F.lit(1)).alias("docs"))
         .groupBy("entity").agg(F.sum("docs").alias("entity_docs"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= support).select("entity", "entity_docs")
+        .where(F.col("texts") >= support).select("entity", "entity_docs"), "pii-entities")
+    # Only documents with an entity of enough support are paired with their words.
+    own = holders.join(entity, "entity").groupBy("key").agg(F.collect_list("entity").alias("own"))
+    once = (
+        table.where(F.size("entities") > 0).select("key", "body", F.array_distinct("words.term").alias("terms")).join(own, "key")
+        .select("key", "body", "own", F.explode("terms").alias("term"))
+        .select("key", "body", F.explode("own").alias("entity"), "term").distinct()
     )
     both = (
         once.groupBy("entity", "term", "body").agg(F.count(F.lit(1)).alias("docs"))
@@ -236,9 +236,14 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def term_spans(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, terms): the revealing terms of each document, as (start, end, whole)."""
-    near = table.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*")
+    holds = table.where(F.size("entities") > 0)
+    revealing = (
+        holds.select("key", F.explode("entities").alias("entity")).join(pairs, "entity")
+        .groupBy("key", "term").agg(F.max("whole").alias("whole"))
+    )
+    words = holds.join(revealing.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("x")).select("key", "x.*")
     return (
-        near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("whole").alias("whole"))
+        words.join(revealing, ["key", "term"]).groupBy("key", "start", "end").agg(F.max("whole").alias("whole"))
         .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "whole"))).alias("terms"))
     )
 

@@ -104,6 +104,22 @@ def test_disclosing_terms_against_definition(spark):
     assert sanitised(docs).schema == docs.schema
 
 
+def test_terms_far_from_the_entity(spark):
+    """A revealing name is found and taken out wherever it stands in a document with the entity."""
+    filler = [" ".join(f"{w}{'x' * (i % 3)}" for w in ("alpha", "beta", "gamma", "delta") * 6) for i in range(3)]
+    rows = [(i, f"{filler[i % 3]} row {'abcdefghij'[i % 10]}") for i in range(50)]
+    rows += [(100 + i, f"Zebrowski wrote {filler[i % 3]} {'u' * 100} zeb@quux.example {'v' * 100} {filler[i % 3]} Zebrowski seat{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in sanitised(docs).collect()}
+    for i, text in rows:
+        assert "Zebrowski" not in clean[i] and "zeb@" not in clean[i]
+        assert i >= 100 or clean[i] == text
+    spans = {r.doc_id: r.spans.split(",") for r in detected(docs).collect()}
+    for i, text in rows[50:]:
+        for m in re.finditer("Zebrowski|u{100}|v{100}", text):
+            assert f"term:{m.start()}:{m.end()}" in spans[i]
+
+
 def test_counts_and_empty_table(spark):
     text = "Mail a.b@c.de or +1 (743) 555-3824, 227.5.221.1; card 4111 1111 1111 1111."
     docs = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, n_chars long")

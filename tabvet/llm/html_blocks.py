@@ -14,7 +14,7 @@ BLOCK_TAGS = frozenset(
     " summary table tbody td textarea tfoot th thead title tr ul".split())
 #: Tags without content, and tags whose text is no text of the page.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style template svg math object".split())
+HIDDEN_TAGS = frozenset("script style template".split())
 #: An opening tag ends these, as pages often leave them open.
 IMPLIED_END = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},

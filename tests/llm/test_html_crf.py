@@ -75,6 +75,13 @@ def test_blocks():
     assert deep[0].text == "text" and len(features(deep)[0]) < 20
 
 
+def test_text_of_formulas_and_fallbacks_stays():
+    page = ("<article><p>Let <math><mi>alpha</mi></math> be <svg><text>drawn</text><style>gone</style></svg></p>"
+            "<p><object data=x>fallback text</object></p><script>gone</script><template>gone</template></article>")
+    text = " ".join(b.text for b in blocks(page))
+    assert all(w in text for w in ("alpha", "drawn", "fallback text")) and "gone" not in text
+
+
 def test_mixed_layouts():
     field = default_field()
     page = ("<html><head><title>T</title></head><body><div id=nav><a href=/>Home</a> <a href=/b>Blog</a></div><div class='cookie-notice'>"

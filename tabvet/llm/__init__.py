@@ -1 +1 @@
-"""Operators for training-data pipelines (the ten numbered operators and their queries)."""
+"""Operators for training-data pipelines (the numbered operators and their queries)."""

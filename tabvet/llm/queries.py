@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_tokens", "q_mixing", "q_quality", "q_duplicates", "q_pages", "q_pii"]
+MODULES = ["q_tokens", "q_mixing", "q_quality", "q_duplicates", "q_pages", "q_pii", "q_search"]
 
 
 def load():

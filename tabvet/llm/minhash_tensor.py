@@ -133,15 +133,22 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, _SKETCH)
 
 
-def _tables(nodes: DataFrame) -> DataFrame:
-    """(table, node) for every table key that may be shared: keys of a collection that one node alone has are left out."""
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """(node, first, second): the keys of both collections without those that one node alone has."""
     keys = stored(nodes.select("node", F.explode(F.concat("first", "second")).alias("key")), "minhash-keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key")
     left = keys.join(shared, "key").groupBy("node").agg(F.collect_set("key").alias("shared"))  # at most 2 * BANDS keys
     both = left.join(nodes.select("node", "first", "second"), "node").select(
         "node", F.array_intersect("first", "shared").alias("first"), F.array_intersect("second", "shared").alias("second"))
-    return both.select("node", "second", F.explode("first").alias("u")).select("node", "u", F.explode("second").alias("v")).select(
+    return stored(both.where((F.size("first") > 0) & (F.size("second") > 0)), "minhash-shared")
+
+
+def _tables(keys: DataFrame) -> DataFrame:
+    """(table, node, members) for every table key that two nodes share."""
+    rows = keys.select("node", "second", F.explode("first").alias("u")).select("node", "u", F.explode("second").alias("v")).select(
         F.xxhash64("u", "v").alias("table"), "node")
+    members = rows.groupBy("table").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return stored(rows.join(members, "table"), "minhash-tables")
 
 
 def _possible(x: Column, y: Column) -> Column:
@@ -218,14 +225,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(
         sketches.where("first is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "first", "second", "bits"))), "minhash-nodes")
 
-    tables = _tables(nodes)
-    heads = tables.groupBy("table").agg(F.count(F.lit(1)).alias("members"))
-    tables = stored(tables.join(heads.where("members > 1"), "table"), "minhash-tables")
-    wide = tables.groupBy("node").agg(F.count(F.lit(1)).alias("tables"))
-    wide = stored(wide, "minhash-wide")
+    keys = _shared_keys(nodes)
+    tables = _tables(keys)
+    wide = stored(tables.groupBy("node").agg(F.sum("members").alias("met")), "minhash-wide")
     sets = _sets(base, wide.select("node"))
-    # A table's head is the member that shares most tables with others: of near copies the most central one.
-    head = tables.join(wide, "node").groupBy("table").agg(F.max_by("node", F.struct("tables", "node")).alias("head"))
+    # A table's head is the member that meets most others over all tables: of near copies the most central one.
+    head = tables.join(wide, "node").groupBy("table").agg(F.max_by("node", F.struct("met", "node")).alias("head"))
     pairs = tables.join(head, "table").where("node <> head").select(*_ordered("node", "head"))
     pairs = _possible_pairs(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tables")), nodes)
     # Each node's partners of most tables; what this leaves out is tried below unless it is connected by then.
@@ -236,28 +241,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(tried, sets)
     labels = components(links)
 
-    # Every pair of different components that shares a table and has not been tried.  Tables with equal members are one.
-    member = tables.groupBy("table").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("y"))
-    one_each = member.groupBy("members", "x", "y").agg(F.min("table").alias("table")).select("table")
+    # Every pair of different components that shares a table and has not been tried, at the first key that it
+    # shares in the first collection.
+    whole = keys.join(wide.select("node"), "node").join(nodes.select("node", "n", "bits"), "node")
     parted = stored(
-        tables.select("table", "node").join(one_each, "table").join(labels, "node", "left")
-        .select("table", "node", F.coalesce("root", "node").alias("part")), "minhash-parted")
+        whole.select("node", F.explode("first").alias("u"), F.struct("node", "n", "bits", "first", "second").alias("x"))
+        .join(labels, "node", "left").select("u", F.coalesce("root", "node").alias("part"), "x"), "minhash-parted")
     mixed = (
-        parted.groupBy("table", "part").agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("table").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("rows", "part")).alias("main"))
-        .where("parts > 1").select("table", "main")
+        parted.groupBy("u", "part").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("u").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("rows", "part")).alias("main"))
+        .where("parts > 1").select("u", "main")
     )
-    inside = stored(
-        parted.join(mixed, "table").join(nodes.select("node", F.struct("node", "n", "bits").alias("x")), "node")
-        .select("table", "part", "main", "x"), "minhash-mixed")
+    inside = stored(parted.join(mixed, "u"), "minhash-mixed")
     few, other = inside.where("part <> main").alias("f"), inside.alias("o")
     x, y = F.col("f.x"), F.col("o.x")
     across = few.join(
         other,
-        (F.col("f.table") == F.col("o.table")) & (F.col("f.part") != F.col("o.part"))
-        & ((F.col("o.part") == F.col("o.main")) | (x["node"] < y["node"])) & _possible(x, y))
-    more = across.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
+        (F.col("f.u") == F.col("o.u")) & (F.col("f.part") != F.col("o.part"))
+        & ((F.col("o.part") == F.col("o.main")) | (x["node"] < y["node"])) & _possible(x, y)
+        & F.arrays_overlap(x["second"], y["second"]) & (F.array_intersect(x["first"], y["first"])[0] == F.col("f.u")))
+    more = across.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
     more = stored(more.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(_links(more, sets)))

@@ -26,7 +26,8 @@ step, and their sub-lists' first nodes are tried with one another.
 
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; null ids take part and never name a component that has another id;
-repeated rows are copies; extra columns are ignored; an empty table gives an
+repeated rows are copies, and rows of one id with different texts are
+documents of their own; extra columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -86,7 +87,7 @@ def node_id(s: np.ndarray) -> int:
 
 
 def _sets_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, node) of all documents and rows (chunk, counts) of each task's counters, in one pass."""
+    """Rows (doc_id, text_key, n, node) of all documents and rows (chunk, counts) of each task's counters, in one pass."""
     size, chunk = 1 << COUNTER_BITS, 1 << CHUNK_BITS
     shift = np.uint64(64 - COUNTER_BITS)
 
@@ -95,7 +96,8 @@ def _sets_and_counts(docs: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()),
+                            ("counts", pa.binary())])
         total, held, n_held = np.zeros(size, dtype=np.uint32), [], 0
         seen: set[int] = set()
 
@@ -119,7 +121,7 @@ def _sets_and_counts(docs: DataFrame) -> DataFrame:
                         add()
             none = [None] * len(ns)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                [b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                 schema=schema)
         add()
         for c in range(size // chunk):
@@ -127,7 +129,7 @@ def _sets_and_counts(docs: DataFrame) -> DataFrame:
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"chunk": c, "counts": zlib.compress(part.tobytes(), 1)}], schema=schema)
 
-    return docs.mapInArrow(rows, "doc_id long, n long, node long, chunk int, counts binary")
+    return docs.mapInArrow(rows, "doc_id long, text_key long, n long, node long, chunk int, counts binary")
 
 
 def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -319,10 +321,15 @@ def _links(docs: DataFrame, pairs: DataFrame, levels, pivots: np.ndarray) -> Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    return _placed(docs, id_col, text_col).drop("text_key")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row; ``text_key`` tells rows of one id with different texts apart."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     first_pass = stored(_sets_and_counts(base), "ngram-sets")
-    sets = first_pass.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
+    sets = first_pass.where(F.col("n").isNotNull()).select("doc_id", "text_key", "n", "node")
     level_table, pivots = _levels(first_pass.where(F.col("chunk").isNotNull()).select("chunk", "counts"))
     levels = spark.sparkContext.broadcast(level_table)
 
@@ -351,6 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(signs.select(F.col("node").alias("b"), F.struct("*").alias("sb")), "b")
         .where(_overlap_possible(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b", "na", "nb", "lists")
     )
+    pool = stored(pool, "ngram-pool")
     # Each node's partners of most lists; what this leaves out is tried below unless it is connected by then.
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("lists").desc(), "a", "b"))
     tried = (
@@ -362,6 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # Every pair of different components that shares a prefix shingle, passes the bounds and has not been tried.
+    # Lists of two nodes are one pair each, which the pool holds.
     # Of shingles with the same list only the first in the order is needed: it is the first that its nodes share.
     long_lists = lists.where((F.col("members") > 2) | (F.col("salt") > 0))
     same = F.when(F.col("salt") > 0, F.col("token")).otherwise(F.col("whole"))
@@ -392,8 +401,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = x["node"] < y["node"]
     more = across.select(
         F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"),
-        F.when(first, x["n"]).otherwise(y["n"]).alias("na"), F.when(first, y["n"]).otherwise(x["n"]).alias("nb")).distinct()
-    more = stored(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+        F.when(first, x["n"]).otherwise(y["n"]).alias("na"), F.when(first, y["n"]).otherwise(x["n"]).alias("nb"))
+    left_over = (
+        pool.drop("lists").join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        .join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "na", "nb")
+    )
+    more = stored(more.unionByName(left_over).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(_links(base, more, levels, pivots)))
 
@@ -402,12 +416,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = placed.groupBy("part").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "part").select("node", "component_id")
     return sets.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "text_key", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component; rows without an id cannot be named and stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose document has the smallest id of its component.
+
+    Rows of one id with different texts are different documents and are decided one by one; equal rows stay
+    or go together; rows without an id cannot be named and stay."""
+    found = _placed(docs, id_col, text_col)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(
+        F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("_gone")) & (F.xxhash64(docs[text_col]) == F.col("_gone_text")), "left_anti")

@@ -107,6 +107,47 @@ def test_large_group_of_near_copies(spark):
     assert result(near_duplicates(docs)) == expected(rows)
 
 
+def test_pair_outranked_by_partners_that_do_not_link(spark):
+    """A linking pair whose shared early shingles stand in lists of just the two, while each has two partners with more lists."""
+    rng = random.Random(17)
+    rows, serial = [], iter(range(10**9))
+
+    def fresh(n):
+        return [f"u{next(serial)}" for _ in range(n)]
+
+    for _ in range(8):
+        rest, tails = fresh(214), [fresh(214) for _ in range(4)]
+        link = fresh(34)
+        for early, own in ((fresh(40), tails[:2]), (fresh(40), tails[2:])):
+            rows.append(early + link + rest)
+            rows += [early + link + t for t in own]
+        rows += [[w for part in rng.sample([rest, *tails], 5) for w in [*fresh(30), *part]] for _ in range(14)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(near_duplicates(docs)) == expected(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shared_boilerplate(spark, seed):
+    """Documents put together from shared blocks, so that many pairs stand near the threshold on either side."""
+    rng = random.Random(seed)
+    blocks = [[f"b{i}w{j}" for j in range(rng.randint(20, 90))] for i in range(40)]
+    rows = []
+    for i in range(260):
+        words = [w for b in rng.sample(blocks[: rng.choice([8, 40])], rng.randint(1, 6)) for w in b]
+        rows.append((i, " ".join(edited(rng, words, rng.choice([0, 0, 0.01]), blocks[0]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(near_duplicates(docs)) == expected(rows)
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(7, "a b c d e f"), (7, "g h i j k l"), (3, "a b c d e f"), (9, "g h i j k l"), (9, "m n o p q r"), (9, "m n o p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in one_of_each(docs).collect())
+    assert left == [(3, "a b c d e f"), (7, "g h i j k l"), (9, "m n o p q r"), (9, "m n o p q r")]
+
+
 def test_kept_rows_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (2, "A b c d e f"), (9, "other text"), (3, None), (4, ""), (None, "a b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

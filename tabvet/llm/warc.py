@@ -18,7 +18,8 @@ payload that was cut at rejected candidates are put together again.
 Defined results: a null html is an empty payload; null or odd urls are written
 as percent-encoded text; null page ids are written as an empty field and never
 win against an id; equal ids with equal payloads are all responses if they
-have the largest id; extra columns are ignored; an empty table gives an empty
+have the largest id; pages of one id with different payloads are told apart by
+their digests; extra columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -99,14 +100,14 @@ def write(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> str:
     return path
 
 
-CANDIDATE = "file string, split long, at long, size long, head long, length long, type string, page_id long, refers_to long, digest string"
+CANDIDATE = "file string, split long, at long, size long, head long, length long, type string, page_id long, refers_to long, digest string, stated string"
 
 
 def candidates(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
-    """(file, split, at, size, head, length, type, page_id, refers_to, digest) of every text behind a magic, in one scan.
+    """(file, split, at, size, head, length, type, page_id, refers_to, digest, stated) of every text behind a magic, in one scan.
 
     ``at``: offset in the split's own text; ``size``: bytes up to the next magic; ``head``: bytes up to the block;
-    ``digest``: of the block, if all of it is there.  With ``blocks`` also the text itself."""
+    ``digest``: of the block, if all of it is there; ``stated``: the payload's by the header.  With ``blocks`` also the text itself."""
     lines = spark.read.option("lineSep", VERSION).text(path).select(
         F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"))
@@ -131,7 +132,8 @@ def candidates(spark: SparkSession, path: str, blocks: bool = False) -> DataFram
                     head, n = cut + len(end), int(length)
                     row |= {"head": head, "length": n, "type": fields[b"WARC-Type"].decode("ascii", "replace"),
                             "page_id": _number(fields.get(b"Page-ID")),
-                            "refers_to": _number(fields.get(b"WARC-Refers-To-Page"))}
+                            "refers_to": _number(fields.get(b"WARC-Refers-To-Page")),
+                            "stated": fields.get(b"WARC-Payload-Digest", b"").decode("ascii", "replace").removeprefix("sha1:")}
                     if head + n <= len(value):
                         row["digest"] = base32_sha1(value[head: head + n])
                 if blocks:
@@ -185,13 +187,13 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def records_of(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The true records (file, start, head, length, type, page_id, refers_to, digest), and the pieces
+    """The true records (file, start, head, length, type, page_id, refers_to, digest, stated), and the pieces
     (file, start, owner) of those whose block holds a magic."""
     narrow = stored(chained(stored(candidates(spark, path), "warc-candidates")), "warc-chained")
     found = narrow.where(F.col("length").isNotNull())
     true_records = stored(
         found.join(reachable(found.select("file", "start", "next")), ["file", "start"], "left_semi")
-        .select("file", "start", "head", "length", "type", "page_id", "refers_to", "digest"), "warc-records")
+        .select("file", "start", "head", "length", "type", "page_id", "refers_to", "digest", "stated"), "warc-records")
     # Candidates between a record and its successor are pieces of its block; what is behind it is cut off by its length.
     owner = F.last(F.when(F.col("true"), F.col("start")), ignorenulls=True).over(
         Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
@@ -239,7 +241,7 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     rows = true_records.where(F.col("digest").isNotNull()).select(
         "page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-        F.col("type").alias("record_type"), "refers_to")
+        F.col("type").alias("record_type"), "refers_to", "stated")
     if not pieces.isEmpty():
         again = true_records.where(F.col("digest").isNull()).join(_joined(pieces, _blocks(spark, path)), ["file", "start"])
 
@@ -249,14 +251,16 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
                 yield b.drop(columns="payload")
 
         rows = rows.unionByName(
-            again.select("page_id", F.col("length").alias("payload_bytes"), F.col("type").alias("record_type"), "refers_to",
+            again.select("page_id", F.col("length").alias("payload_bytes"), F.col("type").alias("record_type"), "refers_to", "stated",
                          _payload().alias("payload"))
-            .mapInPandas(digests, "page_id long, payload_bytes long, record_type string, refers_to long, payload_digest string")
-            .select(columns))
+            .mapInPandas(digests, "page_id long, payload_bytes long, record_type string, refers_to long, stated string, payload_digest string")
+            .select(*columns, "stated"))
     rows = stored(rows, "warc-digests")
-    responses = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(
-        F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    # Pages of one id may differ: a revisit's response has the id that it names and the digest that it states.
+    named = ["refers_to", "payload_digest"]
+    responses = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(
+        F.first("payload_bytes").alias("payload_bytes"))
+    revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("stated").alias("payload_digest"))
     # Only responses that a revisit names, so that a hot one meets its revisits in a join that can be split.
     return rows.where("record_type <> 'revisit'").select(columns).unionByName(
-        revisits.join(responses, "refers_to", "left").select(columns))
+        revisits.join(responses, named, "left").select(columns))

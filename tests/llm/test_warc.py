@@ -37,6 +37,7 @@ ROWS = [
     (5, "b", "text\r\n\r\n" + MAGIC + "\r\n\r\nafter"), (6, "b", MAGIC), (7, "c", "\r\n\r\n" + MAGIC + "\r\n\r\n" + MAGIC),
     (8, "c", "ends\r\n\r\n"), (9, "c", "\r\n\r\nWARC/1.1\r\n"), (10, "c", "WARC/1.1\r\n"), (11, "c", "\r\n"), (12, "d", "x" * 7_000),
     (None, "e", "no id"), (13, "e", "no id"), (None, "f", "alone"), (14, "g", "<p>é</p>"), (14, "g", "<p>é</p>"), (15, "h", "😀" * 50),
+    (20, "i", "one payload"), (20, "i", "another one"), (18, "i", "one payload"), (19, "i", "another one"),
 ]
 
 

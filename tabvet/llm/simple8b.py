@@ -189,9 +189,10 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # A text that holds the content of an added token goes to the library as it is: its pieces would be cut otherwise.
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # The same pattern with the letters and digits of plain texts spelled out: twice as fast.
         plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xC0, 0x100))]
@@ -221,7 +222,8 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain = [self.pattern.findall(t.lower()) if self.PLAIN.fullmatch(t) else None for t in texts]
+        plain = [self.pattern.findall(low) if self.PLAIN.fullmatch(t) and not any(a in low for a in self.added) else None
+                 for t, low in ((t, t.lower()) for t in texts)]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
         pieces = self.pieces

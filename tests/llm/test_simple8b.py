@@ -38,7 +38,6 @@ def test_slices_and_packing():
 
 def expected(rows):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     out, start = [], 0
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]

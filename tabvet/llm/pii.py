@@ -37,8 +37,6 @@ from tabvet.llm.common import stored
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity that the tests' definition looks at; the operator looks at whole documents.
-NEAR_WORDS = 8
 #: Least number of different texts for an entity and for a pair.
 SUPPORT = 3
 #: Share of an entity's information from which on a term is sanitised.

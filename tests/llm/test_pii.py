@@ -46,22 +46,19 @@ def test_base_patterns_on_random_texts():
 
 
 def disclosed(rows):
-    """Spans of kind term by the definition, on words."""
+    """Spans of kind term by the definition: every word of a document with every entity of it."""
     near, holds, spans = [], defaultdict(set), []
     for i, (_, text) in enumerate(rows):
         text = text or ""
         own = base_spans(text)
         spans.append(own)
-        for w in set(re.findall(r"[^\W\d_]{3,}", text.lower())):
-            holds[w].add(i)
-        for s, k, e in own:
-            for side in (list(re.finditer(r"\S+", text[:s]))[-pii.NEAR_WORDS:], list(re.finditer(r"\S+", text[e:]))[:pii.NEAR_WORDS]):
-                base = 0 if side and side[0].string == text[:s] else e
-                for w in side:
-                    for m in re.finditer(r"[^\W\d_]{3,}", w[0]):
-                        a, b = base + w.start() + m.start(), base + w.start() + m.end()
-                        if not any(a < y and x < b for x, _, y in own):
-                            near.append((i, (k, text[s:e].lower()), m[0].lower(), a, b))
+        words = list(re.finditer(r"[^\W\d_]{3,}", text.lower()))
+        for m in words:
+            holds[m[0]].add(i)
+        for e in {(k, text[s:e].lower()) for s, k, e in own}:
+            for m in words:
+                if not any(m.start() < y and x < m.end() for x, _, y in own):
+                    near.append((i, e, m[0], m.start(), m.end()))
     entity, pair = defaultdict(set), defaultdict(set)
     for i, (_, text) in enumerate(rows):
         for s, k, e in spans[i]:

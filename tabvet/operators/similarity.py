@@ -1,21 +1,23 @@
 """Fuzzy candidates and recommendations.
 
-Exact Ratcliff-Obershelp ratios are computed only for pairs that survive a
-upper bound, ``2*|chars(a) & chars(b)| / (la + lb)`` over multisets of
-characters. It bounds the ratio from above, so filtering on it never drops a
-pair whose exact score reaches the cut. Terms and catalog meet block by block;
-the bound is a min-sum of matrices over the block's alphabet, with ``difflib``
-only on survivors. There is one path and one rounding rule for all sizes.
+Exact Ratcliff-Obershelp ratios are computed only for pairs that two indexes
+find.  A ratio of ``cut`` needs ``2 * |chars(a) & chars(b)| >= cut * (la + lb)``
+over multisets of characters, so with the set of a text's (character, how often
+so far) tokens, sorted by rarity, two such texts share a token of their prefixes
+and have lengths within a fixed factor: pairs meet by token and length class, at
+the first token that they share.  Containment is found by the rarer text's
+rarest q-gram.  Pairs that share nothing never meet.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabvet import fixed_values as FV
 from tabvet.functions.semantics import nfc
@@ -33,42 +35,99 @@ def confidence_band(score: Column) -> Column:
             .when(score >= FV.CONFIDENCE_MEDIUM, F.lit("medium")).otherwise(F.lit("low")))
 
 
-SCORED_SCHEMA = "term string, kind string, target_table string, column_name string, candidate string, score double"
-#: Candidates and terms that meet in one task.
-BLOCK_CANDIDATES, BLOCK_TERMS = 2_000, 2_000
-
-
-def _characters(keys: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(keys), len(alphabet)), dtype=np.int32)
-    for i, k in enumerate(keys):
-        for ch in k:
-            if ch in alphabet:
-                out[i, alphabet[ch]] += 1
-    return out
-
-
-def _score_block(terms: pd.DataFrame, catalog: pd.DataFrame, cut: float) -> pd.DataFrame:
-    """Scores of one block of terms against one block of candidates: the bounds as
-    matrices, the exact ratio only for pairs that reach the cut by them."""
-    tks, cks = [k or "" for k in terms["tk"]], [k or "" for k in catalog["ck"]]
-    alphabet = {ch: i for i, ch in enumerate(sorted(set("".join(cks))))}
-    tm, cm = _characters(tks, alphabet), _characters(cks, alphabet)
-    overlap = np.zeros((len(tks), len(cks)), dtype=np.int32)
-    for a in range(len(alphabet)):
-        overlap += np.minimum(tm[:, a: a + 1], cm[None, :, a])
-    total = np.array([len(k) for k in tks])[:, None] + np.array([len(k) for k in cks])[None, :]
-    near = np.where(total == 0, 1.0, 2.0 * overlap / np.maximum(total, 1)) >= cut
-    names, rows = catalog[["kind", "target_table", "column_name", "candidate", "floor_rule"]].values.tolist(), []
-    for j, (*own, rule) in enumerate(names):
-        for i, (term, tk) in enumerate(zip(terms["term"], tks, strict=True)):
-            contained = rule == "contain" and (tk in cks[j] or cks[j] in tk)
-            if not (near[i, j] or contained):
-                continue
-            score = difflib.SequenceMatcher(None, tk, cks[j]).ratio()
-            score = max(score, FV.CONTAINMENT_FLOOR) if contained else score
-            if score >= cut:
-                rows.append((term, *own, round(max(score, FV.ALIAS_FLOOR) if rule == "alias" else score, 3)))
-    return pd.DataFrame(rows, columns=["term", "kind", "target_table", "column_name", "candidate", "score"])
+#: Characters of the grams by which contained texts are found; shorter texts are one gram.
+GRAM = 3
+#: Room for rounding in the bounds; the exact ratio decides.
+_SLACK = 1e-9
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _char_tokens(keys: pd.Series) -> pd.Series:
+    """Each character with its number among the equal ones: equal tokens of two texts count their common characters."""
+    def tokens(key: str) -> list[str]:
+        seen: dict[str, int] = {}
+        out = []
+        for ch in key:
+            seen[ch] = seen.get(ch, 0) + 1
+            out.append(f"{ch}{seen[ch]}")
+        return out
+    return keys.map(tokens)
+
+
+def _with_tokens(keys: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(key, n, tokens): tokens rarest first."""
+    rows = keys.select("key", F.explode(_char_tokens("key")).alias("token")).join(frequency, "token")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frequency", "token"))), lambda t: t["token"])
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), ordered.alias("tokens"))
+
+
+def _prefixed(rows: DataFrame, cut: float) -> DataFrame:
+    """With the prefix that must hold a common token of any text in reach, and the length class."""
+    shared = F.ceil(F.col("n") * F.lit(cut / (2 - cut)) - _SLACK)
+    return rows.withColumns({"prefix": F.slice("tokens", 1, (F.col("n") - shared + 1).cast("int")), "size_class": F.floor(F.log2("n")).cast("int")})
+
+
+def similar_keys(terms: DataFrame, candidates: DataFrame, cut: float) -> DataFrame:
+    """(tk, ck): all pairs of the keys (key) of both sides whose common characters allow a ratio of ``cut``."""
+    both = terms.select("key").unionByName(candidates.select("key")).distinct()
+    frequency = both.select(F.explode(_char_tokens("key")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
+    t = checkpoint(_prefixed(_with_tokens(terms, frequency), cut)).alias("t")
+    c = checkpoint(_prefixed(_with_tokens(candidates, frequency), cut)).alias("c")
+    # Lengths differ by a factor of (2 - cut) / cut at most, which spans so many classes.
+    reach = 0
+    while 2 ** reach < (2 - cut) / cut:
+        reach += 1
+    classes = F.sequence(F.col("size_class") - reach, F.col("size_class") + reach)
+    probe = t.withColumn("size_class", F.explode(classes)).withColumn("token", F.explode("prefix")).alias("t")
+    listed = c.withColumn("token", F.explode("prefix")).alias("c")
+    enough = lambda common: 2 * common >= cut * (F.col("t.n") + F.col("c.n")) - _SLACK
+    found = probe.join(
+        listed,
+        (F.col("t.token") == F.col("c.token")) & (F.col("t.size_class") == F.col("c.size_class"))
+        & enough(F.least("t.n", "c.n")) & (F.array_intersect("t.prefix", "c.prefix")[0] == F.col("t.token"))
+        & enough(F.size(F.array_intersect("t.tokens", "c.tokens"))))
+    return found.select(F.col("t.key").alias("tk"), F.col("c.key").alias("ck"))
+
+
+def contained_keys(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """(needle, haystack): all pairs of keys (key) where the first stands inside the second."""
+    def grams(size: int):
+        return F.transform(F.sequence(F.lit(1), F.length("key") - size + 1), lambda i: F.substring("key", i, F.lit(size)))
+    every = [F.when(F.length("key") >= q, grams(q)).otherwise(F.array().cast("array<string>")) for q in range(1, GRAM + 1)]
+    index = haystacks.select("key", F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
+    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("frequency"))
+    own = F.when(F.length("key") >= GRAM, grams(GRAM)).otherwise(F.array("key"))
+    wanted = needles.select("key", F.explode(F.array_distinct(own)).alias("gram")).join(frequency, "gram", "left")
+    # The rarest gram; a needle with a gram that no text has is in none.
+    rarest = wanted.groupBy("key").agg(
+        F.min_by("gram", F.struct("frequency", "gram")).alias("gram"), F.count_if(F.col("frequency").isNull()).alias("missing"))
+    rarest = rarest.where("missing = 0").select(F.col("key").alias("needle"), "gram")
+    return rarest.join(index.withColumnRenamed("key", "haystack"), "gram").where(F.col("haystack").contains(F.col("needle"))).select("needle", "haystack")
+
+
+def candidate_pairs(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT) -> DataFrame:
+    """(tk, ck, contained): the pairs of normalised keys that the indexes find; ``terms`` (tk), ``catalog`` (ck, floor_rule)."""
+    t = checkpoint(terms.select(F.col("tk").alias("key")).distinct())
+    c = catalog.select(F.col("ck").alias("key")).distinct()
+    live = catalog.where("floor_rule = 'contain'").select(F.col("ck").alias("key")).distinct()
+    inside = (
+        contained_keys(t, live).select(F.col("needle").alias("tk"), F.col("haystack").alias("ck"))
+        .unionByName(contained_keys(live, t).select(F.col("haystack").alias("tk"), F.col("needle").alias("ck"))).withColumn("contained", F.lit(True))
+    )
+    return similar_keys(t, c, cut).withColumn("contained", F.lit(False)).unionByName(inside).groupBy("tk", "ck").agg(
+        F.max("contained").alias("contained"))
+
+
+def _ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(ratio=[difflib.SequenceMatcher(None, t, c).ratio() for t, c in zip(b["tk"], b["ck"], strict=True)])
+
+
+def keyed(terms: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their normalised keys; blank texts have nothing to compare and are left out."""
+    t = terms.select("term").distinct().withColumn("tk", sim_key(F.col("term"))).where("tk <> ''")
+    text = F.col("match_text") if "match_text" in catalog.columns else F.col("candidate")
+    return t, catalog.withColumn("ck", sim_key(text)).where("ck <> ''")
 
 
 def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT,
@@ -76,20 +135,16 @@ def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.
     """C4: per term the best ``top`` candidates per kind with ratio >= ``cut``.
 
     ``terms``: (term). ``catalog``: (kind, target_table, column_name, candidate,
-    floor_rule) where floor_rule is NULL, 'contain' (live column: containment
-    floors the score at 0.82) or 'alias' (a qualifying score floors at 0.7).
-
-    The requested terms are a query set against the whole catalog, in blocks:
-    both sides are dealt into blocks of bounded size and every pair of blocks
-    meets in one task, whatever the sizes; nothing is collected or broadcast."""
-    t = checkpoint(terms.select("term").distinct().withColumn("tk", sim_key(F.col("term"))))
-    c = checkpoint(catalog.withColumn("ck", sim_key(F.col("candidate"))))
-    t_blocks, c_blocks = -(-t.count() // BLOCK_TERMS) or 1, -(-c.count() // BLOCK_CANDIDATES) or 1
-    t = t.withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(t_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    c = c.withColumn("cb", F.pmod(F.xxhash64("kind", "target_table", "column_name", "candidate"), F.lit(c_blocks)).cast("int")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))))
-    pairs = t.groupBy("tb", "cb").cogroup(c.groupBy("tb", "cb"))
-    return _top_k(pairs.applyInPandas(lambda a, b: _score_block(a, b, cut), SCORED_SCHEMA), top)
+    floor_rule[, match_text]): ``match_text`` is what terms are compared with (an
+    alias), by default the candidate; floor_rule is NULL, 'contain' (live column:
+    containment floors the score at 0.82) or 'alias' (a qualifying score floors at
+    0.7)."""
+    t, c = (checkpoint(x) for x in keyed(terms, catalog))
+    pairs = candidate_pairs(t, c, cut).mapInPandas(_ratios, "tk string, ck string, contained boolean, ratio double")
+    floor = F.when((F.col("floor_rule") == "contain") & F.col("contained"), F.greatest("ratio", F.lit(FV.CONTAINMENT_FLOOR))).otherwise(F.col("ratio"))
+    scored = t.join(pairs, "tk").join(c, "ck").withColumn("score", floor).where(F.col("score") >= cut)
+    alias = F.when(F.col("floor_rule") == "alias", F.greatest("score", F.lit(FV.ALIAS_FLOOR))).otherwise(F.col("score"))
+    return _top_k(scored.withColumn("score", F.round(alias, 3)), top)
 
 
 def _top_k(scored: DataFrame, top: int) -> DataFrame:

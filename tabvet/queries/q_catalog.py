@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
 from tabvet.operators import catalog as C
-from tabvet.operators.similarity import confidence_band, similarity_candidates
+from tabvet.operators import similarity as SIM
 from tabvet.queries.q_projections import _role_sql
 from tabvet.queries.registry import register
 from tabvet.sources.tables import header_cells, load, stg_k, with_staging
@@ -73,23 +73,68 @@ def _candidates(spark, sf):
     return C.catalog_candidates(cols, vals.unionByName(chans))
 
 
+#: Terms that mean a channel (configuration rows): user term, table, channel.
+CHANNEL_TERMS = [("urgent", "SA", "1-URGENT"), ("high", "SA", "2-HIGH"), ("medium", "SA", "3-MEDIUM"), ("low orders", "SA", "5-LOW"),
+                 ("unspecified", "SA", "4-NOT SPECIFIED")]
+_ALIAS_ROWS = [(a, c) for c, names in FV.HEADER_ALIASES.items() for a in names if c in K_COLS]
+
+
+def _search_rows(spark, sf):
+    """What terms are compared with: the candidates under their own names, and alias and channel-map rows under theirs."""
+    own = _candidates(spark, sf).withColumn("match_text", F.col("candidate"))
+    aliases = spark.createDataFrame(_ALIAS_ROWS, "match_text string, candidate string").select(
+        F.lit("column").alias("kind"), F.lit("SA").alias("target_table"), F.col("candidate").alias("column_name"), "candidate",
+        F.lit("alias").alias("floor_rule"), "match_text")
+    channels = spark.createDataFrame(CHANNEL_TERMS, "match_text string, target_table string, candidate string").select(
+        F.lit("value").alias("kind"), "target_table", F.lit("source_channel").alias("column_name"), "candidate",
+        F.lit("alias").alias("floor_rule"), "match_text")
+    return own.unionByName(aliases).unionByName(channels)
+
+
 def _terms(spark, sf):
     c = load(spark, sf, "conversations", fan_out=True)
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}#-]+"))
     return c.select(words.alias("term")).where(F.col("term") != "").distinct()
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+# Every pair of keys, by the common characters or by containment.
+_PAIRS_SQL = _VALUE_CATALOG_SQL + f""", texts AS (
+  SELECT column_name AS x, TRUE AS live FROM (VALUES {_values((c,) for c in K_COLS)}) v(column_name)
+  UNION ALL SELECT raw_value, FALSE FROM vc
+  UNION ALL SELECT source_channel, FALSE FROM stg_k
+  UNION ALL SELECT a, FALSE FROM (VALUES {_values(_ALIAS_ROWS)}) v(a, c)
+  UNION ALL SELECT u, FALSE FROM (VALUES {_values(CHANNEL_TERMS)}) v(u, t, c)),
+keys_c AS (SELECT {nt('x')} AS ck, bool_or(live) AS live FROM texts WHERE {nt('x')} <> '' GROUP BY 1),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}#-]+')) AS term FROM conversations),
+keys_t AS (SELECT DISTINCT {nt('term')} AS tk, list_distinct(string_split({nt('term')}, '')) AS chars FROM words WHERE {nt('term')} <> ''),
+met AS (SELECT tk, ck, live AND (contains(tk, ck) OR contains(ck, tk)) AS contained, length(tk) + length(ck) AS total,
+        list_sum(list_transform(chars, lambda ch: least(length(tk) - length(replace(tk, ch, '')), length(ck) - length(replace(ck, ch, ''))))) AS common
+      FROM keys_t, keys_c)
+SELECT tk, ck, contained FROM met WHERE contained OR 2 * common >= 0.45 * total
+"""
+
+
+@register("similarity_pairs", _PAIRS_SQL)
+def similarity_pairs(spark, sf):
+    """The pairs that the candidate indexes hand to the exact ratio."""
+    return SIM.candidate_pairs(*SIM.keyed(_terms(spark, sf), _search_rows(spark, sf)))
+
+
 @register("similarity_candidates")
 def similarity_candidates_q(spark, sf):
-    return similarity_candidates(_terms(spark, sf), _candidates(spark, sf))
+    return SIM.similarity_candidates(_terms(spark, sf), _search_rows(spark, sf))
 
 
 @register("fuzzy_term_join")
 def fuzzy_term_join(spark, sf):
     """Each request term joined to its recommended candidates with confidence."""
-    cands = similarity_candidates(_terms(spark, sf), _candidates(spark, sf))
+    cands = SIM.similarity_candidates(_terms(spark, sf), _search_rows(spark, sf))
     return cands.select("term", "kind", "target_table", "column_name", F.col("candidate").alias("recommended_term"), "score",
-                        confidence_band(F.col("score")).alias("confidence"))
+                        SIM.confidence_band(F.col("score")).alias("confidence"))
 
 
 _ALL_ALIASES = sorted({a for names in FV.HEADER_ALIASES.values() for a in names} | set(FV.HEADER_ALIASES))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import os
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -74,25 +75,27 @@ def _sim(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, n(a), n(b)).ratio()
 
 
-def test_similarity_matches_brute_force(spark, monkeypatch):
-    terms = ["a", "sa", "campain", "노출 수", "mobile", "Brand#1", "zzzz", "광고그룹"]
-    cands = [("column", "SA", "캠페인", "campaign", "contain"), ("column", "SA", "노출수", "노출수", "contain"),
-             ("value", "SA", "device", "mobile web", None), ("value", "SA", "brand", "Brand#17", None),
-             ("value", "SA", "brand", "Brand#12", None), ("column", "SA", "광고 그룹", "광고 그룹", "alias"),
-             ("value", "SA", "device", "Desktop", None)]
+def test_similarity_matches_brute_force(spark):
+    terms = ["a", "sa", "campain", "노출 수", "mobile", "Brand#1", "zzzz", "광고그룹", "매체명", " ", "bing ads"]
+    cands = [("column", "SA", "캠페인", "campaign", "contain", None), ("column", "SA", "노출수", "노출수", "contain", None),
+             ("value", "SA", "device", "mobile web", None, None), ("value", "SA", "brand", "Brand#17", None, None),
+             ("value", "SA", "brand", "Brand#12", None, None), ("column", "SA", "광고 그룹", "광고 그룹", "alias", "광고 그룹"),
+             ("value", "SA", "device", "Desktop", None, None), ("column", "SA", "session source", "session source", "alias", "매체"),
+             ("value", "DA", "source_channel", "bing", "alias", "bing ad"), ("value", "DA", "source_channel", "blank", None, "  ")]
     tdf = spark.createDataFrame([(t,) for t in terms], "term string")
-    cdf = spark.createDataFrame(cands, "kind string, target_table string, column_name string, candidate string, floor_rule string")
+    cdf = spark.createDataFrame(
+        cands, "kind string, target_table string, column_name string, candidate string, floor_rule string, match_text string"
+    ).withColumn("match_text", F.coalesce("match_text", "candidate"))
     got = {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf).collect()}
-    # many small blocks give the same answer
-    monkeypatch.setattr(similarity, "BLOCK_TERMS", 2)
-    monkeypatch.setattr(similarity, "BLOCK_CANDIDATES", 2)
-    assert {(r.term, r.candidate): r.score for r in similarity_candidates(tdf, cdf).collect()} == got
     expected = {}
     for t in terms:
+        nt = "".join(t.lower().split())
         per_kind: dict[str, list] = {}
-        for kind, _, _, cand, rule in cands:
-            s = _sim(t, cand)
-            nt, nc = "".join(t.lower().split()), "".join(cand.lower().split())
+        for kind, _, _, cand, rule, text in cands:
+            nc = "".join((text or cand).lower().split())
+            if not nt or not nc:
+                continue
+            s = _sim(t, text or cand)
             if rule == "contain" and (nc in nt or nt in nc):
                 s = max(s, 0.82)
             if s >= 0.45:
@@ -103,3 +106,27 @@ def test_similarity_matches_brute_force(spark, monkeypatch):
             for s, cand in sorted(items, key=lambda x: (-x[0], x[1]))[:5]:
                 expected[(t, cand)] = s
     assert got == expected
+
+
+def test_candidate_index_loses_no_pair(spark):
+    """All pairs of random texts: everything difflib scores at the cut, and all contained texts, are found; texts without a common character never."""
+    rng = random.Random(2)
+    texts = sorted({"".join(rng.choice(rng.choice(["ab", "abcdef", "가나다é", "xyz"])) for _ in range(rng.choice([1, 2, 3, 5, 9, 14, 40]))) for _ in range(160)})
+    terms, cands = texts[::2], texts[1::2] + texts[:20:2]
+    t = spark.createDataFrame([(x,) for x in terms], "tk string")
+    c = spark.createDataFrame([(x, "contain" if i % 2 else None) for i, x in enumerate(cands)], "ck string, floor_rule string")
+    got = {(r.tk, r.ck): r.contained for r in similarity.candidate_pairs(t, c).collect()}
+    for x in terms:
+        for i, y in enumerate(cands):
+            inside = i % 2 == 1 and (x in y or y in x)
+            if inside or difflib.SequenceMatcher(None, x, y).ratio() >= 0.45:
+                assert (x, y) in got
+            assert not inside or got[x, y]
+            assert (x, y) not in got or set(x) & set(y)
+
+
+def test_candidate_index_has_no_all_pairs_join(spark):
+    terms = spark.createDataFrame([("a",)], "tk string")
+    catalog = spark.createDataFrame([("b", "contain")], "ck string, floor_rule string")
+    plan = similarity.candidate_pairs(terms, catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

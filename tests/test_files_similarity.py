@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import difflib
+import io
 import os
 import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabvet.operators import similarity
 from tabvet.operators.similarity import similarity_candidates
 from tabvet.sources import files as FS
+from tabvet.sources import ranges
 
 
 def _tree(tmp_path):
@@ -70,6 +74,51 @@ def test_readers_end_to_end(spark, tmp_path):
     assert meta.has_metadata_rows and meta.file_format == "csv"
 
 
+def _as_csv_reads(data: bytes, codec: str, delimiter: str) -> list[list[str]]:
+    csv.field_size_limit(2**31 - 1)
+    return list(csv.reader(io.TextIOWrapper(io.BytesIO(data), encoding=codec, errors="replace", newline=""), delimiter=delimiter))
+
+
+def test_ranges_read_what_csv_reads():
+    """Random texts cut anywhere: quotes in and out of fields, all line ends, line ends in quotes, several codecs, bad bytes."""
+    rng = random.Random(1)
+    bits = ['"', '"', ",", ",", ";", "a", "bc", "é", "가", "\n", "\r", "\r\n", " ", '""', ',"x\ny"']
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 5, 40, 120])))
+        codec = rng.choice(["utf-8-sig", "utf-16", "cp949"])
+        data = text.replace("é", "e" if codec == "cp949" else "é").encode(codec) + b"\xff\xfe"[: rng.choice([0, 0, 0, 1, 2])]
+        stream, n, step = io.BytesIO(data), len(data), rng.choice([1, 2, 3, 7, 16, 50])
+        cuts = [ranges.line_start(stream, codec, at, n) for at in range(0, max(n, 1), step)] + [n]
+        got, quoted = [], False
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            own = list(ranges.rows(stream, codec, ",", start, stop, n, quoted))
+            quoted, count = ranges.transition(stream, codec, ",", start, stop, quoted)
+            assert count == len(own)
+            got += own
+        assert got == _as_csv_reads(data, codec, ",")
+
+
+@pytest.mark.parametrize("size", [64, 1000])
+def test_one_file_in_many_ranges(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(ranges, "RANGE_BYTES", size)
+    rng = random.Random(3)
+    files = {}
+    for i, codec in enumerate(["utf-8-sig", "utf-16", "cp949", "utf-8"]):
+        rows = [["이름", "값", "메모"]] + [[f"r{j}", str(rng.random()), rng.choice(["", 'say "hi"', "두 줄\n끝", "x" * 150, "a\r\nb, c"])] for j in range(80)]
+        out = io.StringIO()
+        csv.writer(out, delimiter=";" if i % 2 else ",", lineterminator=rng.choice(["\n", "\r\n"])).writerows(rows)
+        files[f"f{i}.csv"] = (out.getvalue().encode(codec), {"utf-8": "utf-8-sig"}.get(codec, codec), rows)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    for name, (data, _, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    profiles = FS.sniff_csv_dialect(FS.discover_files(spark, str(tmp_path)))
+    assert {os.path.basename(r.path): r.encoding for r in profiles.collect() if "empty" not in r.path} == {k: v[1] for k, v in files.items()}
+    got = {}
+    for r in FS.read_delimited(profiles).collect():
+        got.setdefault(os.path.basename(r.path), []).append((r.row_no, list(r.cells)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v[2], 1)) for k, v in files.items()}
+
+
 def _sim(a: str, b: str) -> float:
     n = lambda s: "".join(unicodedata.normalize("NFC", s).lower().split())
     return difflib.SequenceMatcher(None, n(a), n(b)).ratio()

@@ -92,6 +92,9 @@ def _canon(df: DataFrame, payload_col: str, fields: Sequence[str]) -> tuple[Data
 _AD_FIELDS = ("campaign_name", "campaign_code", "ad_group_name", "ad_group_code", "creative_name", "creative_code",
               "device_raw", "impressions", "clicks", "cost_raw", "ctr")
 _GA_FIELDS = ("session_campaign", "campaign_name", "session_content", "device_raw", "event_name", "sessions", "users", "key_events")
+#: Kinds of dimension members, and the key of the date that is not known.
+DIMENSIONS = ("media", "date", "campaign", "ad_group", "creative", "device", "event")
+UNKNOWN_DATE, UNKNOWN_DATE_VALUE = "0", "1000-01-01"
 
 
 def dimension_key(kind: str, source: Column, name: Column, code: Column, fall_back: bool = False) -> Column:
@@ -101,6 +104,15 @@ def dimension_key(kind: str, source: Column, name: Column, code: Column, fall_ba
     return F.when(name.isNotNull() | code.isNotNull(), hash_key(F.lit(kind), source, label, code))
 
 
+def _own_key(kind: str, value: Column) -> Column:
+    """Key of a member that its value names whatever the source; NULL without a value."""
+    return F.when(value.isNotNull(), hash_key(F.lit(kind), value))
+
+
+def _date_key(report_date: Column) -> Column:
+    return F.coalesce(F.replace(report_date, F.lit("-"), F.lit("")), F.lit(UNKNOWN_DATE))
+
+
 def silver_ad_fact(parsed: DataFrame, payload_col: str = "payload", source_col: str = "source_name") -> DataFrame:
     """Typed ad facts: dimension keys, metrics defaulting to 0, nullable ctr,
     currency and the unmapped payload as JSON."""
@@ -110,11 +122,12 @@ def silver_ad_fact(parsed: DataFrame, payload_col: str = "payload", source_col:
     src = F.col(source_col)
     zero = F.lit(0.0)
     return parsed.select(
-        "row_id", "report_date", src.alias("source_name"),
+        "row_id", "report_date", src.alias("source_name"), _own_key("media", src).alias("media_key"), _date_key(F.col("report_date")).alias("date_key"),
         dimension_key("campaign", src, c["campaign_name"], c["campaign_code"], fall_back=True).alias("campaign_key"),
         dimension_key("ad_group", src, c["ad_group_name"], c["ad_group_code"]).alias("ad_group_key"),
         dimension_key("creative", src, c["creative_name"], c["creative_code"]).alias("creative_key"),
-        c["campaign_name"].alias("campaign_name"), c["creative_name"].alias("creative_name"), c["device_raw"].alias("device_raw"),
+        _own_key("device", c["device_raw"]).alias("device_key"),
+        *[c[f].alias(f) for f in ("campaign_name", "campaign_code", "ad_group_name", "ad_group_code", "creative_name", "creative_code", "device_raw")],
         F.coalesce(parse_number(c["impressions"]), zero).alias("impressions"),
         F.coalesce(parse_number(c["clicks"]), zero).alias("clicks"),
         F.coalesce(parse_number(c["cost_raw"]), zero).alias("cost_raw"),
@@ -125,13 +138,18 @@ def silver_ad_fact(parsed: DataFrame, payload_col: str = "payload", source_col:
 
 
 def silver_ga_fact(parsed: DataFrame, payload_col: str = "payload", source_col: str = "source_name") -> DataFrame:
-    """Session facts: sessions/users/key events default 0; the session
+    """Session facts: dimension keys (campaigns and creatives by the session's
+    names, which have no codes), sessions/users/key events default 0; the session
     campaign falls back to the campaign name."""
     parsed, c = _canon(parsed, payload_col, _GA_FIELDS)
-    zero = F.lit(0.0)
+    zero, src, no_code = F.lit(0.0), F.col(source_col), F.lit(None).cast("string")
+    campaign = F.coalesce(c["session_campaign"], c["campaign_name"])
     return parsed.select(
-        "row_id", "report_date", F.col(source_col).alias("source_name"),
-        F.coalesce(c["session_campaign"], c["campaign_name"]).alias("session_campaign"),
+        "row_id", "report_date", src.alias("source_name"), _own_key("media", src).alias("media_key"), _date_key(F.col("report_date")).alias("date_key"),
+        dimension_key("campaign", src, campaign, no_code).alias("campaign_key"),
+        dimension_key("creative", src, c["session_content"], no_code).alias("creative_key"),
+        _own_key("device", c["device_raw"]).alias("device_key"), _own_key("event", c["event_name"]).alias("event_key"),
+        campaign.alias("session_campaign"),
         c["session_content"].alias("session_content"), c["device_raw"].alias("device_raw"), c["event_name"].alias("event_name"),
         F.coalesce(parse_number(c["sessions"]), zero).alias("sessions"),
         F.coalesce(parse_number(c["users"]), zero).alias("users"),
@@ -180,6 +198,65 @@ def load_stats(bronze_rows: DataFrame, key: str = "file_path") -> DataFrame:
 
 
 # ------------------------------------------------------------------ dimensions
-def dim_dedupe(candidates: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Insert-if-absent -- one row per new natural-key hash."""
-    return candidates.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
+_MEMBER = ("kind", "member_key", "source_name", "name", "code", "category", "is_conversion")
+
+
+def _member(kind: str, key: Column, source: Column, name: Column, code: Column | None = None, category: Column | None = None,
+            conversion: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(kind).alias("kind"), key.alias("member_key"), source.alias("source_name"), name.alias("name"),
+                    (none if code is None else code).alias("code"), (none if category is None else category).alias("category"),
+                    (F.lit(None).cast("boolean") if conversion is None else conversion).alias("is_conversion"))
+
+
+def is_conversion(event: Column) -> Column:
+    out = F.lit(False)
+    for token in FV.CONVERSION_TOKENS_LOWER:
+        out = out | F.lower(event).contains(token)
+    for token in FV.CONVERSION_TOKENS_RAW:
+        out = out | event.contains(token)
+    return out
+
+
+def dimension_members(ad: DataFrame, ga: DataFrame) -> DataFrame:
+    """The members of all seven dimensions that the facts name, and the unknown date.
+
+    Each fact row lists its members once; one aggregate over (kind, key), with partial
+    sums before the shuffle, makes them distinct."""
+    own, none = F.col, F.lit(None).cast("string")
+
+    def common() -> list[Column]:
+        return [
+            _member("media", own("media_key"), own("source_name"), own("source_name")),
+            _member("date", own("date_key"), none, own("report_date")),
+            _member("device", own("device_key"), none, own("device_raw"), None, device_group("device_raw")),
+        ]
+
+    of_ad = ad.select(F.explode(F.array(
+        *common(),
+        _member("campaign", own("campaign_key"), own("source_name"), F.coalesce("campaign_name", "campaign_code"), own("campaign_code")),
+        _member("ad_group", own("ad_group_key"), own("source_name"), own("ad_group_name"), own("ad_group_code")),
+        _member("creative", own("creative_key"), own("source_name"), own("creative_name"), own("creative_code")),
+    )).alias("m"))
+    conversion = is_conversion(own("event_name"))
+    of_ga = ga.select(F.explode(F.array(
+        *common(),
+        _member("campaign", own("campaign_key"), own("source_name"), own("session_campaign")),
+        _member("creative", own("creative_key"), own("source_name"), own("session_content")),
+        _member("event", own("event_key"), none, own("event_name"), None,
+                F.when(conversion, F.lit("conversion")).otherwise(own("event_name")), conversion),
+    )).alias("m"))
+    unknown = ad.sparkSession.range(1).select(
+        _member("date", F.lit(UNKNOWN_DATE), none, F.lit(UNKNOWN_DATE_VALUE), None, F.lit("unknown")).alias("m"))
+    listed = of_ad.unionByName(of_ga).unionByName(unknown).select("m.*").where(F.col("member_key").isNotNull())
+    return listed.groupBy("kind", "member_key").agg(*[F.min(c).alias(c) for c in _MEMBER[2:]])
+
+
+def dim_dedupe(members: DataFrame, existing: DataFrame) -> DataFrame:
+    """Insert-if-absent -- the members whose (kind, key) the dimensions do not hold yet."""
+    return members.join(existing.select("kind", "member_key"), ["kind", "member_key"], "left_anti")
+
+
+def dim_merge(members: DataFrame, existing: DataFrame) -> DataFrame:
+    """The dimensions after an import: members that are there keep their attributes, new ones are added."""
+    return existing.unionByName(dim_dedupe(members, existing))

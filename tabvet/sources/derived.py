@@ -191,11 +191,17 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- import rows
-# payload header -> stg_m column (fixed header spellings of the synthetic files)
+# payload header -> SQL over stg_m's columns (fixed header spellings of the synthetic files); members of the dimensions
+# stand there with a name, a code, both or neither
 IMPORT_HEADERS = {
     "일자": "date_cell", "보고 시작": "start_cell", "캠페인": "campaign", "세션 캠페인": "session_campaign",
     "광고 소재 이름": "creative", "세션 수동 광고 콘텐츠": "ad_content", "기기": "device_cell", "노출": "num_cell",
     "클릭수": "clicks_cell", "비용": "num_cell", "세션수": "clicks_cell", "비고": "ad_content",
+    "캠페인 ID": "CASE WHEN row_id % 4 = 1 THEN 'c' || CAST(row_id % 7 AS STRING) ELSE '' END",
+    "광고그룹": "CASE WHEN row_id % 5 = 0 THEN '' ELSE 'ag-' || CAST(row_id % 12 AS STRING) END",
+    "광고 그룹 ID": "CASE WHEN row_id % 3 = 0 THEN 'g' || CAST(row_id % 12 AS STRING) ELSE ' ' END",
+    "광고 소재 ID": "CASE WHEN row_id % 6 = 2 THEN 'k' || CAST(row_id % 9 AS STRING) END",
+    "이벤트 이름": "CASE row_id % 6 WHEN 0 THEN 'purchase' WHEN 1 THEN 'page_view' WHEN 2 THEN '회원 가입완료' WHEN 3 THEN 'Form_Complete' WHEN 4 THEN ' ' END",
 }
 FOLDERS = {"1-URGENT": "DA_display", "2-HIGH": "DA_display", "3-MEDIUM": "SA_search", "4-NOT SPECIFIED": "GA_web", "5-LOW": "GA_web"}
 
@@ -213,7 +219,7 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.when(k % 3 == 0, F.lit("_20240105")).when(k % 3 == 1, F.lit("_organic")).otherwise(F.lit("_BSA"))
     name = F.concat(F.lower(F.regexp_replace("source_channel", " ", "_")), suffix, F.lit(".csv"))
     path = F.concat(F.lit("raw/"), folder, F.lit("/"), name)
-    payload = F.create_map(*[x for h, c in IMPORT_HEADERS.items() for x in (F.lit(h), F.col(c))])
+    payload = F.create_map(*[x for h, c in IMPORT_HEADERS.items() for x in (F.lit(h), F.expr(c))])
     rows = m.select("row_id", path.alias("file_path"), payload.alias("payload"))
     # Materialised like a file read: without this, the optimizer folds every
     # later map lookup back into the synthetic CASE expressions above.

@@ -51,3 +51,32 @@ def test_batch_log_records_failure(spark, sf):
     log = spark.read.parquet(f"{base}/log")
     got = {r["batch_id"]: (r["status"], r["message"] is not None) for r in log.collect()}
     assert got == {"b1": ("success", False), "b2": ("failed", True)}
+
+
+def test_dimensions_hold_every_key_of_the_facts_once(spark, sf):
+    from tabvet.operators import ingest as IG
+
+    ad, ga = (x.cache() for x in QI._silver(spark, sf))
+    members = IG.dimension_members(ad, ga).collect()
+    held = {(r.kind, r.member_key) for r in members}
+    assert len(held) == len(members) and {r.kind for r in members} == set(IG.DIMENSIONS)
+    assert ("date", IG.UNKNOWN_DATE) in held
+    for facts, kinds in ((ad, ("media", "date", "campaign", "ad_group", "creative", "device")),
+                         (ga, ("media", "date", "campaign", "creative", "device", "event"))):
+        for kind in kinds:
+            keys = {r[0] for r in facts.select(f"{kind}_key").distinct().collect()} - {None}
+            assert keys and {(kind, k) for k in keys} <= held
+    # a member may have a name, a code or both; a campaign without a name is listed under its code
+    groups = [r for r in members if r.kind == "ad_group"]
+    assert {(r.name is None, r.code is None) for r in groups} == {(False, False), (False, True), (True, False)}
+    assert all(r.name is not None for r in members if r.kind == "campaign")
+    assert {r.name for r in members if r.is_conversion} == {"purchase", "회원 가입완료", "Form_Complete"}
+
+
+def test_late_members_are_added_and_known_ones_stay(spark):
+    from tabvet.operators import ingest as IG
+
+    schema = "kind string, member_key string, source_name string, name string, code string, category string, is_conversion boolean"
+    known = spark.createDataFrame([("device", "k1", None, "PC", None, "kept as it is", None)], schema)
+    found = spark.createDataFrame([("device", "k1", None, "PC", None, "PC", None), ("event", "k1", None, "e", None, "e", False)], schema)
+    assert sorted((r.kind, r.category) for r in IG.dim_merge(found, known).collect()) == [("device", "kept as it is"), ("event", "e")]

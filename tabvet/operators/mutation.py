@@ -1,16 +1,14 @@
 """Gated mutation as snapshot jobs.
 
-Parquet has no UPDATE: a change is a new snapshot written next to the old
-one, published by replacing a small pointer only after the backup of every
-affected row is written and its coverage verified. A failure before the
-pointer moves leaves the current snapshot untouched.
+Parquet has no UPDATE: a change is a new snapshot next to the old one;
+``publish`` makes it a version after the backup of every affected row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.operators.overlay import _action_value
@@ -28,13 +26,31 @@ class GateError(RuntimeError):
 
 
 # ------------------------------------------------------------------ guards
+def refusal(n_conditions: Column, tautology: Column) -> Column:
+    """M9: why a write is refused, or NULL: it needs a modification predicate, and never one that is always true."""
+    return (F.when(n_conditions == 0, F.lit("update_requires_modification_predicate"))
+            .when(tautology, F.lit("update_predicate_tautology")))
+
+
+def is_tautology(condition: Column) -> Column:
+    """Whether a condition's text is ``1 = 1``, however spaced."""
+    return F.regexp_replace(condition, r"\s+", "") == "1=1"
+
+
+def write_refusal(intent: Column, conditions: Column) -> Column:
+    """M9 for a table of steps with their conditions as texts; NULL for reads."""
+    return F.when(intent == "UPDATE_NUMERIC_VALUE", refusal(F.size(conditions), F.exists(conditions, is_tautology)))
+
+
 def require_predicate(groups: Sequence[Mapping]) -> None:
-    """M9: a write needs a modification predicate (and never ``1 = 1``)."""
+    """M9 for one request: raises the refusal."""
     conds = [c for g in groups for c in g.get("conditions", [])]
     if not conds:
         raise GateError("update_requires_modification_predicate")
-    if any(str(c.get("field", "")).strip() in ("1", "1 = 1") for c in conds):
-        raise GateError("update_predicate_tautology")
+    for c in conds:
+        field, values = "".join(str(c.get("field", "")).split()), [str(v).strip() for v in c.get("values", [])]
+        if field == "1=1" or (field == "1" and c.get("operator", "eq") in ("eq", "=") and values in ([], ["1"])):
+            raise GateError("update_predicate_tautology")
 
 
 def is_protected_name(c: Column) -> Column:
@@ -84,11 +100,6 @@ def derived_values(df: DataFrame, where: Column, table: str, key: str, value: st
         F.lit(key).alias("derived_key"), F.lit(value).alias("derived_value"), F.lit(rule_id).alias("rule_id"))
 
 
-def derived_wide(derived: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Wide view of derived values (one column per key) via a pivot over known keys."""
-    return derived.groupBy("target_table", "source_row_id").pivot("derived_key", list(keys)).agg(F.first("derived_value"))
-
-
 # ------------------------------------------------------------------ M3 / M4
 def row_json(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
     cols = list(cols or df.columns)
@@ -192,20 +203,3 @@ def route_label_updates(actions: DataFrame, live_columns: DataFrame, text_col: s
     j = actions.join(F.broadcast(live), "target_field", "left")
     route = text_hit & label_like & F.col("_live").isNull()
     return j.select(*actions.columns, F.when(route, F.lit("derived_value")).otherwise(F.lit("raw_update")).alias("route"))
-
-
-# ------------------------------------------------------------------ snapshot publish
-def publish_snapshot(spark: SparkSession, df: DataFrame, root: str, version: str, coverage_ok: bool) -> str:
-    """Write ``df`` as ``root/v=<version>`` and move the ``_CURRENT`` pointer.
-    Refuses (nothing published) unless backup coverage was verified."""
-    if not coverage_ok:
-        raise GateError("raw_update_backup_incomplete")
-    path = f"{root.rstrip('/')}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/_CURRENT")
-    return path
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()[0]
-    return spark.read.parquet(f"{root.rstrip('/')}/v={version}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabvet.functions import headers as H
@@ -9,10 +11,12 @@ from tabvet.functions import semantics as S
 from tabvet.operators import mutation as MU
 from tabvet.operators import overlay as OV
 from tabvet.operators import predicates as P
+from tabvet.operators import publish as PB
 from tabvet.plans import steps as L
 from tabvet.queries.q_overlay import O1_ACTIONS, O1_GROUPS, _o1_where
 from tabvet.queries.q_plans import ANC_SQL, EXT_SQL, _ext
 from tabvet.queries.registry import register
+from tabvet.session import shared_path
 from tabvet.sources.derived import PLAN_SQL, plan_steps
 from tabvet.sources.tables import STAGING_NUMERIC, header_cells, num_sql, stg_b, stg_m, with_staging
 
@@ -205,13 +209,46 @@ def overlay_update_block(spark, sf):
 
 @register(
     "predicate_required",
-    "WITH " + EXT_SQL + """
-SELECT plan_id, step_order, step_key, (intent_type = 'UPDATE_NUMERIC_VALUE' AND len(conditions) = 0) AS refused FROM ext""",
+    "WITH " + EXT_SQL + """,
+c AS (SELECT *, CASE WHEN plan_id % 29 = 3 THEN ['1 = 1'] WHEN plan_id % 29 = 5 THEN list_append(conditions, ' 1=1') ELSE conditions END AS cs FROM ext)
+SELECT plan_id, step_order, step_key, CASE WHEN intent_type <> 'UPDATE_NUMERIC_VALUE' THEN NULL
+  WHEN len(cs) = 0 THEN 'update_requires_modification_predicate'
+  WHEN len(list_filter(cs, lambda x: replace(x, ' ', '') = '1=1')) > 0 THEN 'update_predicate_tautology' END AS refused FROM c""",
 )
 def predicate_required(spark, sf):
-    s = _ext(spark, sf)
-    return s.select("plan_id", "step_order", "step_key",
-                    ((F.col("intent_type") == "UPDATE_NUMERIC_VALUE") & (F.size("conditions") == 0)).alias("refused"))
+    k = F.col("plan_id") % 29
+    always = F.when(k == 3, F.array(F.lit("1 = 1"))).when(k == 5, F.array_append("conditions", F.lit(" 1=1"))).otherwise(F.col("conditions"))
+    return _ext(spark, sf).select("plan_id", "step_order", "step_key", MU.write_refusal(F.col("intent_type"), always).alias("refused"))
+
+
+_B_GROUPS = [{"join": "and", "conditions": [{"field": "device", "operator": "in", "values": ["MO", "mobile"]}]}]
+_B_WHERE = "COALESCE(device IN ('MO', 'mobile'), FALSE)"
+
+
+@register(
+    "gated_publish",
+    with_staging("stg_b")
+    + f"""SELECT 3 AS version, row_id, CASE WHEN {_W} THEN '0' ELSE cost END AS cost, CASE WHEN {_W} THEN '0' ELSE sessions END AS sessions, ad_group,
+  CASE WHEN {_W} THEN CAST({_JSON_SQL} AS VARCHAR) END AS backup, {_B_WHERE} AS rolled_back
+FROM stg_b""",
+)
+def gated_publish(spark, sf):
+    """M3, M7, M1, M9 and M4 in one path: an update, a second one, its rollback; the result is read from what was published."""
+    df = stg_b(spark, sf).select(*STG_B_COLS)
+    table = PB.Snapshots(spark, shared_path(spark, "published", uuid.uuid4().hex))
+    table.publish(df, None, {"operation": "load"})
+    where = P.compile_condition(_B_GROUPS[0]["conditions"][0], df.columns, STAGING_NUMERIC)
+    vip = [{"target_field": "ad_group", "operation": "set_literal", "value": "vip"}]
+    for scope, groups, cond, actions in (("run-1", O1_GROUPS, _o1_where(df), ZERO_ACTIONS), ("run-2", _B_GROUPS, where, vip)):
+        approval = {"approved": True, **PB.preview(table, groups, actions)}
+        PB.gated_update(table, groups, cond, actions, approval, scope, "SA", protected=["row_id"])
+    version = PB.gated_rollback(table, "run-2", "SA", ["ad_group"])
+    backups = table.backups()
+    first = backups.where("backup_scope = 'run-1'").select(F.col("source_row_id").alias("row_id"), F.col("before_json").alias("backup"))
+    second = backups.where("backup_scope = 'run-2'").select(F.col("source_row_id").alias("row_id"), F.lit(True).alias("rolled_back"))
+    now = table.read().join(first, "row_id", "left").join(second, "row_id", "left")
+    return now.select(F.lit(version).alias("version"), "row_id", "cost", "sessions", "ad_group", "backup",
+                      F.coalesce("rolled_back", F.lit(False)).alias("rolled_back"))
 
 
 # action targets synthesised per conversation turn (configuration)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import tempfile
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabvet.operators import mutation as MU
+from tabvet.operators import publish as PB
 from tabvet.operators import overlay as OV
 
 RAW = [(1, "10", "a"), (2, "20", "b"), (3, "30", "c"), (4, None, "d")]
@@ -90,14 +92,97 @@ def test_guards(spark, raw):
     assert [r[1] for r in MU.writable_targets(cands, pol).collect()] == ["비용"]
 
 
-def test_publish_snapshot_pointer(spark, raw):
-    root = tempfile.mkdtemp(prefix="tabvet-snap-")
+GROUPS = [{"conditions": [{"field": "row_id", "operator": "lte", "values": ["2"]}]}]
+ZERO = [{"target_field": "cost", "operation": "set_zero"}]
+
+
+@pytest.fixture
+def table(spark, raw):
+    t = PB.Snapshots(spark, tempfile.mkdtemp(prefix="tabvet-snap-"))
+    assert t.publish(raw, None, {"operation": "load"}) == 0
+    return t
+
+
+def _costs(t, version=None):
+    return {r["row_id"]: r["cost"] for r in t.read(version).collect()}
+
+
+def _update(t, approval=None, groups=GROUPS, where=None, actions=ZERO, scope="s", **changes):
+    approval = approval or {"approved": True, **PB.preview(t, groups, actions), **changes}
+    return PB.gated_update(t, groups, F.col("row_id") <= 2 if where is None else where, actions, approval, scope, "SA", protected=["row_id"])
+
+
+def test_gated_update_and_rollback(table):
+    before = _costs(table)
+    assert _update(table) == 1
+    assert _costs(table) == {**before, 1: "0", 2: "0"} and _costs(table, 0) == before
+    assert _update(table, scope="t", where=F.col("row_id") == 3) == 2
+    assert PB.gated_rollback(table, "s", "SA", ["cost"]) == 3
+    assert _costs(table) == {**before, 3: "0"}
+    assert table.current()["parent"] == 2
+
+
+@pytest.mark.parametrize("change", [{"approved": False}, {"sql_fingerprint": "x"}, {"preview_fingerprint": "x"}, {"parent": 7}])
+def test_without_its_approval_nothing_is_published(table, change):
     with pytest.raises(MU.GateError):
-        MU.publish_snapshot(spark, raw, root, "1", coverage_ok=False)
-    assert not os.path.exists(os.path.join(root, "v=1"))
-    MU.publish_snapshot(spark, raw, root, "1", coverage_ok=True)
-    MU.publish_snapshot(spark, raw.where("row_id > 1"), root, "2", coverage_ok=True)
-    assert MU.read_current(spark, root).count() == 3
+        _update(table, **change)
+    assert table.version() == 0 and table.backups() is None
+
+
+def test_approval_of_an_earlier_version_is_stale(table):
+    approval = {"approved": True, **PB.preview(table, GROUPS, ZERO)}
+    _update(table)
+    with pytest.raises(MU.GateError, match="stale_parent"):
+        _update(table, approval=approval)
+    with pytest.raises(MU.GateError, match="stale_parent"):
+        table.publish(table.read(), 0, {})
+    assert table.version() == 1
+
+
+def test_two_writers_on_one_parent(spark, table, monkeypatch):
+    """The second one has looked before the first one's entry was there; the file system refuses its entry."""
+    late = PB.Snapshots(spark, table.root)
+    seen = late._entries()
+    assert table.publish(table.read(), 0, {}) == 1
+    monkeypatch.setattr(late, "_entries", lambda: seen)
+    with pytest.raises(MU.GateError, match="stale_parent"):
+        late.publish(table.read(0), 0, {})
+    assert table.version() == 1
+
+
+def test_predicates_and_targets_are_checked(table):
+    for groups in ([{"conditions": []}], [], [{"conditions": [{"field": "1 = 1"}]}],
+                   [{"conditions": [{"field": "1", "operator": "eq", "values": ["1"]}, *GROUPS[0]["conditions"]]}]):
+        with pytest.raises(MU.GateError, match="predicate"):
+            _update(table, groups=groups)
+    with pytest.raises(MU.GateError, match="protected"):
+        _update(table, actions=[{"target_field": "row_id", "operation": "set_zero"}])
+    assert table.version() == 0
+
+
+def test_missing_ids_and_missing_backups(spark, table, monkeypatch):
+    table.publish(table.read().unionByName(spark.createDataFrame([(None, "5", "x")], table.read().schema)), 0, {})
+    with pytest.raises(MU.GateError, match="requires_row_id"):
+        _update(table, where=F.col("cost") == "5")
+    kept = MU.backup_rows
+    monkeypatch.setattr(MU, "backup_rows", lambda *a, **b: kept(*a, **b).where("source_row_id <> 2"))
+    with pytest.raises(MU.GateError, match="backup_incomplete"):
+        _update(table)
+    assert table.version() == 1
+    monkeypatch.setattr(MU, "backup_rows", kept)
+    assert _update(table) == 2  # the second attempt adds what the first one lacked
+
+
+def test_crash_before_the_entry_publishes_nothing(table, monkeypatch):
+    before = _costs(table)
+    with monkeypatch.context() as m:
+        m.setattr(json, "dumps", lambda *a, **b: (_ for _ in ()).throw(RuntimeError("crash")) if "data" in a[0] else "x")
+        with pytest.raises(RuntimeError, match="crash"):
+            table.publish(table.read().where("row_id > 1"), 0, {})
+    assert table.version() == 0 and _costs(table) == before
+    with open(os.path.join(table.root, "manifest", f"{5:012d}.json"), "w") as f:
+        f.write('{"version": 5, "par')  # begun, never finished
+    assert table.version() == 0 and table.publish(table.read(), 0, {}) == 6 and _costs(table) == before
 
 
 def test_upsert_keeps_unlisted_columns(spark):

@@ -98,11 +98,6 @@ def value_catalog(
     return won.select(F.lit(table).alias("target_table"), "column_name", "normalized_value", "w.raw_value", "w.frequency")
 
 
-def read_value_catalog(catalog: DataFrame, limit: int = FV.VALUE_CATALOG_READ_LIMIT) -> DataFrame:
-    """Request-time read: the most frequent catalog rows (a top-k report)."""
-    return catalog.orderBy(F.col("frequency").desc(), "column_name", "raw_value").limit(limit)
-
-
 def unresolved_terms(terms: DataFrame, catalog_columns: DataFrame, aliases: DataFrame) -> DataFrame:
     """Request terms that match neither a live column nor an alias."""
     cols = catalog_columns.select(normalize_term("column_name").alias("k"))

@@ -120,18 +120,41 @@ def additional_metrics(payload: Column, consumed: Sequence[str]) -> Column:
     return F.map_filter(payload, lambda k, v: ~F.array_contains(cons, k) & (F.trim(v) != ""))
 
 
+#: Columns that the keys of maps may become; more are refused, as one projection holds them all.
+MAX_KEY_COLUMNS = 2_000
+
+
 def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
-    """Nested structs -> flat columns named ``a.b.c``."""
+    """Nested structs and maps -> flat columns named ``a.b.c``.
 
-    def walk(dtype: T.DataType, path: list[str]) -> list[Column]:
-        if isinstance(dtype, T.StructType):
-            return [c for f in dtype.fields for c in walk(f.dataType, [*path, f.name])]
-        ref = F.col(path[0])
-        for p in path[1:]:
-            ref = ref.getField(p)
-        return [ref.alias(sep.join(path))]
+    Fields stand in their order.  The keys of a map are those of any row, found by one
+    distributed union per level of nesting, and stand in the order of their texts; a row
+    without a key has NULL there.  Maps without a key in any row give no column."""
 
-    return df.select(*[c for f in df.schema.fields for c in walk(f.dataType, [f.name])])
+    def is_map(dtype: T.DataType) -> bool:
+        return isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType)
+
+    def opened(path: tuple, ref: Column, dtype: T.DataType) -> list[tuple]:
+        """(path, column, type) of the leaves below structs; maps are leaves for now."""
+        if isinstance(dtype, T.StructType):
+            return [leaf for f in dtype.fields for leaf in opened((*path, f.name), ref.getField(f.name), f.dataType)]
+        return [(path, ref, dtype)]
+
+    leaves = [leaf for f in df.schema.fields for leaf in opened((f.name,), F.col(f"`{f.name}`"), f.dataType)]
+    while maps := [i for i, (_, _, dtype) in enumerate(leaves) if is_map(dtype)]:
+        found = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("leaf"), F.map_keys(leaves[i][1]).alias("keys")) for i in maps])).alias("m"))
+        keys: dict[int, list[str]] = {}
+        for r in found.select("m.leaf", F.explode("m.keys").alias("key")).distinct().orderBy("leaf", "key").limit(MAX_KEY_COLUMNS + 1).collect():
+            keys.setdefault(r.leaf, []).append(r.key)
+        if sum(map(len, keys.values())) > MAX_KEY_COLUMNS:
+            raise ValueError(f"maps have more than {MAX_KEY_COLUMNS} keys")
+        leaves = [
+            part
+            for i, (path, ref, dtype) in enumerate(leaves)
+            for part in ([leaf for k in keys.get(i, []) for leaf in opened((*path, k), F.try_element_at(ref, F.lit(k)), dtype.valueType)]
+                         if is_map(dtype) else [(path, ref, dtype)])
+        ]
+    return df.select(*[ref.alias(sep.join(path)) for path, ref, _ in leaves])
 
 
 def dim_date_attrs(days: DataFrame, day_col: str = "day") -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
 from tabvet.functions.semantics import parse_number
-from tabvet.fixed_values import (  # fixed values, kept together in fixed_values.py
-    METRIC_COLUMNS,
-)
 
 
 def is_empty(v: Column) -> Column:
@@ -45,25 +42,6 @@ def check_row_conditions(rows: DataFrame, checks: Sequence[tuple[str, str]]) ->
     return one.select(stacked.alias("s")).select("s.*")
 
 
-def expected_row_conditions(text: Column) -> Column:
-    """Conditions a request implies for its sample rows (array<struct(column, operator)>)."""
-    c = F.lower(F.regexp_replace(text, r"\s+", ""))
-    items = []
-    for token, column in METRIC_COLUMNS.items():
-        zero = c.contains(token + "이없는") | c.contains(token + "가없는")
-        gt = (c.contains(token + "이있는") | c.contains(token + "가있는") | c.contains(token + "도있는")
-              | c.rlike(token + r".{0,4}(1회|1원|1)이상"))
-        op = F.when(zero, F.lit("zero_or_empty")).when(gt, F.lit("gt_zero"))
-        items.append(F.struct(F.lit(column).alias("column"), op.alias("operator")))
-    camp = (F.when(c.contains("캠페인이비어있거나"), F.lit("empty"))
-            .when(c.contains("캠페인이적혀") | c.contains("캠페인이있") | c.contains("캠페인이비어있지") | c.contains("캠페인이름이적혀"),
-                  F.lit("not_empty")))
-    grp = F.when(c.contains("광고그룹이비어있는"), F.lit("empty")).when(c.contains("광고그룹이비어있지"), F.lit("not_empty"))
-    items += [F.struct(F.lit("캠페인").alias("column"), camp.alias("operator")),
-              F.struct(F.lit("광고 그룹").alias("column"), grp.alias("operator"))]
-    return F.filter(F.array(*items), lambda s: s["operator"].isNotNull())
-
-
 def check_update_after(delta_long: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:
     """Q2: per delta item -- changed columns cover every expected target and
     every target's after-value is numerically 0."""

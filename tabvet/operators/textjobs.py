@@ -29,7 +29,6 @@ from tabvet.fixed_values import (  # fixed values, kept together in fixed_values
     MONTH_PATTERN,
     UPDATE_VALUE_PATTERNS,
     CLAUSE_SPLIT,
-    LABEL_CHARS,
     ASSIGNMENT_PATTERN,
     LABEL_PATTERN,
     QUOTED_PATTERN,

@@ -9,6 +9,7 @@ from tabvet.functions import headers as H
 from tabvet.functions import semantics as S
 from tabvet.operators import normalize as NZ
 from tabvet.queries.registry import register
+from tabvet.sources.derived import DELTA_SQL, delta_items
 from tabvet.sources.tables import header_cells, load, stg_b, stg_e, stg_m, with_staging
 
 
@@ -274,6 +275,19 @@ def flatten_nested(spark, sf):
     return NZ.flatten_structs(nested)
 
 
+@register(
+    "flatten_deltas",
+    "WITH " + DELTA_SQL + """
+SELECT delta_item_id, step_key, max(old_value) FILTER (WHERE column_name = 'cost') AS "before.cost",
+  max(old_value) FILTER (WHERE column_name = 'sessions') AS "before.sessions",
+  max(new_value) FILTER (WHERE column_name = 'cost') AS "after.cost", max(new_value) FILTER (WHERE column_name = 'sessions') AS "after.sessions"
+FROM delta GROUP BY delta_item_id, step_key""",
+)
+def flatten_deltas(spark, sf):
+    """P13 on the before and after maps of the delta log."""
+    return NZ.flatten_structs(delta_items(spark, sf).select("delta_item_id", "step_key", "before", "after"))
+
+
 # ------------------------------------------------------------------ P14..P19
 @register(
     "normalize_term",

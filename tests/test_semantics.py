@@ -112,3 +112,16 @@ def test_pruned_group_keeps_its_known_children():
     groups = [{"conditions": [{"operator": "or", "conditions": [known, gone, {"operator": "and", "conditions": [gone]}]},
                               {"operator": "or", "conditions": [gone]}, gone]}]
     assert P.prune_unknown_conditions(groups, ["a"]) == [{"conditions": [{"operator": "or", "conditions": [known]}]}]
+
+
+def test_flatten_opens_maps_with_the_keys_of_any_row(spark):
+    from tabvet.operators.normalize import flatten_structs
+
+    schema = "id int, before map<string, string>, deep map<string, map<string, struct<x: int>>>, a struct<m: map<string, int>, n: int>, none map<string, int>"
+    rows = [(1, {"b": "1", "a": None}, {"k": {"y": (5,), "x": (6,)}}, ({"p": 1}, 2), {}), (2, None, {"j": None}, None, None),
+            (3, {"c.d": "9"}, {}, (None, 4), {})]
+    flat = flatten_structs(spark.createDataFrame(rows, schema))
+    assert flat.columns == ["id", "before.a", "before.b", "before.c.d", "deep.k.x.x", "deep.k.y.x", "a.m.p", "a.n"]
+    assert sorted(tuple(r) for r in flat.collect()) == [
+        (1, None, "1", None, 6, 5, 1, 2), (2, None, None, None, None, None, None, None), (3, None, None, "9", None, None, None, 4)]
+    assert flatten_structs(spark.createDataFrame([], schema)).columns == ["id", "a.n"]

@@ -4,9 +4,13 @@ The lexicon are the terms whose share of documents lies in a band, so their
 inverse document frequency is neither low (function words) nor high (typing
 errors).  A lower bound on the share bounds the lexicon's size: documents hold
 ``terms per document / LOW`` such terms at most, whatever their number, which
-is why it may be broadcast.  Several random subsets of the lexicon, from half
-of it down to 1/256, give one part of the fingerprint each: the hash of the
-document's distinct terms of the subset, sorted.  Sparse subsets survive edits
+is why it may be broadcast.  Near copies that hold more than the band's upper
+share of the rows lift all their terms out of the band, so a second, wider band
+lies above it: one in ``THIN`` of the more frequent terms, by their hash.  A text
+with fewer than ``FEW`` terms of the band takes the terms of both; the bound on
+the lexicon's size holds for both together.  Several random subsets of the
+lexicon, from half of it down to 1/256, give one part of the fingerprint each:
+the hash of the document's distinct terms of the subset, sorted.  Sparse subsets survive edits
 of long texts, dense ones tell short texts apart.  The likeness of two
 fingerprints is the share of equal parts among those that are not empty in
 both.
@@ -15,8 +19,9 @@ Documents follow one another by id.  Each looks at its successor inside a
 bucket of neighbouring ids; the first document of the next bucket is put at the
 end of each bucket, so no order over all rows is ever needed.
 
-Defined results: a null text is an empty text; a text without lexicon terms has
-the hash of the whole text as its fingerprint (likeness 1 if equal, else 0);
+Defined results: a null text is an empty text; a text without lexicon terms
+(of a language below ``LOW`` of the rows, for one) has the hash of the whole text
+as its fingerprint (likeness 1 if equal, else 0);
 equal ids are ordered by text, null ids come first; a single document is its
 own successor; extra columns are ignored; an empty table gives an empty result.
 Only DataFrame functions run here.
@@ -33,6 +38,8 @@ from tabvet.llm.common import shuffle_partitions, stored, words
 
 #: Band of the share of documents that hold a term; always at least two documents.
 LOW, HIGH = 0.001, 0.01
+#: A text with fewer terms of the band takes the wider band too, which holds one in THIN of the terms above the band.
+FEW, THIN = 4, 8
 #: Byte thresholds of the subsets: a term is in subset k if byte k of its hash is below the k-th one.
 SUBSETS = tuple(256 >> (1 + k % 8) for k in range(16))
 #: Hex digits of a part.
@@ -50,15 +57,16 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, key, mask) of the terms in the band; bit k of the mask stands for subset k."""
+    """(term, key, narrow, mask) of the terms in the band (narrow) and in the wider one; bit k of the mask stands for subset k."""
     n = docs.count()
     digest = F.md5(F.col("key").cast("string").cast("binary"))
     inside = [
         F.when(F.substring(digest, 2 * k + 1, 2) < F.lit(f"{t:02x}"), F.lit(1 << k)).otherwise(F.lit(0)) for k, t in enumerate(SUBSETS)]
     return (
         docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
-        .select("term", term_key(F.col("term")).alias("key")).select("term", "key", sum(inside[1:], inside[0]).alias("mask"))
+        .where(F.col("df") >= max(2.0, low * n))
+        .select("term", term_key(F.col("term")).alias("key"), (F.col("df") <= max(2.0, high * n)).alias("narrow"))
+        .where(F.col("narrow") | (F.col("key") % THIN == 0)).select("term", "key", "narrow", sum(inside[1:], inside[0]).alias("mask"))
     )
 
 
@@ -107,7 +115,10 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def _own(found: Column, kind: int) -> Column:
-    return F.sort_array(F.transform(F.filter(found, lambda x: x["kind"] == kind), lambda x: F.struct(x["key"].alias("key"), x["mask"].alias("mask"))))
+    of_kind = F.filter(found, lambda x: x["kind"] == kind)
+    narrow = F.filter(of_kind, lambda x: x["narrow"])
+    used = F.when(F.size(narrow) < FEW, of_kind).otherwise(narrow)
+    return F.sort_array(F.transform(used, lambda x: F.struct(x["key"].alias("key"), x["mask"].alias("mask"))))
 
 
 def _parts(own: Column) -> Column:
@@ -149,12 +160,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col:
             F.transform("own_terms", lambda t: F.struct(F.lit(0).alias("kind"), t.alias("term"))),
             F.transform("edited_terms", lambda t: F.struct(F.lit(1).alias("kind"), t.alias("term")))).alias("found"))
     single = rows.select("*", F.inline("found")).drop("found")
-    blank = docs.sparkSession.range(1).select(F.lit(" ").alias("term"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("mask"))
+    blank = docs.sparkSession.range(1).select(F.lit(" ").alias("term"), F.lit(0).cast("long").alias("key"), F.lit(False).alias("narrow"), F.lit(0).alias("mask"))
     marked = single.join(F.broadcast(lex.unionByName(blank)), "term")
     # The rows of a bucket are in one partition already, so this groups without a further exchange.
     grouped = marked.groupBy(
         "bucket", "place", "doc_id", "next_bucket", "next_place", "n_chars", "text_md5", "edited_md5", "edited_sha256"
-    ).agg(F.collect_list(F.struct("kind", "key", "mask")).alias("found"))
+    ).agg(F.collect_list(F.struct("kind", "key", "narrow", "mask")).alias("found"))
     # One projection per step, so that what is used sixteen times is computed once.
     grouped = grouped.withColumns({"own": _own(F.col("found"), 0), "edited_own": _own(F.col("found"), 1)}).drop("found")
     grouped = grouped.withColumns({"parts": _parts(F.col("own")), "edited_parts": _parts(F.col("edited_own"))}).drop("own", "edited_own")
@@ -190,11 +201,14 @@ edit AS (SELECT doc_id, next_id, text, length(text) AS n_chars,
 texts AS (SELECT doc_id, 0 AS kind, text FROM edit UNION ALL SELECT doc_id, 1, edited FROM edit),
 terms AS (SELECT DISTINCT doc_id, kind, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS term FROM texts),
 keyed AS (SELECT doc_id, kind, ('0x' || substr(md5(term), 1, 15))::BIGINT AS key FROM terms),
-band AS (SELECT key, md5(key::VARCHAR) AS h FROM keyed WHERE kind = 0 GROUP BY key
-         HAVING count(*) BETWEEN greatest(2.0, {LOW} * (SELECT count(*) FROM base)) AND greatest(2.0, {HIGH} * (SELECT count(*) FROM base))),
-lex AS (SELECT key, {mask} AS mask FROM band),
+band AS (SELECT key, md5(key::VARCHAR) AS h, count(*) <= greatest(2.0, {HIGH} * (SELECT count(*) FROM base)) AS narrow
+         FROM keyed WHERE kind = 0 GROUP BY key HAVING count(*) >= greatest(2.0, {LOW} * (SELECT count(*) FROM base))),
+lex AS (SELECT key, narrow, {mask} AS mask FROM band WHERE narrow OR key % {THIN} = 0),
+found AS (SELECT doc_id, kind, key, mask, narrow, count(*) FILTER (narrow) OVER (PARTITION BY doc_id, kind) AS n_narrow
+          FROM keyed JOIN lex USING (key)),
+used AS (SELECT doc_id, kind, key, mask FROM found WHERE narrow OR n_narrow < {FEW}),
 parts AS (SELECT t.doc_id, t.kind, [{part}] AS p, any_value(md5(t.text)) AS m
-          FROM texts t LEFT JOIN (keyed JOIN lex USING (key)) USING (doc_id, kind) GROUP BY t.doc_id, t.kind),
+          FROM texts t LEFT JOIN used USING (doc_id, kind) GROUP BY t.doc_id, t.kind),
 final AS (SELECT doc_id, kind, CASE WHEN array_to_string(p, '') = '' THEN ['=' || m] ELSE p END AS p FROM parts)
 SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.p, '-') AS fingerprint,
        array_to_string(b.p, '-') AS edited_fingerprint, {near('a.p', 'b.p')} AS near_edited, {near('a.p', 'c.p')} AS near_next

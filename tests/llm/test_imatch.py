@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -22,11 +23,15 @@ def expected(rows, low, high):
     keys = lambda t: {int(md5(w)[:15], 16) for w in WORD.findall(t.lower())}
     df = Counter(k for _, t in rows for k in keys(t))
     lex = {k for k, n in df.items() if max(2, low * len(rows)) <= n <= max(2, high * len(rows))}
+    wide = {k for k, n in df.items() if n > max(2, high * len(rows)) and k % imatch.THIN == 0}
 
     def parts(t):
         out = []
+        used = keys(t) & lex
+        if len(used) < imatch.FEW:
+            used = keys(t) & (lex | wide)
         for i, limit in enumerate(imatch.SUBSETS):
-            own = sorted(k for k in keys(t) & lex if int(md5(str(k))[2 * i:2 * i + 2], 16) < limit)
+            own = sorted(k for k in used if int(md5(str(k))[2 * i:2 * i + 2], 16) < limit)
             out.append(md5(",".join(map(str, own)))[:imatch.PART_DIGITS] if own else "")
         return out if any(out) else ["=" + md5(t)]
 
@@ -65,3 +70,27 @@ def test_query_against_sql(spark, sf):
     assert sorted((tuple(r) for r in op4_imatch(spark, sf).collect()), key=str) == want
     near, other = [r[5] for r in want], [r[6] for r in want]
     assert sum(near) / len(near) > 20 * sum(other) / len(other)
+
+
+def test_a_third_of_the_rows_as_near_copies(spark):
+    """Near copies that lift their own terms out of the band still have like fingerprints; other neighbours do not."""
+    rng = random.Random(5)
+    copied = [f"shared{rng.randrange(900)}" for _ in range(240)]
+    rows = []
+    for i in range(300):
+        if 100 <= i < 200:
+            words = list(copied)
+            words[rng.randrange(len(words))] = f"changed{i}"
+            if i % 2:  # some of the changes are terms of the band
+                words[rng.randrange(len(words))] = f"again{i // 20}"
+        else:
+            words = [f"other{int(rng.paretovariate(0.5)) % 5000}" for _ in range(240)]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in fingerprints(docs).collect()), key=str)
+    assert got == expected(rows, imatch.LOW, imatch.HIGH)
+    near_next = {r[0]: r[6] for r in got}
+    copies, others = [near_next[i] for i in range(100, 199)], [near_next[i] for i in [*range(99), *range(200, 299)]]
+    assert sum(copies) / len(copies) > 0.8
+    assert sum(others) / len(others) < 0.1
+    assert sum(r[5] > 0 for r in got if 100 <= r[0] < 200) == 100

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs (X1, X2; late rows in ``windows``).
 
 * X1: files dropped into a folder -> bronze rows, de-duplicated by content
   hash within a watermark (bounded state), written to a Parquet sink.

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabvet.session import materialize
+
 
 def _compact_lower(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", ""))
@@ -61,34 +63,108 @@ def dim_lookup(facts: DataFrame, dim: DataFrame, natural_key: Sequence[str], sur
     return facts.where(known).join(d, keys, "left").unionByName(without)
 
 
+#: A key with more than this share of the rows is joined by broadcast; there are at most 1 / HEAVY_SHARE of them.
+HEAVY_SHARE = 0.0001
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """``rows`` left-joined to ``keyed`` (one row per key, ``count`` = how many of ``rows`` have it).
+
+    The rows of a frequent key stay where they are and meet a broadcast of the frequent
+    keys, which are at most ``1 / HEAVY_SHARE``; the others are shuffled."""
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    heavy = keyed.where(F.col(count) > total * HEAVY_SHARE)
+    marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
+    marked = rows.join(marks, list(keys), "left")
+    return (
+        marked.where("_heavy").drop("_heavy").join(F.broadcast(heavy), list(keys))
+        .unionByName(marked.where("_heavy IS NULL").drop("_heavy").join(keyed.where(F.col(count) <= total * HEAVY_SHARE), list(keys), "left")))
+
+
+def _common_first(sets: DataFrame, frequency: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(customer, *keep, path): the signatures of each row, the most frequent one of the customer first; unknown ones last."""
+    single = sets.select("customer", *keep, F.explode("signatures").alias("sig"))
+    counted = frequency.join(single.groupBy("customer", "sig").agg(F.count(F.lit(1)).alias("here")), ["customer", "sig"], "right")
+    ranked = join_counted(single, counted, ["customer", "sig"], "here")
+    return ranked.groupBy("customer", *keep).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct((-F.coalesce("freq", F.lit(0))).alias("o"), "sig"))), lambda x: x["sig"]).alias("path"))
+
+
+def rule_tree(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules' signature sets as a tree per customer: (frequency of signatures, nodes).
+
+    Along a path the most frequent signature stands first, so a signature that all
+    rules share is one node, however many rules there are. A node is the set of
+    signatures down to it; it has the least rule below it. ``sig`` is its last (rarest)
+    signature and ``second`` one that stands above it, as a key to reach it by;
+    ``above`` holds the others. Nodes for sets of one or two signatures only
+    (``above`` NULL) are kept once per (sig, second).
+    """
+    sets = materialize(
+        rules.where(F.col("customer").isNotNull()).select("customer", "rule_id", F.array_sort(F.array_distinct(F.array_compact("signatures"))).alias("signatures"))
+        .groupBy("customer", "signatures").agg(F.min("rule_id").alias("rule_id")), "rule-sets")
+    frequency = materialize(
+        sets.select("customer", F.explode("signatures").alias("sig")).groupBy("customer", "sig").agg(F.count(F.lit(1)).alias("freq")), "rule-freq")
+    paths = _common_first(sets.select("customer", "rule_id", F.col("signatures").alias("own"), "signatures"), frequency, ["rule_id", "own"])
+    steps = paths.select("customer", "rule_id", "path", F.posexplode("path").alias("at", "sig"))
+    above = steps.select("customer", "rule_id", "sig", F.expr("slice(path, 1, at)").alias("above"))
+    prefix = above.groupBy("customer", "sig", "above").agg(F.min("rule_id").alias("rule_id"))
+    pairs = prefix.select("customer", "sig", F.explode("above").alias("second"), "above", "rule_id")
+    nothing = F.lit(None).cast("array<string>")
+    nodes = (
+        prefix.groupBy("customer", "sig").agg(F.min("rule_id").alias("rule_id"))
+        .select("customer", "sig", F.lit(None).cast("string").alias("second"), nothing.alias("above"), "rule_id")
+        .unionByName(pairs.groupBy("customer", "sig", "second").agg(F.min("rule_id").alias("rule_id")).withColumn("above", nothing))
+        .unionByName(pairs.where(F.size("above") > 1)))
+    return frequency, materialize(nodes, "rule-nodes")
+
+
 def rule_subset_match(requests: DataFrame, rules: DataFrame, req_key: Sequence[str]) -> DataFrame:
     """First (lowest rule_id) active, approved rule of the same customer whose
     condition signatures contain all expected ones; an empty expected set
     matches every rule.
 
-    Exact relational division without all-pairs: each request is joined to
-    rules only through its *rarest* expected signature (the one with the
-    fewest rules), then containment is checked with ``array_except``."""
-    r = rules.where(F.col("active") & (F.col("validation_status") == "approved"))
-    sig = r.select("customer", "rule_id", "signatures", F.explode(F.array_distinct("signatures")).alias("sig"))
-    freq = sig.groupBy("customer", "sig").agg(F.count(F.lit(1)).alias("freq"))
-    req = requests.withColumn("_exp", F.array_distinct("expected"))
-    exploded = req.select(*req_key, "customer", F.explode("_exp").alias("sig"))
-    rare = (
-        exploded.join(freq, ["customer", "sig"], "left")
-        .groupBy(*req_key, "customer")
-        .agg(F.min_by("sig", F.struct(F.coalesce("freq", F.lit(0)), "sig")).alias("sig"),
-             F.min(F.coalesce("freq", F.lit(0))).alias("freq"))
-    )
-    with_sig = req.join(rare.drop("customer"), list(req_key), "left")
-    cand = with_sig.where(F.col("freq") > 0).join(sig.drop("signatures").join(r.select("rule_id", "signatures"), "rule_id"),
-                                                  ["customer", "sig"])
-    ok = cand.where(F.size(F.array_except("_exp", "signatures")) == 0)
-    best = ok.groupBy(*req_key).agg(F.min("rule_id").alias("rule_id"))
-    first_rule = r.groupBy("customer").agg(F.min("rule_id").alias("first_rule"))
-    empty = req.where(F.size("_exp") == 0).join(first_rule, "customer").select(*req_key, F.col("first_rule").alias("rule_id"))
-    matched = best.unionByName(empty)
-    return requests.select(*req_key).join(matched, list(req_key), "left")
+    Equal questions are asked once, in the tree of ``rule_tree``: a question meets the
+    nodes that end in its rarest signature and have its second rarest above, so of
+    one or two signatures exactly one node, and of more only those whose remaining
+    signatures are then compared. Rules that share a frequent signature are never
+    paired with the requests that expect it.
+
+    Defined results: NULL elements of either set are ignored; a NULL expected set, a
+    NULL customer and a signature that no rule has match nothing; a rule with NULL
+    signatures matches empty questions only; repeated keys of requests keep their rows.
+    """
+    active = rules.where(F.col("active") & (F.col("validation_status") == "approved"))
+    frequency, nodes = rule_tree(active)
+    known = F.col("customer").isNotNull() & F.col("expected").isNotNull()
+    asked = requests.where(known).select(*req_key, F.col("customer").alias("_customer"), F.array_sort(F.array_distinct(F.array_compact("expected"))).alias("_set"))
+    questions = materialize(
+        asked.groupBy(F.col("_customer").alias("customer"), F.col("_set").alias("signatures")).agg(F.count(F.lit(1)).alias("asked")), "rule-questions")
+    sets = questions.where(F.size("signatures") > 0).withColumn("question", F.col("signatures"))
+    ordered = _common_first(sets, frequency, ["question"]).select(
+        "customer", "question", F.element_at("path", -1).alias("sig"), F.try_element_at("path", F.lit(-2)).alias("second"),
+        (F.size("path") > 2).alias("more"))
+    found = rule_candidates(ordered, nodes).where(
+        F.col("above").isNull() | (F.size(F.array_except("question", F.array_append("above", F.col("sig")))) == 0))
+    best = found.groupBy("customer", "question").agg(F.min("rule_id").alias("rule_id"))
+    first_rule = active.groupBy("customer").agg(F.min("rule_id").alias("rule_id"))
+    empty = questions.where(F.size("signatures") == 0).join(first_rule, "customer").select("customer", F.col("signatures").alias("question"), "rule_id")
+    matched = best.unionByName(empty).withColumnRenamed("question", "signatures")
+    answers = questions.join(matched, ["customer", "signatures"], "left").select(F.col("customer").alias("_customer"), F.col("signatures").alias("_set"), "asked", "rule_id")
+    # Requests without a customer or a set take no part in the joins, so no task gathers them.
+    without = requests.where(~known).select(*req_key, F.lit(None).cast(rules.schema["rule_id"].dataType).alias("rule_id"))
+    return join_counted(asked, answers, ["_customer", "_set"], "asked").select(*req_key, "rule_id").unionByName(without)
+
+
+def rule_candidates(ordered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(question, node) pairs to compare: sets of one or two signatures have one node, longer ones the nodes with their two rarest."""
+    same = ["customer", "sig"]
+    one = ordered.where("second IS NULL").drop("second").join(nodes.where("second IS NULL").drop("second"), same)
+    with_two = ordered.where("second IS NOT NULL")
+    two = with_two.where("NOT more").join(nodes.where("second IS NOT NULL AND above IS NULL"), [*same, "second"])
+    more = with_two.where("more").join(nodes.where("second IS NOT NULL AND above IS NOT NULL"), [*same, "second"])
+    columns = ["customer", "question", "sig", "above", "rule_id"]
+    return one.select(*columns).unionByName(two.select(*columns)).unionByName(more.select(*columns))
 
 
 def term_dictionary_join(texts: DataFrame, dictionary: DataFrame, live: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:

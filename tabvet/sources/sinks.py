@@ -5,6 +5,7 @@ statistic is computed by an aggregate or ``observe`` on the executors."""
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -27,10 +28,18 @@ REFRESH_LOG_SCHEMA = "refresh_id string, status string, row_count long, error_me
 
 
 def write_staging_snapshot(df: DataFrame, path: str, replace: bool = False, partition_by: str = "source_channel",
-                           sort_by: str | None = "row_id") -> None:
+                           sort_by: str | None = "row_id", rows_per_file: int = 2_000_000) -> None:
     """K1: replace (overwrite) or refuse when the snapshot exists; partitioned by
-    channel, rows sorted within files so row-group statistics prune by id."""
-    out = df.sortWithinPartitions(sort_by) if sort_by and sort_by in df.columns else df
+    channel, rows sorted within files so row-group statistics prune by id.
+
+    Rows are cut into ranges of (channel, id) of about ``rows_per_file`` counted rows:
+    a hot channel is split over several tasks, small ones share a task, and the files
+    are at most ranges + channels, whatever the number of tasks before. Rows of one
+    id are told apart by their hash; rows equal in every column stay together."""
+    order = [partition_by, *([sort_by] if sort_by and sort_by in df.columns else [])]
+    ranges = max(1, math.ceil(df.count() / rows_per_file))
+    hashable = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    out = df.repartitionByRange(ranges, *order, F.xxhash64(*hashable)).sortWithinPartitions(*order)
     out.write.mode("overwrite" if replace else "errorifexists").partitionBy(partition_by).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tabvet.queries import q_ingest as QI
+from tabvet.session import shared_path
 from tabvet.sources import sinks as K
 from tabvet.sources.tables import stg_b
 
@@ -80,3 +82,23 @@ def test_late_members_are_added_and_known_ones_stay(spark):
     known = spark.createDataFrame([("device", "k1", None, "PC", None, "kept as it is", None)], schema)
     found = spark.createDataFrame([("device", "k1", None, "PC", None, "PC", None), ("event", "k1", None, "e", None, "e", False)], schema)
     assert sorted((r.kind, r.category) for r in IG.dim_merge(found, known).collect()) == [("device", "kept as it is"), ("event", "e")]
+
+
+def test_files_of_a_snapshot_do_not_grow_with_the_tasks(spark):
+    """A channel with half of the rows, nine small ones and a NULL one, from 40 tasks: ranges of rows, not tasks x channels files."""
+    df = spark.range(20_000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 9))
+        .alias("source_channel"), F.sha2(F.col("id").cast("string"), 256).alias("cost")).repartition(40)
+    path = shared_path(spark, "sink-test", uuid.uuid4().hex)
+    K.write_staging_snapshot(df, path, rows_per_file=2_000)
+    back = spark.read.parquet(path)
+    assert sorted(back.select(*df.columns).collect(), key=str) == sorted(df.collect(), key=str)
+    files = back.groupBy("source_channel", F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high")).collect()
+    channels = {f.source_channel for f in files}
+    assert len(files) <= 10 + len(channels) and max(f.n for f in files) < 4_000
+    hot = sorted((f.low, f.high) for f in files if f.source_channel == "hot")
+    assert len(hot) > 3 and all(a[1] < b[0] for a, b in zip(hot, hot[1:]))
+    empty = shared_path(spark, "sink-test", uuid.uuid4().hex)
+    K.write_staging_snapshot(df.where("row_id < 0"), empty)
+    assert spark.read.schema(df.schema).parquet(empty).count() == 0

@@ -28,6 +28,9 @@ from tabvet.fixed_values import (  # fixed values, kept together in fixed_values
     AGG_WORDS,
     MONTH_PATTERN,
     UPDATE_VALUE_PATTERNS,
+    FIELD_VALUE_BEFORE_VERB,
+    FIELD_VALUE_NEAR,
+    CORRECTION_WORD,
     CLAUSE_SPLIT,
     ASSIGNMENT_PATTERN,
     LABEL_PATTERN,
@@ -81,6 +84,49 @@ def update_value(text: Column) -> Column:
     return F.regexp_replace(out, ",", "")
 
 
+#: Stands in front of every field name of a marked text.
+MARK = "\x01"
+
+
+def field_name_regex(fields: Mapping[str, Sequence[str]]) -> str:
+    """Any name of any field, longer ones first."""
+    names = {*fields, *(n for own in fields.values() for n in own)}
+    return "(" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
+
+
+def field_value_regexes(alias: str) -> list[str]:
+    """Patterns on a marked text, in order of preference at one mention; neither reaches over the next field name."""
+    return [p.replace("[^,.;", f"[^{MARK},.;").replace("{alias}", re.escape(alias)) for p in (FIELD_VALUE_BEFORE_VERB, FIELD_VALUE_NEAR)]
+
+
+def field_mention_regex(alias: str) -> str:
+    """Either pattern: group 1 or group 2 is the value of the first mention that has one."""
+    return "|".join(field_value_regexes(alias))
+
+
+def field_update_values(text: Column, fields: Mapping[str, Sequence[str]] = NUMERIC_FIELD_ALIASES) -> Column:
+    """T3, field by field: array<struct(field, value)> of the fields that the text gives a value.
+
+    A field's value stands behind one of its names and before the next name of any
+    field, so "cost 500, clicks 3" gives each its own. The names are marked once;
+    each name then costs one linear scan. A field that is named without a value
+    in a text that asks for a correction is set to 0. A NULL text names no field; a control
+    character 1 in a text counts as a blank.
+    """
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), field_name_regex(fields), MARK + "$1")
+    short = compact(text)
+    found = []
+    for field, names in fields.items():
+        tries = []
+        for alias in dict.fromkeys([field, *names]):
+            mention = field_mention_regex(alias)
+            tries += [F.nullif(F.regexp_extract(marked, mention, g), F.lit("")) for g in (1, 2)]
+            named = F.contains(short, F.lit(re.sub(r"\s+", "", alias).lower())) & F.contains(short, F.lit(CORRECTION_WORD))
+            tries.append(F.when(named, F.lit("0")))
+        found.append(F.struct(F.lit(field).alias("field"), F.regexp_replace(F.coalesce(*tries), ",", "").alias("value")))
+    return F.filter(F.array(*found), lambda x: x["value"].isNotNull())
+
+
 # ------------------------------------------------------------------ T4
 def split_clauses(df: DataFrame, text_col: str, key: Sequence[str]) -> DataFrame:
     """(key, clause_no, clause): non-blank trimmed clauses, numbered from 1; row by row, without a shuffle."""

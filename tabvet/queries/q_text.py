@@ -92,6 +92,27 @@ def extract_update_value(spark, sf):
     return r.select("conv_id", "turn", T.update_value(F.col("request")).alias("update_value"))
 
 
+def _field_value_sql(field: str) -> str:
+    tries = []
+    for alias in dict.fromkeys([field, *T.NUMERIC_FIELD_ALIASES[field]]):
+        p = _sq(T.field_mention_regex(alias))
+        tries += [f"NULLIF(regexp_extract(marked, {p}, {g}), '')" for g in (1, 2)]
+        short = alias.replace(" ", "").lower()
+        tries.append(f"CASE WHEN contains(c, {_sq(short)}) AND contains(c, {_sq(T.CORRECTION_WORD)}) THEN '0' END")
+    return f"SELECT conv_id, turn, {_sq(field)} AS field, replace(COALESCE({', '.join(tries)}), ',', '') AS update_value FROM named"
+
+
+@register(
+    "field_update_values",
+    REQ_SQL + f""", named AS (SELECT conv_id, turn, c,
+  regexp_replace(replace(request, chr(1), ' '), {_sq(T.field_name_regex(T.NUMERIC_FIELD_ALIASES))}, chr(1) || '\\1', 'g') AS marked FROM cr)
+SELECT * FROM ({" UNION ALL ".join(_field_value_sql(f) for f in T.NUMERIC_FIELD_ALIASES)}) WHERE update_value IS NOT NULL""",
+)
+def field_update_values(spark, sf):
+    r = _requests(spark, sf)
+    return r.select("conv_id", "turn", F.inline(T.field_update_values(F.col("request")))).withColumnRenamed("value", "update_value")
+
+
 _SPLIT_EMUL = T.CLAUSE_SPLIT.replace(r"|(?<=[.!?])\s+", "")
 
 

@@ -4,11 +4,14 @@ with Python's ``re`` to the same request texts (brute force, small fixture)."""
 from __future__ import annotations
 
 import calendar
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
+from tabvet.operators import textjobs as T
 from tabvet.queries import q_text as QT
 
 
@@ -75,3 +78,42 @@ def test_derived_label_matches_python(spark, sf, requests):
             k = quoted[0].strip() if len(quoted) >= 2 else "광고상품명" if "광고상품" in text else \
                 "구분 항목" if "구분 항목" in text else "derived_label"
         assert got[key] == (k, value or None), key
+
+
+def _field_value(text, field):
+    """By cutting the text: what stands from a name of the field to the next name of any field."""
+    every = {n for f, names in FV.NUMERIC_FIELD_ALIASES.items() for n in (f, *names)}
+    short = re.sub(r"\s+", "", text).lower()
+    for alias in (field, *FV.NUMERIC_FIELD_ALIASES[field]):
+        for at in [i for i in range(len(text)) if text.startswith(alias, i)]:
+            after = at + len(alias)
+            stop = min([i for n in every if (i := text.find(n, after)) >= 0], default=len(text))
+            for pattern in (FV.FIELD_VALUE_BEFORE_VERB, FV.FIELD_VALUE_NEAR):
+                if m := re.match(pattern.replace("{alias}", re.escape(alias)), text[at:stop]):
+                    return m.group(1).replace(",", "")
+        if re.sub(r"\s+", "", alias).lower() in short and FV.CORRECTION_WORD in short:
+            return "0"
+    return None
+
+
+def test_field_update_values_by_cutting_the_text(spark, sf, requests):
+    got = {}
+    for r in QT.field_update_values(spark, sf).collect():
+        got[r.conv_id, r.turn, r.field] = r.update_value
+    want = {(*k, f): v for k, t in requests.items() for f in FV.NUMERIC_FIELD_ALIASES if (v := _field_value(t, f)) is not None}
+    assert got == want and len(want) > 10
+
+
+def test_two_fields_with_values_of_their_own(spark):
+    rng = random.Random(9)
+    names = [n for f, own in FV.NUMERIC_FIELD_ALIASES.items() for n in (f, *own)]
+    bits = [*names, *names, "500", "-1,234.5", "3", "원", "회", "으로", "로", " ", " ", ", ", "을", "은", "보정", "수정", "변경", ". ", "그리고", "광고비용", "x" * 12]
+    texts = ["비용 500원으로, 클릭 3회로 변경", "노출수를 1,200으로 수정하고 세션은 7로 고정", "비용 클릭 3으로 변경", "광고비용 500원으로", "비용 보정", "", None,
+             "a\x01b 비용 5로", "cost " + "long text " * 20_000 + "clicks 9로"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: {v.field: v.value for v in r.found} for r in df.select("id", T.field_update_values(F.col("text")).alias("found")).collect() if r.found}
+    want = {i: v for i, t in enumerate(texts) if t and (v := {f: x for f in FV.NUMERIC_FIELD_ALIASES if (x := _field_value(t, f)) is not None})}
+    assert got == want
+    assert got[0] == {"비용": "500", "클릭수": "3"} and got[1] == {"노출수": "1200", "세션수": "7"} and got[2] == {"클릭수": "3"}
+    assert sum(len(v) > 1 for v in want.values()) > 50

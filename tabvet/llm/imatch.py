@@ -3,8 +3,8 @@
 The lexicon are the terms whose share of documents lies in a band, so their
 inverse document frequency is neither low (function words) nor high (typing
 errors).  A lower bound on the share bounds the lexicon's size: documents hold
-``terms per document / LOW`` such terms at most, whatever their number, which
-is why it may be broadcast.  Near copies that hold more than the band's upper
+``terms per document / LOW`` such terms at most, whatever their number. It is
+broadcast up to ``LEXICON_ROWS`` counted rows; beyond them its band is shuffled.  Near copies that hold more than the band's upper
 share of the rows lift all their terms out of the band, so a second, wider band
 lies above it: one in ``THIN`` of the more frequent terms, by their hash.  A text
 with fewer than ``FEW`` terms of the band takes the terms of both; the bound on
@@ -40,6 +40,8 @@ from tabvet.llm.common import shuffle_partitions, stored, words
 LOW, HIGH = 0.001, 0.01
 #: A text with fewer terms of the band takes the wider band too, which holds one in THIN of the terms above the band.
 FEW, THIN = 4, 8
+#: Rows of the lexicon (some 60 bytes each) up to which it is broadcast.
+LEXICON_ROWS = 1_000_000
 #: Byte thresholds of the subsets: a term is in subset k if byte k of its hash is below the k-th one.
 SUBSETS = tuple(256 >> (1 + k % 8) for k in range(16))
 #: Hex digits of a part.
@@ -114,6 +116,17 @@ def successors(docs: DataFrame) -> DataFrame:
         F.when(F.col("next_home").isNull(), F.col("place") + 1).otherwise(F.lit(1)).alias("next_place"), "next_text")
 
 
+def _marked(single: DataFrame, lex: DataFrame) -> DataFrame:
+    """The rows of ``single`` whose term is in the lexicon or blank, with key, narrow and mask."""
+    blank = single.sparkSession.range(1).select(
+        F.lit(" ").alias("term"), F.lit(0).cast("long").alias("key"), F.lit(False).alias("narrow"), F.lit(0).alias("mask"))
+    if lex.count() <= LEXICON_ROWS:
+        return single.join(F.broadcast(lex.unionByName(blank)), "term")
+    # The wider band has a tenth of the bound and the hot terms; a term of the band has at most HIGH of the rows.
+    common = single.join(F.broadcast(lex.where(~F.col("narrow")).unionByName(blank)), "term")
+    return common.unionByName(single.join(lex.where("narrow").hint("merge"), "term"))
+
+
 def _own(found: Column, kind: int) -> Column:
     of_kind = F.filter(found, lambda x: x["kind"] == kind)
     narrow = F.filter(of_kind, lambda x: x["narrow"])
@@ -160,10 +173,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col:
             F.transform("own_terms", lambda t: F.struct(F.lit(0).alias("kind"), t.alias("term"))),
             F.transform("edited_terms", lambda t: F.struct(F.lit(1).alias("kind"), t.alias("term")))).alias("found"))
     single = rows.select("*", F.inline("found")).drop("found")
-    blank = docs.sparkSession.range(1).select(F.lit(" ").alias("term"), F.lit(0).cast("long").alias("key"), F.lit(False).alias("narrow"), F.lit(0).alias("mask"))
-    marked = single.join(F.broadcast(lex.unionByName(blank)), "term")
-    # The rows of a bucket are in one partition already, so this groups without a further exchange.
-    grouped = marked.groupBy(
+    # With a broadcast lexicon the rows of a bucket are in one partition already, so this groups without a further exchange.
+    grouped = _marked(single, lex).groupBy(
         "bucket", "place", "doc_id", "next_bucket", "next_place", "n_chars", "text_md5", "edited_md5", "edited_sha256"
     ).agg(F.collect_list(F.struct("kind", "key", "narrow", "mask")).alias("found"))
     # One projection per step, so that what is used sixteen times is computed once.

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tabvet.llm import imatch
@@ -50,7 +51,9 @@ def expected(rows, low, high):
     return sorted(out, key=str)
 
 
-def test_edge_rows(spark):
+@pytest.mark.parametrize("broadcast_rows", [imatch.LEXICON_ROWS, 0])
+def test_edge_rows(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(imatch, "LEXICON_ROWS", broadcast_rows)
     rows = [(i * 7 % 101, f"word{i % 9} Other{i % 13} tail{i} é{i % 4} 😀 x" * (i % 5)) for i in range(90)]
     rows += [(None, "null id word1"), (None, None), (500, "same"), (500, "same"), (500, "same but longer word3"), (501, ""), (502, "w " * 30_000)]
     docs = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, bucket string, place int").repartition(3)

@@ -86,6 +86,12 @@ def node_id(s: np.ndarray) -> int:
     return int(_mix(_mix(np.bitwise_xor.reduce(m, keepdims=True) + _MUL * size) * _MUL + m.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
+def _values(column) -> Iterator:
+    """Values of an Arrow column, some at a time, so that a batch of long texts is not held twice."""
+    for i in range(0, len(column), 256):
+        yield from column.slice(i, 256).to_pylist()
+
+
 def _sets_and_counts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text_key, n, node) of all documents and rows (chunk, counts) of each task's counters, in one pass."""
     size, chunk = 1 << COUNTER_BITS, 1 << CHUNK_BITS
@@ -98,32 +104,21 @@ def _sets_and_counts(docs: DataFrame) -> DataFrame:
 
         schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()),
                             ("counts", pa.binary())])
-        total, held, n_held = np.zeros(size, dtype=np.uint32), [], 0
+        total = np.zeros(size, dtype=np.uint32)
         seen: set[int] = set()
-
-        def add():
-            nonlocal held, n_held, total
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
-            held, n_held = [], 0
-
         for b in batches:
             ns, nodes = [], []
-            for t in b.column(1).to_pylist():
+            for t in _values(b.column(1)):
                 s = shingles(t)
                 ns.append(len(s))
                 nodes.append(node_id(s) if len(s) else None)
                 if len(s) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
-                    held.append((s >> shift).astype(np.int32))
-                    n_held += len(s)
-                    if n_held > size:
-                        add()
+                    np.add.at(total, (s >> shift).astype(np.int64), np.uint32(1))
             none = [None] * len(ns)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                 schema=schema)
-        add()
         for c in range(size // chunk):
             part = total[c * chunk: (c + 1) * chunk]
             if part.any():
@@ -180,6 +175,10 @@ def _prefix(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+#: Postings that a task gathers before it passes them on.
+POSTINGS_HELD = 1 << 17
+
+
 def _postings(docs: DataFrame, levels) -> DataFrame:
     """(token, salt, node, n, pos) of every node's prefix; a task emits a node once."""
 
@@ -189,9 +188,13 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
         table = levels.value
         seen: set[int] = set()
         names = ["token", "salt", "node", "n", "pos"]
+
+        def batch(parts: list):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+
         for b in batches:
-            parts = []
-            for t in b.column(0).to_pylist():
+            parts, held = [], 0
+            for t in _values(b.column(0)):
                 s = shingles(t)
                 if not len(s) or (node := node_id(s)) in seen:
                     continue
@@ -202,8 +205,12 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
                 salt = np.where(lists > 1, 1 + (node & 0x7FFFFFFF) % lists, 0).astype(np.int32)
                 parts.append((key.view(np.int64), salt, np.full(len(key), node, dtype=np.int64),
                               np.full(len(key), len(s), dtype=np.int32), np.arange(len(key), dtype=np.int32)))
+                held += len(key)
+                if held > POSTINGS_HELD:
+                    yield batch(parts)
+                    parts, held = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+                yield batch(parts)
 
     return docs.select("text").mapInArrow(rows, "token long, salt int, node long, n int, pos int")
 
@@ -280,7 +287,7 @@ def _segments(docs: DataFrame, pairs: DataFrame, levels, pivots: np.ndarray) ->
         schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
         for b in batches:
             nodes, frags, tokens = [], [], []
-            for t in b.column(0).to_pylist():
+            for t in _values(b.column(0)):
                 s = shingles(t)
                 if not len(s):
                     continue

@@ -130,24 +130,41 @@ def keyed(terms: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t, catalog.withColumn("ck", sim_key(text)).where("ck <> ''")
 
 
-def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT,
-                          top: int = FV.TOP_RECOMMENDATIONS) -> DataFrame:
-    """C4: per term the best ``top`` candidates per kind with ratio >= ``cut``.
+def scored_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT) -> DataFrame:
+    """One (term, kind, target_table, column_name, candidate, score) row per identity that reaches ``cut``.
 
     ``terms``: (term). ``catalog``: (kind, target_table, column_name, candidate,
     floor_rule[, match_text]): ``match_text`` is what terms are compared with (an
     alias), by default the candidate; floor_rule is NULL, 'contain' (live column:
     containment floors the score at 0.82) or 'alias' (a qualifying score floors at
-    0.7)."""
+    0.7).  An identity with several rows keeps its best score."""
     t, c = (checkpoint(x) for x in keyed(terms, catalog))
     pairs = candidate_pairs(t, c, cut).mapInPandas(_ratios, "tk string, ck string, contained boolean, ratio double")
     floor = F.when((F.col("floor_rule") == "contain") & F.col("contained"), F.greatest("ratio", F.lit(FV.CONTAINMENT_FLOOR))).otherwise(F.col("ratio"))
     scored = t.join(pairs, "tk").join(c, "ck").withColumn("score", floor).where(F.col("score") >= cut)
     alias = F.when(F.col("floor_rule") == "alias", F.greatest("score", F.lit(FV.ALIAS_FLOOR))).otherwise(F.col("score"))
-    return _top_k(scored.withColumn("score", F.round(alias, 3)), top)
+    return scored.groupBy("term", "kind", "target_table", "column_name", "candidate").agg(F.max(F.round(alias, 3)).alias("score"))
 
 
-def _top_k(scored: DataFrame, top: int) -> DataFrame:
-    ident = scored.groupBy("term", "kind", "target_table", "column_name", "candidate").agg(F.max("score").alias("score"))
+def top_recommendations(scored: DataFrame, top: int = FV.TOP_RECOMMENDATIONS) -> DataFrame:
+    """The best ``top`` per term and kind, ranked; equal scores by candidate, table and column."""
     w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "candidate", "target_table", "column_name")
-    return ident.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+
+
+def similarity_candidates(terms: DataFrame, catalog: DataFrame, cut: float = FV.SIMILARITY_CUT,
+                          top: int = FV.TOP_RECOMMENDATIONS) -> DataFrame:
+    """C4: per term the best ``top`` candidates per kind with a score of ``cut`` or more (see ``scored_candidates``)."""
+    return top_recommendations(scored_candidates(terms, catalog, cut), top)
+
+
+def recommendations(candidates: DataFrame) -> DataFrame:
+    """Candidates as recommendations with their confidence; a person decides, so the action is a new preview."""
+    return candidates.withColumnRenamed("candidate", "recommended_term").withColumns(
+        {"confidence": confidence_band(F.col("score")), "action": F.lit("rerun_preview")})
+
+
+def best_recommendation(scored: DataFrame) -> DataFrame:
+    """(term, recommended): the best candidate of a term over all kinds; equal scores by candidate."""
+    best = F.min_by("candidate", F.struct(-F.col("score"), "candidate"))
+    return scored.groupBy("term").agg(best.alias("recommended"))

@@ -1,4 +1,4 @@
-"""Queries for catalogs and recommendations."""
+"""Queries for catalogs and recommendations."""
 
 from __future__ import annotations
 
@@ -124,17 +124,104 @@ def similarity_pairs(spark, sf):
     return SIM.candidate_pairs(*SIM.keyed(_terms(spark, sf), _search_rows(spark, sf)))
 
 
-@register("similarity_candidates")
+def _longest(a: str, b: str) -> str:
+    """The longest text that stands in both, the first of them in ``a``: {length, minus its place}."""
+    sizes = f"list_filter(range(1, length({a}) - i + 2), lambda k: contains({b}, substring({a}, i, k)))"
+    return f"list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform({sizes}, lambda k: {{'k': k, 'i': -i}}))))"
+
+
+def _scores_sql(pairs_sql: str) -> str:
+    """``scored``: Ratcliff-Obershelp ratios of the pairs (tk, ck, contained), with floors, over ``words`` and ``search``.
+
+    The longest common text of a pair counts, then those left and right of it, until nothing is common."""
+    return f""", pairs AS ({pairs_sql}),
+seg AS (
+  SELECT tk, ck, tk AS a, ck AS b, {_longest('tk', 'ck')} AS m FROM pairs
+  UNION ALL
+  SELECT tk, ck, x.a, x.b, {_longest('x.a', 'x.b')} FROM (
+    SELECT tk, ck, unnest([
+      {{'a': substring(a, 1, -m.i - 1), 'b': substring(b, 1, instr(b, substring(a, -m.i, m.k)) - 1)}},
+      {{'a': substring(a, -m.i + m.k), 'b': substring(b, instr(b, substring(a, -m.i, m.k)) + m.k)}}]) AS x FROM seg WHERE m IS NOT NULL)
+  WHERE x.a <> '' AND x.b <> ''),
+ratios AS (SELECT tk, ck, 2.0::DOUBLE * COALESCE(sum(m.k), 0) / (length(tk) + length(ck)) AS ratio FROM seg GROUP BY tk, ck),
+floored AS (SELECT w.term, s.*, CASE WHEN s.floor_rule = 'contain' AND p.contained THEN greatest(r.ratio, {FV.CONTAINMENT_FLOOR}::DOUBLE) ELSE r.ratio END AS score
+  FROM pairs p JOIN ratios r USING (tk, ck) JOIN words w ON {nt('w.term')} = p.tk JOIN search s ON {nt('s.match_text')} = p.ck),
+scored AS (SELECT term, kind, target_table, column_name, candidate,
+    max(round(CASE WHEN floor_rule = 'alias' THEN greatest(score, {FV.ALIAS_FLOOR}::DOUBLE) ELSE score END, 3)) AS score
+  FROM floored WHERE score >= {FV.SIMILARITY_CUT}::DOUBLE GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY term, kind ORDER BY score DESC, candidate, target_table, column_name) AS rank FROM scored)
+"""
+
+
+_CONFIDENCE_SQL = f"""CASE WHEN score >= {FV.CONFIDENCE_HIGH}::DOUBLE THEN 'high' WHEN score >= {FV.CONFIDENCE_MEDIUM}::DOUBLE THEN 'medium' ELSE 'low' END"""
+
+_SEARCH_SQL = f""", search AS (
+  SELECT 'column' AS kind, 'SA' AS target_table, c AS column_name, c AS candidate, 'contain' AS floor_rule, c AS match_text
+    FROM (VALUES {_values((c,) for c in K_COLS)}) v(c)
+  UNION ALL SELECT DISTINCT 'value', 'SA', column_name, raw_value, NULL, raw_value FROM
+    (SELECT column_name, raw_value FROM vc UNION ALL SELECT 'source_channel', source_channel FROM stg_k WHERE source_channel IS NOT NULL)
+  UNION ALL SELECT 'column', 'SA', c, c, 'alias', a FROM (VALUES {_values(_ALIAS_ROWS)}) v(a, c)
+  UNION ALL SELECT 'value', t, 'source_channel', c, 'alias', u FROM (VALUES {_values(CHANNEL_TERMS)}) v(u, t, c))
+"""
+_FOUND_SQL = "SELECT tk, ck, contained FROM met WHERE contained OR 2 * common >= 0.45 * total"
+_C4_SQL = (_PAIRS_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace(_FOUND_SQL, "") + _SEARCH_SQL + _scores_sql(_FOUND_SQL))
+
+
+@register("similarity_candidates", _C4_SQL + f"SELECT * FROM ranked WHERE rank <= {FV.TOP_RECOMMENDATIONS}")
 def similarity_candidates_q(spark, sf):
     return SIM.similarity_candidates(_terms(spark, sf), _search_rows(spark, sf))
 
 
-@register("fuzzy_term_join")
+@register(
+    "fuzzy_term_join",
+    _C4_SQL + f"""SELECT term, kind, target_table, column_name, candidate AS recommended_term, score, {_CONFIDENCE_SQL} AS confidence
+FROM ranked WHERE rank <= {FV.TOP_RECOMMENDATIONS}""",
+)
 def fuzzy_term_join(spark, sf):
     """Each request term joined to its recommended candidates with confidence."""
-    cands = SIM.similarity_candidates(_terms(spark, sf), _search_rows(spark, sf))
-    return cands.select("term", "kind", "target_table", "column_name", F.col("candidate").alias("recommended_term"), "score",
-                        SIM.confidence_band(F.col("score")).alias("confidence"))
+    return SIM.recommendations(SIM.similarity_candidates(_terms(spark, sf), _search_rows(spark, sf))).drop("action", "rank")
+
+
+# ------------------------------------------------------------------ W8 / C5 over the part catalog
+#: Terms as requests write them (configuration rows).
+PART_TERMS = ["red widgit", "Blue bolts", "small ring", "bolt", "steel frame", "Brand 12", "econmy", "p name"]
+_PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_PART_VALUES = ["p_name", "p_brand", "p_type"]
+
+
+def part_scores(spark, sf):
+    """Terms of requests against the columns of ``part`` and the distinct values of its text columns."""
+    values = C.value_frequencies(load(spark, sf, "part"), _PART_VALUES).select(
+        F.lit("value").alias("kind"), F.lit("part").alias("target_table"), "column_name", F.col("value").alias("candidate"),
+        F.lit(None).cast("string").alias("floor_rule"))
+    columns = spark.createDataFrame([("column", "part", c, c, "contain") for c in _PART_COLS], values.schema)
+    return SIM.scored_candidates(spark.createDataFrame([(t,) for t in PART_TERMS], "term string"), values.unionByName(columns))
+
+
+PART_SCORES_SQL = f"""WITH RECURSIVE words AS (SELECT * FROM (VALUES {_values((t,) for t in PART_TERMS)}) v(term)),
+search AS (
+  SELECT 'column' AS kind, 'part' AS target_table, c AS column_name, c AS candidate, 'contain' AS floor_rule, c AS match_text
+    FROM (VALUES {_values((c,) for c in _PART_COLS)}) v(c)
+  """ + "\n  ".join(f"UNION ALL SELECT DISTINCT 'value', 'part', '{c}', {c}, NULL, {c} FROM part WHERE trim({c}) <> ''" for c in _PART_VALUES) + f"""),
+met AS (SELECT tk, ck, bool_or(floor_rule = 'contain' AND (contains(tk, ck) OR contains(ck, tk))) AS contained FROM
+  (SELECT {nt('term')} AS tk FROM words), (SELECT {nt('match_text')} AS ck, COALESCE(floor_rule, '') AS floor_rule FROM search)
+  WHERE tk <> '' AND ck <> '' GROUP BY tk, ck)
+""" + _scores_sql("SELECT tk, ck, contained FROM met")
+
+
+@register("top_recommendations", PART_SCORES_SQL + f"SELECT * FROM ranked WHERE rank <= {FV.TOP_RECOMMENDATIONS}")
+def top_recommendations(spark, sf):
+    return SIM.top_recommendations(part_scores(spark, sf))
+
+
+@register(
+    "recommendations",
+    PART_SCORES_SQL + f"""SELECT term, kind, target_table, column_name, candidate AS recommended_term, score, {_CONFIDENCE_SQL} AS confidence,
+  'rerun_preview' AS action FROM scored""",
+)
+def recommendations(spark, sf):
+    """Every candidate of a term as a recommendation."""
+    return SIM.recommendations(part_scores(spark, sf))
 
 
 _ALL_ALIASES = sorted({a for names in FV.HEADER_ALIASES.values() for a in names} | set(FV.HEADER_ALIASES))

@@ -1,8 +1,7 @@
-"""Queries for joins (J1-J3, J7, J11), window/sort/top-k."""
+"""Queries for joins (J1-J3, J7, J11), window/sort/top-k."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabvet import fixed_values as FV
@@ -228,51 +227,3 @@ def dedupe_preserve_order(spark, sf):
     c = load(spark, sf, "conversations")
     d = F.array_distinct(F.split("text", " "))
     return c.select("conv_id", "turn", F.array_join(d, ",").alias("distinct_tokens"), F.size(d).alias("n_distinct"))
-
-
-# ------------------------------------------------------------------ W8 / C5 score table
-SCORE_TERMS = [("red widget", "value"), ("blue bolt", "value"), ("small ring", "value"), ("bolt", "column"),
-               ("steel frame", "column"), ("green", "value")]
-
-
-def score_table(spark, sf):
-    """Length-bound score between part names and the request terms (the bound
-    is the join condition, so only qualifying pairs are produced)."""
-    p = load(spark, sf, "part").select("p_partkey", "p_name")
-    terms = spark.createDataFrame(SCORE_TERMS, "term string, kind string")
-    la, lb = F.length("term"), F.length("p_name")
-    score = F.round(2 * F.least(la, lb) / (la + lb), 3)
-    return p.join(F.broadcast(terms), score >= FV.SIMILARITY_CUT).select("term", "kind", "p_partkey", "p_name", score.alias("score"))
-
-
-_SCORE_SQL = f"""WITH terms(term, kind) AS (VALUES {", ".join(f"('{t}', '{k}')" for t, k in SCORE_TERMS)}),
-s AS (SELECT t.term, t.kind, p.p_partkey, p.p_name,
-        round(2.0 * least(length(t.term), length(p.p_name)) / (length(t.term) + length(p.p_name)), 3) AS score
-      FROM part p JOIN terms t ON 2.0 * least(length(t.term), length(p.p_name)) / (length(t.term) + length(p.p_name)) >= 0.45)
-"""
-
-
-@register(
-    "top_recommendations",
-    _SCORE_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY term, kind ORDER BY score DESC, p_name, p_partkey) AS rank FROM s)
-SELECT term, kind, p_partkey, p_name, score, rank FROM r WHERE rank <= 5""",
-)
-def top_recommendations(spark, sf):
-    s = score_table(spark, sf)
-    w = Window.partitionBy("term", "kind").orderBy(F.col("score").desc(), "p_name", "p_partkey")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= FV.TOP_RECOMMENDATIONS)
-
-
-@register(
-    "recommendations",
-    _SCORE_SQL + """SELECT term, kind, p_name AS recommended_term, max(score) AS score,
-  CASE WHEN max(score) >= 0.82 THEN 'high' WHEN max(score) >= 0.65 THEN 'medium' ELSE 'low' END AS confidence,
-  'rerun_preview' AS action
-FROM s GROUP BY term, kind, p_name""",
-)
-def recommendations(spark, sf):
-    from tabvet.operators.similarity import confidence_band
-
-    s = score_table(spark, sf)
-    best = s.groupBy("term", "kind", F.col("p_name").alias("recommended_term")).agg(F.max("score").alias("score"))
-    return best.withColumns({"confidence": confidence_band(F.col("score")), "action": F.lit("rerun_preview")})

@@ -3,11 +3,11 @@ conversations (a request phrase in front of the whole conversation turn)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabvet.operators import textjobs as T
-from tabvet.queries.q_joins import SCORE_TERMS, _SCORE_SQL, score_table
+from tabvet.operators import similarity as SIM
+from tabvet.queries.q_catalog import PART_SCORES_SQL, PART_TERMS, part_scores
 from tabvet.queries.registry import register
 from tabvet.sources.tables import load
 
@@ -211,9 +211,9 @@ def derived_label_extract(spark, sf):
 
 @register(
     "recommend_rewrite",
-    _SCORE_SQL + f""", r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, p_name, p_partkey) AS rk FROM s),
-top AS (SELECT term, p_name AS rec FROM r WHERE rk = 1),
-q AS (SELECT conv_id, turn, [{", ".join(_sq(t) for t, _ in SCORE_TERMS)}][(conv_id % {len(SCORE_TERMS)}) + 1] AS term, text FROM conversations),
+    PART_SCORES_SQL + f""", best AS (SELECT term, candidate AS rec, row_number() OVER (PARTITION BY term ORDER BY score DESC, candidate) AS k FROM scored),
+top AS (SELECT DISTINCT term, rec FROM best WHERE k = 1),
+q AS (SELECT conv_id, turn, [{", ".join(_sq(t) for t in PART_TERMS)}][(conv_id % {len(PART_TERMS)}) + 1] AS term, text FROM conversations),
 q2 AS (SELECT conv_id, turn, term, CASE WHEN turn % 2 = 0 THEN term || ' ' || text ELSE text END AS request FROM q)
 SELECT conv_id, turn, CASE WHEN trim(q2.term) <> '' AND trim(top.rec) <> '' AND contains(request, trim(q2.term)) THEN replace(request, trim(q2.term), trim(top.rec))
   WHEN trim(top.rec) <> '' THEN concat_ws(chr(10), NULLIF(request, ''), {_sq(T.REWRITE_PREFIX)} || trim(top.rec))
@@ -221,14 +221,12 @@ SELECT conv_id, turn, CASE WHEN trim(q2.term) <> '' AND trim(top.rec) <> '' AND
 FROM q2 LEFT JOIN top ON top.term = q2.term""",
 )
 def recommend_rewrite(spark, sf):
-    s = score_table(spark, sf)
-    w = Window.partitionBy("term").orderBy(F.col("score").desc(), "p_name", "p_partkey")
-    top = s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1).select("term", F.col("p_name").alias("rec"))
+    top = SIM.best_recommendation(part_scores(spark, sf))
     c = load(spark, sf, "conversations")
-    term = F.element_at(F.array(*[F.lit(t) for t, _ in SCORE_TERMS]), (F.col("conv_id") % len(SCORE_TERMS) + 1).cast("int"))
+    term = F.element_at(F.array(*[F.lit(t) for t in PART_TERMS]), (F.col("conv_id") % len(PART_TERMS) + 1).cast("int"))
     q = c.select("conv_id", "turn", term.alias("term"), "text")
     q = q.select("conv_id", "turn", "term",
                  F.when(F.col("turn") % 2 == 0, F.concat("term", F.lit(" "), "text")).otherwise(F.col("text")).alias("request"))
     # at most one recommendation per configured term: a bounded broadcast side
     j = q.join(F.broadcast(top), "term", "left")
-    return j.select("conv_id", "turn", T.recommend_rewrite(F.col("request"), F.col("term"), F.col("rec")).alias("rewritten"))
+    return j.select("conv_id", "turn", T.recommend_rewrite(F.col("request"), F.col("term"), F.col("recommended")).alias("rewritten"))

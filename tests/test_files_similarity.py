@@ -179,3 +179,18 @@ def test_candidate_index_has_no_all_pairs_join(spark):
     catalog = spark.createDataFrame([("b", "contain")], "ck string, floor_rule string")
     plan = similarity.candidate_pairs(terms, catalog)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_recommendations_keep_the_best_row(spark):
+    """An identity found under its own name and under an alias counts once, with its better score; ties go by name."""
+    tdf = spark.createDataFrame([("bing",), ("zzz",)], "term string")
+    cdf = spark.createDataFrame(
+        [("value", "DA", "ch", "bing", "bing", None), ("value", "DA", "ch", "bing", "bin", "alias"), ("value", "DA", "ch", "bina", "bina", None),
+         ("column", "DA", "binb", "binb", "binb", "contain"), ("value", "DA", None, "binc", "binc", None)],
+        "kind string, target_table string, column_name string, candidate string, match_text string, floor_rule string")
+    scored = similarity.scored_candidates(tdf, cdf).cache()
+    got = {r.recommended_term: (r.score, r.confidence, r.action) for r in similarity.recommendations(scored).collect()}
+    assert got == {"bing": (1.0, "high", "rerun_preview"), **{x: (0.75, "medium", "rerun_preview") for x in ("bina", "binb", "binc")}}
+    assert [tuple(r) for r in similarity.best_recommendation(scored).collect()] == [("bing", "bing")]
+    ranks = {(r.kind, r.candidate): r.rank for r in similarity.top_recommendations(scored).collect()}
+    assert ranks == {("value", "bing"): 1, ("value", "bina"): 2, ("value", "binc"): 3, ("column", "binb"): 1}

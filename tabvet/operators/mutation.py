@@ -169,16 +169,18 @@ def change_audit(delta_long: DataFrame, run_id: str, table: str) -> DataFrame:
 
 def gate_check(previews: DataFrame, approvals: DataFrame, key: Sequence[str]) -> DataFrame:
     """M7: execution allowed only when validation passed, the preview is
-    pending confirmation, it is approved, and both fingerprints match."""
+    pending confirmation, it is approved, and both fingerprints match;
+    ``refused_by`` names the first of these that fails."""
     j = previews.join(approvals, list(key), "left")
-    ok = (
-        (F.col("validation_status") == "passed")
-        & (F.col("preview_status") == "pending_user_confirmation")
-        & F.coalesce(F.col("approved"), F.lit(False))
-        & F.coalesce(F.col("approved_sql_fingerprint") == F.col("sql_fingerprint"), F.lit(False))
-        & F.coalesce(F.col("approved_preview_fingerprint") == F.col("preview_fingerprint"), F.lit(False))
-    )
-    return j.select(*key, ok.alias("can_execute"))
+    checks = {
+        "validation": F.col("validation_status") == "passed",
+        "preview": F.col("preview_status") == "pending_user_confirmation",
+        "approval": F.col("approved"),
+        "sql_fingerprint": F.col("approved_sql_fingerprint") == F.col("sql_fingerprint"),
+        "preview_fingerprint": F.col("approved_preview_fingerprint") == F.col("preview_fingerprint"),
+    }
+    refused = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+    return j.select(*key, refused.isNull().alias("can_execute"), refused.alias("refused_by"))
 
 
 def overlay_update_block(steps: DataFrame, pred_col: str = "predicate_columns", overlay_col: str = "overlay_columns") -> DataFrame:

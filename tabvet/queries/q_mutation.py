@@ -104,7 +104,7 @@ def rollback_update(spark, sf):
     "upsert_by_key",
     with_staging("stg_m")
     + f""", e AS (SELECT row_id AS source_row_id, 'old-' || campaign AS campaign_name,
-                CAST({N('clicks_cell')} AS DOUBLE) AS impressions, 'unknown' AS device_type_std FROM stg_m WHERE row_id % 2 = 0),
+                CAST({N('clicks_cell')} AS DOUBLE) AS impressions, 'unknown' AS device_type_std FROM stg_m WHERE row_id % 2 = 0 OR row_id % 3 = 0),
 i AS (SELECT row_id AS source_row_id, campaign AS campaign_name, CAST({N('num_cell')} AS DOUBLE) AS impressions,
              lower(COALESCE(device_cell, '')) AS device_type_std FROM stg_m WHERE row_id % 3 <> 0)
 SELECT COALESCE(e.source_row_id, i.source_row_id) AS source_row_id,
@@ -115,7 +115,7 @@ FROM e FULL OUTER JOIN i ON e.source_row_id = i.source_row_id""",
 )
 def upsert_by_key(spark, sf):
     m = stg_m(spark, sf)
-    existing = m.where(F.col("row_id") % 2 == 0).select(
+    existing = m.where((F.col("row_id") % 2 == 0) | (F.col("row_id") % 3 == 0)).select(
         F.col("row_id").alias("source_row_id"), F.concat(F.lit("old-"), "campaign").alias("campaign_name"),
         S.num("clicks_cell").cast("double").alias("impressions"), F.lit("unknown").alias("device_type_std"))
     incoming = m.where(F.col("row_id") % 3 != 0).select(
@@ -173,7 +173,7 @@ FROM pv LEFT JOIN ap ON ap.plan_id = pv.plan_id AND ap.step_order = pv.step_orde
 )
 def gate_check(spark, sf):
     previews, approvals = _gate_inputs(spark, sf)
-    return MU.gate_check(previews, approvals, ["plan_id", "step_order"])
+    return MU.gate_check(previews, approvals, ["plan_id", "step_order"]).drop("refused_by")
 
 
 @register(

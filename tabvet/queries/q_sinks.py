@@ -65,24 +65,35 @@ pv AS (SELECT plan_id, step_order, text, substr(sha256(text), 1, 16) AS sql_fp,
 ap AS (SELECT plan_id, step_order, length(text) % 4 <> 0 AS approved,
         CASE WHEN turn % 4 = 2 THEN 'stale' ELSE substr(sha256(text), 1, 16) END AS a_sql, substr(sha256(step_key || text), 1, 16) AS a_prev
        FROM plan_steps WHERE length(text) % 3 <> 1),
-g AS (SELECT pv.plan_id, pv.step_order, pv.sql_fp,
+g AS (SELECT pv.plan_id, pv.step_order, pv.sql_fp, pv.prev_fp, validation_status, preview_status, approved, a_sql,
   (validation_status = 'passed' AND preview_status = 'pending_user_confirmation' AND COALESCE(ap.approved, FALSE)
    AND COALESCE(ap.a_sql = pv.sql_fp, FALSE) AND COALESCE(ap.a_prev = pv.prev_fp, FALSE)) AS can_execute
   FROM pv LEFT JOIN ap ON ap.plan_id = pv.plan_id AND ap.step_order = pv.step_order)
-SELECT sql_fp AS sql_fingerprint, CASE WHEN can_execute THEN 'executed' ELSE 'skipped' END AS status,
-  CAST(CASE WHEN can_execute THEN step_order ELSE 0 END AS BIGINT) AS affected_row_count FROM g""",
+SELECT text AS request_text, CAST(json_object('plan_id', plan_id, 'step_order', step_order) AS VARCHAR) AS ir_json, step_key AS statement,
+  CAST(json_array(step_key, CAST(step_order AS VARCHAR)) AS VARCHAR) AS params_json, sql_fp AS sql_fingerprint,
+  CAST(CASE WHEN can_execute THEN step_order ELSE 0 END AS BIGINT) AS affected_row_count, CASE WHEN can_execute THEN 'executed' ELSE 'skipped' END AS status,
+  CASE WHEN can_execute THEN CAST(json_object('step_order', step_order, 'preview', prev_fp) AS VARCHAR) END AS rollback_json,
+  CASE WHEN can_execute THEN NULL WHEN validation_status <> 'passed' THEN 'validation' WHEN preview_status <> 'pending_user_confirmation' THEN 'preview'
+    WHEN approved IS NOT TRUE THEN 'approval' WHEN a_sql <> sql_fp THEN 'sql_fingerprint' ELSE 'preview_fingerprint' END AS error_message
+FROM g JOIN plan_steps USING (plan_id, step_order)""",
 )
 def write_execution_log(spark, sf):
+    """K4: a record for every step, run or refused, with what undoes it or why it was refused."""
     previews, approvals = _gate_inputs(spark, sf)
-    gate = MU.gate_check(previews, approvals, ["plan_id", "step_order"]).join(
-        previews.select("plan_id", "step_order", "sql_fingerprint"), ["plan_id", "step_order"])
-    rec = gate.select(
-        "sql_fingerprint",
-        F.when(F.col("can_execute"), F.lit("executed")).otherwise(F.lit("skipped")).alias("status"),
-        F.when(F.col("can_execute"), F.col("step_order")).otherwise(F.lit(0)).cast("long").alias("affected_row_count"))
+    key = ["plan_id", "step_order"]
+    steps = plan_steps(spark, sf).select(*key, "step_key", "text")
+    gate = MU.gate_check(previews, approvals, key).join(previews.select(*key, "sql_fingerprint", "preview_fingerprint"), key).join(steps, key)
+    run = F.col("can_execute")
+    records = gate.select(
+        F.col("text").alias("request_text"), F.to_json(F.struct(*key)).alias("ir_json"), F.col("step_key").alias("statement"),
+        F.to_json(F.array("step_key", F.col("step_order").cast("string"))).alias("params_json"), "sql_fingerprint",
+        F.when(run, F.col("step_order")).otherwise(0).cast("long").alias("affected_row_count"),
+        F.when(run, F.lit("executed")).otherwise(F.lit("skipped")).alias("status"),
+        F.when(run, F.to_json(F.struct("step_order", F.col("preview_fingerprint").alias("preview")))).alias("rollback_json"),
+        F.col("refused_by").alias("error_message"))
     path = _dir(spark, "exec_log")
-    K.write_execution_log(rec, path)
-    return spark.read.parquet(path).select("sql_fingerprint", "status", "affected_row_count")
+    K.write_execution_log(records, path)
+    return spark.read.parquet(path)
 
 
 @register(

@@ -9,6 +9,7 @@ import os
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,47 @@ def test_readers_end_to_end(spark, tmp_path):
     assert meta.has_metadata_rows and meta.file_format == "csv"
 
 
+def test_workbook_strings_are_joined_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of a few rows: strings of all cells, most of them used often, one book without any, a table without a header."""
+    monkeypatch.setattr(FS, "BLOCK_ROWS", 4)
+    rng = random.Random(5)
+    books = {}
+    for name in ("a", "b"):
+        rows = [["캠페인", "비용", "메모"]] + [[rng.choice(["total", "x & y", " <b> "]), str(j), rng.choice(["", "합계", f"{name}{j}"])] for j in range(30)]
+        books[name] = {"s1": rows, "s2": [["one"], [], ["two"]]}
+    books["c"] = {"empty": [], "s2": [["only", "inline"]]}
+    for name, sheets in books.items():
+        FS.write_workbook(str(tmp_path / f"{name}.xlsx"), sheets)
+    files = FS.discover_files(spark, str(tmp_path))
+    rows = FS.read_workbooks(files)
+    got = {}
+    for r in rows.collect():
+        got.setdefault((os.path.basename(r.path)[0], r.sheet), []).append((r.row_no, list(r.cells)))
+
+    def stored(row):
+        row = [c.strip() if c else c for c in row]
+        while row and row[-1] == "":
+            row = row[:-1]
+        return row
+    want = {(b, s): list(enumerate([stored(r) for r in rows], 1)) for b, sheets in books.items() for s, rows in sheets.items() if rows}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert sum(1 for r in FS.workbook_strings(files.select("path")).collect() if r.text == "total") == 2  # once a book
+    headers = {(os.path.basename(r.path)[0], r.sheet): r.header_row_no for r in FS.detect_header_row(rows).collect()}
+    assert headers == {("a", "s1"): 1, ("b", "s1"): 1, ("a", "s2"): None, ("b", "s2"): None, ("c", "s2"): 1}
+
+
+def test_workbook_elements_leave_their_parents(tmp_path):
+    FS.write_workbook(str(tmp_path / "a.xlsx"), {"s": [[f"t{i}"] for i in range(500)]})
+    with open(tmp_path / "a.xlsx", "rb") as stream:
+        book = FS.Workbook(stream)
+        for element in book._elements("xl/sharedStrings.xml", "si"):
+            last = element
+        assert last.findtext(FS.MAIN + "t") == "t499"
+        with pytest.raises(KeyError):
+            FS._filled(*(pd.DataFrame(x) for x in (
+                {"path": ["p"], "sheet": ["s"], "row_no": [1], "cells": [["7"]], "shared": [[0]]}, {"number": [], "text": []})))
+
+
 def _as_csv_reads(data: bytes, codec: str, delimiter: str) -> list[list[str]]:
     csv.field_size_limit(2**31 - 1)
     return list(csv.reader(io.TextIOWrapper(io.BytesIO(data), encoding=codec, errors="replace", newline=""), delimiter=delimiter))

@@ -22,7 +22,9 @@ components; then all remaining pairs of *different* components in one list are
 tried, unless bitmaps of their prefixes show that too few shingles are shared,
 so no link between components is lost and no large group of near copies is
 expanded into all its pairs.  Very frequent shingles are salted in the first
-step, and their sub-lists' first nodes are tried with one another.
+step, and their sub-lists' first nodes are tried with one another; a counter
+counts as frequent by what it holds above the median of its chunk, so that
+rare shingles stay unsalted however many share a counter.
 
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; null ids take part and never name a component that has another id;
@@ -128,9 +130,11 @@ def _sets_and_counts(docs: DataFrame) -> DataFrame:
 
 
 def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Per counter its level (four per doubling of the count), and the pivots of the fragments.
+    """Two tables, and the pivots of the fragments.  Per counter its level (four per doubling of the count)
+    and how often its shingles' lists are halved: a count far above the median of its chunk, which is what
+    rare shingles alone bring together, comes from frequent ones.
 
-    The result has a fixed size: one byte per counter."""
+    The tables have a fixed size: two bytes per counter."""
     chunk = 1 << CHUNK_BITS
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,16 +148,18 @@ def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for c, s in sums.items():
             levels = np.minimum(np.floor(4 * np.log2(s.astype(np.float64) + 1)), 127).astype(np.uint8)  # keys stay positive
             mass = np.bincount(levels, weights=s.astype(np.float64), minlength=256)
-            yield pd.DataFrame({"chunk": [c], "levels": [levels.tobytes()], "mass": [mass.tobytes()]})
+            halved = np.floor(np.log2(np.maximum((s.astype(np.float64) - np.median(s)) / SALT_ROWS, 1))).astype(np.uint8)
+            yield pd.DataFrame({"chunk": [c], "levels": [levels.tobytes()], "halved": [halved.tobytes()], "mass": [mass.tobytes()]})
 
     parts = (
         counted.repartition(1 << (COUNTER_BITS - CHUNK_BITS), "chunk")
-        .mapInPandas(added, "chunk int, levels binary, mass binary").collect()  # at most 64 rows
+        .mapInPandas(added, "chunk int, levels binary, halved binary, mass binary").collect()  # at most 64 rows
     )
-    levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+    tables = np.zeros((2, 1 << COUNTER_BITS), dtype=np.uint8)
     mass = np.zeros(256)
     for r in parts:
-        levels[r.chunk * chunk: (r.chunk + 1) * chunk] = np.frombuffer(r.levels, dtype=np.uint8)
+        for table, part in zip(tables, (r.levels, r.halved), strict=True):
+            table[r.chunk * chunk: (r.chunk + 1) * chunk] = np.frombuffer(part, dtype=np.uint8)
         mass += np.frombuffer(r.mass)
     ends = np.cumsum(mass)
     pivots = []
@@ -162,13 +168,33 @@ def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         level = int(np.searchsorted(ends, at))
         inside = (at - (ends[level] - mass[level])) / mass[level] if level < 256 and mass[level] else 0.0
         pivots.append((min(level, 255) << 56) | int(min(inside, 0.999999) * (1 << 56)))
-    return levels, np.array(pivots, dtype=np.uint64)
+    return tables, np.array(pivots, dtype=np.uint64)
+
+
+def _keys(s: np.ndarray, counter: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Shingles as keys of the global order: level, then hash."""
+    return (levels[counter].astype(np.uint64) << np.uint64(56)) | (_mix(s) >> np.uint64(8))
+
+
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Shingles as sorted keys of the global order: level, then hash."""
-    level = levels[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << np.uint64(56)) | (_mix(s) >> np.uint64(8)))
+    """Sorted keys of the shingles."""
+    return np.sort(_keys(s, _counter(s), levels))
+
+
+def _salted_prefix(s: np.ndarray, node: int, levels: np.ndarray, halved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a node's prefix in the global order, and the sub-list of each (0: the shingle's list is whole)."""
+    counter = _counter(s)
+    key, halves = _keys(s, counter, levels), halved[counter]
+    size = _prefix(len(s))
+    if not halves.any():
+        return np.sort(key)[:size], np.zeros(size, dtype=np.int32)
+    front = np.argsort(key)[:size]
+    lists = np.int64(1) << halves[front].astype(np.int64)
+    return key[front], np.where(lists > 1, 1 + (node & 0x7FFFFFFF) % lists, 0).astype(np.int32)
 
 
 def _prefix(n: int) -> int:
@@ -185,7 +211,7 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = levels.value
+        table, halved = levels.value
         seen: set[int] = set()
         names = ["token", "salt", "node", "n", "pos"]
 
@@ -199,10 +225,7 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
                 if not len(s) or (node := node_id(s)) in seen:
                     continue
                 seen.add(node)
-                key = _ordered(s, table)[: _prefix(len(s))]
-                expected = 2.0 ** ((key >> np.uint64(56)).astype(np.float64) / 4)
-                lists = np.maximum(1, expected / SALT_ROWS).astype(np.int64)
-                salt = np.where(lists > 1, 1 + (node & 0x7FFFFFFF) % lists, 0).astype(np.int32)
+                key, salt = _salted_prefix(s, node, table, halved)
                 parts.append((key.view(np.int64), salt, np.full(len(key), node, dtype=np.int64),
                               np.full(len(key), len(s), dtype=np.int32), np.arange(len(key), dtype=np.int32)))
                 held += len(key)
@@ -255,6 +278,17 @@ def _overlap_possible(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
     return 7 * (F.least(shared(sa, sb), shared(sb, sa)) + F.greatest(sa["rest"], sb["rest"])) >= 3 * (na + nb)
 
 
+def _shared_lists(lists: DataFrame) -> DataFrame:
+    """Without the lists of shingles that only one node has: what stands in a frequent shingle's counter is salted with
+    it, so a sub-list of one node may be all of its shingle."""
+    salted = lists.where(F.col("salt") > 0)
+    shared = (
+        salted.where(F.col("head.node") == F.col("node")).groupBy("token").agg(F.sum("members").alias("nodes"))
+        .where("nodes > 1").select("token")
+    )
+    return lists.where(F.col("salt") == 0).unionByName(stored(salted.join(shared, "token", "left_semi").select(*lists.columns), "ngram-salted"))
+
+
 def _pairs(rows: DataFrame, other: str) -> DataFrame:
     """Candidate pairs (a, b, na, nb) of each row and the row in its column ``other``."""
     o = F.col(other)
@@ -282,7 +316,7 @@ def _segments(docs: DataFrame, pairs: DataFrame, levels, pivots: np.ndarray) ->
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table, bits = levels.value, wanted_b.value
+        table, bits = levels.value[0], wanted_b.value
         seen: set[int] = set()
         schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
         for b in batches:
@@ -354,6 +388,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .select("token", "salt", "node", "n", "pos", F.count(F.lit(1)).over(in_list).alias("members"),
                 F.bit_xor("node").over(in_list).alias("whole"), F.lag(row).over(central).alias("before"), F.first(row).over(central).alias("head"))
         .where((F.col("members") > 1) | (F.col("salt") > 0)), "ngram-lists")
+    lists = _shared_lists(lists)
     signs = stored(_signatures(lists), "ngram-signatures")
     heads = lists.where((F.col("salt") > 0) & (F.col("head.node") == F.col("node")))
     heads = heads.select("token", "node", "n", "pos",

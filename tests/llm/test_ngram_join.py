@@ -166,3 +166,39 @@ def test_query_table(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(op2_ngram_jaccard(spark, sf)) == expected(rows)
+
+
+def test_counters_full_of_rare_shingles_are_not_salted(spark):
+    import zlib
+
+    import numpy as np
+
+    counts = np.full(1 << ngram_join.CHUNK_BITS, 1_000_000, dtype=np.uint32)
+    counts[7] += 9 * ngram_join.SALT_ROWS
+    counted = spark.createDataFrame([(3, zlib.compress(counts.tobytes()))], "chunk int, counts binary")
+    (levels, halved), pivots = ngram_join._levels(counted)
+    assert np.flatnonzero(halved).tolist() == [(3 << ngram_join.CHUNK_BITS) + 7] and halved.max() == 3
+    assert np.count_nonzero(levels) == len(counts) and len(pivots) == ngram_join.FRAGMENTS - 1
+
+
+def test_salted_prefix_is_the_prefix():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    s = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    levels = rng.integers(0, 120, 1 << ngram_join.COUNTER_BITS).astype(np.uint8)
+    none = np.zeros_like(levels)
+    plain, whole = ngram_join._salted_prefix(s, 12345, levels, none)
+    assert (plain == ngram_join._ordered(s, levels)[: ngram_join._prefix(len(s))]).all() and not whole.any()
+    some = (levels > 20).astype(np.uint8) * 2
+    key, salt = ngram_join._salted_prefix(s, 12345, levels, some)
+    assert (key == plain).all() and set(salt[(key >> np.uint64(56)) > 20]) <= {1 + 12345 % 4} and not salt[(key >> np.uint64(56)) <= 20].any()
+
+
+def test_salted_list_of_one_node_goes(spark):
+    """A shingle of one node in one sub-list is dropped, one of two nodes in two sub-lists stays."""
+    node = "struct<node: long, n: int, pos: int>"
+    rows = [(1, 2, 10, 9, 0, 1), (2, 1, 10, 9, 1, 1), (2, 3, 11, 9, 0, 1), (5, 0, 12, 9, 0, 2), (5, 0, 13, 9, 0, 2)]
+    lists = spark.createDataFrame([(*r, 0, None, (r[2] if r[0] != 5 else 12, 9, 0)) for r in rows],
+                                  f"token long, salt int, node long, n int, pos int, members long, whole long, before {node}, head {node}")
+    assert sorted((r.token, r.node) for r in ngram_join._shared_lists(lists).collect()) == [(2, 10), (2, 11), (5, 12), (5, 13)]

@@ -120,8 +120,14 @@ best AS (SELECT *, row_number() OVER (PARTITION BY export, folder, sheet ORDER B
 headers AS (SELECT export, folder, sheet, CASE WHEN width >= 2 THEN CAST(row_no AS BIGINT) END AS header_row_no FROM best WHERE k = 1),
 dialects(folder, encoding, delimiter) AS (VALUES {_DIALECT_SQL})
 """
-_IN_FOLDER = F.regexp_extract("path", r"/([^/]+)/export=[^/]+/[^/]+$", 1)
-_OF_EXPORT = F.regexp_extract("path", r"/export=([^/]+)/[^/]+$", 1).cast("long")
+
+
+def _folder():
+    return F.regexp_extract("path", r"/([^/]+)/export=[^/]+/[^/]+$", 1).alias("folder")
+
+
+def _export():
+    return F.regexp_extract("path", r"/export=([^/]+)/[^/]+$", 1).cast("long").alias("export")
 
 
 @register(
@@ -147,7 +153,7 @@ def discover_files(spark, sf):
 )
 def sniff_csv_dialect(spark, sf):
     prof = FS.sniff_csv_dialect(_files(spark, sf, books=False))
-    return prof.select(_IN_FOLDER.alias("folder"), _OF_EXPORT.alias("export"), "encoding", "delimiter", "clean")
+    return prof.select(_folder(), _export(), "encoding", "delimiter", "clean")
 
 
 @register(
@@ -167,13 +173,13 @@ def read_delimited(spark, sf):
 )
 def read_workbooks(spark, sf):
     rows = FS.read_workbooks(_files(spark, sf, csvs=False))
-    return rows.select(_OF_EXPORT.alias("export"), "sheet", "row_no", F.array_join("cells", "|").alias("cells"))
+    return rows.select(_export(), "sheet", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @register("detect_header_row", _HEADERS_SQL + "SELECT export, sheet, header_row_no FROM headers")
 def detect_header_row(spark, sf):
     _, rows = _read(_files(spark, sf))
-    return FS.detect_header_row(rows).select(_OF_EXPORT.alias("export"), "sheet", "header_row_no")
+    return FS.detect_header_row(rows).select(_export(), "sheet", "header_row_no")
 
 
 @register(
@@ -185,7 +191,7 @@ def schema_profiles(spark, sf):
     files = _files(spark, sf)
     prof, rows = _read(files)
     out = FS.schema_profiles(files, prof, FS.detect_header_row(rows))
-    return out.select(_OF_EXPORT.alias("export"), "sheet", "file_format", "encoding", "delimiter", "header_row_no", "has_metadata_rows")
+    return out.select(_export(), "sheet", "file_format", "encoding", "delimiter", "header_row_no", "has_metadata_rows")
 
 
 _NAMES_SQL = (

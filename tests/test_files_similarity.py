@@ -104,6 +104,16 @@ def test_workbook_strings_are_joined_in_blocks(spark, tmp_path, monkeypatch):
     assert headers == {("a", "s1"): 1, ("b", "s1"): 1, ("a", "s2"): None, ("b", "s2"): None, ("c", "s2"): 1}
 
 
+def test_workbook_strings_are_never_broadcast(spark, tmp_path):
+    """Few books may hold any number of strings: the list of books says nothing about their size."""
+    FS.write_workbook(str(tmp_path / "a.xlsx"), {"s": [[f"t{i}", str(i)] for i in range(50)]})
+    rows = FS.read_workbooks(FS.discover_files(spark, str(tmp_path)))
+    rows.write.format("noop").mode("overwrite").save()
+    assert sorted(r.cells[0] for r in rows.collect()) == sorted(f"t{i}" for i in range(50))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_workbook_elements_leave_their_parents(tmp_path):
     FS.write_workbook(str(tmp_path / "a.xlsx"), {"s": [[f"t{i}"] for i in range(500)]})
     with open(tmp_path / "a.xlsx", "rb") as stream:

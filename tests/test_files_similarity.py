@@ -104,6 +104,25 @@ def test_workbook_strings_are_joined_in_blocks(spark, tmp_path, monkeypatch):
     assert headers == {("a", "s1"): 1, ("b", "s1"): 1, ("a", "s2"): None, ("b", "s2"): None, ("c", "s2"): 1}
 
 
+def test_payload_rows_of_one_table_stay_where_they_are(spark):
+    """All rows of a table have one key: they are not gathered, and every cell is stripped twice at most (filter and value)."""
+    rows = spark.createDataFrame([("p", None, i, [" 1 ", "", " x"][: i % 4]) for i in range(1, 9)], FS.ROWS_SCHEMA)
+    headers = spark.createDataFrame([("p", None, 1, ["a", "a"])], "path string, sheet string, header_row_no long, headers array<string>")
+    out = FS.rows_to_payload(rows, headers)
+    want = {2: {"a": ""}, 3: {"a": "", "extra_3": "x"}, 5: {"a": ""}, 6: {"a": ""}, 7: {"a": "", "extra_3": "x"}}
+    assert {r.row_no: r.payload for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_header_cells_are_stripped_once(spark):
+    df = spark.createDataFrame([([" a ", "a", "", "b", "a"], 7), (["x", None], 2), (None, 1)], "header array<string>, widest int")
+    named = df.select(FS.header_names(F.col("header"), F.col("widest")).alias("names"))
+    assert [r.names for r in named.collect()] == [["a", "a_2", "unnamed_3", "b", "a_3", "extra_6", "extra_7"], ["x", None], None]
+    # Once for the names, and for their number beside the extra ones.
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
+
+
 def test_workbook_strings_are_never_broadcast(spark, tmp_path):
     """Few books may hold any number of strings: the list of books says nothing about their size."""
     FS.write_workbook(str(tmp_path / "a.xlsx"), {"s": [[f"t{i}", str(i)] for i in range(50)]})

@@ -50,24 +50,33 @@ def safe_identifiers(df: DataFrame, group: str, pos: str, raw: str, out: str = "
     taken, also by a numbered one, gets the first free number from ``_2`` on.
 
     Each name depends on all names before it, so the cells of a header row are
-    folded in order; a header row is bounded, so no group grows with the data."""
+    folded in order; a header row is bounded, so no group grows with the data.
+    A name is first tried with the number after those of its own base; all numbers
+    are tried only if another name holds that one."""
     def numbered(base: Column, n: Column) -> Column:
         mark = F.concat(F.lit("_"), n.cast("string"))
         return F.when(n == 1, base).otherwise(F.concat(F.substring(base, F.lit(1), F.lit(max_len) - F.length(mark)), mark))
 
-    def taken(names: Column, name: Column) -> Column:
-        return F.exists(names, lambda u: F.lower(u) == F.lower(name))
-
-    def first_free(names: Column, base: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda n: numbered(base, n))
-        return F.filter(tries, lambda t: ~taken(names, t))[0]
+    def first_free(used: Column, base: Column) -> Column:
+        """The name and its lower-case forms with and without the number."""
+        def of(low: Column) -> Column:
+            # Earlier cells of the same base took different numbers, and every number below theirs was taken.
+            n = F.size(F.filter(used, lambda u: u["base"] == low)) + 1
+            # One more than names: a long base that ends like a number may be its own numbered form.
+            tries = F.transform(F.sequence(F.lit(1), F.size(used) + 2), lambda k: numbered(base, k))
+            free = F.filter(tries, lambda t: ~F.array_contains(used["low"], F.lower(t)))[0]
+            direct = numbered(base, n)
+            fits = (n == 1) | (F.length(base) + F.length(n.cast("string")) < max_len)
+            name = F.when(fits & ~F.array_contains(used["low"], F.lower(direct)), direct).otherwise(free)
+            return F.transform(F.array(name), lambda x: F.struct(x.alias("name"), F.lower(x).alias("low"), low.alias("base")))
+        return F.flatten(F.transform(F.array(F.lower(base)), of))
 
     cells = df.select(group, F.struct(F.col(pos).alias("_pos"), safe_base(raw, max_len).alias("_base"), F.struct(*df.columns).alias("_row")).alias("_cell"))
     rows = cells.groupBy(group).agg(F.array_sort(F.collect_list("_cell"), lambda a, b: F.signum((a["_pos"] - b["_pos"]).cast("double")).cast("int")).alias("_cells"))
-    names = F.aggregate(
-        "_cells", F.array().cast("array<string>"), lambda used, c: F.concat(used, F.array(first_free(used, c["_base"]))))
+    names = F.aggregate("_cells", F.array().cast("array<struct<name:string,low:string,base:string>>"),
+                        lambda used, c: F.concat(used, first_free(used, c["_base"])))
     return rows.withColumn("_names", names).select(F.explode(F.arrays_zip("_cells", "_names")).alias("_x")).select(
-        "_x._cells._row.*", F.col("_x._names").alias(out))
+        "_x._cells._row.*", F.col("_x._names.name").alias(out))
 
 
 def unique_headers(df: DataFrame, group: str, pos: str, raw: str, out: str = "header") -> DataFrame:

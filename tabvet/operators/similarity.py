@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabvet import fixed_values as FV
 from tabvet.functions.semantics import nfc
@@ -41,17 +40,15 @@ GRAM = 3
 _SLACK = 1e-9
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _char_tokens(keys: pd.Series) -> pd.Series:
-    """Each character with its number among the equal ones: equal tokens of two texts count their common characters."""
-    def tokens(key: str) -> list[str]:
-        seen: dict[str, int] = {}
-        out = []
-        for ch in key:
-            seen[ch] = seen.get(ch, 0) + 1
-            out.append(f"{ch}{seen[ch]}")
-        return out
-    return keys.map(tokens)
+def _char_tokens(key: str) -> Column:
+    """Each character with its number among the equal ones: equal tokens of two texts count their common characters.
+
+    In the JVM: whole batches of tokens in Python take memory by the length of the keys."""
+    c = F.col(key)
+    times = lambda ch: F.length(c) - F.length(F.replace(c, ch, F.lit("")))
+    each = F.transform(F.array_distinct(F.split(c, "")), lambda ch: F.transform(
+        F.sequence(F.lit(1), times(ch)), lambda k: F.concat(ch, k.cast("string"))))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.flatten(each))
 
 
 def _with_tokens(keys: DataFrame, frequency: DataFrame) -> DataFrame:

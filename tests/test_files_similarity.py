@@ -245,6 +245,14 @@ def test_candidate_index_loses_no_pair(spark):
             assert (x, y) not in got or set(x) & set(y)
 
 
+def test_character_tokens_stay_out_of_python(spark):
+    """Tokens as Python would number them, made by the JVM: batches of long keys took memory in Python."""
+    keys = ["", "aab", "가나가", "a😀a😀", "a.b$a\\", "x" * 300]
+    df = spark.createDataFrame([(k,) for k in keys], "key string").withColumn("tokens", similarity._char_tokens("key"))
+    assert {r.key: sorted(r.tokens) for r in df.collect()} == {k: sorted(f"{c}{k[:i + 1].count(c)}" for i, c in enumerate(k)) for k in keys}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_candidate_index_has_no_all_pairs_join(spark):
     terms = spark.createDataFrame([("a",)], "tk string")
     catalog = spark.createDataFrame([("b", "contain")], "ck string, floor_rule string")

@@ -6,6 +6,8 @@ expression or a regex split, evaluated in the JVM over whole texts.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Mapping, Sequence
 
@@ -50,6 +52,11 @@ def _any(c: Column, words: Sequence[str]) -> Column:
     return out
 
 
+def _with(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 # ------------------------------------------------------------------ T1
 def classify_intent(text: Column) -> Column:
     low = F.lower(text)
@@ -108,23 +115,34 @@ def field_update_values(text: Column, fields: Mapping[str, Sequence[str]] = NUME
     """T3, field by field: array<struct(field, value)> of the fields that the text gives a value.
 
     A field's value stands behind one of its names and before the next name of any
-    field, so "cost 500, clicks 3" gives each its own. The names are marked once;
-    each name then costs one linear scan. A field that is named without a value
+    field, so "cost 500, clicks 3" gives each its own. The names are marked once; a name
+    that the text holds then costs one linear scan. A field that is named without a value
     in a text that asks for a correction is set to 0. A NULL text names no field; a control
     character 1 in a text counts as a blank.
     """
-    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), field_name_regex(fields), MARK + "$1")
-    short = compact(text)
-    found = []
-    for field, names in fields.items():
-        tries = []
-        for alias in dict.fromkeys([field, *names]):
-            mention = field_mention_regex(alias)
-            tries += [F.nullif(F.regexp_extract(marked, mention, g), F.lit("")) for g in (1, 2)]
-            named = F.contains(short, F.lit(re.sub(r"\s+", "", alias).lower())) & F.contains(short, F.lit(CORRECTION_WORD))
-            tries.append(F.when(named, F.lit("0")))
-        found.append(F.struct(F.lit(field).alias("field"), F.regexp_replace(F.coalesce(*tries), ",", "").alias("value")))
-    return F.filter(F.array(*found), lambda x: x["value"].isNotNull())
+    every = {*fields, *(n for own in fields.values() for n in own)}
+    first = "(?=[" + "".join(re.escape(c) for c in sorted({n[0] for n in every})) + "])"
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), first + field_name_regex(fields), MARK + "$1")
+    # The text without blanks matters only if it holds the characters of the correction word.
+    asks = functools.reduce(operator.and_, (F.contains(text, F.lit(c)) for c in sorted(set(CORRECTION_WORD))))
+    short = F.when(asks, compact(text))
+
+    def found(x: Column) -> Column:
+        marked, short, corrects = x["marked"], x["short"], x["corrects"]
+        values = []
+        for field, names in fields.items():
+            tries = []
+            for alias in dict.fromkeys([field, *names]):
+                mention = field_mention_regex(alias)
+                first_of = F.coalesce(*[F.nullif(F.regexp_extract(marked, mention, g), F.lit("")) for g in (1, 2)])
+                tries.append(F.when(F.contains(marked, F.lit(alias)), first_of))
+                tries.append(F.when(corrects & F.contains(short, F.lit(re.sub(r"\s+", "", alias).lower())), F.lit("0")))
+            values.append(F.struct(F.lit(field).alias("field"), F.regexp_replace(F.coalesce(*tries), ",", "").alias("value")))
+        return F.filter(F.array(*values), lambda v: v["value"].isNotNull())
+
+    once = _with(short, lambda s: F.struct(marked.alias("marked"), s.alias("short"),
+                                           F.coalesce(F.contains(s, F.lit(CORRECTION_WORD)), F.lit(False)).alias("corrects")))
+    return _with(once, found)
 
 
 # ------------------------------------------------------------------ T4

@@ -232,6 +232,28 @@ def metric_mentions(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------ T8
+#: What both label patterns begin their first phrase with.
+PHRASE_END = "{2,40}?"
+PHRASE_CHARS = 40
+
+
+def _near_tail(text: Column, pattern: str) -> Column:
+    """struct(one, two): the groups of a label pattern's first match, '' without one.
+
+    Tried at every character with every length, the pattern's leading phrase is slow.
+    What stands behind the phrase (the tail) is found in one linear scan; no match
+    begins farther before the first tail than the phrase and its blank are long, so
+    the whole pattern is tried from there on. Two characters more are kept, so that
+    the cut is never taken for the text's start."""
+    tail = pattern.partition(PHRASE_END)[2].replace(")", "", 1)  # its first bracket closes the phrase's group
+
+    def groups(parts: Column) -> Column:
+        near = F.substring(text, F.greatest(F.length(parts[0]) - (PHRASE_CHARS + 2), F.lit(1)), F.length(text))
+        one, two = (F.when(F.size(parts) > 1, F.regexp_extract(near, pattern, g)).otherwise(F.when(text.isNotNull(), F.lit(""))) for g in (1, 2))
+        return F.struct(one.alias("one"), two.alias("two"))
+    return _with(F.split(text, tail, 2), groups)
+
+
 def derived_label(text: Column) -> Column:
     """struct(derived_key, derived_value) from back-quoted tokens and label phrases."""
     quoted = F.regexp_extract_all(text, F.lit(QUOTED_PATTERN), 1)
@@ -241,16 +263,18 @@ def derived_label(text: Column) -> Column:
     def norm(x: Column) -> Column:
         return F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
 
-    a_key = norm(F.regexp_extract(text, ASSIGNMENT_PATTERN, 1))
-    a_val = norm(F.regexp_extract(text, ASSIGNMENT_PATTERN, 2))
-    l_val = norm(F.regexp_extract(text, LABEL_PATTERN, 1))
-    l_key_raw = norm(F.regexp_extract(text, LABEL_PATTERN, 2))
-    l_key = F.when(l_key_raw == "값", F.lit("derived_label")).otherwise(l_key_raw)
-    key = F.coalesce(a_key, l_key, q_first,
-                     F.when(text.contains("광고상품"), F.lit("광고상품명")).when(text.contains("구분 항목"), F.lit("구분 항목")),
-                     F.lit("derived_label"))
-    value = F.coalesce(q_last, a_val, l_val)
-    return F.struct(key.alias("derived_key"), value.alias("derived_value"))
+    def label(found: Column) -> Column:
+        a_key, a_val, l_val, l_key_raw = (norm(found[f"{p}_{g}"]) for p, g in (("a", "one"), ("a", "two"), ("l", "one"), ("l", "two")))
+        l_key = F.when(l_key_raw == "값", F.lit("derived_label")).otherwise(l_key_raw)
+        key = F.coalesce(a_key, l_key, q_first,
+                         F.when(text.contains("광고상품"), F.lit("광고상품명")).when(text.contains("구분 항목"), F.lit("구분 항목")),
+                         F.lit("derived_label"))
+        value = F.coalesce(q_last, a_val, l_val)
+        return F.struct(key.alias("derived_key"), value.alias("derived_value"))
+
+    both = _with(_near_tail(text, ASSIGNMENT_PATTERN), lambda a: _with(_near_tail(text, LABEL_PATTERN), lambda x: F.struct(
+        a["one"].alias("a_one"), a["two"].alias("a_two"), x["one"].alias("l_one"), x["two"].alias("l_two"))))
+    return _with(both, label)
 
 
 # ------------------------------------------------------------------ T9

@@ -205,8 +205,7 @@ FROM x""",
 )
 def derived_label_extract(spark, sf):
     r = _requests(spark, sf)
-    d = T.derived_label(F.col("request"))
-    return r.select("conv_id", "turn", d["derived_key"].alias("derived_key"), d["derived_value"].alias("derived_value"))
+    return r.select("conv_id", "turn", T.derived_label(F.col("request")).alias("label")).select("conv_id", "turn", "label.derived_key", "label.derived_value")
 
 
 @register(

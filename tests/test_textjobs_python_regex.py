@@ -117,3 +117,26 @@ def test_two_fields_with_values_of_their_own(spark):
     assert got == want
     assert got[0] == {"비용": "500", "클릭수": "3"} and got[1] == {"노출수": "1200", "세션수": "7"} and got[2] == {"클릭수": "3"}
     assert sum(len(v) > 1 for v in want.values()) > 50
+
+
+def test_label_patterns_start_near_their_tails(spark):
+    """Groups as Python finds them, also behind long texts, where every character was tried as a start."""
+    rng = random.Random(3)
+    bits = ["값", "값을", "를", " ", "  ", "\n", "가나", "a" * 20, "b" * 17, "x", "에", "로", "으로", "붙", "기입", "상태 값", "분류값", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(4, 30))) for _ in range(3000)]
+    texts += ["word " * 4_000 + t for t in texts[:300]] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for pattern in (FV.ASSIGNMENT_PATTERN, FV.LABEL_PATTERN):
+        got = {r.id: (r.x.one, r.x.two) for r in df.select("id", T._near_tail(F.col("text"), pattern).alias("x")).collect()}
+        found = [re.search(pattern, t) if t is not None else None for t in texts]
+        assert got == {i: (None, None) if t is None else m.groups() if m else ("", "") for i, (t, m) in enumerate(zip(texts, found, strict=True))}
+        assert sum(m is not None for m in found) > 50
+
+
+def test_fields_without_a_name_are_not_scanned(spark):
+    """The text is marked and compacted once each, not once a name."""
+    df = spark.createDataFrame([(1, "비용 500원으로, 보 정 클 릭")], "id long, text string")
+    out = df.select(T.field_update_values(F.col("text")).alias("found"))
+    assert [(v.field, v.value) for v in out.collect()[0].found] == [("클릭수", "0"), ("비용", "500")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\s+") < 200 and plan.count("regexp_replace(text") + plan.count("regexp_replace(replace(text") <= 4

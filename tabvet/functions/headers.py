@@ -58,16 +58,19 @@ def safe_identifiers(df: DataFrame, group: str, pos: str, raw: str, out: str = "
         return F.when(n == 1, base).otherwise(F.concat(F.substring(base, F.lit(1), F.lit(max_len) - F.length(mark)), mark))
 
     def first_free(used: Column, base: Column) -> Column:
-        """The name and its lower-case forms with and without the number."""
+        """The name and its lower-case forms with and without the number; a NULL cell has a NULL name and takes none."""
+        def taken(name: Column) -> Column:
+            return F.coalesce(F.array_contains(used["low"], F.lower(name)), F.lit(False))
+
         def of(low: Column) -> Column:
             # Earlier cells of the same base took different numbers, and every number below theirs was taken.
             n = F.size(F.filter(used, lambda u: u["base"] == low)) + 1
             # One more than names: a long base that ends like a number may be its own numbered form.
             tries = F.transform(F.sequence(F.lit(1), F.size(used) + 2), lambda k: numbered(base, k))
-            free = F.filter(tries, lambda t: ~F.array_contains(used["low"], F.lower(t)))[0]
+            free = F.get(F.filter(tries, lambda t: ~taken(t)), F.lit(0))
             direct = numbered(base, n)
             fits = (n == 1) | (F.length(base) + F.length(n.cast("string")) < max_len)
-            name = F.when(fits & ~F.array_contains(used["low"], F.lower(direct)), direct).otherwise(free)
+            name = F.when(fits & ~taken(direct), direct).otherwise(free)
             return F.transform(F.array(name), lambda x: F.struct(x.alias("name"), F.lower(x).alias("low"), low.alias("base")))
         return F.flatten(F.transform(F.array(F.lower(base)), of))
 
